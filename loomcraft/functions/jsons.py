@@ -67,30 +67,26 @@ def variant_field(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
+# The Python type each VARIANT type decodes to.
+_PYTHON_TYPES = {
+    "VOID": "NoneType", "BOOLEAN": "bool", "STRING": "str", "BIGINT": "int", "DECIMAL": "float", "DOUBLE": "float",
+    "FLOAT": "float", "ARRAY": "list", "OBJECT": "dict",
+}
+# Canonical texts of the JSON values Python calls false.
+_FALSE_VALUES = ("null", "false", '""', "[]", "{}", "0", "0.0", "-0.0")
+
+
 def python_type(v: Column) -> Column:
-    """Name of the Python type a JSON value has once decoded."""
-    kind = F.schema_of_variant(v)
-    precision = F.regexp_extract(kind, r"^DECIMAL\(([0-9]+),0\)$", 1).try_cast("int")
-    return (
-        F.when(kind == "VOID", F.lit("NoneType"))
-        .when(kind == "BOOLEAN", F.lit("bool"))
-        .when(kind == "STRING", F.lit("str"))
-        .when(kind == "BIGINT", F.lit("int"))
-        .when(kind.startswith("DECIMAL"), F.when(precision > 18, F.lit("int")).otherwise(F.lit("float")))
-        .when(kind.isin("DOUBLE", "FLOAT"), F.lit("float"))
-        .when(kind.startswith("ARRAY"), F.lit("list"))
-        .when(kind.startswith("OBJECT"), F.lit("dict"))
-    )
+    """Name of the Python type a JSON value has once decoded. Whole numbers beyond 18 digits are decimals
+    to VARIANT, and still ``int``."""
+    kind = F.regexp_replace(F.schema_of_variant(v), r"^DECIMAL\((?:19|[23][0-9]),0\)$", "BIGINT")
+    names = F.create_map(*[F.lit(x) for pair in _PYTHON_TYPES.items() for x in pair])
+    return F.try_element_at(names, F.regexp_extract(kind, "^[A-Z]+", 0))
 
 
 def is_truthy(v: Column) -> Column:
     """Python truth of a JSON value; an absent one is false."""
-    text = F.to_json(v)
-    number = F.try_variant_get(v, "$", "double")
-    falsy = text.isin("null", "false", '""', "[]", "{}") | (
-        python_type(v).isin("int", "float") & (F.coalesce(number, F.lit(1.0)) == 0)
-    )
-    return F.coalesce(~falsy, F.lit(False))
+    return F.coalesce(~F.to_json(v).isin(*_FALSE_VALUES), F.lit(False))
 
 
 def quoted(c) -> Column:
@@ -148,7 +144,10 @@ def python_quoted(c: Column) -> Column:
 
 def between_braces(c) -> Column:
     """From the first ``{`` to the last ``}``, or the empty string."""
-    return F.regexp_extract(_col(c), r"(?s)\{.*\}", 0)
+    text = _col(c)
+    start = F.instr(text, "{")
+    end = F.length(text) - F.length(F.substring_index(text, "}", -1))
+    return F.when((start > 0) & F.contains(text, F.lit("}")) & (start < end), F.substring(text, start, end - start + 1)).otherwise("")
 
 
 def salvaged(c) -> Column:

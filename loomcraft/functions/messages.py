@@ -22,10 +22,11 @@ JSON_MODE_INTRO = "You are a helpful assistant that answers in JSON. Here's the
 END_OF_TEXT = "<|endoftext|>\n"
 CHATML_START = "<|im_start|>"
 CHATML_END = "<|im_end|>\n"
-# Patterns of the blocks found in replies.
+# Patterns of the blocks found in replies. The anchor keeps a text without the marker
+# from being searched again from each of its characters.
 LAST_ASSISTANT_TURN = {
-    "chatml": r"(?s).*<\|im_start\|>\s*assistant(.*)\z",
-    "zephyr": r"(?s).*<\|assistant\|>(.*)\z",
+    "chatml": r"(?s)\A.*<\|im_start\|>\s*assistant(.*)\z",
+    "zephyr": r"(?s)\A.*<\|assistant\|>(.*)\z",
 }
 TOOL_CALL_XML = r"(?s)<tool_call>(.*?)(?:</tool_call>|\z)"
 TOOL_CALL_FENCE = r"(?s)```tool_call\s*(\{.*?\})\s*```"

@@ -32,6 +32,8 @@ MISSING = "Missing required arguments: "
 BROKEN_SIGNATURE = "Error validationg function call: "
 BROKEN_CALL = "Invalid tool call: "
 
+_PROPERTIES = "array<struct<name:string,error:string,type:string,allowed:array<string>,listed:string>>"
+
 
 def _text_or(v: Column, default: str) -> Column:
     return F.coalesce(F.to_json(v), F.lit(default))
@@ -39,24 +41,23 @@ def _text_or(v: Column, default: str) -> Column:
 
 def _python_text(v: Column) -> Column:
     """A scalar as Python prints it."""
-    plain = F.try_variant_get(v, "$", "string")
-    kind = python_type(v)
-    return (
-        F.when(kind == "bool", F.initcap(plain)).when(kind == "NoneType", F.lit("None")).otherwise(plain)
-    )
+    return let(F.try_variant_get(v, "$", "string"), lambda t: F.when(
+        F.schema_of_variant(v) == "BOOLEAN", F.initcap(t)).otherwise(F.coalesce(t, F.lit("None"))))
 
 
 def admitted(signature) -> Column:
     """The tool is a function with a name, well-typed description and parameters."""
-    v = F.try_parse_json(_col(signature))
-    kind = lambda path: F.coalesce(python_type(F.try_variant_get(v, path, "variant")), F.lit("NoneType"))
-    return F.coalesce(
-        (F.try_variant_get(v, "$.type", "string") == "function")
-        & (kind("$.function.name") == "str")
-        & kind("$.function.description").isin("str", "NoneType")
-        & kind("$.function.parameters").isin("dict", "NoneType"),
-        F.lit(False),
-    )
+    def usable(v):
+        kind = lambda path: F.coalesce(python_type(F.try_variant_get(v, path, "variant")), F.lit("NoneType"))
+        return F.coalesce(
+            (F.try_variant_get(v, "$.type", "string") == "function")
+            & (kind("$.function.name") == "str")
+            & kind("$.function.description").isin("str", "NoneType")
+            & kind("$.function.parameters").isin("dict", "NoneType"),
+            F.lit(False),
+        )
+
+    return let(F.try_parse_json(_col(signature)), usable)
 
 
 def rejection_reason(signature) -> Column:
@@ -74,22 +75,21 @@ def signature_name(signature) -> Column:
     return F.get_json_object(_col(signature), "$.function.name")
 
 
-def enum_as_list(prop: Column) -> Column:
-    """JSON text of a property (VARIANT) whose ``enum``, if any, is a list: of the keys of a map, of a lone value."""
-    pairs = F.map_entries(F.try_variant_get(prop, "$", "map<string,variant>"))
+def _enum_as_list(fields: Column) -> Column:
+    """JSON text of a property whose ``enum``, if any, is a list: of the keys of a map, of a lone value."""
+
     def one(e):
         v = e["value"]
-        kind = python_type(v)
-        keys = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda x: quoted(x["key"]))
-        listed = (
+        keys = F.transform(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), quoted)
+        listed = let(python_type(v), lambda kind: (
             F.when(kind == "dict", array_text(keys))
             .when(kind == "list", F.to_json(v))
-            .otherwise(F.concat(F.lit("["), F.to_json(v), F.lit("]")))
-        )
+            .otherwise(F.concat(F.lit("["), F.to_json(v), F.lit("]")))))
         return F.struct(
             e["key"].alias("key"), F.when(e["key"] == "enum", listed).otherwise(F.to_json(v)).alias("value")
         )
-    return F.coalesce(object_text(F.transform(pairs, one)), F.to_json(prop))
+
+    return object_text(F.transform(fields, one))
 
 
 def _with_value(pairs: Column, key: str, text: Column) -> Column:
@@ -105,10 +105,15 @@ def _with_value(pairs: Column, key: str, text: Column) -> Column:
 
 
 def _enums_listed(properties_text: Column) -> Column:
-    pairs = F.transform(
-        entries(properties_text), lambda e: F.struct(e["key"].alias("key"), enum_as_list(e["value"]).alias("value"))
-    )
-    return F.coalesce(object_text(pairs), F.lit("{}"))
+    """Properties text with every ``enum`` a list; properties and their keys keep their order."""
+    loose = entries(properties_text)
+    ordered = F.map_entries(F.from_json(properties_text, "map<string,map<string,variant>>"))
+
+    def one(e, o):
+        fields = F.coalesce(F.map_entries(o["value"]), F.map_entries(F.try_variant_get(e["value"], "$", "map<string,variant>")))
+        return F.struct(e["key"].alias("key"), F.coalesce(_enum_as_list(fields), F.to_json(e["value"])).alias("value"))
+
+    return F.coalesce(object_text(F.zip_with(loose, ordered, one)), F.lit("{}"))
 
 
 def wrapped_tool(tool) -> Column:
@@ -136,95 +141,93 @@ def wrapped_tool(tool) -> Column:
 def _compiled_property(e: Column) -> Column:
     prop = e["value"]
     declared = F.try_variant_get(prop, "$.type", "variant")
-    kind = python_type(declared)
-    name = F.try_variant_get(prop, "$.type", "string")
     enum = F.try_variant_get(prop, "$.enum", "variant")
-    values = F.try_variant_get(prop, "$.enum", "array<variant>")
-    keys = F.map_keys(F.try_variant_get(prop, "$.enum", "map<string,variant>"))
-    checked = (name == "string") & enum.isNotNull()
-    enum_kind = python_type(enum)
-    error = (
-        F.when(python_type(prop) != "dict", F.concat(F.lit("'"), python_type(prop), F.lit("' object has no attribute 'get'")))
-        .when(~is_truthy(declared), F.lit(None).cast("string"))
-        .when(checked & enum_kind.isin("NoneType", "int", "float", "bool"),
-              F.concat(F.lit("argument of type '"), enum_kind, F.lit("' is not iterable")))
-        .when(checked & (enum_kind == "str"), F.lit("'in <string>' requires string as left operand, not NoneType"))
-        .when(kind.isin("list", "dict"), F.concat(F.lit("unhashable type: '"), kind, F.lit("'")))
-        .when(~name.isin(*ADMITTED_TYPES), F.when(kind == "str", python_quoted(name)).otherwise(_python_text(declared)))
-    )
-    members = (
-        F.when(checked & (enum_kind == "dict"), F.transform(keys, lambda k: quoted(k)))
-        .when(checked & (enum_kind == "list") & (F.size(values) > 0)
-              & ~F.exists(values, lambda x: python_type(x) == "NoneType"),
-              F.transform(values, lambda x: F.to_json(x)))
-    )
-    listed = F.when(enum_kind == "dict", F.array_join(keys, ", ")).otherwise(
-        F.array_join(F.transform(values, _python_text), ", ")
-    )
-    return F.struct(
+    facts = F.struct(
         e["key"].alias("name"),
-        error.alias("error"),
-        F.when(is_truthy(declared), name).alias("type"),
-        members.alias("allowed"),
-        listed.alias("listed"),
+        python_type(prop).alias("kind"),
+        F.when(is_truthy(declared), python_type(declared)).alias("type_kind"),
+        _python_text(declared).alias("type_text"),
+        F.when(F.try_variant_get(prop, "$.type", "string") == "string", python_type(enum)).alias("enum_kind"),
+        F.try_variant_get(prop, "$.enum", "array<variant>").alias("values"),
+        F.map_keys(F.try_variant_get(prop, "$.enum", "map<string,variant>")).alias("keys"),
     )
 
+    def compiled(f):
+        unknown = F.when(f["type_kind"] == "str", python_quoted(f["type_text"])).otherwise(f["type_text"])
+        error = (
+            F.when(f["kind"] != "dict", F.concat(F.lit("'"), f["kind"], F.lit("' object has no attribute 'get'")))
+            .when(f["type_kind"].isNull(), F.lit(None).cast("string"))
+            .when(f["enum_kind"].isin("NoneType", "int", "float", "bool"),
+                  F.concat(F.lit("argument of type '"), f["enum_kind"], F.lit("' is not iterable")))
+            .when(f["enum_kind"] == "str", F.lit("'in <string>' requires string as left operand, not NoneType"))
+            .when(f["type_kind"].isin("list", "dict"), F.concat(F.lit("unhashable type: '"), f["type_kind"], F.lit("'")))
+            .when(~f["type_text"].isin(*ADMITTED_TYPES), unknown)
+        )
+        texts = F.transform(f["values"], lambda x: F.to_json(x))
+        members = F.when(f["enum_kind"] == "dict", F.transform(f["keys"], quoted)).when(
+            (f["enum_kind"] == "list") & (F.size(f["values"]) > 0) & ~F.array_contains(texts, "null"), texts)
+        listed = F.when(f["enum_kind"] == "dict", f["keys"]).otherwise(F.transform(f["values"], _python_text))
+        return F.struct(
+            f["name"].alias("name"), error.alias("error"),
+            F.when(f["type_kind"].isNotNull(), f["type_text"]).alias("type"),
+            members.alias("allowed"), F.array_join(listed, ", ").alias("listed"),
+        )
+
+    return let(facts, compiled)
+
 
 def compiled_signature(signature) -> Column:
     """Everything a call is checked against, read once off an admitted signature.
 
     ``error`` is set where the signature itself makes every call of it fail."""
-    parameters = F.get_json_object(_col(signature), "$.function.parameters")
-    pairs = entries(parameters)
+    signature = _col(signature)
+    pairs = entries(F.get_json_object(signature, "$.function.parameters"))
     properties = last_or_null(pairs, F.lit("properties"))
     required = last_or_null(pairs, F.lit("required"))
-    in_order = entries(F.get_json_object(_col(signature), "$.function.parameters.properties"))
+    in_order = entries(F.get_json_object(signature, "$.function.parameters.properties"))
     required_names = F.transform(
         F.try_variant_get(required, "$", "array<variant>"), lambda r: F.try_variant_get(r, "$", "string")
     )
+    properties_kind = F.coalesce(python_type(properties), F.lit("dict"))
+    required_kind = F.coalesce(python_type(required), F.lit("list"))
     no_attribute = lambda kind, what: F.concat(F.lit("'"), kind, F.lit(f"' object has no attribute '{what}'"))
-    error = (
-        F.when(parameters.isNull(), no_attribute(F.lit("NoneType"), "get"))
-        .when(properties.isNotNull() & (python_type(properties) != "dict"), no_attribute(python_type(properties), "items"))
-    )
+    error = F.when(pairs.isNull(), no_attribute(F.lit("NoneType"), "get")).when(
+        properties_kind != "dict", no_attribute(properties_kind, "items"))
     late_error = F.when(
-        required.isNotNull() & (python_type(required) != "list"),
-        F.concat(F.lit("'"), python_type(required), F.lit("' object is not iterable")),
-    )
+        required_kind != "list", F.concat(F.lit("'"), required_kind, F.lit("' object is not iterable")))
+    compiled = F.transform(in_order, _compiled_property)
     return F.struct(
-        signature_name(signature).alias("name"),
-        error.alias("error"),
-        F.coalesce(F.transform(in_order, _compiled_property), F.array().cast(
-            "array<struct<name:string,error:string,type:string,allowed:array<string>,listed:string>>")).alias("properties"),
+        signature_name(signature).alias("name"), error.alias("error"),
+        F.coalesce(compiled, F.array().cast(_PROPERTIES)).alias("properties"),
         F.coalesce(required_names, F.array().cast("array<string>")).alias("required"),
         late_error.alias("late_error"),
     )
 
 
 def _admits(kind: Column, declared: Column) -> Column:
-    test = F.lit(False)
-    for name, kinds in ADMITTED_TYPES.items():
-        test = test | ((declared == name) & kind.isin(*kinds))
-    return test
+    """Whether a declared JSON Schema type admits a Python type."""
+    pairs = [f"{name} {k}" for name, kinds in ADMITTED_TYPES.items() for k in kinds]
+    return F.concat_ws(" ", declared, kind).isin(*pairs)
 
 
 def _argument_error(prop: Column, value: Column) -> Column:
     """Message for one declared property that is present and true, null if it is fine."""
-    kind = python_type(value)
-    outside = prop["allowed"].isNotNull() & ~F.array_contains(prop["allowed"], F.to_json(value))
-    detail = (
-        F.when(prop["error"].isNotNull(), prop["error"])
-        .when(outside, F.concat(
-            F.lit("Error validating function call: Invalid value '"), _python_text(value), F.lit("' for parameter "),
-            prop["name"], F.lit(". Expected one of "), prop["listed"]))
-        .when(prop["type"].isNotNull() & ~_admits(kind, prop["type"]), F.concat(
-            F.lit("Type mismatch for parameter "), prop["name"], F.lit(". Expected: "), prop["type"],
-            F.lit(", Got: <class '"), kind, F.lit("'>")))
-    )
-    return F.when(
-        is_truthy(value) & detail.isNotNull(),
-        F.concat(F.lit("Invalid argument '"), prop["name"], F.lit("': "), detail),
-    )
+    facts = F.struct(python_type(value).alias("kind"), F.to_json(value).alias("text"), _python_text(value).alias("shown"))
+
+    def error(f):
+        outside = prop["allowed"].isNotNull() & ~F.array_contains(prop["allowed"], f["text"])
+        detail = (
+            F.when(prop["error"].isNotNull(), prop["error"])
+            .when(outside, F.concat(
+                F.lit("Error validating function call: Invalid value '"), f["shown"], F.lit("' for parameter "),
+                prop["name"], F.lit(". Expected one of "), prop["listed"]))
+            .when(prop["type"].isNotNull() & ~_admits(f["kind"], prop["type"]), F.concat(
+                F.lit("Type mismatch for parameter "), prop["name"], F.lit(". Expected: "), prop["type"],
+                F.lit(", Got: <class '"), f["kind"], F.lit("'>")))
+        )
+        return F.concat(F.lit("Invalid argument '"), prop["name"], F.lit("': "), detail)
+
+    return F.when(is_truthy(value), let(facts, error))
 
 
 def call_message(name, arguments, signature) -> Column:
@@ -278,7 +281,9 @@ def record_verdicts(calls, tools) -> Column:
     """Verdicts of the calls nested in a record against the tools (JSON texts) of the same record.
 
     Runs inside the row: no join, no shuffle, whatever the size of any one tool's following."""
-    usable = F.transform(F.filter(_col(tools), admitted), compiled_signature)
+    called = F.transform(_col(calls), lambda c: c["function"]["name"])
+    usable = F.transform(
+        F.filter(_col(tools), lambda t: F.array_contains(called, signature_name(t)) & admitted(t)), compiled_signature)
 
     def all_calls(signatures):
         def one(call):

@@ -29,6 +29,10 @@ class _Page(HTMLParser):
         self.open, self.text = [], []
         self.paragraphs, self.tables = [], []
 
+    def updatepos(self, i, j):
+        """Line numbers are not needed, and counting them costs a tenth of the run."""
+        return j
+
     def _flush(self):
         text, self.text = "".join(self.text), []
         if not text or any(name in HIDDEN for name, _ in self.open):
