@@ -1 +1,85 @@
-"""To come."""
+"""Chat exports from records and from turn tables."""
+
+from pyspark.sql import functions as F
+
+from ..functions import messages as M
+from ..operators.conversations import tool_responses
+from ..plans.export import export_sharegpt, export_turns
+from .registry import lit, query, table
+from .validation import SIGNATURES, SQL_K, SQL_MESSAGE, event_records
+
+SQL_SYSTEM = f"""{lit(M.TOOL_CALLER_INTRO)} || chr(10) || '<tools>' || chr(10) || %s || chr(10) || '</tools>' || chr(10) || {lit(M.TOOL_CALLER_OUTRO)}"""
+
+
+@query(f"""
+SELECT conv_id, {SQL_SYSTEM % "'[]'"} AS system, arg_max(text, turn) FILTER (role = 'user') AS human,
+       arg_max(text, turn) FILTER (role = 'assistant') AS summary
+FROM conversations GROUP BY conv_id HAVING human IS NOT NULL""")
+def sharegpt_turns(spark, sf):
+    return export_turns(table(spark, sf, "conversations"))
+
+
+# An order as a conversation: a question, calls, a result per line, a summary. Lines of one number and
+# part would share a place; the data has next to none, and supplier keys part them.
+SQL_TURNS = """
+SELECT o_orderkey AS conv_id, CAST(0 AS BIGINT) AS turn, 'user' AS role, CAST(NULL AS VARCHAR) AS name, 'status of ' || o_orderkey AS text, CAST(NULL AS VARCHAR) AS calls FROM orders
+UNION ALL SELECT l_orderkey, 10 + (l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey, 'assistant', NULL, NULL, '<tool_call>' || l_partkey || '</tool_call>' FROM lineitem WHERE l_returnflag <> 'N'
+UNION ALL SELECT l_orderkey, 100000000000 + (l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey, 'tool', 'part_' || l_suppkey, '"' || l_returnflag || l_partkey || '"', NULL FROM lineitem
+UNION ALL SELECT o_orderkey, 900000000000, 'assistant', NULL, 'it is ' || o_orderstatus, NULL FROM orders"""
+
+
+def order_turns(spark, sf):
+    for name in ("orders", "lineitem"):
+        table(spark, sf, name).createOrReplaceTempView(f"loomcraft_{name}")
+    sql = SQL_TURNS.replace("VARCHAR", "STRING").replace("FROM orders", "FROM loomcraft_orders").replace("FROM lineitem", "FROM loomcraft_lineitem")
+    return spark.sql(sql)
+
+
+@query(f"""
+SELECT conv_id, {SQL_SYSTEM % "'[]'"} AS system, arg_max(text, turn) FILTER (role = 'user') AS human,
+       CASE WHEN arg_max(calls, turn) FILTER (role = 'assistant' AND calls IS NOT NULL) IS NULL
+            THEN arg_max(text, turn) FILTER (role = 'assistant' AND calls IS NULL) END AS summary,
+       arg_max(calls, turn) FILTER (role = 'assistant' AND calls IS NOT NULL) AS calls
+FROM ({SQL_TURNS}) GROUP BY conv_id HAVING human IS NOT NULL""")
+def sharegpt_turns_single(spark, sf):
+    return export_turns(order_turns(spark, sf), "single", calls="calls")
+
+
+@query(f"""
+SELECT conv_id, turn // 100000 AS part,
+       string_agg('<tool_response>' || chr(10) || '{{"name": "' || name || '", "content": ' || text || '}}' || chr(10) || '</tool_response>' || chr(10), ''
+                  ORDER BY turn) AS tool
+FROM ({SQL_TURNS}) WHERE role = 'tool' GROUP BY ALL""")
+def tool_results(spark, sf):
+    return tool_responses(order_turns(spark, sf))
+
+
+TOOLS_TEXT = "[" + ",".join(SIGNATURES) + "]"
+SQL_CALL = f"""'<tool_call>' || chr(10) || '{{"arguments":{{"k": ' || {SQL_K} || '}},"name":"' || event_type || '"}}' || chr(10) || '</tool_call>' || chr(10)
+    || CASE WHEN value > 20 THEN '<tool_call>' || chr(10) || '{{"arguments":{{}},"name":"signup"}}' || chr(10) || '</tool_call>' || chr(10) ELSE '' END"""
+SQL_GOOD = f"FROM events WHERE {SQL_MESSAGE} = 'Function call is valid'"
+
+
+def flattened(rows):
+    said = lambda i: F.get("conversations", F.lit(i))["value"]
+    return rows.select(
+        "id", "category", "subcategory", "task", said(0).alias("system"), said(1).alias("human"), said(2).alias("gpt"),
+        said(3).alias("tool"), said(4).alias("summary"))
+
+
+SQL_RECORDS = f"""
+SELECT CAST(event_id AS VARCHAR) AS id, 'events' AS category, event_type AS subcategory, CAST(user_id AS VARCHAR) AS task,
+       {SQL_SYSTEM % lit(TOOLS_TEXT)} AS system, 'do ' || event_type || ' for ' || user_id AS human, {SQL_CALL} AS gpt,
+       %s AS tool, %s AS summary {SQL_GOOD}"""
+
+
+@query(SQL_RECORDS % (
+    """'<tool_response>' || chr(10) || '{"name": "' || event_type || '", "content": {"done":' || user_id || '}}' || chr(10) || '</tool_response>' || chr(10)""",
+    "'did ' || event_type"))
+def sharegpt_multi(spark, sf):
+    return flattened(export_sharegpt(event_records(spark, sf), "multi"))
+
+
+@query(SQL_RECORDS % ("NULL", "NULL"))
+def sharegpt_single(spark, sf):
+    return flattened(export_sharegpt(event_records(spark, sf), "single"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as M, tools as T
 from ..operators import validation as V
+from ..operators.binding import bind
 from ..operators.conversations import parse_records
 from ..operators.schema_check import validate_json
 from ..plans.export import export_json_mode
@@ -116,8 +117,8 @@ SELECT event_id, {SQL_MESSAGE} AS first_message, CASE WHEN value > 20 THEN 2 ELS
 FROM events""")
 def record_verdicts(spark, sf):
     records = parse_records(event_records(spark, sf))
-    calls = F.element_at(F.filter("messages", lambda m: m["tool_calls"].isNotNull()), -1)["tool_calls"]
-    judged = records.select("event_id", T.record_verdicts(calls, F.col("tools")).alias("v"))
+    calls = F.try_element_at(F.filter("messages", lambda m: m["tool_calls"].isNotNull()), F.lit(-1))["tool_calls"]
+    judged = bind(records.select("event_id", "messages", "tools"), v=T.record_verdicts(calls, F.col("tools")))
     return judged.select("event_id", F.get("v", F.lit(0))["message"].alias("first_message"), F.size("v").alias("n_calls"))
 
 

@@ -51,7 +51,7 @@ def entries(c) -> Column:
 
 def last_value(pairs: Column, key: Column) -> Column:
     """Value of ``key``; of a repeated key the last, as Python reads it. Null if absent."""
-    return F.element_at(F.transform(F.filter(pairs, lambda e: e["key"] == key), lambda e: e["value"]), -1)
+    return F.try_element_at(F.transform(F.filter(pairs, lambda e: e["key"] == key), lambda e: e["value"]), F.lit(-1))
 
 
 def last_or_null(pairs: Column, key: Column) -> Column:

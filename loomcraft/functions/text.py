@@ -132,7 +132,7 @@ def _markdown_row(cells: Column) -> Column:
 
 def markdown_table(rows: Column) -> Column:
     """One table (array of rows of cells): first row header, then the separator, then the body."""
-    header = F.element_at(rows, 1)
+    header = F.get(rows, F.lit(0))
     rule = _markdown_row(F.transform(header, lambda _: F.lit("---")))
     body = F.slice(rows, F.lit(2), F.size(rows))
     lines = F.concat(F.array(_markdown_row(header), rule), F.transform(body, _markdown_row))

@@ -10,6 +10,7 @@ from ..functions import messages as M
 from ..functions.jsons import let, python_type
 from ..functions.tools import record_verdicts
 from ..functions.jsons import array_text
+from .binding import bind
 from .prefix import BLOCK_ROWS, concat_in_parts
 
 _RAW_MESSAGE = (
@@ -51,7 +52,7 @@ def parsed_tools(record) -> Column:
 def parse_records(df: DataFrame, record: str = "record") -> DataFrame:
     """Tool-call records from JSON text: adds ``messages`` and ``tools``."""
     text = F.col(record)
-    return df.withColumn("messages", parsed_messages(text)).withColumn("tools", parsed_tools(text))
+    return bind(df, messages=parsed_messages(text), tools=parsed_tools(text))
 
 
 def calls_text(tool_calls: Column) -> Column:
@@ -76,7 +77,7 @@ def sharegpt_conversation(messages: Column, tools: Column, turn: str = "multi")
     results = M.joined(F.transform(
         M.with_role(messages, "tool"), lambda m: M.tool_response_block(m["name"], m["content"])))
     has_calls = F.size(calling) > 0
-    last_calls = F.when(has_calls, F.element_at(calling, -1)["tool_calls"])
+    last_calls = F.when(has_calls, F.try_element_at(calling, F.lit(-1))["tool_calls"])
     fine = F.coalesce(F.forall(record_verdicts(last_calls, tools), lambda v: v["status"] == "accepted"), F.lit(True))
     asked = M.last_content(M.with_role(messages, "user"))
     summary = M.last_content(summaries)

@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.jsons import is_json, salvaged
 from ..functions.messages import assistant_turn, fenced_call_texts, fenced_tools_text, tool_call_texts
+from .binding import bind
 
 
 def parse_replies(df: DataFrame, completion: str, out: str = "reply") -> tuple[DataFrame, DataFrame]:
     """Replies with their JSON text, and the replies that hold no usable JSON."""
-    parsed = df.withColumn(out, salvaged(completion))
+    parsed = bind(df, **{out: salvaged(completion)})
     return parsed.filter(F.col(out).isNotNull()), parsed.filter(F.col(out).isNull()).drop(out)
 
 
@@ -35,14 +36,14 @@ def with_blocks(df: DataFrame, blocks: Column, out: str) -> DataFrame:
 
     JSON stays in the JVM. Python is handed only the blocks that are not JSON, null for every row
     that has none."""
-    found = df.withColumn("_blocks", blocks)
-    marked = found.withColumn("_json", F.transform("_blocks", lambda b: F.when(is_json(b), b)))
+    found = bind(df, _blocks=blocks)
+    marked = bind(found, _json=F.transform("_blocks", lambda b: F.when(is_json(b), b)))
     others = F.zip_with("_blocks", "_json", lambda b, j: F.when(j.isNull(), b))
     marked = marked.withColumn("_others", F.when(F.exists("_json", lambda j: j.isNull()), others))
     read = marked.withColumn("_literals", _literals("_others"))
     merged = F.when(F.col("_literals").isNull(), F.col("_json")).otherwise(
         F.zip_with("_json", "_literals", lambda j, x: F.coalesce(j, x)))
-    return read.withColumn(out, F.filter(merged, lambda x: x.isNotNull())).drop(
+    return bind(read, **{out: F.filter(merged, lambda x: x.isNotNull())}).drop(
         "_blocks", "_json", "_others", "_literals")
 
 
@@ -59,5 +60,5 @@ def with_fenced_tools(df: DataFrame, content: str, out: str = "tools") -> DataFr
 
 def with_tool_calls(df: DataFrame, completion: str, template: str = "chatml", out: str = "calls") -> DataFrame:
     """``assistant_message`` and the ``<tool_call>`` elements in it; ``parsed`` if there is at least one."""
-    turn = df.withColumn("assistant_message", assistant_turn(completion, template))
+    turn = bind(df, assistant_message=assistant_turn(completion, template))
     return with_blocks(turn, tool_call_texts("assistant_message"), out).withColumn("parsed", F.size(out) > 0)

@@ -109,7 +109,7 @@ def nearest(
 
     split = query_rows.withColumn("query_part", F.pmod(F.xxhash64("q"), F.lit(query_parts)).cast("int"))
     asked = split.mapInPandas(to_candidates, f"q {qid_type}, e array<float>, query_part int, cell int, part int")
-    cell_parts = F.element_at(F.create_map(*[F.lit(int(x)) for c, n in zip(used, parts) for x in (c, n)]), F.col("cell"))
+    cell_parts = F.try_element_at(F.create_map(*[F.lit(int(x)) for c, n in zip(used, parts) for x in (c, n)]), F.col("cell"))
     offered = celled.withColumn("part", F.pmod(F.xxhash64("v"), cell_parts).cast("int")).withColumn(
         "query_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
     key = ["cell", "part", "query_part"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import messages as M
 from ..functions.jsons import canonical, entries, is_json, is_object, last_value, let
+from .binding import bind
 from .replies import with_tool_calls
 
 
@@ -48,8 +49,8 @@ def score_completions(
     Passed means: the output has calls, each has a name, and for each expected call there is one of
     its name, and all of its name carry the expected arguments. Matching happens inside the row."""
     parsed = with_tool_calls(samples, model_output, template, out="_calls")
-    ready = parsed.withColumn("_generated", F.transform("_calls", _call)).withColumn(
-        "_expected", F.transform(expected_calls(F.col(completion)), _call))
+    ready = bind(
+        parsed, _generated=F.transform("_calls", _call), _expected=F.transform(expected_calls(F.col(completion)), _call))
     generated = F.col("_generated")
 
     def tried(e):
@@ -65,7 +66,7 @@ def score_completions(
                 F.slice(t, F.lit(1), F.array_position(F.transform(t, lambda x: x["ok"]), False).cast("int"))).alias("shown"),
         ))
 
-    judged = ready.withColumn("_outcome", F.transform("_expected", outcome))
+    judged = bind(ready, _outcome=F.transform("_expected", outcome))
     fits = F.coalesce(
         F.forall("_outcome", lambda o: o["ok"]) & F.forall(generated, lambda g: g["name"].isNotNull()), F.lit(False)
     )

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import tools as T
 from ..functions.jsons import entries, is_json, last_or_null, python_type, variant_field
+from .binding import bind
 
 
 def admit_tools(tools: DataFrame, signature: str = "signature") -> tuple[DataFrame, DataFrame]:
     """Usable tools, and the others with the ``reason`` they were turned away."""
-    checked = tools.withColumn("reason", T.rejection_reason(signature))
+    checked = bind(tools, reason=T.rejection_reason(signature))
     return checked.filter(F.col("reason").isNull()).drop("reason"), checked.filter(F.col("reason").isNotNull())
 
 
@@ -22,7 +23,7 @@ def signature_table(tools: DataFrame, scope: Sequence[str] = (), position: str =
     usable, _ = admit_tools(tools, signature)
     named = usable.withColumn("name", T.signature_name(signature))
     first = named.groupBy(*scope, "name").agg(F.min_by(signature, position).alias(signature))
-    return first.withColumn("compiled", T.compiled_signature(signature))
+    return bind(first, compiled=T.compiled_signature(signature))
 
 
 def validate_calls(calls: DataFrame, signatures: DataFrame, scope: Sequence[str] = (), name: str = "name",
@@ -34,8 +35,8 @@ def validate_calls(calls: DataFrame, signatures: DataFrame, scope: Sequence[str]
     table = signatures.select(*scope, F.col("name").alias(name), "compiled")
     joined = calls.join(table, [*scope, name], "left")
     verdict = T.call_verdict(F.col(name), F.col(arguments), F.col("compiled"))
-    checked = joined.withColumn("verdict", verdict).drop("compiled")
-    return checked.select("*", "verdict.status", "verdict.message").drop("verdict")
+    checked = bind(joined, _verdict=verdict).drop("compiled")
+    return checked.select("*", "_verdict.status", "_verdict.message").drop("_verdict")
 
 
 def verdicts_by(validated: DataFrame, keys: Sequence[str]) -> DataFrame:

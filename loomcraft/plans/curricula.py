@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.jsons import entries, is_json, last_or_null, quoted
 from ..functions.text import task_file_name
+from ..operators.binding import bind
 from ..operators.completion import ATTEMPTS, Client, complete
 from ..operators.prefix import forward_fill
 from ..operators.prompts import enrichment_prompt, industry_prompt, mining_prompt
@@ -15,6 +17,7 @@ from ..operators.replies import parse_replies
 from ..operators.schema_check import validate_json
 from ..operators.selection import not_done, skip_rows
 from ..operators.validation import task_schemas_present
+from .export import json_mode_parts
 
 # Fixed value: rows at the head of the industry list that are not used.
 SKIPPED_ROWS = 5
@@ -37,8 +40,7 @@ def mine_tasks(
 
 def valid_objects(records: DataFrame, record: str = "record") -> DataFrame:
     """The assistant's object of each JSON-mode record with whether it fits the record's schema."""
-    from .export import json_mode_parts
-    parts = records.select("*", *json_mode_parts(F.col(record)))
+    parts = bind(records, **json_mode_parts(F.col(record)))
     return validate_json(parts, "json_object", "json_schema")
 
 
@@ -110,7 +112,6 @@ def enrich_queries(
 
 
 def _is_json_text(text: str) -> bool:
-    import json
     try:
         json.loads(text)
         return True

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import messages as M
 from ..functions.jsons import array_text, is_empty_value, let, quoted
+from ..operators.binding import bind, keep
 from ..operators.completion import Client, complete
 from ..operators.conversations import assemble_turns, parse_records, sharegpt_conversation
 from ..operators.schema_check import validate_json
@@ -17,9 +18,9 @@ def export_sharegpt(records: DataFrame, turn: str = "multi", *side_sets: DataFra
     """ShareGPT rows ``id, conversations, category, subcategory, task`` of the records whose calls hold.
 
     All of it happens inside the row: scan, filter, write."""
-    parsed = parse_records(records).withColumn(
-        "conversations", sharegpt_conversation(F.col("messages"), F.col("tools"), turn))
-    good = parsed.filter(F.col("conversations").isNotNull()).select("id", "conversations", "category", "subcategory", "task")
+    conversation = sharegpt_conversation(F.col("messages"), F.col("tools"), turn)
+    good = keep(parse_records(records), "conversations", conversation).select(
+        "id", "conversations", "category", "subcategory", "task")
     return with_side_sets(good, *side_sets)
 
 
@@ -32,7 +33,7 @@ def export_turns(turns: DataFrame, turn: str = "multi", tools_json: str = "[]",
     return assembled
 
 
-def json_mode_parts(record: Column) -> list[Column]:
+def json_mode_parts(record: Column) -> dict[str, Column]:
     """User message, assistant object and schema (JSON texts) of a JSON-mode record."""
     raw = F.from_json(F.get_json_object(record, "$.messages"), "array<string>")
     last = lambda role: let(
@@ -41,11 +42,11 @@ def json_mode_parts(record: Column) -> list[Column]:
     assistant = last("assistant")
     content = F.get_json_object(assistant, "$.content")
     is_text = F.schema_of_variant(F.try_variant_get(F.try_parse_json(assistant), "$.content", "variant")) == "STRING"
-    return [
-        F.get_json_object(last("user"), "$.content").alias("user"),
-        F.when(is_text, quoted(content)).otherwise(content).alias("json_object"),
-        F.get_json_object(record, "$.pydantic_schema").alias("json_schema"),
-    ]
+    return {
+        "user": F.get_json_object(last("user"), "$.content"),
+        "json_object": F.when(is_text, quoted(content)).otherwise(content),
+        "json_schema": F.get_json_object(record, "$.pydantic_schema"),
+    }
 
 
 def json_mode_conversation(user: str, json_object: str, json_schema: str) -> Column:
@@ -57,7 +58,7 @@ def json_mode_conversation(user: str, json_object: str, json_schema: str) -> Col
 def export_json_mode(records: DataFrame) -> DataFrame:
     """ShareGPT rows ``id, conversations, category, subcategory, schema`` of the JSON-mode records whose
     object fits its schema; empty objects and empty schemas are left out."""
-    parts = records.select("id", "category", "subcategory", *json_mode_parts(F.col("record")))
+    parts = bind(records, **json_mode_parts(F.col("record"))).drop("record")
     usable = parts.filter(
         F.col("user").isNotNull() & ~is_empty_value("json_object") & ~is_empty_value("json_schema"))
     valid = validate_json(usable, "json_object", "json_schema").filter("valid")

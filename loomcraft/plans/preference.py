@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import messages as M
 from ..functions.jsons import array_text, quoted
 from ..functions.tools import record_verdicts
+from ..operators.binding import bind
 from ..operators.completion import ATTEMPTS, Client, complete
 from ..operators.conversations import parse_records
 from ..operators.prompts import correction_prompt
@@ -37,7 +38,7 @@ def correct_calls(
     ``client`` gets ``{"prompt": …, "tools": […]}`` and answers with a message holding ``tool_calls``.
     Returns ``rejected`` (the first calls of conversations that failed) and ``accepted`` (the first
     correction that passes), both by ``conv_id``. The driver sees only whether a round is empty."""
-    judged = conversations.withColumn("verdicts", record_verdicts("tool_calls", "tools"))
+    judged = bind(conversations, verdicts=record_verdicts("tool_calls", "tools"))
     failing = written(
         judged.filter(~_all_accepted(F.col("verdicts"))).select("conv_id", "user", "tools", "tool_calls", "verdicts"), "failing")
     rejected = failing.select("conv_id", "user", "tools", F.col("tool_calls").alias("rejected_calls"))
@@ -48,7 +49,7 @@ def correct_calls(
             F.lit(',"tools":'), array_text(F.col("tools")), F.lit("}"))
         answered = complete(failing.withColumn("prompt", request), "prompt", client, concurrency=concurrency, name="corrections")
         calls = F.from_json(F.get_json_object("completion", "$.tool_calls"), _CALLS)
-        judged = answered.withColumn("new_calls", calls).withColumn("new_verdicts", record_verdicts("new_calls", "tools"))
+        judged = bind(bind(answered, new_calls=calls), new_verdicts=record_verdicts("new_calls", "tools"))
         passing = _all_accepted(F.col("new_verdicts"))
         fixed = judged.filter(passing & (F.size("new_calls") > 0)).select(
             "conv_id", F.col("new_calls").alias("accepted_calls"), F.lit(number).alias("round"))
@@ -87,7 +88,7 @@ def build_preferences(
     calling = F.filter("messages", lambda m: (m["role"] == "assistant") & (F.coalesce(F.size(m["tool_calls"]), F.lit(0)) > 0))
     conversations = parsed.select(
         F.struct("source", "id").alias("conv_id"), users.alias("user"), "tools",
-        F.when(F.size(calling) > 0, F.element_at(calling, -1)["tool_calls"]).alias("tool_calls"),
+        F.when(F.size(calling) > 0, F.try_element_at(calling, F.lit(-1))["tool_calls"]).alias("tool_calls"),
     ).filter(F.col("tool_calls").isNotNull())
     pairs = paired(*correct_calls(conversations, client, concurrency=concurrency)).select(
         F.col("id.id").alias("id"), F.col("id.source").alias("source"), "system", "user", "chosen", "rejected")
@@ -102,13 +103,13 @@ def export_preferences(pairs: DataFrame, *side_sets: DataFrame | None) -> DataFr
     for new, old in (("user", "human"), ("chosen", "accepted")):
         if new not in pairs.columns and old in pairs.columns:
             pairs = pairs.withColumnRenamed(old, new)
-    read = with_fenced_tools(pairs, "system", "_tools")
+    read = with_fenced_tools(pairs, "system", "_listed")
     for side in ("chosen", "rejected"):
         read = with_fenced_calls(read, side, f"_{side}")
     blocks = lambda side: F.when(
         F.size(f"_{side}") > 0, M.joined(F.transform(f"_{side}", M.tool_call_block))).otherwise(F.col(side))
     exported = read.select(
-        M.preference_system(F.coalesce("_tools", F.lit("None"))).alias("system"), F.col("user").alias("question"),
+        M.preference_system(F.coalesce("_listed", F.lit("None"))).alias("system"), F.col("user").alias("question"),
         blocks("chosen").alias("chosen"), blocks("rejected").alias("rejected"),
     )
     return with_side_sets(exported, *side_sets)
