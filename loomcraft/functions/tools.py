@@ -181,13 +181,10 @@ def compiled_signature(signature) -> Column:
 
     ``error`` is set where the signature itself makes every call of it fail."""
     signature = _col(signature)
-    pairs = entries(F.get_json_object(signature, "$.function.parameters"))
+    parameters = F.get_json_object(signature, "$.function.parameters")
+    pairs = entries(parameters)
     properties = last_or_null(pairs, F.lit("properties"))
     required = last_or_null(pairs, F.lit("required"))
-    in_order = entries(F.get_json_object(signature, "$.function.parameters.properties"))
-    required_names = F.transform(
-        F.try_variant_get(required, "$", "array<variant>"), lambda r: F.try_variant_get(r, "$", "string")
-    )
     properties_kind = F.coalesce(python_type(properties), F.lit("dict"))
     required_kind = F.coalesce(python_type(required), F.lit("list"))
     no_attribute = lambda kind, what: F.concat(F.lit("'"), kind, F.lit(f"' object has no attribute '{what}'"))
@@ -195,13 +192,28 @@ def compiled_signature(signature) -> Column:
         properties_kind != "dict", no_attribute(properties_kind, "items"))
     late_error = F.when(
         required_kind != "list", F.concat(F.lit("'"), required_kind, F.lit("' object is not iterable")))
-    compiled = F.transform(in_order, _compiled_property)
-    return F.struct(
-        signature_name(signature).alias("name"), error.alias("error"),
-        F.coalesce(compiled, F.array().cast(_PROPERTIES)).alias("properties"),
-        F.coalesce(required_names, F.array().cast("array<string>")).alias("required"),
-        late_error.alias("late_error"),
-    )
+    in_order = entries(F.get_json_object(signature, "$.function.parameters.properties"))
+    careful = F.coalesce(F.transform(in_order, _compiled_property), F.array().cast(_PROPERTIES))
+
+    def compiled(shape):
+        """The usual signature, known types and no enum, is read in one pass; others get the careful one."""
+        fields = F.map_entries(shape["properties"])
+        plain = F.transform(fields, lambda e: F.struct(
+            e["key"].alias("name"), F.lit(None).cast("string").alias("error"), e["value"]["type"].alias("type"),
+            F.lit(None).cast("array<string>").alias("allowed"), F.lit(None).cast("string").alias("listed")))
+        usual = (
+            shape["properties"].isNotNull() & ~F.contains(signature, F.lit('"enum"'))
+            & F.forall(fields, lambda e: F.coalesce(e["value"]["type"].isin(*ADMITTED_TYPES), F.lit(False)))
+        )
+        return F.struct(
+            signature_name(signature).alias("name"),
+            F.when(shape["properties"].isNull(), error).alias("error"),
+            F.when(usual, plain).otherwise(careful).alias("properties"),
+            F.coalesce(shape["required"], F.array().cast("array<string>")).alias("required"),
+            F.when(shape["required"].isNull(), late_error).alias("late_error"),
+        )
+
+    return let(F.from_json(parameters, "struct<properties:map<string,struct<type:string>>,required:array<string>>"), compiled)
 
 
 def _admits(kind: Column, declared: Column) -> Column:

@@ -7,52 +7,40 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import messages as M
-from ..functions.jsons import let, python_type
 from ..functions.tools import record_verdicts
 from ..functions.jsons import array_text
 from .binding import bind
 from .prefix import BLOCK_ROWS, concat_in_parts
 
-_RAW_MESSAGE = (
-    "struct<role:string,content:string,name:string,tool_call_id:string,"
-    "tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:variant>>>>"
+_RECORD = (
+    "struct<messages:array<struct<role:string,content:string,name:string,tool_call_id:string,"
+    "tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:variant>>>>>,tools:array<string>>"
 )
 
 
-def parsed_messages(record) -> Column:
-    """``messages`` of a record's JSON text as an array of wide structs.
-
-    ``content`` keeps strings as they are and everything else as JSON text; ``arguments`` is null
-    unless it is a JSON string, as a call must carry it; ``has_content`` tells a null from no key."""
-    raw = F.from_json(F.get_json_object(record, "$.messages"), "array<string>")
-
+def _message(m: Column) -> Column:
     def call(c):
         arguments = c["function"]["arguments"]
-        text = F.when(python_type(arguments) == "str", F.try_variant_get(arguments, "$", "string"))
+        text = F.when(F.schema_of_variant(arguments) == "STRING", F.try_variant_get(arguments, "$", "string"))
         return F.struct(
             c["id"].alias("id"), c["type"].alias("type"),
             F.struct(c["function"]["name"].alias("name"), text.alias("arguments")).alias("function"),
         )
 
-    def message(text):
-        return let(F.from_json(text, _RAW_MESSAGE), lambda m: F.struct(
-            m["role"].alias("role"), m["content"].alias("content"), m["name"].alias("name"),
-            m["tool_call_id"].alias("tool_call_id"), F.transform(m["tool_calls"], call).alias("tool_calls"),
-            F.array_contains(F.json_object_keys(text), "content").alias("has_content"),
-        ))
-
-    return F.transform(raw, message)
-
-
-def parsed_tools(record) -> Column:
-    """``tools`` of a record as JSON texts."""
-    return F.from_json(F.get_json_object(record, "$.tools"), "array<string>")
+    return F.struct(
+        m["role"].alias("role"), m["content"].alias("content"), m["name"].alias("name"),
+        m["tool_call_id"].alias("tool_call_id"), F.transform(m["tool_calls"], call).alias("tool_calls"),
+    )
 
 
 def parse_records(df: DataFrame, record: str = "record") -> DataFrame:
-    """Tool-call records from JSON text: adds ``messages`` and ``tools``."""
-    text = F.col(record)
-    return bind(df, messages=parsed_messages(text), tools=parsed_tools(text))
+    """Tool-call records from JSON text: adds ``messages`` (an array of wide structs) and ``tools`` (JSON texts).
+
+    ``content`` keeps strings as they are and everything else as JSON text; ``arguments`` is null
+    unless it is a JSON string, as a call must carry it."""
+    parsed = bind(df, _record=F.from_json(F.col(record), _RECORD))
+    return bind(
+        parsed, messages=F.transform(F.col("_record.messages"), _message), tools=F.col("_record.tools")).drop("_record")
 
 
 def calls_text(tool_calls: Column) -> Column:

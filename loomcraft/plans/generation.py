@@ -6,11 +6,11 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import messages as M, text as X
+from ..functions import text as X
 from ..functions.jsons import array_text, entries, let, quoted, salvaged, without_nulls
 from ..functions.tools import wrapped_tool
+from ..operators.binding import bind
 from ..operators.completion import Client, complete
-from ..operators.conversations import parsed_messages, parsed_tools
 from ..operators.packing import enrich_tasks, pack_documents, pack_examples
 from ..operators.prompts import section_prompt
 from ..operators.replies import parse_replies
@@ -100,23 +100,26 @@ def _tool_messages(results: Column) -> Column:
     return F.transform(items, message)
 
 
-def split_roles(record: Column) -> list[Column]:
-    """Last user message, summary and calls of a record, its tool messages, its tools in wrapped form.
+def split_roles(records: DataFrame, record: str = "record") -> DataFrame:
+    """Adds the last user message, summary and calls of a record, its tool messages, its tools in wrapped form.
 
     Here an assistant message with a ``content`` key, null included, is a summary."""
-    messages = parsed_messages(record)
-    raw = F.from_json(F.get_json_object(record, "$.messages"), "array<string>")
-    assistant = M.with_role(messages, "assistant")
-    calls = F.filter(raw, lambda m: (F.get_json_object(m, "$.role") == "assistant")
-                     & ~F.array_contains(F.json_object_keys(m), "content")
-                     & F.array_contains(F.json_object_keys(m), "tool_calls"))
-    return [
-        M.last_content(M.with_role(messages, "user")).alias("user_message"),
-        M.last_content(F.filter(assistant, lambda m: m["has_content"])).alias("summary"),
-        let(calls, lambda c: F.when(F.size(c) > 0, F.get_json_object(F.get(c, F.size(c) - 1), "$.tool_calls"))).alias("calls"),
-        F.filter(raw, lambda m: F.get_json_object(m, "$.role") == "tool").alias("tool_messages"),
-        F.transform(parsed_tools(record), wrapped_tool).alias("tools"),
-    ]
+    field = lambda m, name: F.get_json_object(m, f"$.{name}")
+    has = lambda m, name: F.array_contains(F.json_object_keys(m), name)
+    last = lambda test, name: let(
+        F.filter("_raw", test), lambda h: F.when(F.size(h) > 0, field(F.get(h, F.size(h) - 1), name)))
+    said = bind(
+        records,
+        _raw=F.from_json(F.get_json_object(record, "$.messages"), "array<string>"),
+        tools=F.transform(F.from_json(F.get_json_object(record, "$.tools"), "array<string>"), wrapped_tool),
+    )
+    return bind(
+        said,
+        user_message=last(lambda m: field(m, "role") == "user", "content"),
+        summary=last(lambda m: (field(m, "role") == "assistant") & has(m, "content"), "content"),
+        calls=last(lambda m: (field(m, "role") == "assistant") & ~has(m, "content") & has(m, "tool_calls"), "tool_calls"),
+        tool_messages=F.filter("_raw", lambda m: field(m, "role") == "tool"),
+    ).drop("_raw")
 
 
 def regenerate_in_steps(
@@ -129,7 +132,7 @@ def regenerate_in_steps(
     if done is not None:
         records = not_done(records, done, ["path"])
     names = ("category", "subcategory", "task", "doc_list", "examples")
-    state = records.select("path", *names, *split_roles(F.col("record")))
+    state = split_roles(records.select("path", *names, "record")).drop("record")
     shown = F.coalesce(array_text(F.col("tool_messages")), F.lit("[]"))
     variables = {n: F.col(n) for n in names} | {
         "user_message": F.col("user_message"), "assistant_message": F.col("calls"), "tool_call_results": shown}
