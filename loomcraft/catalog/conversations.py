@@ -45,13 +45,18 @@ def sharegpt_turns_single(spark, sf):
     return export_turns(order_turns(spark, sf), "single", calls="calls")
 
 
-@query(f"""
-SELECT conv_id, turn // 100000 AS part,
-       string_agg('<tool_response>' || chr(10) || '{{"name": "' || name || '", "content": ' || text || '}}' || chr(10) || '</tool_response>' || chr(10), ''
-                  ORDER BY turn) AS tool
-FROM ({SQL_TURNS}) WHERE role = 'tool' GROUP BY ALL""")
+# A user's events as the turns of one conversation: pages are what they asked for, the rest tool results.
+@query("""
+SELECT user_id AS conv_id, event_id // 1000 AS part,
+       string_agg('<tool_response>' || chr(10) || '{"name": "' || event_type || '", "content": ' || props || '}' || chr(10) || '</tool_response>' || chr(10), ''
+                  ORDER BY event_id) AS tool
+FROM events WHERE event_type <> 'view' GROUP BY ALL""")
 def tool_results(spark, sf):
-    return tool_responses(order_turns(spark, sf))
+    role = F.when(F.col("event_type") == "view", F.lit("user")).otherwise(F.lit("tool"))
+    turns = table(spark, sf, "events").select(
+        F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), role.alias("role"),
+        F.col("event_type").alias("name"), F.col("props").alias("text"))
+    return tool_responses(turns, part_rows=1000)
 
 
 TOOLS_TEXT = "[" + ",".join(SIGNATURES) + "]"

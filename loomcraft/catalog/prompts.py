@@ -122,7 +122,7 @@ def one_shot(spark, sf):
 
 
 @query("""
-SELECT item_id // 100000 AS part, string_agg(text, chr(10) ORDER BY item_id) AS examples
+SELECT item_id // 10000 AS part, string_agg(text, chr(10) ORDER BY item_id) AS examples
 FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 3) GROUP BY ALL""")
 def few_shot(spark, sf):
     picked = first_rows(table(spark, sf, "benchmark"), 3, ["item_id"])

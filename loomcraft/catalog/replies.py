@@ -43,7 +43,7 @@ SELECT event_id, '[{"name": "' || event_type || '"}]' AS tools, CASE WHEN event_
            WHEN 'error' THEN '' ELSE '|{"name": "again", "arguments": {"k": ' || user_id || '}}' END AS calls
 FROM events""")
 def fenced_calls(spark, sf):
-    texts = table(spark, sf, "events").select("event_id", F.expr(SPARK_FENCED).alias("content"))
+    texts = table(spark, sf, "events", spread_out=True).select("event_id", F.expr(SPARK_FENCED).alias("content"))
     read = with_fenced_tools(with_fenced_calls(texts, "content"), "content")
     return read.select("event_id", "tools", F.size("calls").alias("n_calls"), F.array_join("calls", "|").alias("calls"))
 
@@ -67,7 +67,7 @@ SELECT event_id, event_type <> 'error' AS parsed,
            WHEN 'click' THEN '|{"arguments": {"k": ' || user_id || '}, "name": "again"}' ELSE '' END AS calls
 FROM events""")
 def tool_call_extraction(spark, sf):
-    outputs = table(spark, sf, "events").select("event_id", F.expr(SQL_OUTPUT.replace("''", "\\'")).alias("output"))
+    outputs = table(spark, sf, "events", spread_out=True).select("event_id", F.expr(SQL_OUTPUT.replace("''", "\\'")).alias("output"))
     read = with_tool_calls(outputs, "output")
     return read.select("event_id", "parsed", F.array_join("calls", "|").alias("calls"))
 
@@ -134,7 +134,7 @@ def last_turns(spark, sf):
 
 
 @query("""
-SELECT conv_id, turn // 100000 AS part,
+SELECT conv_id, turn // 10000 AS part,
        string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS chatml
 FROM conversations GROUP BY ALL""")
 def chatml_render(spark, sf):

@@ -26,7 +26,7 @@ SQL_PASSED = """CASE event_type WHEN 'view' THEN true WHEN 'purchase' THEN value
 
 
 def samples(spark, sf):
-    rows = table(spark, sf, "events").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    rows = table(spark, sf, "events", spread_out=True)
     rows.createOrReplaceTempView("loomcraft_samples")
     return spark.sql(f"""
         SELECT event_id, event_type, 'tools of ' || event_type AS system, 'ask ' || user_id AS user,
@@ -104,7 +104,7 @@ def correction_pairs(spark, sf):
     call = F.struct(
         F.lit("c").alias("id"), F.lit("function").alias("type"),
         F.struct(F.col("event_type").alias("name"), F.col("props").alias("arguments")).alias("function"))
-    conversations = table(spark, sf, "events").select(
+    conversations = table(spark, sf, "events", spread_out=True).select(
         F.col("event_id").alias("conv_id"),
         F.concat(F.lit("do "), "event_type", F.lit(" with "), F.regexp_extract("props", "[0-9]+", 0)).alias("user"),
         F.array(*[F.lit(s) for s in SIGNATURES]).alias("tools"), F.array(call).alias("tool_calls"))
@@ -121,7 +121,7 @@ FROM events
 UNION ALL SELECT NULL, text, NULL, NULL FROM benchmark""")
 def preference_export(spark, sf):
     name = F.col("event_type")
-    pairs = table(spark, sf, "events").select(
+    pairs = table(spark, sf, "events", spread_out=True).select(
         F.col("event_id").alias("id"), M.fenced_tools(F.concat(F.lit('[{"name": "'), name, F.lit('"}]'))).alias("system"),
         F.concat(F.lit("ask "), F.col("user_id").cast("string")).alias("human"),
         M.fenced_call_block(F.concat(F.lit('{"name": "'), name, F.lit('", "arguments": '), "props", F.lit("}"))).alias("accepted"),

@@ -26,7 +26,7 @@ SQL_PROMPT = "event_type || ' ' || user_id || ' ' || props"
 
 
 def answered(spark, sf):
-    prompts = table(spark, sf, "events").select("event_id", F.expr(SQL_PROMPT.replace("user_id", "cast(user_id AS STRING)")).alias("prompt"))
+    prompts = table(spark, sf, "events", spread_out=True).select("event_id", F.expr(SQL_PROMPT.replace("user_id", "cast(user_id AS STRING)")).alias("prompt"))
     return complete(prompts, "prompt", reverse)
 
 
@@ -122,7 +122,7 @@ def stepwise_generation(spark, sf):
         F.lit('"}, {"role": "assistant", "tool_calls": [{"id": "0"}]}, {"role": "tool", "content": {"x": 1}}, {"role": "assistant", "content": "did '),
         F.col("user_id").cast("string"), F.lit('"}], "tools": [{"name": "'), "event_type", F.lit('"}]}'))
     empty = F.lit("")
-    records = table(spark, sf, "events").select(
+    records = table(spark, sf, "events", spread_out=True).select(
         F.concat(F.lit("results/"), F.col("event_id").cast("string")).alias("path"), "event_type", record.alias("record"),
         empty.alias("category"), empty.alias("subcategory"), empty.alias("task"), empty.alias("doc_list"), empty.alias("examples"))
     done = records.filter("event_type = 'error'").select("path")
@@ -178,7 +178,7 @@ FROM events""")
 def enriched_queries(spark, sf):
     turn = lambda sender, value: F.struct(F.lit(sender).alias("from"), value.alias("value"))
     turns = F.array(turn("system", F.lit("be kind")), turn("human", F.concat("event_type", F.lit(" it"))), turn("gpt", F.col("props")))
-    data = table(spark, sf, "events").select("event_id", turns.alias("conversations"))
+    data = table(spark, sf, "events", spread_out=True).select("event_id", turns.alias("conversations"))
     rows = C.enrich_queries(data, enricher)
     said = lambda i: F.get("conversations", F.lit(i))["value"]
     return rows.select("event_id", said(0).alias("system"), said(1).alias("human"), said(2).alias("gpt"))
@@ -192,5 +192,5 @@ def objects(prompt: str) -> str:
 
 @query(f"""SELECT event_id, '{{"k":' || {SQL_K} || '}}' AS json_object FROM events WHERE {SQL_K} <= 49""")
 def checked_objects(spark, sf):
-    prompts = table(spark, sf, "events").select("event_id", F.regexp_extract("props", "[0-9]+", 0).alias("prompt"))
+    prompts = table(spark, sf, "events", spread_out=True).select("event_id", F.regexp_extract("props", "[0-9]+", 0).alias("prompt"))
     return C.retry_invalid(prompts, "event_id", "prompt", objects).select("event_id", "json_object")

@@ -107,7 +107,7 @@ def tables_markdown(spark, sf):
 
 @query()
 def page_extract(spark, sf):
-    return extract_pages(table(spark, sf, "pages"))
+    return extract_pages(table(spark, sf, "pages", spread_out=True))
 
 
 @query(f"""
@@ -125,7 +125,7 @@ def page_tables(spark, sf):
         F.lit("</table><table>"), cells(F.lit("customer")), cells(text("o_custkey")), cells(text("o_orderkey")),
         F.lit("</table></body></html>"),
     )
-    pages = extract_pages(table(spark, sf, "orders").select("o_orderkey", page.alias("html")))
+    pages = extract_pages(table(spark, sf, "orders", spread_out=True).select("o_orderkey", page.alias("html")))
     return pages.select("o_orderkey", "content", X.markdown_tables("tables").alias("markdown"))
 
 

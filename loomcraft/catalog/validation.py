@@ -106,10 +106,10 @@ TOOLS_TEXT = ",".join(SIGNATURES)
 
 def event_records(spark, sf):
     text = SQL_RECORD.replace("\\", "\\\\") % TOOLS_TEXT
-    return table(spark, sf, "events").select(
+    return table(spark, sf, "events", spread_out=True).select(
         "event_id", F.col("event_id").cast("string").alias("id"), F.lit("events").alias("category"),
         F.col("event_type").alias("subcategory"), F.col("user_id").cast("string").alias("task"),
-        F.regexp_replace(F.lit("x"), "x", "x").alias("source"), F.expr(text.replace("'[0-9]+'", "'[0-9]+'")).alias("record"))
+        F.expr(text).alias("record"))
 
 
 @query(f"""
@@ -132,7 +132,7 @@ SQL_VALUE = """CASE event_type WHEN 'view' THEN '[' || props || ', {"k": 1.0}]'
 SELECT event_id, CASE event_type WHEN 'click' THEN false WHEN 'error' THEN false ELSE {SQL_K} <= 49 END AS valid
 FROM events""")
 def schema_valid(spark, sf):
-    values = table(spark, sf, "events").select(
+    values = table(spark, sf, "events", spread_out=True).select(
         "event_id", F.expr(SQL_VALUE).alias("value"), F.lit(SCHEMA).alias("schema"))
     return validate_json(values, "value", "schema").select("event_id", "valid")
 
@@ -176,7 +176,7 @@ SELECT CAST(event_id AS VARCHAR) AS id, 'events' AS category, event_type AS subc
        'give k for ' || user_id AS human, replace(props, ' ', '') AS gpt
 FROM events WHERE event_type IN ('click', 'purchase') AND {SQL_K} <= 49""")
 def json_mode_export(spark, sf):
-    records = table(spark, sf, "events").select(
+    records = table(spark, sf, "events", spread_out=True).select(
         F.col("event_id").cast("string").alias("id"), F.lit("events").alias("category"),
         F.col("event_type").alias("subcategory"), F.expr(SQL_JSON_RECORD % SCHEMA).alias("record"))
     rows = export_json_mode(records)

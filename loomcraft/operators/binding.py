@@ -1,4 +1,4 @@
-"""Evaluating an expensive expression exactly once.
+"""Evaluating an expensive expression exactly once, and on all cores.
 
 A filter on a computed column is pushed below its projection, and the expression is then worked out
 twice: to filter, and again to show. A generator is not duplicated that way, so the value is put
@@ -17,6 +17,15 @@ def bind(df: DataFrame, **values: Column) -> DataFrame:
     return df.select(*kept, F.explode(F.array(one)).alias("_bound")).select(*kept, *[f"_bound.{n}" for n in values])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table out to all cores if it has fewer files than there are cores.
+
+    For work that costs far more than moving its input. A table of many files is left as its scan
+    splits it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def keep(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column and drop the rows in which it is null."""
     kept = [c for c in df.columns if c != name]

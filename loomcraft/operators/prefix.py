@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK_ROWS = 100_000
+# Texts weigh more than numbers: a part must fit a task even if its pieces are long.
+PART_ROWS = 10_000
 _BLOCK = "_block"
 
 
@@ -70,7 +72,7 @@ def _in_order(order: str, piece: Column, separator: str) -> Column:
 
 def concat_in_parts(
     df: DataFrame, keys: Sequence[str], order: str, piece: Column, out: str, separator: str = "",
-    part_rows: int = BLOCK_ROWS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Join the text pieces of a key in order, one row per key and ``part``.
 
@@ -84,7 +86,7 @@ def concat_in_parts(
 
 def concat_in_order(
     df: DataFrame, keys: Sequence[str], order: str, piece: Column, out: str, separator: str = "",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Join the text pieces of a key into one text.
 

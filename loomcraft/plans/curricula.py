@@ -17,6 +17,7 @@ from ..operators.replies import parse_replies
 from ..operators.schema_check import validate_json
 from ..operators.selection import not_done, skip_rows
 from ..operators.validation import task_schemas_present
+from ..session import written
 from .export import json_mode_parts
 
 # Fixed value: rows at the head of the industry list that are not used.
@@ -53,7 +54,7 @@ def retry_invalid(
         answered = complete(todo, prompt, client, attempts=1, concurrency=concurrency, name="checked-records")
         good, _ = parse_replies(answered, "completion", "record")
         checked = valid_objects(good)
-        fine = checked.filter("valid").select(key, "record", "json_object")
+        fine = written(checked.filter("valid").select(key, "record", "json_object"), "accepted")
         accepted = fine if accepted is None else accepted.unionByName(fine)
         todo = not_done(todo, fine, [key])
         if todo.isEmpty():

@@ -50,6 +50,7 @@ def correct_calls(
         answered = complete(failing.withColumn("prompt", request), "prompt", client, concurrency=concurrency, name="corrections")
         calls = F.from_json(F.get_json_object("completion", "$.tool_calls"), _CALLS)
         judged = bind(bind(answered, new_calls=calls), new_verdicts=record_verdicts("new_calls", "tools"))
+        judged = written(judged.drop("prompt", "completion", "error", "attempts"), "judged")
         passing = _all_accepted(F.col("new_verdicts"))
         fixed = judged.filter(passing & (F.size("new_calls") > 0)).select(
             "conv_id", F.col("new_calls").alias("accepted_calls"), F.lit(number).alias("round"))

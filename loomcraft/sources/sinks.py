@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from ..operators.packing import usable_documents
 from ..operators.selection import not_done
@@ -19,20 +19,20 @@ def save_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def save_results(results: DataFrame, path: str, keys: Sequence[str] = ("category", "subcategory", "task")) -> None:
     """One row per task below ``path/category=…/subcategory=…``; tasks saved earlier are left alone.
 
-    Files are cut by size within a folder, so a category holding most tasks still writes in parallel."""
+    Rows are rebalanced by folder: AQE splits a folder that holds most tasks over many writers and
+    lets small folders share one."""
     spark = results.sparkSession
     try:
         done = spark.read.parquet(path)
     except AnalysisException:  # nothing saved yet
         done = None
     fresh = not_done(results, done, keys) if done is not None else results
-    fresh.repartition("category", "subcategory", F.pmod(F.xxhash64(*keys), F.lit(32))).write.mode("append").option(
-        "maxRecordsPerFile", 1_000_000).partitionBy("category", "subcategory").parquet(path)
+    fresh.hint("rebalance", "category", "subcategory").write.mode("append").partitionBy("category", "subcategory").parquet(path)
 
 
 def save_search_results(results: DataFrame, path: str) -> None:
     """Fetched documents of each task; unusable ones are dropped, the others keep their rank."""
-    usable_documents(results).write.mode("append").partitionBy("category", "subcategory").parquet(path)
+    usable_documents(results).hint("rebalance", "category", "subcategory").write.mode("append").partitionBy("category", "subcategory").parquet(path)
 
 
 def append_tasks(tasks: DataFrame, path: str) -> None:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.replies import parse_replies
+from ..functions.jsons import salvaged
+from ..operators.binding import bind
 
 
 def follow_results(
@@ -14,15 +14,18 @@ def follow_results(
 ) -> StreamingQuery:
     """Stream result files (``source, completion``) into the index; replies without usable JSON go aside.
 
-    Every batch writes its own folder and overwrites it, so a batch that is run again after a failure
+    Every batch is read once, writes its own folder and overwrites it, so a batch that is run again after a failure
     leaves the same files. There is no state to keep. ``once`` takes what is there and stops."""
     arriving = spark.readStream.schema(schema).parquet(results_path)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        good, bad = parse_replies(batch, "completion", "content")
-        good.select("source", F.lit(1).alias("seq_num"), "content").write.mode("overwrite").parquet(
-            f"{index_path}/examples/batch_id={batch_id}")
-        bad.select("source", "completion").write.mode("overwrite").parquet(f"{index_path}/rejects/batch_id={batch_id}")
+        read = bind(batch, content=salvaged("completion"))
+        kept = read.select(
+            "source", F.lit(1).alias("seq_num"), "content",
+            F.when(F.col("content").isNull(), F.col("completion")).alias("completion"),
+            F.col("content").isNotNull().alias("usable"),
+        )
+        kept.write.mode("overwrite").partitionBy("usable").parquet(f"{index_path}/batch_id={batch_id}")
 
     writer = arriving.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -30,16 +33,13 @@ def follow_results(
 
 def example_index(spark: SparkSession, index_path: str, seeds: DataFrame | None = None) -> DataFrame:
     """The index: seed examples and everything streamed in, each source once, the earliest entry."""
-    streamed = spark.read.parquet(f"{index_path}/examples").select("source", "seq_num", "content", "batch_id")
+    streamed = spark.read.parquet(index_path).filter(F.col("usable") == "true").select("source", "seq_num", "content", "batch_id")
     if seeds is not None:
         streamed = seeds.select("source", "seq_num", "content", F.lit(-1).alias("batch_id")).unionByName(streamed)
     return streamed.groupBy("source").agg(F.min_by(F.struct("seq_num", "content"), "batch_id").alias("e")).select(
         "source", "e.seq_num", "e.content")
 
 
-def rejects(spark: SparkSession, index_path: str) -> DataFrame | None:
+def rejects(spark: SparkSession, index_path: str) -> DataFrame:
     """Results that could not be used, for the log."""
-    try:
-        return spark.read.parquet(f"{index_path}/rejects")
-    except AnalysisException:
-        return None
+    return spark.read.parquet(index_path).filter(F.col("usable") == "false").select("source", "completion")

@@ -1,81 +1,52 @@
-"""Run registered queries and their SQL side by side: python tools/check.py [-d sf_dir] [name ...]"""
+"""Run registered queries and their SQL side by side: python tools/check.py [-d sf_dir] [-x] [name ...]"""
 
 import argparse
-import datetime
-import math
 import os
 import sys
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import duckdb  # noqa: E402
-
 from loomcraft.catalog import QUERIES, SQL  # noqa: E402
 from loomcraft.session import build_session  # noqa: E402
+from tools.compare import database, spark_rows, sql_rows  # noqa: E402
 
 
-def plain(v):
-    if isinstance(v, float):
-        return None if math.isnan(v) else float(f"{v:.9g}")
-    if isinstance(v, (datetime.datetime, datetime.date)):
-        return str(v)
-    return v
-
-
-def main():
+def main() -> None:
     ap = argparse.ArgumentParser()
     ap.add_argument("-d", default="/root/testdata/sf0.01")
-    ap.add_argument("-x", action="store_true", help="explain")
+    ap.add_argument("-x", action="store_true", help="show the plan")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     spark = build_session("check")
     spark.sparkContext.setLogLevel("ERROR")
-    db = duckdb.connect()
-    for f in sorted(os.listdir(args.d)):
-        db.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{args.d}/{f}'")
+    db = database(args.d)
     bad = []
     for name in args.names or list(QUERIES):
         start = time.time()
         try:
-            df = QUERIES[name](spark, args.d)
-            cols = sorted(df.columns)
             if args.x:
-                df.explain("formatted")
-            mine = [tuple(plain(r[c]) for c in cols) for r in df.collect()]
+                QUERIES[name](spark, args.d).explain("formatted")
+            columns, mine = spark_rows(spark, args.d, name)
         except Exception as e:
             bad.append(name)
             print(f"{name}: ERROR {str(e)[:1500]}")
             continue
-        took = time.time() - start
+        took = f"{time.time() - start:.1f}s"
         if name not in SQL:
-            print(f"{name}: {len(mine)} rows, no SQL ({took:.1f}s)  e.g. {str(mine[:1])[:300]}")
+            print(f"{name}: {mine.total()} rows, no SQL ({took})")
             continue
-        try:
-            rel = db.execute(SQL[name])
-            have = [d[0] for d in rel.description]
-            rows = rel.fetchall()
-        except Exception as e:
-            bad.append(name)
-            print(f"{name}: SQL ERROR {str(e)[:800]}")
-            continue
-        if sorted(have) != cols:
-            bad.append(name)
-            print(f"{name}: columns {cols} vs {sorted(have)}")
+        have, theirs = sql_rows(db, name)
+        if have == columns and mine == theirs:
+            print(f"{name}: ok, {mine.total()} rows ({took})" + ("" if mine else "  EMPTY"))
             continue
-        order = [have.index(c) for c in cols]
-        theirs = [tuple(plain(r[i]) for i in order) for r in rows]
-        a, b = sorted(map(repr, mine)), sorted(map(repr, theirs))
-        if a == b:
-            print(f"{name}: ok, {len(a)} rows ({took:.1f}s)" + ("  EMPTY" if not a else ""))
-        else:
-            bad.append(name)
-            sa, sb = set(a), set(b)
-            print(f"{name}: DIFFERENT {len(a)} vs {len(b)} rows; spark only {len(sa - sb)}, sql only {len(sb - sa)}")
-            for tag, rest in (("spark", sa - sb), ("sql", sb - sa)):
-                for r in sorted(rest)[:2]:
-                    print(f"    {tag}: {r[:600]}")
+        bad.append(name)
+        print(f"{name}: DIFFERENT {mine.total()} and {theirs.total()} rows, columns {columns} and {have}")
+        for tag, rest in (("spark", mine - theirs), ("sql", theirs - mine)):
+            for r in sorted(rest)[:2]:
+                print(f"    {tag} only ({rest.total()}): {r[:600]}")
     print("bad:", bad)
 
 
-main()
+if __name__ == "__main__":
+    main()
