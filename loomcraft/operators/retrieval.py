@@ -116,7 +116,8 @@ def nearest(
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"q": [], "ids": [], "similarity": []})
+            none = pd.Series([], dtype="float64")
+            return pd.DataFrame({"q": left["q"].iloc[:0], "ids": right["ids"].iloc[:0], "similarity": none})
         sims = np.round(_unit(left["e"]) @ _unit(right["v"]).T, 9)
         keep = min(k, sims.shape[1])
         kth = -np.partition(-sims, keep - 1, axis=1)[:, keep - 1]
