@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as M
 from ..operators.scoring import failed_pairs as pairs_of_failed, pass_rate as rate, score_completions
-from ..plans.preference import correct_calls, export_preferences, paired
+from ..plans.export import evaluate
+from ..plans.preference import build_preferences, correct_calls, export_preferences, paired
 from .registry import lit, query, table
-from .validation import SIGNATURES, SQL_K
+from .validation import SIGNATURES, SQL_K, SQL_MESSAGE, event_records
 
 # A sample per event: one expected call (two for 'signup'), and what a model said about it.
 # 'view' repeats it with other spelling, 'click' calls with k + 1, 'purchase' has a further argument and a
@@ -111,6 +112,51 @@ def correction_pairs(spark, sf):
     return paired(*correct_calls(conversations, corrector))
 
 
+def fixer(request: str) -> str:
+    """A stand-in model that repairs clicks only."""
+    import json
+
+    name = "click" if json.loads(request)["prompt"].startswith("do click ") else "nothing"
+    call = {"id": "n", "type": "function", "function": {"name": name, "arguments": "{}"}}
+    return json.dumps({"role": "assistant", "tool_calls": [call]})
+
+
+@query(f"""
+SELECT CAST(event_id AS VARCHAR) AS id, 'do click for ' || user_id AS user,
+       {SQL_FENCE % """'{"arguments":{},"name":"click"}'"""} AS chosen,
+       {SQL_FENCE % f"""('{{"arguments":{{"k": ' || {SQL_K} || '}},"name":"click"}}')"""}
+       || CASE WHEN value > 20 THEN {SQL_FENCE % """'{"arguments":{},"name":"signup"}'"""} ELSE '' END AS rejected
+FROM events WHERE event_type = 'click' AND {SQL_MESSAGE} <> 'Function call is valid'""")
+def preference_records(spark, sf):
+    """Preference pairs from whole chat records."""
+    records = event_records(spark, sf).withColumn("source", F.col("id"))
+    return build_preferences(records, fixer, max_files=None).select("id", "user", "chosen", "rejected")
+
+
+def speller(prompt: str) -> str:
+    """A stand-in model: calls what the user names, spelling numbers as fractions; errors get words."""
+    import re
+
+    name, k = re.search(r"user\n(\w+) (\d+)<", prompt).groups()
+    return "no" if name == "error" else '<tool_call>{"name": "%s", "arguments": {"k": %s.0}}' % (name, k)
+
+
+@query(f"""
+SELECT event_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'passed' END AS result,
+       CASE WHEN event_type = 'error' THEN 'no'
+            ELSE {SQL_BLOCK % f"""('{{"name": "' || event_type || '", "arguments": {{"k": ' || {SQL_K} || '.0}}}}')"""} END AS model_completion
+FROM events""")
+def evaluated_samples(spark, sf):
+    """Prompts rendered, answered by a client and scored."""
+    number = F.regexp_extract("props", "[0-9]+", 0)
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    rows = table(spark, sf, "events", spread_out=True).select(
+        "event_id", F.array(turn("system", F.lit("tools")), turn("user", F.concat_ws(" ", "event_type", number))).alias("prompt"),
+        F.concat(F.lit('{"name": "'), "event_type", F.lit('", "arguments": {"k": '), number, F.lit("}}")).alias("completion"),
+        F.lit("s").alias("system"), F.lit("u").alias("user"))
+    return evaluate(rows, speller, one_shot=None).select("event_id", "result", "model_completion")
+
+
 @query(f"""
 SELECT {lit(M.TOOL_CALLER_INTRO)} || chr(10) || '<tools>' || chr(10) || '[{{"name": "' || event_type || '"}}]' || chr(10) || '</tools>' || chr(10)
        || {lit(M.PREFERENCE_OUTRO)} AS system, 'ask ' || user_id AS question,

@@ -87,6 +87,17 @@ def budgets(spark, sf):
         X.character_budget("context_tokens", stepwise=True).alias("budget_stepwise"))
 
 
+CONTEXTS = {"1-URGENT": 128000, "2-HIGH": 32768, "5-LOW": 8192}
+
+
+@query("""
+SELECT o_orderkey, (CASE o_orderpriority WHEN '1-URGENT' THEN 128000 WHEN '2-HIGH' THEN 32768 WHEN '5-LOW' THEN 8192 END - 4000) * 2 AS budget
+FROM orders""")
+def vendor_budgets(spark, sf):
+    return table(spark, sf, "orders").select(
+        "o_orderkey", X.character_budget(X.context_tokens("o_orderpriority", CONTEXTS)).alias("budget"))
+
+
 SQL_ORDER_TABLES = """
 '| order | status | priority |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || o_orderkey || ' | '
 || o_orderstatus || ' | ' || o_orderpriority || ' |' || chr(10)

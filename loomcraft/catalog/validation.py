@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as M, tools as T
 from ..operators import validation as V
+from ..operators import selection as S
 from ..operators.binding import bind
 from ..operators.conversations import parse_records
 from ..operators.schema_check import validate_json
@@ -68,8 +69,8 @@ SQL_MESSAGE = f"""CASE event_type
 
 
 def signatures(spark):
-    tools = spark.createDataFrame(list(enumerate(SIGNATURES)), "position int, signature string")
-    return V.signature_table(tools)
+    listed = F.posexplode(F.array(*[F.lit(s) for s in SIGNATURES])).alias("position", "signature")
+    return V.signature_table(spark.range(1).select(listed))
 
 
 def validated(spark, sf):
@@ -94,6 +95,14 @@ def call_verdicts(spark, sf):
     return V.verdicts_by(validated(spark, sf), ["user_id"])
 
 
+@query(f"""
+SELECT event_id, user_id FROM events WHERE {SQL_MESSAGE} = 'Function call is valid' ORDER BY event_id LIMIT 50""")
+def first_successes(spark, sf):
+    """The first fifty calls that hold (a cap on successes, as preference runs have one)."""
+    checked = validated(spark, sf).withColumn("good", F.col("status") == "accepted")
+    return S.first_successes(checked, "good", 50, ["event_id"]).select("event_id", "user_id")
+
+
 # One chat record per event: a question, one or two calls, a tool result, a summary.
 SQL_RECORD = """'{"messages": [{"role": "system", "content": "be kind"}, {"role": "user", "content": "do ' || event_type || ' for ' || user_id
     || '"}, {"role": "assistant", "content": null, "tool_calls": [{"id": "c1", "type": "function", "function": {"name": "' || event_type

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, functions as F
 
 # The character classes Python's Unicode-aware \w and \s stand for, spelled out so
@@ -145,6 +147,12 @@ def markdown_tables(tables) -> Column:
     return F.array_join(F.transform(_col(tables), markdown_table), "")
 
 
+def context_tokens(vendor, lengths: Mapping[str, int]) -> Column:
+    """Context length of a vendor's model; null for an unknown vendor."""
+    known = F.create_map(*[F.lit(x) for pair in lengths.items() for x in pair])
+    return F.try_element_at(known, _col(vendor))
+
+
 def character_budget(context_tokens, stepwise: bool = False) -> Column:
     """Characters of documents that fit a vendor's context."""
     reserved = RESERVED_TOKENS_STEPWISE if stepwise else RESERVED_TOKENS

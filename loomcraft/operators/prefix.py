@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import written
+
 BLOCK_ROWS = 100_000
 # Texts weigh more than numbers: a part must fit a task even if its pieces are long.
 PART_ROWS = 10_000
@@ -20,7 +22,7 @@ _BLOCK = "_block"
 
 
 def _blocked(df: DataFrame, order: str, block_rows: int) -> DataFrame:
-    return df.withColumn(_BLOCK, F.floor(F.col(order) / F.lit(block_rows)).cast("long"))
+    return df.withColumn(_BLOCK, F.expr(f"`{order}` div {block_rows}"))
 
 
 def running_total(
@@ -30,7 +32,9 @@ def running_total(
     """``out`` = sum of the non-negative ``value`` over the rows of the key up to and including this one.
 
     With ``up_to`` (a column constant within a key) only rows whose total stays within it are kept.
-    Blocks that start beyond it are dropped by their summaries before any row is shuffled."""
+    Blocks that start beyond it are dropped by their summaries. Those left are written first, so that
+    Spark knows their size when it plans the join: usually they are few, are broadcast, and only rows
+    that may stay are shuffled; if they are many, the join is an ordinary shuffled one."""
     keys = list(keys)
     rows = _blocked(df, order, block_rows)
     limit = [F.max(up_to).alias("_limit")] if up_to else []
@@ -38,7 +42,7 @@ def running_total(
     earlier = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
     if up_to:
-        starts = starts.filter(F.col("_before") <= F.col("_limit"))
+        starts = written(starts.filter(F.col("_before") <= F.col("_limit")), "starts")
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     joined = rows.join(starts.select(*keys, _BLOCK, "_before"), [*keys, _BLOCK])
     result = joined.withColumn(out, F.sum(value).over(inside) + F.col("_before")).drop(_BLOCK, "_before")

@@ -36,14 +36,17 @@ def first_per_name(df: DataFrame, name: str, order: str) -> DataFrame:
     return df.join(winners, [name, order], "left_semi")
 
 
-def merged_results(first: DataFrame, second: DataFrame, keys: Sequence[str], position: str, item: str) -> DataFrame:
+def merged_results(first: DataFrame, second: DataFrame | None, keys: Sequence[str], position: str, item: str) -> DataFrame:
     """Two engines' result lists as one: the first list as it is, then what only the second found.
 
     Duplicates inside the first list stay; the second list loses those the first has and its own
-    repeats. Result order is (``engine``, ``position``)."""
+    repeats. Result order is (``engine``, ``position``). Without a second list (its engine failed) the
+    first is the result."""
     keys = list(keys)
     columns = [*keys, "engine", position, item]
     kept = first.withColumn("engine", F.lit(1)).select(*columns)
+    if second is None:
+        return kept
     fresh = (
         second.groupBy(*keys, item).agg(F.min(position).alias(position))
         .join(first.select(*keys, item).distinct(), [*keys, item], "left_anti")

@@ -122,7 +122,10 @@ def scan_search_results(spark: SparkSession, path: str, num_results: int) -> Dat
     return spark.read.parquet(path).filter(F.col("rank") < num_results)
 
 
-def scan_dataset(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A published data set: a columnar table, or a JSON array."""
-    return spark.read.json(path, multiLine=True) if fmt == "json" else spark.read.format(fmt).load(path)
+def scan_dataset(spark: SparkSession, path: str, fmt: str = "parquet", num_samples: int | None = None) -> DataFrame:
+    """A published data set, a columnar table or a JSON array; with ``num_samples`` its first rows."""
+    rows = spark.read.json(path, multiLine=True) if fmt == "json" else spark.read.format(fmt).load(path)
+    if num_samples is None:
+        return rows
+    return with_ordinal(rows, _place()).filter(F.col("ordinal") < num_samples).drop("ordinal")
 
