@@ -21,7 +21,7 @@ SQL_REPLY = """CASE event_type
 SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN props END AS reply
 FROM (SELECT *, {SQL_REPLY} AS completion FROM events)""")
 def salvage_json(spark, sf):
-    replies = table(spark, sf, "events").withColumn("completion", F.expr(SQL_REPLY))
+    replies = table(spark, sf, "events", spread_out=True).withColumn("completion", F.expr(SQL_REPLY))
     return replies.select("event_id", J.salvaged("completion").alias("reply"))
 
 

@@ -26,7 +26,7 @@ def search_documents(spark, sf):
     """Documents as search results of their source; the English ones carry a table."""
     rows = F.array(
         F.array(F.col("lang"), F.lit("chars")), F.array(F.col("source"), F.col("n_chars").cast("string")))
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", spread_out=True).select(
         "source", "doc_id", "lang", F.concat(F.lit("http://"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("text").alias("content"), F.when(F.col("lang") == "en", F.array(rows)).alias("tables"), F.lit(BUDGET).alias("budget"))
 

@@ -74,7 +74,7 @@ def signatures(spark):
 
 
 def validated(spark, sf):
-    calls = table(spark, sf, "events").select(
+    calls = table(spark, sf, "events", spread_out=True).select(
         "event_id", "user_id", F.col("event_type").alias("name"), F.col("props").alias("arguments"))
     return V.validate_calls(calls, signatures(spark))
 

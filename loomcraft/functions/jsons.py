@@ -17,6 +17,8 @@ _STRICT = {"allowSingleQuotes": "false"}
 _END = "␞ end of value ␞"
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _NUMBER = r"-?[0-9][0-9.eE+-]*"
+# Only a text in which this is found can have something to fold.
+_TO_FOLD = r"true|false|-0|[0-9][.eE]"
 _TOKEN = rf"(?s){_STRING}|{_NUMBER}|true|false|null|[\[\]{{}}:,]"
 
 
@@ -49,6 +51,15 @@ def entries(c) -> Column:
     return F.map_entries(F.from_json(_col(c), "map<string,variant>", _STRICT))
 
 
+def object_entries(c) -> Column:
+    """``entries`` of a text that is one JSON object and nothing else; null otherwise."""
+    wrapped = F.concat(F.lit("["), _col(c), F.lit(f',{{"{_END}":0}}]'))
+    return let(
+        F.from_json(wrapped, "array<map<string,variant>>", _STRICT),
+        lambda v: F.when((F.size(v) == 2) & F.map_contains_key(F.get(v, F.lit(1)), _END), F.map_entries(F.get(v, F.lit(0)))),
+    )
+
+
 def last_value(pairs: Column, key: Column) -> Column:
     """Value of ``key``; of a repeated key the last, as Python reads it. Null if absent."""
     return F.try_element_at(F.transform(F.filter(pairs, lambda e: e["key"] == key), lambda e: e["value"]), F.lit(-1))
@@ -126,11 +137,20 @@ def _canonical_token(t: Column) -> Column:
     )
 
 
-def canonical(c) -> Column:
-    """Text form under which two JSON values are equal exactly if Python calls them equal:
+def canonical_value(v: Column) -> Column:
+    """Text form under which two JSON values (VARIANT) are equal exactly if Python calls them equal:
     object keys sorted, ``1``, ``1.0``, ``1e0`` and ``true`` alike."""
-    tokens = F.regexp_extract_all(F.to_json(F.try_parse_json(_col(c))), F.lit(_TOKEN), F.lit(0))
-    return F.array_join(F.transform(tokens, _canonical_token), "")
+
+    def folded(text):
+        tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+        return F.when(text.rlike(_TO_FOLD), F.array_join(F.transform(tokens, _canonical_token), "")).otherwise(text)
+
+    return let(F.to_json(v), folded)
+
+
+def canonical(c) -> Column:
+    """``canonical_value`` of JSON text."""
+    return canonical_value(F.try_parse_json(_col(c)))
 
 
 def python_quoted(c: Column) -> Column:

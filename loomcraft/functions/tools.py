@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .jsons import (
-    array_text, entries, has_key, is_object, is_truthy, last_or_null, let, object_text, python_quoted,
+    array_text, entries, has_key, is_truthy, last_or_null, let, object_entries, object_text, python_quoted,
     python_type, quoted,
 )
 from .text import _col
@@ -256,20 +256,18 @@ def call_message(name, arguments, signature) -> Column:
         )
         missing = F.filter(signature["required"], lambda r: ~has_key(pairs, r))
         return (
-            F.when(F.size(errors) > 0, F.get(errors, F.lit(0)))
+            F.when(pairs.isNull(), F.lit(BROKEN_CALL + "arguments are not a JSON object"))
+            .when(signature.isNull(), F.concat(F.lit(NO_MATCH), name))
+            .when(signature["error"].isNotNull(), F.concat(F.lit(BROKEN_SIGNATURE), signature["error"]))
+            .when(F.size(errors) > 0, F.get(errors, F.lit(0)))
             .when(signature["late_error"].isNotNull(), F.concat(F.lit(BROKEN_SIGNATURE), signature["late_error"]))
             .when(F.size(missing) > 0, F.concat(
                 F.lit(MISSING + "["), F.array_join(F.transform(missing, python_quoted), ", "), F.lit("]")))
             .otherwise(F.lit(VALID))
         )
 
-    return (
-        F.when(name.isNull(), F.lit(BROKEN_CALL + "no function name"))
-        .when(~F.coalesce(is_object(arguments), F.lit(False)), F.lit(BROKEN_CALL + "arguments are not a JSON object"))
-        .when(signature.isNull(), F.concat(F.lit(NO_MATCH), name))
-        .when(signature["error"].isNotNull(), F.concat(F.lit(BROKEN_SIGNATURE), signature["error"]))
-        .otherwise(let(entries(arguments), against))
-    )
+    return F.when(name.isNull(), F.lit(BROKEN_CALL + "no function name")).otherwise(
+        let(object_entries(arguments), against))
 
 
 def call_verdict(name, arguments, signature) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import messages as M
-from ..functions.jsons import canonical, entries, is_json, is_object, last_value, let
+from ..functions.jsons import canonical_value, entries, is_json, is_object, last_value, let
 from .binding import bind
 from .replies import with_tool_calls
 
@@ -17,8 +17,9 @@ def _call(text: Column) -> Column:
     pairs = entries(text)
     field = lambda key: F.to_json(F.get(F.filter(pairs, lambda e: e["key"] == key), F.lit(0))["value"])
     has = lambda key: F.exists(pairs, lambda e: e["key"] == key)
-    arguments = let(entries(field("arguments")), lambda a: F.transform(a, lambda e: F.struct(
-        e["key"].alias("key"), canonical(F.to_json(e["value"])).alias("value"))))
+    given = F.get(F.filter(pairs, lambda e: e["key"] == "arguments"), F.lit(0))["value"]
+    arguments = F.transform(F.map_entries(F.try_variant_get(given, "$", "map<string,variant>")), lambda e: F.struct(
+        e["key"].alias("key"), canonical_value(e["value"]).alias("value")))
     return F.struct(
         text.alias("text"),
         F.when(has("name"), field("name")).alias("name"),
