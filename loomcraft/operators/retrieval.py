@@ -16,12 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
 
 # Slack for rounding in the bounds; an extra candidate costs time, a missing one costs the answer.
 _SLACK = 1e-6
+MAX_CELLS = 1024
+# Queries compared with all pivots at a time within a batch.
+_CHUNK = 1024
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -40,13 +43,15 @@ def _usable(df: DataFrame, embedding: str) -> DataFrame:
 
 def nearest(
     queries: DataFrame, vectors: DataFrame, k: int = 2, query_id: str = "query_id", vector_id: str = "vec_id",
-    embedding: str = "embedding", cells: int = 64, rows_per_part: int = 4096,
+    embedding: str = "embedding", cells: int | None = None, rows_per_part: int = 4096,
 ) -> DataFrame:
     """The ``k`` most similar vectors of every query: ``query_id, rank, vector_id, similarity``.
 
     Equal similarities (to nine digits) are ranked by id. Copies of a vector are folded into one
     before anything is joined, keeping the ``k`` smallest ids, which is all that ties can ask for.
-    The driver holds ``cells`` pivots and ``cells * k`` distances, never data that grows."""
+    ``cells`` defaults to a quarter of the root of the number of vectors, 1024 at most, so the driver holds at most
+    that many pivots and ``k`` distances for each. A large cell is dealt out over parts, and so are
+    the queries at home in one; a vector goes only where a query asks for its cell."""
     spark = vectors.sparkSession
     id_type = vectors.schema[vector_id].dataType.simpleString()
     qid_type = queries.schema[query_id].dataType.simpleString()
@@ -58,6 +63,8 @@ def nearest(
         .groupBy(embedding).agg(F.sort_array(F.collect_list(vector_id)).alias("ids"))
     )
     distinct = written(distinct.select(F.col(embedding).alias("v"), "ids"), "vectors")
+    if cells is None:
+        cells = min(MAX_CELLS, max(4, math.isqrt(distinct.count()) // 4))
     pivot_rows = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(cells).collect()
     if not pivot_rows:
         return spark.createDataFrame([], f"{query_id} {qid_type}, rank int, {vector_id} {id_type}, similarity double")
@@ -78,41 +85,49 @@ def nearest(
     used = np.array(sorted(radii))
     low = np.array([radii[c]["low"] for c in used])
     high = np.array([radii[c]["high"] for c in used])
-    parts = np.array([math.ceil(radii[c]["n"] / rows_per_part) for c in used])
     place = {c: i for i, c in enumerate(used)}
     inner_cell = np.array([place[r["cell"]] for r in inner])
     inner_dist = np.array([r["dist"] for r in inner])
     used_pivots = pivots[used]
     between = _distances(used_pivots, used_pivots)
-    query_rows = _usable(queries, embedding).select(F.col(query_id).alias("q"), F.col(embedding).alias("e"))
-    query_parts = max(1, math.ceil(query_rows.count() / rows_per_part))
 
     def to_candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            d = _distances(_unit(pdf["e"]), used_pivots)
-            reach = d[:, inner_cell] + inner_dist
-            bound = np.sort(reach, axis=1)[:, min(k, reach.shape[1]) - 1] + _SLACK
-            home = d.argmin(axis=1)
-            d_home = d[np.arange(len(pdf)), home]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = np.nan_to_num((d**2 - d_home[:, None] ** 2) / (2 * between[home]), nan=0.0, posinf=0.0, neginf=0.0)
-            floor = np.maximum.reduce([d - high, low - d, plane])
-            row, cell = np.nonzero(floor <= bound[:, None])
-            times = parts[cell]
-            row, cell = np.repeat(row, times), np.repeat(cell, times)
-            part = np.concatenate([np.arange(t) for t in times]) if len(times) else np.array([], dtype=int)
-            picked = pdf.iloc[row]
-            yield pd.DataFrame({
-                "q": picked["q"].to_numpy(), "e": picked["e"].to_numpy(), "query_part": picked["query_part"].to_numpy(),
-                "cell": used[cell].astype("int32"), "part": part.astype("int32"),
-            })
-
-    split = query_rows.withColumn("query_part", F.pmod(F.xxhash64("q"), F.lit(query_parts)).cast("int"))
-    asked = split.mapInPandas(to_candidates, f"q {qid_type}, e array<float>, query_part int, cell int, part int")
-    cell_parts = F.try_element_at(F.create_map(*[F.lit(int(x)) for c, n in zip(used, parts) for x in (c, n)]), F.col("cell"))
-    offered = celled.withColumn("part", F.pmod(F.xxhash64("v"), cell_parts).cast("int")).withColumn(
-        "query_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
-    key = ["cell", "part", "query_part"]
+        for batch in batches:
+            for at in range(0, len(batch), _CHUNK):
+                pdf = batch.iloc[at:at + _CHUNK]
+                d = _distances(_unit(pdf["e"]), used_pivots)
+                reach = d[:, inner_cell] + inner_dist
+                last = min(k, reach.shape[1]) - 1
+                bound = np.partition(reach, last, axis=1)[:, last] + _SLACK
+                home = d.argmin(axis=1)
+                d_home = d[np.arange(len(pdf)), home]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    plane = (d**2 - d_home[:, None] ** 2) / (2 * between[home])
+                plane = np.nan_to_num(plane, nan=0.0, posinf=0.0, neginf=0.0)
+                floor = np.maximum.reduce([d - high, low - d, plane])
+                wanted = [used[row].astype("int32") for row in floor <= bound[:, None]]
+                yield pdf.assign(home=used[home].astype("int32"), cells=wanted)
+
+    query_rows = _usable(queries, embedding).select(F.col(query_id).alias("q"), F.col(embedding).alias("e"))
+    asked = written(query_rows.mapInPandas(
+        to_candidates, f"q {qid_type}, e array<float>, home int, cells array<int>"), "asked")
+    homes = {r["home"]: r["n"] for r in asked.groupBy("home").agg(F.count("*").alias("n")).collect()}
+    if not homes:
+        return spark.createDataFrame([], f"{query_id} {qid_type}, rank int, {vector_id} {id_type}, similarity double")
+
+    def parts_of(counts: dict[int, int], cell: str) -> Column:
+        """Number of parts of a cell, as a lookup of at most ``cells`` entries."""
+        pairs = [F.lit(int(x)) for c, n in counts.items() for x in (c, math.ceil(n / rows_per_part))]
+        return F.try_element_at(F.create_map(*pairs), F.col(cell))
+
+    sizes = {c: r["n"] for c, r in radii.items()}
+    each_part = lambda cell: F.explode(F.sequence(F.lit(0), parts_of(sizes, cell) - 1))
+    split = asked.withColumn("chunk", F.pmod(F.xxhash64("q"), parts_of(homes, "home")).cast("int"))
+    wanted = split.select(
+        F.col("home").alias("for_home"), F.col("chunk").alias("for_chunk"), F.explode("cells").alias("cell")
+    ).distinct().withColumn("part", each_part("cell"))
+    offered = celled.withColumn("part", F.pmod(F.xxhash64("v"), parts_of(sizes, "cell")).cast("int")).join(wanted, ["cell", "part"])
+    asked_cells = split.select("q", "e", "home", "chunk", F.explode("cells").alias("cell")).withColumn("part", each_part("cell"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -129,7 +144,9 @@ def nearest(
         return pd.DataFrame({
             "q": left["q"].to_numpy()[row], "ids": right["ids"].to_numpy()[col], "similarity": sims[row, col]})
 
-    found = asked.groupBy(*key).cogroup(offered.select("v", "ids", *key).groupBy(*key)).applyInPandas(
+    found = asked_cells.groupBy("cell", "part", "home", "chunk").cogroup(
+        offered.groupBy("cell", "part", "for_home", "for_chunk")
+    ).applyInPandas(
         best, f"q {qid_type}, ids array<{id_type}>, similarity double")
     by_rank = Window.partitionBy("q").orderBy(F.desc("similarity"), "id")
     return (
