@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import jsons as J, messages as M, text as X
 from ..operators.conversations import chatml_by_conversation, last_by_role
 from ..operators.replies import with_fenced_calls, with_fenced_tools, with_tool_calls
-from ..plans.generation import _tool_messages
+from ..plans.generation import tool_message_texts
 from .registry import lit, query, table
 
 # A reply per event: bare JSON, JSON in prose, two objects, an empty object, an unclosed one.
@@ -121,7 +121,7 @@ def tool_messages(spark, sf):
     results = F.concat(
         F.lit('{"tools": [{"role": "tool", "name": "'), "event_type", F.lit('", "content": {"k": '),
         F.col("user_id").cast("string"), F.lit(', "a": [1, 2]}}]}'))
-    return table(spark, sf, "events").select("event_id", F.explode(_tool_messages(results)).alias("message"))
+    return table(spark, sf, "events").select("event_id", F.explode(tool_message_texts(results)).alias("message"))
 
 
 @query("""

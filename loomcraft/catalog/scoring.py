@@ -1,5 +1,8 @@
 """Scoring completions and making preference pairs."""
 
+import json
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
@@ -75,9 +78,6 @@ def failed_pairs(spark, sf):
 
 def corrector(request: str) -> str:
     """A stand-in model: repairs purchases at the second attempt, clicks at the first, nothing else."""
-    import json
-    import re
-
     asked = json.loads(request)
     prompt = asked["prompt"]
     name, k = re.search(r"do (\w+) with (\d+)", prompt).groups()
@@ -114,8 +114,6 @@ def correction_pairs(spark, sf):
 
 def fixer(request: str) -> str:
     """A stand-in model that repairs clicks only."""
-    import json
-
     name = "click" if json.loads(request)["prompt"].startswith("do click ") else "nothing"
     call = {"id": "n", "type": "function", "function": {"name": name, "arguments": "{}"}}
     return json.dumps({"role": "assistant", "tool_calls": [call]})
@@ -135,8 +133,6 @@ def preference_records(spark, sf):
 
 def speller(prompt: str) -> str:
     """A stand-in model: calls what the user names, spelling numbers as fractions; errors get words."""
-    import re
-
     name, k = re.search(r"user\n(\w+) (\d+)<", prompt).groups()
     return "no" if name == "error" else '<tool_call>{"name": "%s", "arguments": {"k": %s.0}}' % (name, k)
 

@@ -1,6 +1,6 @@
 """Scans and sinks as round trips, and the streamed example index."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..session import fresh_path
 from ..sources import scans, sinks
@@ -109,6 +109,30 @@ def industry_sheet_scan(spark, sf):
         F.col("Sector").alias("sector"), F.col("`Industry Group`").alias("grp"))
 
 
+@query("""
+SELECT 'category=bench set' AS category, 'subcategory=' || CASE WHEN length(text) < 200 THEN 'short one' ELSE 'long one' END AS subcategory, item_id, text
+FROM benchmark""")
+def result_tree(spark, sf):
+    """A tree of one-record files below category and subcategory folders, labelled by its paths."""
+    path = fresh_path(spark, "tree")
+    kind = F.when(F.length("text") < 200, F.lit("short_one")).otherwise(F.lit("long_one"))
+    rows = table(spark, sf, "benchmark").select("item_id", "text", F.lit("bench_set").alias("category"), kind.alias("subcategory"))
+    rows.write.option("maxRecordsPerFile", 1).partitionBy("category", "subcategory").json(path)
+    record = lambda c: F.get_json_object("record", f"$.{c}")
+    return scans.scan_result_tree(spark, path).select(
+        "category", "subcategory", record("item_id").cast("long").alias("item_id"), record("text").alias("text"))
+
+
+@query("SELECT item_id, text, 1 AS seq_num FROM benchmark")
+def example_folder(spark, sf):
+    """A folder of one-document files as example documents, each under its own source."""
+    path = fresh_path(spark, "examples")
+    table(spark, sf, "benchmark").write.option("maxRecordsPerFile", 1).json(path)
+    found = scans.scan_examples(spark, path).dropDuplicates(["source"])
+    field = lambda c: F.get_json_object("content", f"$.{c}")
+    return found.select(field("item_id").cast("long").alias("item_id"), field("text").alias("text"), "seq_num")
+
+
 def streamed(spark, sf):
     """Event replies written as result files, the stream run over them, and run again over nothing new."""
     base = fresh_path(spark, "stream")
@@ -140,11 +164,10 @@ def index_rejects(spark, sf):
 @query("SELECT doc_id, text FROM documents")
 def ordinal_order(spark, sf):
     """Documents numbered in file order: the numbers are dense and sorting by them restores the file."""
-    from pyspark.sql import Window
     path = fresh_path(spark, "ordered")
     docs = table(spark, sf, "documents").select("doc_id", "text")
     docs.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
-    numbered = scans.with_ordinal(spark.read.parquet(path), scans._place())
+    numbered = scans.with_ordinal(spark.read.parquet(path), scans.place())
     near = Window.partitionBy(F.floor(F.col("ordinal") / 1000)).orderBy("ordinal")
     in_order = numbered.withColumn("_up", F.coalesce(F.col("doc_id") > F.lag("doc_id").over(near), F.lit(True)))
     return in_order.filter("_up").dropDuplicates(["ordinal"]).select("doc_id", "text")

@@ -166,7 +166,7 @@ def industry_generation(spark, sf):
 
 
 def enricher(prompt: str) -> str:
-    """Adds the object to the message; answers in prose where the message starts with an exclamation."""
+    """Adds the object to the message; answers an error in prose."""
     said = prompt.split("needs to be updated: ", 1)[1].split(".Please add missing details", 1)[0]
     obj = prompt.split("part of the user message: ", 1)[1].split(".Given the above json object", 1)[0]
     return "sorry" if said.startswith("error") else json.dumps({"updated_message": f"{said} with {obj}"})

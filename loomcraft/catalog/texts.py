@@ -1,6 +1,6 @@
 """Names, paths, search queries, cleaning, Markdown, budgets, file selection."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import text as X
 from ..operators import selection as S
@@ -254,7 +254,6 @@ def industry_curriculum(spark, sf):
 
 
 def industry_sheet(spark, sf):
-    from pyspark.sql import Window
     rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     sheet = rows.select(
         F.col("c_custkey").alias("ordinal"), F.col("c_mktsegment").alias("Sector"), F.col("n_name").alias("Industry Group"),

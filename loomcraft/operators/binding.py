@@ -18,12 +18,12 @@ def bind(df: DataFrame, **values: Column) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a table out to all cores if it has fewer files than there are cores.
+    """Deal the rows of a scan out to all cores if it has fewer splits than there are cores.
 
-    For work that costs far more than moving its input. A table of many files is left as its scan
-    splits it."""
+    For work that costs far more than moving its input, and for plain scans only: their splits are
+    known without running anything. A large table has more splits than cores and is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def keep(df: DataFrame, name: str, value: Column) -> DataFrame:

@@ -85,7 +85,7 @@ def _user_message(content: Column) -> Column:
     return F.concat(F.lit('{"role":"user","content":'), quoted(content), F.lit("}"))
 
 
-def _tool_messages(results: Column) -> Column:
+def tool_message_texts(results: Column) -> Column:
     """Tool messages of a results object ``{"tools": [...]}`` with their content as JSON string."""
     items = F.from_json(F.get_json_object(results, "$.tools"), "array<string>")
 
@@ -155,7 +155,7 @@ def regenerate_in_steps(
         F.array(_user_message(section_prompt(result_sections, result_variables))), F.col("tools"), "none"))
     resulted = complete(resulted, "prompt", text_client, concurrency=concurrency, name="tool-results")
     resulted = resulted.withColumn("results", salvaged("completion")).filter(F.col("results").isNotNull())
-    chain = F.concat(F.array(_user_message(F.col("user_query")), F.col("call_message")), _tool_messages(F.col("results")))
+    chain = F.concat(F.array(_user_message(F.col("user_query")), F.col("call_message")), tool_message_texts(F.col("results")))
     resulted = resulted.withColumn("chain", chain).drop("prompt", "completion", "error", "attempts")
 
     summed = resulted.withColumn("prompt", tool_request(F.col("chain"), F.col("tools"), "none"))

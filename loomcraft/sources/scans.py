@@ -37,7 +37,7 @@ def _file_path() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
-def _place() -> Column:
+def place() -> Column:
     """Where a row's split lies: file, and offset within it."""
     return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
 
@@ -50,13 +50,13 @@ def scan_curriculum(spark: SparkSession, path: str, num_tasks: int | None = None
         spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
         .option("emptyValue", "").csv(path)
     )
-    tasks = with_ordinal(rows, _place())
+    tasks = with_ordinal(rows, place())
     return tasks.filter(F.col("ordinal") < num_tasks) if num_tasks is not None else tasks
 
 
 def scan_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Curriculum JSON lines: the good tasks, and the bad lines with their number."""
-    lines = with_ordinal(spark.read.text(path), _place())
+    lines = with_ordinal(spark.read.text(path), place())
     good = F.coalesce(is_json("value"), F.lit(False))
     field = lambda k: F.get_json_object("value", f"$.{k}").alias(k)
     tasks = lines.filter(good).select("ordinal", *[field(k) for k in ("Category", "SubCategory", "Task", "Schema")])
@@ -99,7 +99,7 @@ def industry_rows(sheet: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 
 def scan_industry_sheet(spark: SparkSession, path: str) -> DataFrame:
     """An industry sheet saved as CSV."""
-    return industry_rows(with_ordinal(spark.read.option("multiLine", True).option("escape", '"').csv(path), _place()))
+    return industry_rows(with_ordinal(spark.read.option("multiLine", True).option("escape", '"').csv(path), place()))
 
 
 def usable_code(files: DataFrame, path: str = "path", code: str = "code") -> DataFrame:
@@ -127,5 +127,5 @@ def scan_dataset(spark: SparkSession, path: str, fmt: str = "parquet", num_sampl
     rows = spark.read.json(path, multiLine=True) if fmt == "json" else spark.read.format(fmt).load(path)
     if num_samples is None:
         return rows
-    return with_ordinal(rows, _place()).filter(F.col("ordinal") < num_samples).drop("ordinal")
+    return with_ordinal(rows, place()).filter(F.col("ordinal") < num_samples).drop("ordinal")
 
