@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.jsons import is_json
@@ -70,9 +73,11 @@ def scan_result_tree(spark: SparkSession, root: str, to_full_stop: bool = False)
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*json").text(root, wholetext=True)
         .select(F.col("value").alias("record"), _file_path().alias("source"))
     )
-    name = root.rstrip("/").rsplit("/", 1)[-1]
-    below = F.substring_index(F.col("source"), f"/{name}/", -1)
-    labels = path_labels(F.concat(F.lit(f"{name}/"), below), F.lit(name))
+    folder = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//)?", "", root)
+    folder = (os.path.abspath(folder) if folder == root and not root.startswith("/") else folder).rstrip("/") + "/"
+    start = F.instr("source", folder)
+    below = F.substring(F.col("source"), start + len(folder), F.length("source"))
+    labels = path_labels(F.concat(F.lit("root/"), below), F.lit("root"))
     task = to_last_full_stop(labels["task"]) if to_full_stop else labels["task"]
     return files.select(
         F.sha2("source", 256).alias("id"), "source", labels["category"].alias("category"),

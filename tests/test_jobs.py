@@ -42,13 +42,15 @@ def test_json_lines_scan(spark, tmp_path):
 
 
 def test_result_tree_and_exports(spark, tmp_path):
-    root = f"{tmp_path}/results one"
+    root = f"{tmp_path}/one/results one"
+    write(f"{root}/Cat_A/results one/again.json", json.dumps(RECORD))
     write(f"{root}/Cat_A/Sub_1/first_task.json", json.dumps(RECORD))
     good = json.loads(json.dumps(RECORD).replace('\\"x\\"', "1"))
     write(f"{root}/Cat_A/Sub 2/a+b_é.json", json.dumps(good, indent=2))
     write(f"{root}/Cat_A/Sub_1/notes.txt", "no")
     tree = scans.scan_result_tree(spark, root)
-    assert {(r.category, r.subcategory, r.task) for r in tree.collect()} == {("Cat A", "Sub 1", "first task"), ("Cat A", "Sub 2", "a+b é")}
+    assert {(r.category, r.subcategory, r.task) for r in tree.collect()} == {
+        ("Cat A", "Sub 1", "first task"), ("Cat A", "Sub 2", "a+b é"), ("Cat A", "results one", "again")}
     assert [r.task for r in export.export_sharegpt(tree).collect()] == ["a+b é"]
     assert [r.id for r in scans.scan_result_tree(spark, root).orderBy("id").collect()] == [r.id for r in tree.orderBy("id").collect()]
 
