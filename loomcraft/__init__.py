@@ -10,4 +10,11 @@ The layers, from the inside out:
 * ``catalog``    the registered queries and the SQL each is checked against.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions run inside tasks travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -151,3 +151,11 @@ SCHEMA_CASES = [
 
 def test_json_schema():
     assert [(s, v, check_value(v, s)[0]) for s, v, _ in SCHEMA_CASES] == SCHEMA_CASES
+
+
+def test_task_functions_travel_by_value():
+    """Executors have no copy of the package."""
+    from pyspark import cloudpickle
+
+    data = cloudpickle.dumps(check_value)
+    assert b"_check_object" in data and "loomcraft" in cloudpickle.list_registry_pickle_by_value()
