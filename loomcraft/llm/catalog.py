@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bestfit, token_files
+from . import bestfit, exact_dedup, line_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+MIN_DOCS = 10
+
+
+@query(f"""
+    WITH lines AS (
+        SELECT doc_id, line, place,
+               translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key
+        FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents)),
+    common AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+    marked AS (SELECT doc_id, line, place, key IN (SELECT key FROM common) AS gone FROM lines)
+    SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id""")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"), MIN_DOCS)
+    return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("""
+    SELECT doc_id, max(doc_id) OVER equal_texts AS keep_id, count(*) OVER equal_texts AS group_size,
+           doc_id = max(doc_id) OVER equal_texts AS kept, sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW equal_texts AS (PARTITION BY coalesce(text, ''))""")
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(table(spark, sf_dir, "documents"), TOKENIZER, END_ID, 4096)
