@@ -30,9 +30,9 @@ from .tokens import encoder, in_slices
 
 Filling = tuple[tuple[int, int], ...]  # (length, copies), longest first
 Plan = list[tuple[int, Filling]]  # (windows, filling)
-SEARCH_NODES = 2_000
+SEARCH_NODES = 200
 FILLINGS_TRIED = 24
-_STEPS = 4_000
+_STEPS = 1_000
 SHARD_ROWS = 50_000
 
 
@@ -118,42 +118,63 @@ def fillings(counts: Mapping[int, int], room: int, tried: int = FILLINGS_TRIED)
     return [f for _, f in found[:tried]]
 
 
+def _branches(left: Counter, capacity: int) -> Iterator[tuple[int, Filling]]:
+    """The undominated windows around the longest piece left, each as often as its pieces last, then once."""
+    longest = max(left)
+    left[longest] -= 1
+    found = fillings(left, capacity - longest)
+    left[longest] += 1
+    for filling in found:
+        whole = Counter(dict(filling))
+        whole[longest] += 1
+        most = min(left[n] // k for n, k in whole.items())
+        for times in dict.fromkeys((most, 1)):
+            yield times, tuple(sorted(whole.items(), reverse=True))
+
+
 def bin_completion(counts: Mapping[int, int], capacity: int, nodes: int = SEARCH_NODES) -> Plan:
-    """The best plan found. ``nodes`` bounds the search, not what is packed: every plan packs every piece."""
-    counts = {n: k for n, k in counts.items() if k}
-    if any(n > capacity or n < 1 for n in counts):
+    """The best plan found. ``nodes`` bounds the search, not what is packed: every plan packs every piece.
+
+    Depth first over one table of the pieces left, which steps take from and give back to: memory is that
+    of one path."""
+    left = Counter({n: k for n, k in counts.items() if k})
+    if any(n > capacity or n < 1 for n in left):
         raise ValueError("a piece is longer than a window, or empty")
-    best = best_fit(counts, capacity)
-    bound = lower_bound(counts, capacity)
-    total = sum(n * k for n, k in counts.items())
-    seen = 0
-    # Depth first on a stack of open branches: the pieces left, the fillings so far, the waste so far.
-    stack: list[tuple[Counter, Plan, int]] = [(Counter(counts), [], 0)]
-    while stack and windows(best) > bound and seen < nodes:
-        left, plan, waste = stack.pop()
-        seen += 1
-        if waste > (windows(best) - 1) * capacity - total:
+    best = best_fit(left, capacity)
+    fewest = windows(best)
+    bound = lower_bound(left, capacity)
+    total = sum(n * k for n, k in left.items())
+    path: Plan = []
+    opened = waste = seen = 0
+    if fewest <= bound or not left:
+        return best
+    stack = [_branches(left, capacity)]
+    while stack and fewest > bound and seen < nodes:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if path:
+                times, filling = path.pop()
+                for n, k in filling:
+                    left[n] += times * k
+                opened -= times
+                waste -= times * (capacity - sum(n * k for n, k in filling))
             continue
-        rest = best_fit(left, capacity)
-        if windows(plan) + windows(rest) < windows(best):
-            best = plan + rest
-        if not left:
+        times, filling = step
+        slack = times * (capacity - sum(n * k for n, k in filling))
+        if waste + slack > (fewest - 1) * capacity - total:
             continue
-        longest = max(left)
-        others = left.copy()
-        others[longest] -= 1
-        branches = []
-        for filling in fillings(others, capacity - longest):
-            whole = Counter(dict(filling))
-            whole[longest] += 1
-            most = min(left[n] // k for n, k in whole.items())
-            slack = capacity - sum(n * k for n, k in whole.items())
-            for times in dict.fromkeys((most, 1)):
-                if waste + times * slack <= (windows(best) - 1) * capacity - total:
-                    after = Counter({n: k - times * whole[n] for n, k in left.items() if k > times * whole[n]})
-                    step = (times, tuple(sorted(whole.items(), reverse=True)))
-                    branches.append((after, [*plan, step], waste + times * slack))
-        stack.extend(reversed(branches))
+        seen += 1
+        path.append(step)
+        opened, waste = opened + times, waste + slack
+        for n, k in filling:
+            left[n] -= times * k
+            if not left[n]:
+                del left[n]
+        rest = best_fit(left, capacity)
+        if opened + windows(rest) < fewest:
+            best, fewest = path + rest, opened + windows(rest)
+        stack.append(_branches(left, capacity) if left else iter(()))
     return best
 
 
