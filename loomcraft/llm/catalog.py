@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bestfit, exact_dedup, line_dedup, token_files
+from . import bestfit, decontaminate, exact_dedup, line_dedup, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,3 +67,32 @@ def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
+
+
+@query()
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"), width=4, radius=4)
+
+
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+@query(f"""
+    WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    own AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, unnest(list_transform(range(greatest(1, len(w) - 12)),
+                lambda i: array_to_string(w[i + 1:i + 13], ' '))) AS win FROM items WHERE len(w) > 0),
+    places AS (SELECT doc_id, p AS start, n, array_to_string(w[p + 1:p + n], ' ') AS win
+               FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS p
+                     FROM docs, (SELECT DISTINCT n FROM own) WHERE len(w) >= n)),
+    hits AS (SELECT doc_id, start, places.n, item_id FROM places JOIN own USING (win)),
+    covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(start, start + n)) AS p FROM hits) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+              FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

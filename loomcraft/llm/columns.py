@@ -24,12 +24,13 @@ def digest(value: Column) -> tuple[Column, Column]:
     return F.xxhash64(value), F.xxhash64(F.lit(1), value)
 
 
-def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    """Equality of columns in which null equals null."""
+def join_same(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of both sides, null equal to null; the columns appear once."""
+    other = right.withColumnsRenamed({n: f"{n}_right" for n in names})
     condition = F.lit(True)
     for n in names:
-        condition = condition & left[n].eqNullSafe(right[n])
-    return condition
+        condition = condition & F.col(n).eqNullSafe(F.col(f"{n}_right"))
+    return left.join(other, condition, how).drop(*[f"{n}_right" for n in names])
 
 
 def rows_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

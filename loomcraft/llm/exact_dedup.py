@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import written
-from .columns import digest, rows_of, same
+from .columns import digest, join_same, rows_of
 
 BLOCK_BYTES = 4096
 
@@ -74,7 +74,7 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
             F.max(F.when(~even, F.col("name"))).alias("right"), F.max("_rows").alias("_rows"))
         distinct = pairs.select("left", "right").distinct()
         pair_names = _numbered(distinct, ["left", "right"], "pair-names")
-        named = pairs.join(pair_names, same(pairs, pair_names, "left", "right")).select(
+        named = join_same(pairs, pair_names, ["left", "right"]).select(
             "_doc", "_print", F.ceil(F.col("_n") / 2).cast("int").alias("_n"), "_at", "_rows", "name")
         rows = written(named, "pair-rows")
         found = found.unionByName(rows.filter("_n = 1").select("_doc", "_print", "_rows", F.lit(level).alias("level"), "name"))
@@ -88,7 +88,6 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bl
     groups = found.groupBy("level", "name").agg(F.max("_doc").alias("keep_id"), F.sum("_rows").alias("group_size"))
     members = found.join(groups, ["level", "name"]).select("_doc", "_print", "keep_id", "group_size")
     rows = rows_of(docs, doc_id, text).select("_doc", "_print", F.sha2("_text", 256).alias("text_sha256"))
-    joined = rows.join(members, same(rows, members, "_doc", "_print"))
-    return joined.select(
-        rows["_doc"].alias(doc_id), "keep_id", "group_size",
-        rows["_doc"].eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return join_same(rows, members, ["_doc", "_print"]).select(
+        F.col("_doc").alias(doc_id), "keep_id", "group_size",
+        F.col("_doc").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

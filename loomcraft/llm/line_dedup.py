@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder, written
-from .columns import digest, lower_ascii, rows_of, same
+from .columns import digest, join_same, lower_ascii, rows_of
 
 SPACE = " \t\n\x0b\x0c\r"
 _KEY = ["k1", "k2"]
@@ -130,7 +130,7 @@ def _places(rows: DataFrame) -> DataFrame:
 def _rebuilt(docs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
     """The documents with the lines at the ``kept`` places and those that weren't looked up."""
     places = kept.groupBy("_doc", "_print").agg(F.collect_set("_at").alias("_at"))
-    joined = rows.join(places, same(rows, places, "_doc", "_print"), "left").drop(places["_doc"]).drop(places["_print"])
+    joined = join_same(rows, places, ["_doc", "_print"], "left")
     free = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get("_keys", i).isNull())
     staying = F.array_sort(F.array_union(F.coalesce("_at", F.array().cast("array<int>")), free))
     text = F.array_join(F.transform("_staying", lambda i: F.get("_lines", i)), "\n")
