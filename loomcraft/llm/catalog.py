@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bestfit, decontaminate, exact_dedup, line_dedup, simhash, token_files, toxicity
+from ..session import fresh_path
+from . import bestfit, decontaminate, exact_dedup, line_dedup, lm_scores, rollups, simhash, token_files, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,3 +105,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after all documents were inserted, toxic ones deleted, and those of low quality revised to
+    their distinct lines. Each batch is sent twice."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    marked = docs.join(labels.select("doc_id", "toxic", "quality"), "doc_id")
+    lines = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
+    rollup = rollups.TokenRollup(spark, fresh_path(spark, "token-rollup"), {
+        "word_bpe_49k": rollups.tokenizer_count(TOKENIZER), "words": rollups.word_count})
+    for name, changes in (
+        ("insert", docs.withColumn("op", F.lit("insert"))),
+        ("delete", marked.filter("toxic = 1").withColumn("op", F.lit("delete"))),
+        ("revise", marked.filter("toxic = 0 AND quality = 0").withColumn("text", lines).withColumn("op", F.lit("revise"))),
+    ):
+        rollup.commit(name, changes)
+        rollup.commit(name, changes)
+    return rollup.totals()
+
+
+@query()
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.score(table(spark, sf_dir, "documents"), TOKENIZER)
