@@ -20,6 +20,7 @@ has its highest label. Without labels of both kinds every text scores 0. Other c
 
 from __future__ import annotations
 
+import itertools
 import re
 import sys
 import types
@@ -37,9 +38,9 @@ from ..session import written
 
 ORDER = 3
 DECAY = 0.6
-SAMPLE_TOXIC = 2_500
-SAMPLE_CLEAN = 4_000
-SAMPLE_SENTENCES = 200
+SAMPLE_TOXIC = 1_500
+SAMPLE_CLEAN = 3_000
+SAMPLE_SENTENCES = 100
 LANDMARKS = 48
 CLEAN_LANDMARKS = 16
 ALIKE = 0.6
@@ -124,9 +125,16 @@ def likeness(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
+def _triples(length: int) -> np.ndarray:
+    return np.array(list(itertools.combinations(range(length), 3)), np.int64).reshape(-1, 3)
+
+
 @dataclass
 class Model:
-    """``weights`` and ``bias`` of the machine on kernel values; ``slope`` and ``shift`` of the curve."""
+    """``weights`` and ``bias`` of the machine on kernel values; ``slope`` and ``shift`` of the curve.
+
+    A margin is linear in the kernel values, and those in the weights of shared subsequences, so the landmarks
+    are summed up in one table of subsequence weights; a word then costs a look-up for each of its subsequences."""
 
     landmarks: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
@@ -135,10 +143,42 @@ class Model:
     shift: float = -40.0
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    def __post_init__(self) -> None:
+        self.letters = sorted({c for z in self.landmarks for c in z})
+        self.base = len(self.letters) + 1
+        self.table = np.zeros(self.base**ORDER, np.float64)
+        place = {c: i + 1 for i, c in enumerate(self.letters)}
+        for z, weight in zip(self.landmarks, self.weights):
+            codes = _codes([z], len(z))
+            norm = float(np.sqrt(_subsequences(codes, codes[:, None, :])[0, 0]))
+            own = np.array([place[c] for c in z], np.int64)
+            at = _triples(len(z))
+            key = (own[at] * self.base ** np.array([2, 1, 0])).sum(axis=1)
+            np.add.at(self.table, key, weight / norm * DECAY ** (at[:, 2] - at[:, 0] + 1))
+
     def margins(self, words: list[str]) -> np.ndarray:
+        """As ``likeness(words, landmarks) @ weights + bias``."""
+        out = np.full(len(words), self.bias)
         if not self.landmarks:
-            return np.zeros(len(words))
-        return likeness(words, self.landmarks) @ self.weights + self.bias
+            return out
+        letters = np.array([ord(c) for c in self.letters], np.int32)
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            if len(w) >= ORDER:
+                by_length.setdefault(len(w), []).append(i)
+        for n, places in by_length.items():
+            at = _triples(n)
+            span = DECAY ** (at[:, 2] - at[:, 0] + 1)
+            step = max(64, 400_000 // len(at))
+            for a in range(0, len(places), step):
+                some = places[a:a + step]
+                codes = _codes([words[i] for i in some], n)
+                found = np.searchsorted(letters, codes)
+                own = np.where(letters[np.minimum(found, len(letters) - 1)] == codes, found + 1, 0).astype(np.int64)
+                key = (own[:, at[:, 0]] * self.base + own[:, at[:, 1]]) * self.base + own[:, at[:, 2]]
+                norm = np.sqrt(_subsequences(codes, codes[:, None, :])[:, 0])
+                out[some] += self.table[key] @ span / norm
+        return out
 
     def scores(self, texts: Iterable[str | None]) -> list[float]:
         """The probability of each text. Words met before are looked up in this worker's store."""
@@ -274,17 +314,20 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text, kind in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 found = [s for s in _END.split(text or "") if s.strip()]
                 if len(found) > sentences:
                     found = sorted(found, key=lambda s: zlib.crc32(s.encode()))[:sentences]
-                rows.append({"toxic": kind, "sentences": [sorted({p for w in words_of(s) for p in pieces(w)}) for s in found]})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("toxic", pa.int32()), ("sentences", pa.list_(pa.list_(pa.string())))]))
+                said = [" ".join(sorted({p for w in words_of(s) for p in pieces(w)})) for s in found]
+                rows.append({"doc": doc, "toxic": kind, "sentences": said})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc", pa.int64()), ("toxic", pa.int32()), ("sentences", pa.list_(pa.string()))]))
 
     texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("_text"))
-    chosen = texts.join(sample, "_doc").select("_text", "_toxic")
-    rows = chosen.mapInArrow(cut, "toxic int, sentences array<array<string>>").collect()
-    found = {kind: sorted((r.sentences for r in rows if r.toxic == kind), key=repr) for kind in (0, 1)}
+    chosen = texts.join(sample, "_doc").select(F.col("_doc").cast("long"), "_text", "_toxic")
+    rows = chosen.mapInArrow(cut, "doc long, toxic int, sentences array<string>").toArrow().sort_by([("doc", "ascending")])
+    found: dict[int, list[list[list[str]]]] = {0: [], 1: []}
+    for kind, said in zip(rows.column("toxic").to_pylist(), rows.column("sentences")):
+        found[kind].append([[sys.intern(w) for w in s.as_py().split()] for s in said.values])
     return fit(found[1], found[0], counts[1] / (counts[0] + counts[1]))
 
 
