@@ -28,8 +28,9 @@ SPACE = " \t\n\x0b\x0c\r"
 _KEY = ["k1", "k2"]
 
 
-def line_key(line: Column) -> Column:
-    return lower_ascii(F.btrim(line, F.lit(SPACE)))
+def line_keys(lines: Column) -> Column:
+    """The key of each line; one step after the other, so that none is worked out twice."""
+    return F.transform(F.transform(lines, lambda x: F.btrim(x, F.lit(SPACE))), lower_ascii)
 
 
 class LineRuns:
@@ -104,13 +105,12 @@ def _merged(runs: DataFrame) -> DataFrame:
 def _with_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """``rows_of`` with ``_lines`` and ``_keys``, the keys in line order, null for those not looked up."""
 
-    def key(line: Column) -> Column:
-        own = line_key(line)
-        k1, k2 = digest(own)
-        return F.when(F.char_length(own) >= max(1, min_chars), F.struct(k1.alias("k1"), k2.alias("k2")))
+    def looked_up(key: Column) -> Column:
+        k1, k2 = digest(key)
+        return F.when(F.char_length(key) >= max(1, min_chars), F.struct(k1.alias("k1"), k2.alias("k2")))
 
     rows = rows_of(docs).withColumn("_lines", F.split("_text", "\n"))
-    return rows.withColumn("_keys", F.transform("_lines", key))
+    return rows.withColumn("_keys", F.transform(line_keys(F.col("_lines")), looked_up))
 
 
 def _counts(rows: DataFrame, *by: Column) -> DataFrame:
@@ -122,21 +122,19 @@ def _counts(rows: DataFrame, *by: Column) -> DataFrame:
 
 
 def _places(rows: DataFrame) -> DataFrame:
-    """``_doc, _print, _at, k1, k2`` of every line that is looked up."""
-    lines = rows.select("_doc", "_print", F.posexplode("_keys").alias("_at", "_key")).filter("_key IS NOT NULL")
-    return lines.select("_doc", "_print", "_at", F.col("_key.k1").alias("k1"), F.col("_key.k2").alias("k2"))
+    """``_doc, _print, _at, k1, k2`` of every line. Lines that aren't looked up have no ``k2``, so they meet nothing,
+    and a ``k1`` that spreads them out."""
+    lines = rows.select("_doc", "_print", F.posexplode("_keys").alias("_at", "_key"))
+    return lines.select("_doc", "_print", "_at", F.coalesce("_key.k1", F.xxhash64("_doc", "_print", "_at")).alias("k1"), F.col("_key.k2").alias("k2"))
 
 
 def _rebuilt(docs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents with the lines at the ``kept`` places and those that weren't looked up."""
-    places = kept.groupBy("_doc", "_print").agg(F.collect_set("_at").alias("_at"))
-    joined = join_same(rows, places, ["_doc", "_print"], "left")
-    free = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get("_keys", i).isNull())
-    staying = F.array_sort(F.array_union(F.coalesce("_at", F.array().cast("array<int>")), free))
-    text = F.array_join(F.transform("_staying", lambda i: F.get("_lines", i)), "\n")
-    n_lines, n_dropped = F.size("_lines").cast("long"), (F.size("_lines") - F.size("_staying")).cast("long")
-    done = joined.withColumn("_staying", staying).select(
-        "_row", text.alias("_new"), n_lines.alias("_n_lines"), n_dropped.alias("_n_dropped"))
+    """The documents with the lines at the ``kept`` places."""
+    places = kept.groupBy("_doc", "_print").agg(F.array_sort(F.collect_set("_at")).alias("_at"))
+    joined = join_same(rows.select("_row", "_doc", "_print", "_lines"), places, ["_doc", "_print"], "left")
+    text = F.array_join(F.transform("_at", lambda i: F.get("_lines", i)), "\n")
+    n_lines, n_kept = F.size("_lines").cast("long"), F.coalesce(F.size("_at"), F.lit(0)).cast("long")
+    done = joined.select("_row", F.coalesce(text, F.lit("")).alias("_new"), n_lines.alias("_n_lines"), (n_lines - n_kept).alias("_n_dropped"))
     columns = [F.col("_new").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c)
                for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return done.select(*columns, F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))

@@ -49,7 +49,7 @@ PENALTY = 3e-4
 ROUNDS = 8
 LONGEST = 24
 THRESHOLD = 0.3
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 150_000
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]\s+){2,}[^\W\d_](?!\S)")
 _END = re.compile(r"[.!?\n]+")
 
