@@ -162,7 +162,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
                 if out is None:
                     store, place = fs.FileSystem.from_uri(path)
                     store.create_dir(place.rpartition("/")[0], recursive=True)
-                    out = store.open_output_stream(place)
+                    out = store.open_output_stream(place, compression=None)
                     out.write(MAGIC + len(id_of).to_bytes(4, "little") + id_of.tobytes())
                 own = np.frombuffer(x.as_buffer(), dtype)
                 if size + len(own) > BLOCK_IDS:
@@ -191,7 +191,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 store, place = fs.FileSystem.from_uri(row["file"])
                 start = row["start"]
-                with store.open_input_stream(place) as file:
+                with store.open_input_stream(place, compression=None) as file:
                     for docs, lengths, ids in read_blocks(file):
                         ends = np.cumsum(lengths)
                         crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends - lengths, ends)]

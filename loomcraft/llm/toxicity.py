@@ -47,6 +47,7 @@ ALIKE = 0.6
 CLEAN_WORDS = 15_000
 PENALTY = 3e-4
 ROUNDS = 8
+DISGUISED = 1_000
 LONGEST = 24
 THRESHOLD = 0.3
 _WORDS_KEPT = 150_000
@@ -254,13 +255,17 @@ def fit(toxic: list[list[list[str]]], clean: list[list[list[str]]], toxic_share:
         if len(landmarks) < LANDMARKS and (not landmarks or likeness([w], landmarks).max() < ALIKE):
             landmarks.append(w)
     suspect = set(suspects)
+    # Suspects with a mark put in or a letter doubled stand beside them, with less weight.
+    plain = [w for w in suspects[:DISGUISED] if len(w) > ORDER]
+    disguised = [w[:len(w) // 2] + c + w[len(w) // 2:] for w in plain for c in ("-", w[len(w) // 2])]
     often = sorted((w for w in in_clean if w not in suspect), key=lambda w: (-in_clean[w], w))
     clean_words = often[:CLEAN_WORDS] + some(often[CLEAN_WORDS:], CLEAN_WORDS)
     toxic_words = suspects[:CLEAN_WORDS] + some(leaning - set(suspects[:CLEAN_WORDS]) - set(clean_words), CLEAN_WORDS)
     place = {w: i for i, w in enumerate(toxic_words)}
+    under = np.repeat([place[w] for w in plain], 2).astype(np.int64)
     hidden = [[i for i in map(place.get, s) if i is not None] for d in toxic for s in d]
     hidden = [s for s in hidden if s]
-    y = np.concatenate([np.ones(len(toxic_words)), -np.ones(len(clean_words))])
+    y = np.concatenate([np.ones(len(toxic_words) + len(disguised)), -np.ones(len(clean_words))])
     standing = np.array([lean(w) for w in toxic_words])
     least = 2.5
     for stage in range(2):
@@ -268,6 +273,7 @@ def fit(toxic: list[list[list[str]]], clean: list[list[list[str]]], toxic_share:
         root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
         x_toxic = likeness(toxic_words, landmarks).astype(np.float64) @ root
         x_clean = likeness(clean_words, landmarks).astype(np.float64) @ root
+        x_disguised = likeness(disguised, landmarks).astype(np.float64) @ root
         # A text is as toxic as its worst word, so clean words that come near count more and more.
         hard = np.ones(len(clean_words))
         for _ in range(ROUNDS):
@@ -279,8 +285,9 @@ def fit(toxic: list[list[list[str]]], clean: list[list[list[str]]], toxic_share:
             if not stands.any():
                 stands[:len(suspects)] = 1
             up = np.sqrt(stands)
+            up = np.concatenate([up, up[under] / 4])
             weight = np.concatenate([up / up.sum(), hard / hard.sum()])
-            w = _svm(np.concatenate([x_toxic, x_clean]), y, weight, PENALTY)
+            w = _svm(np.concatenate([x_toxic, x_disguised, x_clean]), y, weight, PENALTY)
             standing, least = x_toxic @ w[:-1] + w[-1], 0.0
             margin = x_clean @ w[:-1] + w[-1]
             hard = np.where(margin > -0.5, 4 * hard, hard)

@@ -116,7 +116,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes
         def begin():
             store, place = fs.FileSystem.from_uri(path)
             store.create_dir(place.rpartition("/")[0], recursive=True)
-            file = store.open_output_stream(place)
+            file = store.open_output_stream(place, compression=None)
             dictionary = build_dictionary(held)
             file.write(DICTIONARY_FRAME.to_bytes(4, "little") + len(dictionary).to_bytes(4, "little") + dictionary)
             return file, _compressor(dictionary)
@@ -158,7 +158,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 rows = []
                 store, place = fs.FileSystem.from_uri(path)
-                with store.open_input_stream(place) as file:
+                with store.open_input_stream(place, compression=None) as file:
                     for fields, block in read_records(file):
                         digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                         size = int(fields["X-Payload-Length"])
