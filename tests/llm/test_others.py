@@ -207,7 +207,7 @@ def test_kernel_is_that_of_the_definition():
 
 def test_inserted_and_spaced_letters_score_high(spark, make):
     clean = [f"calm words number {i} walk along the river and the hill." for i in range(60)]
-    bad = [f"calm words number {i} walk. you {('stupid', 'moron')[i % 2]} man! the hill." for i in range(40)]
+    bad = [f"calm words number {i} walk. the {('stupid', 'moron')[i % 2]} river! the hill." for i in range(40)]
     docs = make(clean + bad)
     labels = spark.createDataFrame([(i, 1, int(i >= 60)) for i in range(100)] + [(3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labels)
