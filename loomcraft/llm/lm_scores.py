@@ -60,7 +60,7 @@ def count_table(ids: DataFrame, dtype: str) -> DataFrame:
                 own = np.frombuffer(x.as_buffer(), dtype)
                 held += [_pairs(own), -1 - own.astype(np.int64)]
                 size += 2 * len(own)
-                if size > 4_000_000 or i + 1 == batch.num_rows:
+                if size > 2_000_000 or i + 1 == batch.num_rows:
                     key, n = np.unique(np.concatenate(held), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["pair", "n"])
                     held, size = [], 0
@@ -87,8 +87,8 @@ def score(docs: DataFrame, tokenizer: str, alpha: float = ALPHA, common: int = C
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pair, times = shared.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 2_000):
-                some = batch.slice(a, 2_000)
+            for a in range(0, batch.num_rows, 1_000):
+                some = batch.slice(a, 1_000)
                 sizes, sums, rest = [], [], []
                 for x in some.column(2):
                     own = np.frombuffer(x.as_buffer(), dtype).astype(np.int64)

@@ -19,7 +19,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-WORDS_KEPT = 800_000
+WORDS_KEPT = 300_000
 # Words of two pre-tokens, letters and then a mark; lower-casing is all that is done to them first.
 _PLAIN = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)$", re.M)
 _ODD = re.compile("[\x1c-\x1f]")
