@@ -19,7 +19,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-WORDS_KEPT = 300_000
+WORDS_KEPT = 600_000
 # Words of two pre-tokens, letters and then a mark; lower-casing is all that is done to them first.
 _PLAIN = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)$", re.M)
 _ODD = re.compile("[\x1c-\x1f]")
@@ -61,8 +61,8 @@ class Encoder:
         known, marks = self.known, self.marks
         plain = _PLAIN.findall("\n".join(words))
         letters = "\n".join([core for core, _ in plain]).lower().split("\n")
-        ids_of: dict[str, bytes] = dict.fromkeys(letters)
-        cores = list(ids_of) if plain else []
+        ids_of = {low: known.get(low) for low in letters} if plain else {}
+        cores = [low for low, ids in ids_of.items() if ids is None]
         groups = [cores[i:i + _GROUP] for i in range(0, len(cores), _GROUP)]
         encoded = self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
         for group, e in zip(groups, encoded):
@@ -114,6 +114,13 @@ def encoder(path: str) -> Encoder:
     return store[path]
 
 
+def forget_words() -> None:
+    """Give back the memory of this worker's encoders, for tasks that come after the encoding."""
+    for own in vars(sys.modules.get("_loomcraft_encoders", types)).values():
+        if hasattr(own, "known"):
+            own.known.clear()
+
+
 def in_slices(encode: Callable[[Sequence[str | None]], list[bytes]], texts: Sequence[str | None], chars: int = 4_000_000):
     """Encode in slices of bounded size: ``(position, ids)`` of each text in order."""
     start = size = 0
