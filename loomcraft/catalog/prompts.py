@@ -8,7 +8,7 @@ from ..operators.prefix import concat_in_parts
 from ..operators.selection import first_rows
 from .registry import lit, query, table
 from .texts import industry_sheet
-from ..plans.curricula import industry_tasks
+from ..plans.curricula import SKIPPED_ROWS, industry_tasks
 
 SECTIONS = {
     "Role": "You write examples.\n", "Objective": "Category {category}, subcategory {subcategory}:\n{task}\n",
@@ -84,7 +84,7 @@ SELECT c_custkey AS ordinal, {sql_template(P.INDUSTRY_TEMPLATE, {
     "task": '''CAST(json_object('Category', n_name, 'SubCategory', 'Industry ' || (c_custkey // 4), 'Task', c_name) AS VARCHAR)'''})} AS prompt
 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey >= 5""")
 def industry_prompts(spark, sf):
-    tasks = industry_tasks(industry_sheet(spark, sf))
+    tasks = industry_tasks(industry_sheet(spark, sf), skip=SKIPPED_ROWS)
     return tasks.select("ordinal", P.industry_prompt("task_json", "[]", SCHEMA).alias("prompt"))
 
 

@@ -63,12 +63,14 @@ def result_store(spark, sf):
 
 @query("SELECT conv_id, turn AS rank, text AS content FROM conversations WHERE turn < 3 AND role <> 'system'")
 def search_cache(spark, sf):
-    """Search results saved per task without the unusable ones, the first three ranks read back."""
+    """Search results saved twice per task without the unusable ones, the first three ranks read back."""
     path = fresh_path(spark, "search")
     found = table(spark, sf, "conversations").select(
         F.col("role").alias("category"), F.lit("all").alias("subcategory"), "conv_id", F.col("turn").alias("rank"),
         F.when(F.col("role") != "system", F.lit("http://x")).alias("url"), F.col("text").alias("content"))
-    sinks.save_search_results(found, path)
+    keys = ["category", "subcategory", "conv_id", "rank"]
+    sinks.save_search_results(found, path, keys)
+    sinks.save_search_results(found, path, keys)
     return scans.scan_search_results(spark, path, 3).select("conv_id", "rank", "content")
 
 
@@ -78,7 +80,7 @@ def dataset_round_trip(spark, sf):
     path = fresh_path(spark, "dataset")
     docs = table(spark, sf, "documents")
     sinks.save_dataset(docs, path + "-json", "json")
-    lines = spark.read.schema(docs.schema).json(path + "-json")
+    lines = scans.scan_dataset(spark, path + "-json", "json").select(*[F.col(f.name).cast(f.dataType) for f in docs.schema])
     sinks.save_dataset(lines, path + "-parquet")
     return scans.scan_dataset(spark, path + "-parquet")
 

@@ -162,7 +162,7 @@ SELECT c_custkey AS ordinal, CAST(p AS INTEGER) AS position, '{"Task":"' || c_na
 FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES (0), (1)) t(p)
 WHERE c_custkey >= 5 AND n_name NOT LIKE '%7'""")
 def industry_generation(spark, sf):
-    return C.generate_industry_tasks(industry_sheet(spark, sf), "[]", "{}", industry)
+    return C.generate_industry_tasks(industry_sheet(spark, sf), "[]", "{}", industry, skip=C.SKIPPED_ROWS)
 
 
 def enricher(prompt: str) -> str:

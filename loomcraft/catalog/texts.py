@@ -6,7 +6,7 @@ from ..functions import text as X
 from ..operators import selection as S
 from ..operators.pages import extract_pages
 from ..operators.prefix import forward_fill
-from ..plans.curricula import industry_tasks
+from ..plans.curricula import SKIPPED_ROWS, industry_tasks
 from ..sources.scans import usable_code
 from .registry import query, table
 
@@ -155,7 +155,7 @@ WHERE regexp_matches(name, '\\.(py|ipynb|txt|js)$') AND name <> '__init__.py' AN
 QUALIFY row_number() OVER (PARTITION BY name ORDER BY path) = 1""")
 def code_files(spark, sf):
     files = code_corpus(spark, sf)
-    return usable_code(files).select("path", "name", "code", X.task_file_name("path").alias("task_file"))
+    return usable_code(files, max_chars=X.SOURCE_FILE_CHARS).select("path", "name", "code", X.task_file_name("path").alias("task_file"))
 
 
 def code_corpus(spark, sf):
@@ -250,7 +250,7 @@ SELECT ordinal, grp AS category, industry AS subcategory, sub AS task,
        '{{"Category":"' || grp || '","SubCategory":"' || industry || '","Task":"' || sub || '"}}' AS task_json
 FROM ({SQL_SHEET}) WHERE ordinal >= 5""")
 def industry_curriculum(spark, sf):
-    return industry_tasks(industry_sheet(spark, sf))
+    return industry_tasks(industry_sheet(spark, sf), skip=SKIPPED_ROWS)
 
 
 def industry_sheet(spark, sf):

@@ -71,9 +71,10 @@ def fenced_tools(tools_json) -> Column:
 
 
 def tool_response_block(name, content) -> Column:
-    """One tool result; ``content`` is JSON text and stands unquoted."""
+    """One tool result; ``content`` is JSON text and stands unquoted. A null name is empty, null content is ``null``."""
     return F.concat(
-        F.lit('<tool_response>\n{"name": "'), _col(name), F.lit('", "content": '), _col(content),
+        F.lit('<tool_response>\n{"name": "'), F.coalesce(_col(name), F.lit("")), F.lit('", "content": '),
+        F.coalesce(_col(content), F.lit("null")),
         F.lit("}\n</tool_response>\n"),
     )
 
@@ -83,7 +84,9 @@ def joined(items: Column) -> Column:
 
 
 def chatml_message(role, content) -> Column:
-    return F.concat(F.lit(CHATML_START), _col(role), F.lit("\n"), _col(content), F.lit(CHATML_END))
+    """One message; a null role or content is empty, so no message is ever lost in joining."""
+    empty = F.lit("")
+    return F.concat(F.lit(CHATML_START), F.coalesce(_col(role), empty), F.lit("\n"), F.coalesce(_col(content), empty), F.lit(CHATML_END))
 
 
 def chatml(messages, generation_prompt: bool = False) -> Column:

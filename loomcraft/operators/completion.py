@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -51,16 +51,14 @@ def complete(
                 time.sleep(wait_seconds)
         return None, error, attempts
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            answers = [ask(t) if isinstance(t, str) else (None, "no prompt", 0) for t in pdf[prompt]]
-            yield pdf.assign(
-                completion=[a[0] for a in answers], error=[a[1] for a in answers], attempts=[a[2] for a in answers]
-            )
+    # Only the prompt goes through Python; the other columns keep their types and values.
+    @F.pandas_udf("completion string, error string, attempts int")
+    def run(prompts: pd.Series) -> pd.DataFrame:
+        answers = [ask(t) if isinstance(t, str) else (None, "no prompt", 0) for t in prompts]
+        return pd.DataFrame(answers, columns=["completion", "error", "attempts"])
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    answered = rows.mapInPandas(run, f"{columns}, completion string, error string, attempts int")
-    return written(answered, name)
+    answered = written(rows.withColumn("_answer", run.asNondeterministic()(F.col(prompt))), name)
+    return answered.select(*[F.col(f"`{c}`") for c in df.columns], "_answer.completion", "_answer.error", "_answer.attempts")
 
 
 def failures(answered: DataFrame) -> DataFrame:

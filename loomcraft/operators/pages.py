@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -91,13 +90,13 @@ class _Page(HTMLParser):
 
 def extract_pages(df: DataFrame, page_html: str = "html") -> DataFrame:
     """Replace the page's HTML by ``content`` (paragraph texts) and ``tables`` (cells per row per table)."""
-    kept = [f for f in df.schema.fields if f.name != page_html]
+    kept = [F.col(f"`{c}`") for c in df.columns if c != page_html]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [_Page().read(h) if isinstance(h, str) else (None, None) for h in pdf[page_html]]
-            yield pdf[[f.name for f in kept]].assign(content=[c for c, _ in found], tables=[t for _, t in found])
+    # Only the page goes through Python; the other columns keep their types and values.
+    @F.pandas_udf("content string, tables array<array<array<string>>>")
+    def read(pages: pd.Series) -> pd.DataFrame:
+        found = [_Page().read(h) if isinstance(h, str) else (None, None) for h in pages]
+        return pd.DataFrame(found, columns=["content", "tables"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
-                       + ["content string", "tables array<array<array<string>>>"])
-    return df.mapInPandas(read, schema).withColumn("content", collapse_spaces(F.col("content")))
+    parsed = df.select(*kept, F.explode(F.array(read(F.col(page_html)))).alias("_page"))
+    return parsed.select(*kept, collapse_spaces(F.col("_page.content")).alias("content"), F.col("_page.tables").alias("tables"))

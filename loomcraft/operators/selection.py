@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def not_done(tasks: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Tasks without a result yet. Keys are reduced before the join, so repeated results cost nothing."""
-    return tasks.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    """Tasks without a result yet, null keys equal to null. Keys are reduced before the join, so repeated results cost nothing."""
+    known = done.select(*[F.col(k).alias(f"_done_{k}") for k in keys]).distinct()
+    met = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_done_{k}")) for k in keys])
+    return tasks.join(known, met, "left_anti")
 
 
 def first_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:

@@ -20,7 +20,7 @@ from ..operators.validation import task_schemas_present
 from ..session import written
 from .export import json_mode_parts
 
-# Fixed value: rows at the head of the industry list that are not used.
+# Fixed value: rows at the head of the published industry list that are not used; callers pass it.
 SKIPPED_ROWS = 5
 SHEET = ("Sector", "Industry Group", "Industry", "Sub-Industry")
 
@@ -56,14 +56,14 @@ def retry_invalid(
         checked = valid_objects(good)
         fine = written(checked.filter("valid").select(key, "record", "json_object"), "accepted")
         accepted = fine if accepted is None else accepted.unionByName(fine)
-        todo = not_done(todo, fine, [key])
+        todo = written(not_done(todo, fine, [key]), "to-ask-again")
         if todo.isEmpty():
             break
     return accepted
 
 
-def industry_tasks(rows: DataFrame, ordinal: str = "ordinal", skip: int = SKIPPED_ROWS) -> DataFrame:
-    """Curriculum rows of an industry sheet: merged cells filled down, columns renamed, head rows skipped."""
+def industry_tasks(rows: DataFrame, ordinal: str = "ordinal", skip: int = 0) -> DataFrame:
+    """Curriculum rows of an industry sheet: merged cells filled down, columns renamed, the first ``skip`` rows left out."""
     filled = forward_fill(rows, SHEET, ordinal)
     group, industry, sub = (F.col(f"`{c}`") for c in SHEET[1:])
     line = F.concat(
@@ -76,11 +76,11 @@ def industry_tasks(rows: DataFrame, ordinal: str = "ordinal", skip: int = SKIPPE
 
 
 def generate_industry_tasks(
-    rows: DataFrame, examples: str, schema_text: str, client: Client, concurrency: int | None = None
+    rows: DataFrame, examples: str, schema_text: str, client: Client, concurrency: int | None = None, skip: int = 0
 ) -> DataFrame:
     """Five tasks with schemas per industry row: ``ordinal, position, task_json``. A reply in which any
     task lacks its schema is not used."""
-    tasks = industry_tasks(rows).withColumn("prompt", industry_prompt("task_json", examples, schema_text))
+    tasks = industry_tasks(rows, skip=skip).withColumn("prompt", industry_prompt("task_json", examples, schema_text))
     answered = complete(tasks.select("ordinal", "prompt"), "prompt", client, concurrency=concurrency, name="industry-tasks")
     good, _ = parse_replies(answered, "completion")
     usable = good.filter(task_schemas_present("reply"))

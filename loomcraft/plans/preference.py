@@ -16,7 +16,6 @@ from ..operators.selection import first_rows, not_done, with_side_sets
 from ..session import written
 
 _CALLS = "array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>"
-MAX_FILES = 50
 
 
 def _all_accepted(verdicts: Column) -> Column:
@@ -78,10 +77,10 @@ def paired(rejected: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def build_preferences(
-    records: DataFrame, client: Client, done: DataFrame | None = None, max_files: int | None = MAX_FILES,
+    records: DataFrame, client: Client, done: DataFrame | None = None, max_files: int | None = None,
     concurrency: int | None = None,
 ) -> DataFrame:
-    """Preference pairs from a result tree scan (``id, source, record``), at most ``max_files`` in source order."""
+    """Preference pairs from a result tree scan (``id, source, record``); with ``max_files`` the first that many in source order."""
     if done is not None:
         records = not_done(records, done, ["id"])
     parsed = parse_records(records)

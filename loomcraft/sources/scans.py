@@ -8,12 +8,13 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.jsons import is_json
-from ..functions.text import SOURCE_FILE_CHARS, is_blank, path_labels, to_last_full_stop
+from ..functions.text import is_blank, path_labels, to_last_full_stop
 from ..operators.selection import first_per_name
 from ..session import written
 
 # The source files tasks are mined from.
 CODE_SUFFIX = r"\.(py|ipynb|txt|js)\z"
+CODE_GLOB = "*.{py,ipynb,txt,js}"
 PACKAGE_FILE = "__init__.py"
 # Layout of the industry sheet, rows above the header and the columns used.
 SHEET_HEADER_ROWS = 3
@@ -107,19 +108,21 @@ def scan_industry_sheet(spark: SparkSession, path: str) -> DataFrame:
     return industry_rows(with_ordinal(spark.read.option("multiLine", True).option("escape", '"').csv(path), place()))
 
 
-def usable_code(files: DataFrame, path: str = "path", code: str = "code") -> DataFrame:
-    """Source files to mine: known suffix, not a package file, not blank, first of a name, cut to the limit."""
+def usable_code(files: DataFrame, path: str = "path", code: str = "code", max_chars: int | None = None) -> DataFrame:
+    """Source files to mine: known suffix, not a package file, not blank, first of a name; whole, unless ``max_chars`` is given."""
     named = files.withColumn("name", F.substring_index(F.col(path), "/", -1)).filter(
         F.col("name").rlike(CODE_SUFFIX) & (F.col("name") != PACKAGE_FILE) & ~is_blank(code)
     )
-    return first_per_name(named, "name", path).withColumn(code, F.substring(F.col(code), 1, SOURCE_FILE_CHARS))
+    first = first_per_name(named, "name", path)
+    return first if max_chars is None else first.withColumn(code, F.substring(F.col(code), 1, max_chars))
 
 
-def scan_code(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(
+def scan_code(spark: SparkSession, root: str, max_chars: int | None = None) -> DataFrame:
+    """The usable source files below ``root``; files of other suffixes are not read."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", CODE_GLOB).text(root, wholetext=True).select(
         _file_path().alias("path"), F.col("value").alias("code")
     )
-    return usable_code(files)
+    return usable_code(files, max_chars=max_chars)
 
 
 def scan_search_results(spark: SparkSession, path: str, num_results: int) -> DataFrame:
@@ -128,8 +131,10 @@ def scan_search_results(spark: SparkSession, path: str, num_results: int) -> Dat
 
 
 def scan_dataset(spark: SparkSession, path: str, fmt: str = "parquet", num_samples: int | None = None) -> DataFrame:
-    """A published data set, a columnar table or a JSON array; with ``num_samples`` its first rows."""
-    rows = spark.read.json(path, multiLine=True) if fmt == "json" else spark.read.format(fmt).load(path)
+    """A published data set; with ``num_samples`` its first rows.
+
+    ``json`` is JSON lines, as ``save_dataset`` writes them; ``json_array`` is one array a file."""
+    rows = spark.read.json(path, multiLine=True) if fmt == "json_array" else spark.read.format(fmt).load(path)
     if num_samples is None:
         return rows
     return with_ordinal(rows, place()).filter(F.col("ordinal") < num_samples).drop("ordinal")

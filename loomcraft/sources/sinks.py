@@ -21,18 +21,28 @@ def save_results(results: DataFrame, path: str, keys: Sequence[str] = ("category
 
     Rows are rebalanced by folder: AQE splits a folder that holds most tasks over many writers and
     lets small folders share one."""
-    spark = results.sparkSession
-    try:
-        done = spark.read.parquet(path)
-    except AnalysisException:  # nothing saved yet
-        done = None
-    fresh = not_done(results, done, keys) if done is not None else results
+    fresh = _unsaved(results, path, keys)
     fresh.hint("rebalance", "category", "subcategory").write.mode("append").partitionBy("category", "subcategory").parquet(path)
 
 
-def save_search_results(results: DataFrame, path: str) -> None:
-    """Fetched documents of each task; unusable ones are dropped, the others keep their rank."""
-    usable_documents(results).hint("rebalance", "category", "subcategory").write.mode("append").partitionBy("category", "subcategory").parquet(path)
+def _unsaved(rows: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """One row for each key that isn't below ``path`` yet. Folder names are read with the types of ``rows``, not guessed."""
+    rows = rows.dropDuplicates(list(keys))
+    try:
+        done = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return rows
+    return not_done(rows, done, keys)
+
+
+def save_search_results(
+    results: DataFrame, path: str, keys: Sequence[str] = ("category", "subcategory", "task", "rank")
+) -> None:
+    """Fetched documents of each task; unusable ones are dropped, the others keep their rank. What is there already is left alone."""
+    fresh = _unsaved(usable_documents(results), path, keys)
+    fresh.hint("rebalance", "category", "subcategory").write.mode("append").partitionBy("category", "subcategory").parquet(path)
 
 
 def append_tasks(tasks: DataFrame, path: str) -> None:

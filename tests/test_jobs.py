@@ -8,7 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomcraft.catalog import QUERIES
+from loomcraft.functions import messages
+from loomcraft.operators.completion import complete
 from loomcraft.operators.conversations import parse_records
+from loomcraft.operators.pages import extract_pages
 from loomcraft.plans import export, generation as G, preference
 from loomcraft.sources import scans, sinks
 from loomcraft.streaming import index as I
@@ -70,7 +73,9 @@ def test_code_scan(spark, tmp_path):
     for name, text in {"a/x.py": "first", "b/x.py": "second", "a/__init__.py": "z", "a/blank.js": " \n", "a/n.md": "no", "c/l.txt": "q" * 250_010}.items():
         write(f"{tmp_path}/src/{name}", text)
     rows = {r.name: r.code for r in scans.scan_code(spark, f"{tmp_path}/src").collect()}
-    assert rows == {"x.py": "first", "l.txt": "q" * 250_000}
+    assert rows == {"x.py": "first", "l.txt": "q" * 250_010}
+    cut = {r.name: r.code for r in scans.scan_code(spark, f"{tmp_path}/src", 250_000).collect()}
+    assert cut == {"x.py": "first", "l.txt": "q" * 250_000}
 
 
 def test_examples_and_sheet(spark, tmp_path):
@@ -168,3 +173,41 @@ def test_records_keep_null_calls_apart_from_empty_ones(spark):
     texts = ['{"messages": [{"role": "assistant", "tool_calls": []}, {"role": "assistant", "tool_calls": null}], "tools": []}']
     row = parse_records(spark.createDataFrame([(t,) for t in texts], "record string")).first()
     assert [m["tool_calls"] for m in row.messages] == [[], None]
+
+
+def test_json_data_sets_come_back_whole(spark, tmp_path):
+    rows = spark.range(100).select("id", F.lit("a").alias("x"))
+    sinks.save_dataset(rows, f"{tmp_path}/lines", "json")
+    assert sorted(r.id for r in scans.scan_dataset(spark, f"{tmp_path}/lines", "json").collect()) == list(range(100))
+    write(f"{tmp_path}/array/a.json", '[{"id": 1}, {"id": 2}]')
+    assert sorted(r.id for r in scans.scan_dataset(spark, f"{tmp_path}/array", "json_array").collect()) == [1, 2]
+
+
+def test_other_columns_pass_completion_and_extraction_unchanged(spark):
+    big = 2**53 + 1
+    rows = spark.createDataFrame([(big, "p", "<p>x</p>"), (None, "q", None)], "id long, prompt string, html string")
+    answered = complete(rows, "prompt", str.upper)
+    assert {(r.id, r.completion, r.attempts) for r in answered.collect()} == {(big, "P", 1), (None, "Q", 1)}
+    assert {(r.id, r.content) for r in extract_pages(rows).collect()} == {(big, "x"), (None, None)}
+
+
+def test_sinks_save_a_key_once(spark, tmp_path):
+    schema = "category string, subcategory string, task string, reply string"
+    rows = spark.createDataFrame([("01", "s", "t", "r"), (None, "s", "t", "r"), ("01", "s", "t", "again")], schema)
+    for _ in range(2):
+        sinks.save_results(rows, f"{tmp_path}/results")
+    saved = spark.read.schema(schema).parquet(f"{tmp_path}/results").collect()
+    assert sorted((r.category is not None, r.category) for r in saved) == [(False, None), (True, "01")]
+    found = spark.createDataFrame([("c", "s", "t", 0, "u", "text"), ("c", "s", "t", 1, "u", "more")],
+                                  "category string, subcategory string, task string, rank int, url string, content string")
+    for _ in range(2):
+        sinks.save_search_results(found, f"{tmp_path}/search")
+    assert spark.read.parquet(f"{tmp_path}/search").count() == 2
+
+
+def test_no_message_is_lost_for_a_null(spark):
+    turns = spark.createDataFrame([([("user", "hi"), ("assistant", None), (None, "x")],)], "m array<struct<role:string,content:string>>")
+    text = turns.select(messages.chatml("m").alias("t")).first().t
+    assert text.count(messages.CHATML_START) == 3
+    block = turns.select(messages.tool_response_block(F.lit(None).cast("string"), F.lit(None).cast("string")).alias("t")).first().t
+    assert '"content": null' in block
