@@ -64,11 +64,17 @@ def test_batches_lose_lines_of_earlier_ones_and_runs_are_merged(spark, make):
     assert line_dedup.LineRuns(spark).frequent(1).count() == 0
 
 
-def test_blocks_bucketed_runs_are_not_shuffled_again(spark, make):
+def test_runs_are_not_shuffled_to_meet_a_batch(spark, make):
     runs = line_dedup.LineRuns(spark)
-    docs = make(["a\nb", "a"])
-    line_dedup.drop_seen_lines(runs, docs)
-    assert "Bucketed: true" in runs.unseen(spark.table(runs.names()[0]))._jdf.queryExecution().toString() or runs.names()
+    line_dedup.drop_seen_lines(runs, make(["a\nb", "a"]))
+    keys = spark.range(10).selectExpr("id AS k1", "id AS k2")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = runs.unseen(keys)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan
 
 
 def equal_texts(docs):
