@@ -20,11 +20,16 @@ import hashlib
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .columns import join_same, text_of
 from .tokens import encoder, in_slices
 
+# Words an encoder keeps here, and the rows and characters it is given at a time: they bound a worker's memory.
+WORDS_KEPT = 200_000
+_ROWS = 256
+_CHARS = 500_000
 _KEY = ["doc_id", "version"]
 _GROUP = ["source", "lang", "version"]
 LEDGER = "doc_id long, version string, source string, lang string, tokens long, alive boolean, seq long, batch string"
@@ -34,13 +39,13 @@ DELTAS = "source string, lang string, version string, docs long, tokens long, ba
 def tokenizer_count(path: str) -> Callable[[Column], Column]:
     """Counts the ids of a tokenizer."""
 
-    @F.pandas_udf("long")
-    def count(texts):
-        import pandas as pd
-
-        own = encoder(path)
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        own = encoder(path, WORDS_KEPT)
         width = np.dtype(own.dtype).itemsize
-        return pd.Series([len(ids) // width for _, ids in in_slices(own.encode, texts.tolist())], dtype="int64")
+        sizes = [len(ids) // width for i in range(0, len(texts), _ROWS)
+                 for _, ids in in_slices(own.encode, texts.slice(i, _ROWS).to_pylist(), _CHARS)]
+        return pa.array(sizes, pa.int64())
 
     return count
 

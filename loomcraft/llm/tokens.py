@@ -106,11 +106,12 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker: kept over tasks, with the words it has met."""
+def encoder(path: str, words_kept: int = WORDS_KEPT) -> Encoder:
+    """The encoder of this Python worker: kept over tasks, with the words it has met, ``words_kept`` about."""
     store = sys.modules.setdefault("_loomcraft_encoders", types.ModuleType("_loomcraft_encoders")).__dict__
     if path not in store:
         store[path] = Encoder(path)
+    store[path].words_kept = words_kept
     return store[path]
 
 
