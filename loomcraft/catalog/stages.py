@@ -78,9 +78,9 @@ def forward_generation(spark, sf):
         F.concat_ws(" ", "p_name", "p_brand").alias("content"))
     documents = (
         shipped.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(prepared.select("s_suppkey", "path"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .select("path", F.col("p_partkey").alias("rank"), "url", "content", F.lit(None).cast("array<array<array<string>>>").alias("tables")))
-    done = prepared.filter("s_nationkey = 0").select("path")
+        .join(prepared.select("s_suppkey", "task_key"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .select("task_key", F.col("p_partkey").alias("rank"), "url", "content", F.lit(None).cast("array<array<array<string>>>").alias("tables")))
+    done = prepared.filter("s_nationkey = 0").select("task_key")
     good, _ = G.generate_forward(suppliers, documents, None, FORWARD, "{}", summarise, "acme", RUN_DATE, 4500, done)
     return good.select("path", "category", "subcategory", "task", "reply")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,16 +17,21 @@ VOID = frozenset(
     "basefont bgsound command frame image isindex nextid spacer".split()
 )
 HIDDEN = frozenset(["script", "style", "template", "rt", "rp"])
+# Elements whose end tag may be left out: the next one closes them unless a new element of this kind lies between.
+IMPLIED_ENDS = {"p": "td", "td": "table", "tr": "table"}
 
 
 class _Page(HTMLParser):
     """Collects paragraph texts and table cells while the parser runs.
 
-    An unclosed ``<p>`` stays open, so a paragraph also holds the text of those that follow inside it."""
+    An unclosed ``<p>`` ends at the next one of its cell, an unclosed cell or row at the next one of its table, so
+    text is kept once however many are left open. Text in nested tables belongs to the cells around it too."""
 
     def __init__(self):
         super().__init__(convert_charrefs=False)
         self.open, self.text = [], []
+        # Where and with what store each kind of element is open, innermost last.
+        self.inside = defaultdict(list)
         self.paragraphs, self.tables = [], []
 
     def updatepos(self, i, j):
@@ -34,35 +40,43 @@ class _Page(HTMLParser):
 
     def _flush(self):
         text, self.text = "".join(self.text), []
-        if not text or any(name in HIDDEN for name, _ in self.open):
+        if not text or any(self.inside[name] for name in HIDDEN):
             return
-        for name, store in self.open:
-            if name == "p":
-                store.append(text)
-            elif name == "td" and text.strip():
+        for _, store in self.inside["p"]:
+            store.append(text)
+        if text.strip():
+            for _, store in self.inside["td"]:
                 store.append(text.strip())
 
+    def _innermost(self, tag):
+        return self.inside[tag][-1][0] if self.inside[tag] else -1
+
+    def _close(self, depth):
+        while len(self.open) > depth:
+            self.inside[self.open.pop()].pop()
+
     def handle_starttag(self, tag, attrs):
         self._flush()
         if tag in VOID:
             return
+        around = IMPLIED_ENDS.get(tag)
+        if around and self._innermost(tag) > self._innermost(around):
+            self._close(self._innermost(tag))
         store = []
         if tag == "p":
             self.paragraphs.append(store)
         elif tag == "table":
             self.tables.append(store)
         elif tag in ("tr", "td"):
-            parent = "table" if tag == "tr" else "tr"
-            for name, rows in self.open:
-                if name == parent:
-                    rows.append(store)
-        self.open.append((tag, store))
+            for _, rows in self.inside["table" if tag == "tr" else "tr"]:
+                rows.append(store)
+        self.inside[tag].append((len(self.open), store))
+        self.open.append(tag)
 
     def handle_endtag(self, tag):
         self._flush()
-        if any(name == tag for name, _ in self.open):
-            while self.open.pop()[0] != tag:
-                pass
+        if self.inside[tag]:
+            self._close(self._innermost(tag))
 
     def handle_data(self, data):
         self.text.append(data)

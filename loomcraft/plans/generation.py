@@ -21,10 +21,13 @@ EXAMPLES_PER_PROMPT = 2
 
 
 def prepared_tasks(tasks: DataFrame, vendor: str, run_date: str, context_tokens: int, stepwise: bool = False) -> DataFrame:
-    """Tasks (``category, subcategory, task``) with ``path`` (their key), search query and character budget."""
+    """Tasks (``category, subcategory, task``), equal ones once, with ``task_key``, search query and character budget.
+
+    The key is made of the whole texts; ``path`` is a label, in which long names are cut and may meet."""
     slug = X.task_slug("task")
-    return tasks.select(
+    return tasks.dropDuplicates(["category", "subcategory", "task"]).select(
         "*",
+        F.sha2(F.to_json(F.array("category", "subcategory", "task")), 256).alias("task_key"),
         X.search_query("category", "subcategory", "task").alias("search_query"),
         X.result_path(F.lit(vendor), F.lit(run_date), "category", "subcategory", slug).alias("path"),
         X.character_budget(F.lit(context_tokens), stepwise).alias("budget"),
@@ -32,12 +35,12 @@ def prepared_tasks(tasks: DataFrame, vendor: str, run_date: str, context_tokens:
 
 
 def example_texts(tasks: DataFrame, index: DataFrame, k: int = EXAMPLES_PER_PROMPT, messages_only: bool = False) -> DataFrame:
-    """The ``k`` index entries nearest to each task's ``embedding``, as one text per task ``path``."""
+    """The ``k`` index entries nearest to each task's ``embedding``, as one text per ``task_key``."""
     ranked = nearest(
-        tasks.select("path", "embedding"), index.select("source", "embedding"), k, query_id="path", vector_id="source"
+        tasks.select("task_key", "embedding"), index.select("source", "embedding"), k, query_id="task_key", vector_id="source"
     )
     contents = index.groupBy("source").agg(F.min_by("content", "seq_num").alias("content"))
-    return pack_examples(ranked.join(contents, "source"), ["path"], "rank", messages_only=messages_only)
+    return pack_examples(ranked.join(contents, "source"), ["task_key"], "rank", messages_only=messages_only)
 
 
 def prompted_tasks(
@@ -45,11 +48,11 @@ def prompted_tasks(
 ) -> DataFrame:
     """Prepared tasks with documents, examples and the filled-in prompt.
 
-    ``documents``: ``path, rank, url, content, tables`` (rank unique within a path)."""
-    budgets = tasks.select("path", "budget")
-    packs = pack_documents(documents.join(budgets, "path"), ["path"], "rank", "budget", tables="tables")
+    ``documents``: ``task_key, rank, url, content, tables`` (rank unique within a task)."""
+    budgets = tasks.select("task_key", "budget")
+    packs = pack_documents(documents.join(budgets, "task_key"), ["task_key"], "rank", "budget", tables="tables")
     examples = example_texts(tasks, index) if index is not None else None
-    joined = enrich_tasks(tasks, packs, examples, ["path"])
+    joined = enrich_tasks(tasks, packs, examples, ["task_key"])
     if examples is None:
         joined = joined.withColumn("examples", F.lit(""))
     variables: dict[str, Column | str] = {n: n for n in ("category", "subcategory", "task", "doc_list", "examples")}
@@ -63,12 +66,12 @@ def generate_forward(
     client: Client, vendor: str, run_date: str, context_tokens: int, done: DataFrame | None = None,
     concurrency: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Records for all tasks not in ``done``: results (``path, …, reply``) and the tasks without one."""
+    """Records for all tasks not in ``done`` (``task_key``): results (``task_key, path, …, reply``) and the tasks without one."""
     todo = prepared_tasks(tasks, vendor, run_date, context_tokens)
     if done is not None:
-        todo = not_done(todo, done, ["path"])
+        todo = not_done(todo, done, ["task_key"])
     prompted = prompted_tasks(todo, documents, index, sections, output_schema)
-    kept = [c for c in ("path", "category", "subcategory", "task") if c in prompted.columns]
+    kept = [c for c in ("task_key", "path", "category", "subcategory", "task") if c in prompted.columns]
     answered = complete(prompted.select(*kept, "prompt"), "prompt", client, concurrency=concurrency)
     return parse_replies(answered.drop("prompt"), "completion")
 

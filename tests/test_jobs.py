@@ -98,7 +98,7 @@ def test_forward_generation_resumes(spark):
     tasks = spark.createDataFrame([("c", "s", f"t {i}", [float(i), 1.0]) for i in range(4)], "category string, subcategory string, task string, embedding array<float>")
     index = spark.createDataFrame([("ex/a.json", 1, "EX-A", [0.0, 1.0]), ("ex/b.json", 1, "EX-B", [5.0, 1.0])], "source string, seq_num int, content string, embedding array<float>")
     prepared = G.prepared_tasks(tasks, "v", "2024-01-01", 5000)
-    docs = prepared.select("path", F.lit(0).alias("rank"), F.lit("u").alias("url"), F.lit("doc!").alias("content"),
+    docs = prepared.select("task_key", F.lit(0).alias("rank"), F.lit("u").alias("url"), F.lit("doc!").alias("content"),
                            F.lit(None).cast("array<array<array<string>>>").alias("tables"))
     sections = {"Documents": "{doc_list}", "Examples": "{examples}", "Objective": "{task} {{x}}"}
     client = lambda p: json.dumps({"docs": p.count("<doc "), "best": re.search(r"EX-[AB]", p).group(), "ok": "{x}" in p}) if "t 3" not in p else "sorry"
@@ -110,6 +110,20 @@ def test_forward_generation_resumes(spark):
     assert again.count() == 0
 
 
+def test_tasks_alike_in_their_first_letters_stay_apart(spark):
+    long = "x" * 70
+    rows = [("c", "s", long + "1"), ("c", "s", long + "2"), ("c", "s", long + "2"), ("c", None, "t"), ("c", None, "t")]
+    tasks = spark.createDataFrame(rows, "category string, subcategory string, task string")
+    prepared = G.prepared_tasks(tasks, "v", "2024-01-01", 5000)
+    docs = prepared.select("task_key", F.lit(0).alias("rank"), F.lit("u").alias("url"), F.col("task").alias("content"),
+                           F.lit(None).cast("array<array<array<string>>>").alias("tables"))
+    client = lambda p: json.dumps({"docs": p.count("<doc ")})
+    good, bad = G.generate_forward(tasks, docs, None, {"Documents": "{doc_list}"}, "{}", client, "v", "2024-01-01", 5000)
+    got = good.collect()
+    assert sorted((r.task, json.loads(r.reply)["docs"]) for r in got) == [("t", 1), (long + "1", 1), (long + "2", 1)]
+    assert len({r.task_key for r in got}) == 3 and bad.count() == 0
+
+
 def test_preferences_from_a_tree(spark):
     good = json.loads(json.dumps(RECORD).replace('\\"x\\"', "1"))
     records = spark.createDataFrame([(f"i{n}", f"s{n}", json.dumps(r)) for n, r in enumerate([RECORD, good, RECORD])], "id string, source string, record string")

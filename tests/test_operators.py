@@ -121,7 +121,11 @@ def test_completion_keeps_errors_and_counts_attempts(spark, tmp_path):
 def test_pages():
     read = lambda page: _Page().read(page)
     assert read("<p> a </p><div>x</div><p></p><p>b<br>c</p>") == ("a bc", [])
-    assert read("<p>a<p>b") == ("ab b", [])
+    # Left out, the end of a paragraph, cell or row is where the next one starts: no text is kept twice.
+    assert read("<p>a<p>b") == ("a b", [])
+    assert read("<table><tr><td>a<td>b<tr><td>c</table>") == ("", [[["a", "b"], ["c"]]])
+    assert read("<p>x<table><tr><td><p>y<p>z</table>w") == ("xyzw y z", [[["yz"]]])
+    assert len(read("<p>ab" * 20_000)[0]) == 3 * 20_000 - 1
     assert read("<p>a<script>var p='</p>'</script>b</p><!-- <p>no</p> --></p><p>&amp; &lt;&nosuch; &#233;</p>")[0] == "ab & <&nosuch é"
     table = "<table><tr><th>h</th></tr><tr><td> a <b>b </b></td><td></td></tr></table><table></table>"
     assert read(table) == ("", [[[], ["ab", ""]], []])
@@ -146,6 +150,14 @@ SCHEMA_CASES = [
     ('{"pattern": "^a"}', '"ba"', False), ('{"multipleOf": 0.5}', "1.5", True), ('{"exclusiveMaximum": 5}', "5", False),
     ('{"format": "email"}', '"nobody"', True), ('{"Model": {"whatever": 1}}', '{"x": 1}', True), ('{"type": "object"}', "{oops", False),
     ('{"$ref": "#"}', "1", False), (None, "1", False),
+    ('{"properties": {"x": {"type": "nope"}}}', '{"a": 1}', False), ('{"required": "a"}', '{"a": 1}', False),
+    ('{"properties": {"x": {"minLength": -1}}}', '{"a": 1}', False), ('{"anyOf": []}', "1", False), ('{"pattern": "("}', "1", False),
+    ('{"$defs": {"unused": 5}}', "1", False), ('{"dependentRequired": {"a": ["b"]}}', '{"a": 1}', False),
+    ('{"dependentSchemas": {"a": {"required": ["b"]}}}', '{"a": 1, "b": 2}', True),
+    ('{"contains": {"type": "integer"}, "minContains": 0}', '[["a"]]', True),
+    ('{"contains": {"type": "integer"}, "minContains": 2}', '[["a", 1]]', False), ('{"contains": {"type": "integer"}, "maxContains": 1}', "[[1, 2]]", False),
+    ('{"$schema": "http://json-schema.org/draft-07/schema#", "items": [{"type": "integer"}], "additionalItems": false}', '[[1, 2]]', False),
+    ('{"$schema": "http://json-schema.org/draft-07/schema#", "items": [{"type": "integer"}]}', '[[1, "b"]]', True), ('{"items": [{}]}', "[[1]]", False),
 ]
 
 
