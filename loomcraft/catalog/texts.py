@@ -116,7 +116,18 @@ def tables_markdown(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", X.markdown_tables(tables).alias("markdown"))
 
 
-@query()
+@query(r"""
+WITH shown AS (SELECT page_id, url, regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g') AS body FROM pages),
+paragraphs AS (
+  SELECT page_id, place, regexp_replace(regexp_replace(piece, '(?s)</(p|article|body|html)>.*', ''), '<[^>]*>', '', 'g') AS words
+  FROM (SELECT page_id, unnest(string_split(body, '<p>')[2:]) AS piece, generate_subscripts(string_split(body, '<p>')[2:], 1) AS place
+        FROM shown)),
+texts AS (
+  SELECT page_id, place, trim(replace(replace(replace(replace(words, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'),
+                              ' ' || chr(9) || chr(10) || chr(13)) AS text FROM paragraphs)
+SELECT page_id, url, coalesce(regexp_replace(content, '[ \t\n\r]+', ' ', 'g'), '') AS content, []::VARCHAR[][][] AS tables
+FROM shown LEFT JOIN (SELECT page_id, string_agg(text, ' ' ORDER BY place) AS content FROM texts WHERE text <> '' GROUP BY page_id)
+USING (page_id)""")
 def page_extract(spark, sf):
     return extract_pages(table(spark, sf, "pages", spread_out=True))
 
