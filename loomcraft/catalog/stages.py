@@ -85,6 +85,25 @@ def forward_generation(spark, sf):
     return good.select("path", "category", "subcategory", "task", "reply")
 
 
+SAME_START = "Describe the calls that a document of this language and source needs, given its length of "
+
+
+@query(f"""
+SELECT DISTINCT lang AS category, source AS subcategory, '{SAME_START}' || n_chars AS task,
+       '{{"c": "' || lang || '", "s": "' || source || '", "docs": 1}}' AS reply
+FROM documents""")
+def repeated_tasks(spark, sf):
+    """Tasks that many documents repeat and that differ only behind a long common start; each has one document to read."""
+    tasks = table(spark, sf, "documents").select(
+        F.col("lang").alias("category"), F.col("source").alias("subcategory"),
+        F.concat(F.lit(SAME_START), F.col("n_chars").cast("string")).alias("task"))
+    documents = G.prepared_tasks(tasks, "acme", RUN_DATE, 4500).select(
+        "task_key", F.lit(0).alias("rank"), F.lit("u").alias("url"), F.col("task").alias("content"),
+        F.lit(None).cast("array<array<array<string>>>").alias("tables"))
+    good, _ = G.generate_forward(tasks, documents, None, FORWARD, "{}", summarise, "acme", RUN_DATE, 4500)
+    return good.select("category", "subcategory", "task", "reply")
+
+
 QUERY_SECTIONS = {"Role": "ask", "Objective": "{user_message}/{assistant_message}/{tool_call_results}"}
 RESULT_SECTIONS = {"Role": "results", "Objective": "{user_message}/{results_summary}"}
 
