@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as M
 from ..operators.conversations import tool_responses
+from ..operators.prefix import concat_in_parts
 from ..plans.export import export_sharegpt, export_turns
 from .registry import lit, query, table
 from .validation import SIGNATURES, SQL_K, SQL_MESSAGE, event_records
@@ -52,11 +53,26 @@ SELECT user_id AS conv_id, event_id // 1000 AS part,
                   ORDER BY event_id) AS tool
 FROM events WHERE event_type <> 'view' GROUP BY ALL""")
 def tool_results(spark, sf):
+    """Cut by event number, as its SQL says; ``tool_results_whole`` has all results of a conversation together."""
+    tool = event_turns(spark, sf).filter("role = 'tool'")
+    return concat_in_parts(tool, ["conv_id"], "turn", M.tool_response_block("name", "text"), "tool", part_rows=1000)
+
+
+@query("""
+SELECT conv_id, (place - 1) // 1000 AS part,
+       string_agg('<tool_response>' || chr(10) || '{"name": "' || event_type || '", "content": ' || props || '}' || chr(10) || '</tool_response>' || chr(10), ''
+                  ORDER BY place) AS tool
+FROM (SELECT user_id AS conv_id, event_type, props, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place
+      FROM events WHERE event_type <> 'view') GROUP BY ALL""")
+def tool_results_whole(spark, sf):
+    return tool_responses(event_turns(spark, sf), part_rows=1000)
+
+
+def event_turns(spark, sf):
     role = F.when(F.col("event_type") == "view", F.lit("user")).otherwise(F.lit("tool"))
-    turns = table(spark, sf, "events").select(
+    return table(spark, sf, "events").select(
         F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), role.alias("role"),
         F.col("event_type").alias("name"), F.col("props").alias("text"))
-    return tool_responses(turns, part_rows=1000)
 
 
 TOOLS_TEXT = "[" + ",".join(SIGNATURES) + "]"

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsons as J, messages as M
 from ..operators import prompts as P
-from ..operators.prefix import concat_in_parts
+from ..operators.prefix import concat_in_order
 from ..operators.selection import first_rows
 from .registry import lit, query, table
 from .texts import industry_sheet
@@ -126,4 +126,6 @@ SELECT item_id // 10000 AS part, string_agg(text, chr(10) ORDER BY item_id) AS e
 FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 3) GROUP BY ALL""")
 def few_shot(spark, sf):
     picked = first_rows(table(spark, sf, "benchmark"), 3, ["item_id"])
-    return concat_in_parts(picked, [], "item_id", F.col("text"), "examples", "\n")
+    picked = picked.withColumn("set", F.lit(0).cast("long"))
+    whole = concat_in_order(picked, ["set"], "item_id", F.col("text"), "examples", "\n")
+    return whole.select(F.col("set").alias("part"), "examples")

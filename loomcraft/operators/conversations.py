@@ -10,7 +10,7 @@ from ..functions import messages as M
 from ..functions.tools import record_verdicts
 from ..functions.jsons import array_text
 from .binding import bind
-from .prefix import PART_ROWS, concat_in_parts
+from .prefix import PART_ROWS, concat_by_position
 
 _RECORD = (
     "struct<messages:array<struct<role:string,content:string,name:string,tool_call_id:string,"
@@ -111,14 +111,14 @@ def assemble_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn",
 
 def tool_responses(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role",
                    name: str = "name", content: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
-    """All tool results of a conversation as response blocks, one row per conversation and part."""
+    """All tool results of a conversation as response blocks, one row per conversation and part of ``part_rows`` results."""
     tool = turns.filter(F.col(role) == "tool")
-    return concat_in_parts(
+    return concat_by_position(
         tool, [key], order, M.tool_response_block(F.col(name), F.col(content)), "tool", part_rows=part_rows
     )
 
 
 def chatml_by_conversation(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role",
                            content: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
-    """Whole conversations as ChatML, one row per conversation and part."""
-    return concat_in_parts(turns, [key], order, M.chatml_message(role, content), "chatml", part_rows=part_rows)
+    """Whole conversations as ChatML, one row per conversation and part of ``part_rows`` turns."""
+    return concat_by_position(turns, [key], order, M.chatml_message(role, content), "chatml", part_rows=part_rows)

@@ -78,16 +78,50 @@ def concat_in_parts(
     df: DataFrame, keys: Sequence[str], order: str, piece: Column, out: str, separator: str = "",
     part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Join the text pieces of a key in order, one row per key and ``part``.
+    """Join the text pieces of a key in order, one row per key and ``part``, a range of the order column.
 
-    Keys whose order stays below ``part_rows`` have the single part 0. The parts of a larger key,
-    read in order, are its whole text; none of them is more than one task can hold."""
+    Parts are cut by the value of ``order``, so a key with gaps has more of them than its pieces need;
+    ``concat_by_position`` counts pieces instead. The parts of a key, read in order, are its whole
+    text; none of them is more than one task can hold."""
     rows = _blocked(df, order, part_rows)
     return (
         rows.groupBy(*keys, F.col(_BLOCK).alias("part")).agg(_in_order(order, piece, separator).alias(out))
     )
 
 
+def with_position(
+    df: DataFrame, keys: Sequence[str], order: str, out: str, ties: Sequence[str] = (), block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """``out`` = number of rows of the key before this one, nulls of ``order`` first.
+
+    Counts per block are carried forward as in ``running_total``. Null keys are a key like any other."""
+    names = [f"`{k}`" for k in keys]
+    block = F.expr(f"`{order}` div {block_rows}").alias(_BLOCK)
+    rows = df.withColumn("_group", F.struct(*names, block))  # structs are equal where both hold null
+    counts = rows.groupBy("_group").agg(F.count("*").alias("_rows"))
+    of_key = Window.partitionBy(*[f"_group.{n}" for n in names]).orderBy(f"_group.{_BLOCK}")
+    earlier = F.sum("_rows").over(of_key.rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_group", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_group").orderBy(order, *ties)
+    joined = rows.join(starts, "_group").withColumn(out, F.row_number().over(inside) - 1 + F.col("_before"))
+    return joined.drop("_group", "_before")
+
+
+def concat_by_position(
+    df: DataFrame, keys: Sequence[str], order: str, piece: Column, out: str, separator: str = "",
+    part_rows: int = PART_ROWS, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Join the text pieces of a key in order, one row per key and ``part`` of ``part_rows`` pieces.
+
+    A key with no more pieces than that has the single part 0, whatever its order values are. The
+    parts of a larger key, read in order, are its whole text; none of them is more than one task can
+    hold."""
+    pieces = df.select(*[F.col(f"`{k}`") for k in keys], F.col(order).alias("_order"), piece.alias("_piece"))
+    rows = with_position(pieces, keys, "_order", "_position", ["_piece"], block_rows)
+    part = F.expr(f"_position div {part_rows}").alias("part")
+    return rows.groupBy(*keys, part).agg(_in_order("_position", F.col("_piece"), separator).alias(out))
+
+
 def concat_in_order(
     df: DataFrame, keys: Sequence[str], order: str, piece: Column, out: str, separator: str = "",
     block_rows: int = PART_ROWS,

@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from loomcraft.operators import packing as P, prefix, selection as S
+from loomcraft.catalog import QUERIES
+from loomcraft.operators import conversations as C, packing as P, prefix, selection as S
 from loomcraft.operators.completion import complete
 from loomcraft.operators.pages import _Page
 from loomcraft.operators.retrieval import nearest
@@ -59,6 +60,38 @@ def test_concat_parts_and_whole(spark):
     assert joined == whole
 
 
+def test_parts_are_cut_by_position(spark):
+    rows = [(k if k != "k1" else None, o * o * 37 - 5_000, f"{o};") for k, o, *_ in hot_rows()]
+    df = spark.createDataFrame(rows, "k string, o long, p string")
+    whole = {}
+    for k, _, p in rows:
+        whole.setdefault(k, []).append(p)
+    expected = {(k, i // 50): "".join(ps[i:i + 50]) for k, ps in whole.items() for i in range(0, len(ps), 50)}
+    for block_rows in (7, 100_000):
+        got = prefix.concat_by_position(df, ["k"], "o", F.col("p"), "t", part_rows=50, block_rows=block_rows).collect()
+        assert len(got) == len(expected) and {(r.k, r.part): r.t for r in got} == expected
+
+
+def test_short_conversations_with_gaps_are_one_text(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "user", None, "a"), (1, 20_000, "tool", "f", "1"), (1, 5_000_000, "tool", "g", None), (None, 70_000, "user", None, "b")],
+        "conv_id long, turn long, role string, name string, text string")
+    block = "<tool_response>\n{\"name\": \"%s\", \"content\": %s}\n</tool_response>\n"
+    assert [tuple(r) for r in C.tool_responses(turns).collect()] == [(1, 0, block % ("f", 1) + block % ("g", "null"))]
+    chats = C.chatml_by_conversation(turns.filter("text IS NOT NULL")).collect()
+    assert {(r.conv_id, r.part, r.chatml) for r in chats} == {
+        (1, 0, "<|im_start|>user\na<|im_end|>\n<|im_start|>tool\n1<|im_end|>\n"), (None, 0, "<|im_start|>user\nb<|im_end|>\n")}
+
+
+def test_few_shot_and_tool_results_whatever_the_ids(spark, tmp_path):
+    spark.createDataFrame([(i, f"t{i}") for i in (9_999, 10_000, 20_001, 30_000)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in QUERIES["few_shot"](spark, str(tmp_path)).collect()] == [(0, "t9999\nt10000\nt20001")]
+    events = [(i * 999, i % 2, "click" if i % 5 else "view", f"{i}") for i in range(40)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    rows = QUERIES["tool_results_whole"](spark, str(tmp_path)).collect()
+    assert {(r.conv_id, r.part, r.tool.count("<tool_response>")) for r in rows} == {(0, 0, 16), (1, 0, 16)}
+
+
 def test_packing_stops_at_the_first_that_does_not_fit(spark):
     docs = [("t", 0, "u0", "a" * 5, None), ("t", 1, "u1", None, None), ("t", 2, "u2", "b!" * 3, [[["h"], ["c"]]]),
             ("t", 3, "u3", "c" * 60, None), ("t", 4, "u4", "d", None), ("s", 0, "u5", "e" * 99, None)]
