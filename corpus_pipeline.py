@@ -23,7 +23,7 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked as near copies the one with the smallest id stays."""
+    """Of documents linked as near copies one stays, that with the smallest id."""
     return simhash.one_per_group(docs, width=4, radius=4)
 
 

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import written
 
@@ -50,16 +50,18 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_doc, print``: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", text: str = "text", **longs: Column) -> DataFrame:
+    """``_doc, print``: the fingerprint as a signed long; and ``longs``, further numbers of the row, between them."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["_doc", "print"])
+            prints = np.array([fingerprint(t.as_py(), width) for t in batch.column(len(names))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], [*names, "print"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(of, "_doc long, print long")
+    names = ["_doc", *longs]
+    numbers = [c.cast("long").alias(n) for n, c in zip(names, [F.col(doc_id), *longs.values()])]
+    rows = docs.select(*numbers, F.col(text).cast("string").alias("_text"))
+    return rows.mapInArrow(of, ", ".join(f"{n} long" for n in [*names, "print"]))
 
 
 def masks(radius: int) -> list[int]:
@@ -153,22 +155,36 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def rooted(distinct: DataFrame, radius: int, block: int) -> DataFrame:
+    """``print, low, root``: the distinct prints with their component's smallest print."""
+    stars = components(links(distinct.select("print"), radius, block))
+    return distinct.join(stars, distinct["print"] == stars["u"], "left").select(
+        "print", "low", F.coalesce("v", "print").alias("root"))
+
+
 def near_groups(docs: DataFrame, width: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text",
                 block: int = BLOCK) -> DataFrame:
     """One row per document: its id, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id it is linked to)."""
     rows = written(fingerprints(docs, width, doc_id, text), "fingerprints")
     distinct = written(rows.groupBy("print").agg(F.min("_doc").alias("low")), "distinct-fingerprints")
-    stars = components(links(distinct.select("print"), radius, block))
-    rooted = distinct.join(stars, distinct["print"] == stars["u"], "left").select(
-        "print", "low", F.coalesce("v", "print").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    members = rooted.join(lows, "root").select("print", "component_id")
+    roots = rooted(distinct, radius, block)
+    lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
+    members = roots.join(lows, "root").select("print", "component_id")
     return rows.join(members, "print").select(
         F.col("_doc").alias(doc_id), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """The documents whose id is their component's; of components without ids, all."""
-    groups = near_groups(docs, width, radius)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+def one_per_group(docs: DataFrame, width: int = 4, radius: int = 4, block: int = BLOCK) -> DataFrame:
+    """One document of each component: that with the smallest id, one without an id only if all are.
+
+    Documents of one id are told apart by their fingerprints, then by a hash of their texts; of rows alike
+    in all that, any one stays. Rows are numbered and written first, so that ids may repeat or be null."""
+    number = "_number"
+    while number.lower() in {c.lower() for c in docs.columns}:
+        number += "_"
+    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered-documents")
+    rows = fingerprints(numbered, width, hash=F.xxhash64("text"), number=F.col(number))
+    first = F.min(F.struct(F.col("_doc").isNull().alias("no_id"), "_doc", "print", "hash", "number"))
+    distinct = written(rows.groupBy("print").agg(first.alias("low")), "distinct-fingerprints")
+    keep = rooted(distinct, radius, block).groupBy("root").agg(F.min("low").alias("low"))
+    return numbered.join(keep.select(F.col("low.number").alias("_keep")), F.col(number) == F.col("_keep"), "left_semi").drop(number)

@@ -171,6 +171,29 @@ def test_one_stays_of_each_group(make):
     assert sorted(r.doc_id for r in simhash.one_per_group(make(texts)).collect()) == [0, 3]
 
 
+def test_one_stays_of_each_group_whatever_the_ids(make):
+    words = "the quick brown fox jumps over the lazy dog and runs away from a very small cat in spring".split()
+    near = [" ".join(words[:k] + ["new"] + words[k:]) for k in range(len(words))]
+    other, third = "entirely other words stand here today again", "a third text with nothing in common at all"
+    docs = make([*ODD[:-1], *near, (7, near[0]), (7, near[0]), (7, other), (7, other), (None, other), (None, near[1]),
+                 (None, third), (None, third), (None, third.upper())]).withColumn("_Number", F.lit("clash"))
+    before = docs.collect()
+    group = linked([print_by_words(r.text, 4) for r in before], list(range(len(before))), 4)
+    members = {}
+    for r, g in zip(before, group):
+        members.setdefault(g, []).append(r)
+    lows = Counter(min((r.doc_id for r in rows if r.doc_id is not None), default=None) for rows in members.values())
+    assert None in lows and max(lows.values()) > 1
+    for block in (2, 1024):
+        found = simhash.one_per_group(docs, block=block)
+        assert found.columns == docs.columns
+        rows = found.collect()
+        assert Counter(r.doc_id for r in rows) == lows
+        kept = [group[before.index(r)] for r in rows]
+        assert sorted(kept) == sorted(members)
+    assert simhash.one_per_group(make([])).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)]
     found = {r.u: r.v for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
