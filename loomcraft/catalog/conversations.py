@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import messages as M
 from ..operators.conversations import tool_responses
 from ..operators.prefix import concat_in_parts
-from ..plans.export import export_sharegpt, export_turns
+from ..plans.export import export_sharegpt, export_turns, turn_columns
 from .registry import lit, query, table
 from .validation import SIGNATURES, SQL_K, SQL_MESSAGE, event_records
 
@@ -17,7 +17,7 @@ SELECT conv_id, {SQL_SYSTEM % "'[]'"} AS system, arg_max(text, turn) FILTER (rol
        arg_max(text, turn) FILTER (role = 'assistant') AS summary
 FROM conversations GROUP BY conv_id HAVING human IS NOT NULL""")
 def sharegpt_turns(spark, sf):
-    return export_turns(table(spark, sf, "conversations"))
+    return turn_columns(table(spark, sf, "conversations"))
 
 
 # An order as a conversation: a question, calls, a result per line, a summary. Lines of one number and
@@ -46,6 +46,29 @@ def sharegpt_turns_single(spark, sf):
     return export_turns(order_turns(spark, sf), "single", calls="calls")
 
 
+SQL_PARTS = 3  # tool results in a part, few enough that orders have several parts
+
+
+@query(f"""
+WITH turns AS ({SQL_TURNS}),
+assembled AS (
+    SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS human,
+           arg_max(calls, turn) FILTER (role = 'assistant' AND calls IS NOT NULL) AS calls,
+           arg_max(text, turn) FILTER (role = 'assistant' AND calls IS NULL) AS summary
+    FROM turns GROUP BY conv_id HAVING human IS NOT NULL),
+results AS (
+    SELECT conv_id, '<tool_response>' || chr(10) || '{{"name": "' || name || '", "content": ' || text || '}}' || chr(10) || '</tool_response>' || chr(10) AS block,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn, block) AS place
+    FROM turns WHERE role = 'tool' AND conv_id IN (SELECT conv_id FROM assembled))
+SELECT conv_id, 0 AS position, 0::BIGINT AS part, 'system' AS from, {SQL_SYSTEM % "'[]'"} AS value FROM assembled
+UNION ALL SELECT conv_id, 1, 0, 'human', human FROM assembled
+UNION ALL SELECT conv_id, 2, 0, 'gpt', calls FROM assembled WHERE calls IS NOT NULL
+UNION ALL SELECT conv_id, 3, (place - 1) // {SQL_PARTS}, 'tool', string_agg(block, '' ORDER BY place) FROM results GROUP BY conv_id, (place - 1) // {SQL_PARTS}
+UNION ALL SELECT conv_id, 4, 0, 'gpt', summary FROM assembled WHERE summary IS NOT NULL""")
+def sharegpt_turns_multi(spark, sf):
+    return export_turns(order_turns(spark, sf), "multi", calls="calls", part_rows=SQL_PARTS)
+
+
 # A user's events as the turns of one conversation: pages are what they asked for, the rest tool results.
 @query("""
 SELECT user_id AS conv_id, event_id // 1000 AS part,

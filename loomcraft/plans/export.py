@@ -8,7 +8,8 @@ from ..functions import messages as M
 from ..functions.jsons import array_text, is_empty_value, let, quoted
 from ..operators.binding import bind, keep
 from ..operators.completion import Client, complete
-from ..operators.conversations import assemble_turns, parse_records, sharegpt_conversation
+from ..operators.conversations import assemble_turns, parse_records, sharegpt_conversation, tool_responses
+from ..operators.prefix import PART_ROWS
 from ..operators.schema_check import validate_json
 from ..operators.scoring import score_completions
 from ..operators.selection import with_side_sets
@@ -24,13 +25,43 @@ def export_sharegpt(records: DataFrame, turn: str = "multi", *side_sets: DataFra
     return with_side_sets(good, *side_sets)
 
 
-def export_turns(turns: DataFrame, turn: str = "multi", tools_json: str = "[]", calls: str | None = None) -> DataFrame:
-    """The same from a table with one row per turn: ``conv_id, system, human, [calls,] summary``."""
+def export_turns(
+    turns: DataFrame, turn: str = "multi", tools_json: str = "[]", calls: str | None = None, part_rows: int = PART_ROWS
+) -> DataFrame:
+    """The same from a table with one row per turn (``conv_id, turn, role, [name,] text, [calls]``).
+
+    ``multi``: the turns of each conversation, ``conv_id, position, part, from, value``. Position 0 is the
+    system message, 1 what was asked, 2 the last calls, 3 all tool results in parts of ``part_rows``, 4 the
+    last summary; what a conversation has none of, or no text for, has no row.
+    ``single``: one row per conversation, ``conv_id, system, human, [calls,] summary``, the summary only
+    where nothing is called."""
+    if turn not in ("multi", "single"):
+        raise ValueError(f"turn must be multi or single, not {turn!r}")
+    assembled = turn_columns(turns, tools_json, calls)
+    if turn == "single":
+        if calls:
+            assembled = assembled.withColumn("summary", F.when(F.col("calls").isNull(), F.col("summary")))
+        return assembled
+    said = lambda position, sender, value: F.struct(
+        F.lit(position).alias("position"), F.lit(0).cast("long").alias("part"), F.lit(sender).alias("from"), value.alias("value"))
+    around = F.array(
+        said(0, "system", F.col("system")), said(1, "human", F.col("human")),
+        said(2, "gpt", F.col("calls") if calls else F.lit(None).cast("string")), said(4, "gpt", F.col("summary")))
+    rows = assembled.select("conv_id", F.inline(F.filter(around, lambda t: t["value"].isNotNull())))
+    if "name" not in turns.columns:
+        turns = turns.withColumn("name", F.lit(None).cast("string"))
+    asked = assembled.select(F.col("conv_id").alias("_asked"))
+    results = tool_responses(turns, part_rows=part_rows)
+    results = results.join(asked, F.col("conv_id").eqNullSafe(F.col("_asked")), "left_semi")
+    return rows.unionByName(results.select(
+        "conv_id", F.lit(3).alias("position"), "part", F.lit("tool").alias("from"), F.col("tool").alias("value")))
+
+
+def turn_columns(turns: DataFrame, tools_json: str = "[]", calls: str | None = None) -> DataFrame:
+    """System message, last user message, [last calls,] and last summary, one row per conversation in which
+    somebody asks. Tool results are not among them: ``export_turns`` gives them in parts."""
     assembled = assemble_turns(turns, calls=calls).filter(F.col("human").isNotNull())
-    assembled = assembled.withColumn("system", M.tool_caller_system(F.lit(tools_json)))
-    if turn == "single" and calls:
-        assembled = assembled.withColumn("summary", F.when(F.col("calls").isNull(), F.col("summary")))
-    return assembled
+    return assembled.withColumn("system", M.tool_caller_system(F.lit(tools_json)))
 
 
 def json_mode_parts(record: Column) -> dict[str, Column]:

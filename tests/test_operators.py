@@ -12,6 +12,7 @@ from loomcraft.operators.completion import complete
 from loomcraft.operators.pages import _Page
 from loomcraft.operators.retrieval import nearest
 from loomcraft.operators.schema_check import check_value
+from loomcraft.plans import export as E
 
 
 def hot_rows(n=600, seed=1):
@@ -83,6 +84,20 @@ def test_short_conversations_with_gaps_are_one_text(spark):
         (1, 0, "<|im_start|>user\na<|im_end|>\n<|im_start|>tool\n1<|im_end|>\n"), (None, 0, "<|im_start|>user\nb<|im_end|>\n")}
 
 
+def test_multi_turn_export_has_all_tool_results(spark):
+    rows = [(1, 0, "user", None, "ask", None), (1, 5, "assistant", None, None, "<c>"), (1, 70_000, "tool", "f", "1", None),
+            (1, 900_000, "tool", "g", "2", None), (1, 900_001, "tool", "f", "3", None), (1, 10**9, "assistant", None, "sum", None),
+            (2, 0, "tool", "f", "4", None), (3, 0, "user", None, "only", None), (None, 0, "user", None, "x", None), (None, 1, "tool", None, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, name string, text string, calls string")
+    block = "<tool_response>\n{\"name\": \"%s\", \"content\": %s}\n</tool_response>\n"
+    got = E.export_turns(turns, calls="calls", part_rows=2).collect()
+    assert sorted((repr(r.conv_id), r.position, r.part, r["from"], r.value) for r in got if r.position) == [
+        ("1", 1, 0, "human", "ask"), ("1", 2, 0, "gpt", "<c>"), ("1", 3, 0, "tool", block % ("f", 1) + block % ("g", 2)),
+        ("1", 3, 1, "tool", block % ("f", 3)), ("1", 4, 0, "gpt", "sum"), ("3", 1, 0, "human", "only"),
+        ("None", 1, 0, "human", "x"), ("None", 3, 0, "tool", block % ("", "null"))]
+    assert sorted(repr(r.conv_id) for r in got if not r.position) == ["1", "3", "None"]
+
+
 def test_few_shot_and_tool_results_whatever_the_ids(spark, tmp_path):
     spark.createDataFrame([(i, f"t{i}") for i in (9_999, 10_000, 20_001, 30_000)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [tuple(r) for r in QUERIES["few_shot"](spark, str(tmp_path)).collect()] == [(0, "t9999\nt10000\nt20001")]
