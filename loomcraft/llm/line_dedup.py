@@ -7,7 +7,8 @@ runs they are merged into one run of the next level, so n batches leave some log
 
 ``drop_seen_lines`` is the form for batches that arrive over time: a batch is anti-joined with the runs,
 loses the lines they hold, and adds its own. ``drop_common_lines`` is the form for a whole table:
-all batches add their runs, and then lines are anti-joined with the keys enough documents hold.
+its slices are written as one run for each ``fanout`` of them (one in all, unless ``batches`` is larger), and
+then lines are anti-joined with the keys enough documents hold.
 
 A line's key is the line without white space at its ends, A-Z lower-cased; 128 bits of it stand for
 it. Lines whose key is shorter than ``min_chars`` are kept and never looked up. Null text is one empty line, as is empty text.
@@ -54,7 +55,7 @@ class LineRuns:
         self._place(self._write(counts, 0), 0)
 
     def add_all(self, counts: DataFrame, batch: str, batches: int) -> None:
-        """Add one run for each of the ``batches`` values of the column ``batch``, read in one pass."""
+        """Add one run of level 1 for each ``fanout`` of the ``batches`` values of the column ``batch``."""
         staged = f"{self.database}.staged_{uuid.uuid4().hex}"
         dealt = counts.select(batch, *_KEY, "n").repartition(self.buckets, *_KEY)
         dealt.write.partitionBy(batch).bucketBy(self.buckets, *_KEY).sortBy(*_KEY).saveAsTable(staged)
@@ -142,7 +143,8 @@ def _rebuilt(docs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
     """The documents without the lines whose key at least ``min_docs`` of them hold, and with ``n_lines``
-    (before) and ``n_dropped``. The table is taken in ``batches`` slices by id, each one run."""
+    (before) and ``n_dropped``. The table is taken in ``batches`` slices by id; every four of them,
+    the ``fanout``, are one run of level 1, and with the four of the default no level fills."""
     rows = _with_lines(docs, min_chars)
     runs = LineRuns(docs.sparkSession)
     slice_ = F.pmod(F.xxhash64("_doc"), F.lit(batches)).cast("int")
