@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import fresh_path
-from . import bestfit, decontaminate, exact_dedup, line_dedup, lm_scores, rollups, simhash, token_files, toxicity, warc
+from . import bestfit, decontaminate, divergence, exact_dedup, line_dedup, lm_scores, repair, rollups, simhash, token_files, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -155,3 +155,56 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores.score(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query(f"""
+    WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w
+                  FROM documents),
+    said AS (SELECT d, lang, source, unnest(w) AS term FROM docs),
+    kept AS (SELECT lang, term FROM said GROUP BY ALL HAVING count(DISTINCT d) >= {MIN_DOCS}),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM said JOIN kept USING (lang, term) GROUP BY ALL),
+    sizes AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+    vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+    own AS (SELECT DISTINCT lang, source FROM docs),
+    shares AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (coalesce(total, 0) + 2 * v) AS p
+               FROM own JOIN kept USING (lang) JOIN vocabulary USING (lang) LEFT JOIN sizes USING (lang, source)
+               LEFT JOIN counts USING (lang, source, term)),
+    usual AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 2)) // (any_value(total) + 2 * any_value(v)) AS q
+              FROM counts JOIN (SELECT lang, sum(total) AS total FROM sizes GROUP BY lang) USING (lang) JOIN vocabulary USING (lang)
+              GROUP BY lang, term),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+              FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    found AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+        FROM own a JOIN own b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+        UNION ALL
+        SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM shares JOIN usual USING (lang, term) WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value::BIGINT AS value,
+           (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+    FROM found QUALIFY part = 'pair' OR rank <= 10""")
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), MIN_DOCS, 10)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, without end marks, repeated or given the role user, by a hash of id and turn."""
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    hit = F.crc32(F.concat(text["conv_id"], F.lit(":"), text["turn"]).cast("binary")) % 20
+    said = rows.select("conv_id", "turn", text["role"].alias("role"), text["text"].alias("text"), hit.alias("hit")).filter("hit <> 0")
+    return said.select(
+        "conv_id", "turn", F.when(F.col("hit") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("hit") == 1, "").when(F.col("hit") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("hit") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    report, _ = repair.repair(damaged(given))
+    found = given.select(F.col("conv_id").alias("_own")).distinct().join(report, F.col("_own").eqNullSafe(F.col("conv_id")), "left")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.select(
+        F.col("_own").alias("conv_id"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
