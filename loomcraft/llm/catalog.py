@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import fresh_path
-from . import bestfit, decontaminate, divergence, exact_dedup, line_dedup, lm_scores, repair, rollups, simhash, token_files, toxicity, warc
+from . import bestfit, decontaminate, divergence, exact_dedup, line_dedup, lm_scores, repair, rollups, simhash, suffixes, token_files, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -208,3 +208,9 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("_own").alias("conv_id"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers],
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query()
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.drop_repeats(table(spark, sf_dir, "documents"), 50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
