@@ -6,7 +6,7 @@ from loomcraft.catalog import QUERIES, SQL
 from tests.conftest import SF
 from tools.compare import spark_rows, sql_rows
 
-NO_SQL = {"page_extract"}
+NO_SQL: set[str] = set()
 
 
 def test_all_but_the_named_have_sql():
