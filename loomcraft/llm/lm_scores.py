@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
-from .tokens import encoder, forget_words, in_slices
+from .stores import drop_kept
+from .tokens import encoder, in_slices
 
 ALPHA = 0.4
 COMMON = 500_000
@@ -53,7 +54,7 @@ def count_table(ids: DataFrame, dtype: str) -> DataFrame:
     """``pair, n``: pairs of ids, and single ids as ``-1 - id``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_words()
+        drop_kept()
         for batch in batches:
             held: list[np.ndarray] = []
             size = 0
@@ -86,7 +87,7 @@ def score(docs: DataFrame, tokenizer: str, alpha: float = ALPHA, common: int = C
     shared = docs.sparkSession.sparkContext.broadcast((words, pair, times))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_words()
+        drop_kept()
         words, pair, times = shared.value
         for batch in batches:
             for a in range(0, batch.num_rows, 1_000):

@@ -37,8 +37,8 @@ from ..session import shared_folder, written
 LENGTH = 50
 SLICE_BYTES = 8 << 20
 HASHES = 1_000_000  # per task that counts anchors
-ITEMS = 200_000  # per task that merges runs
-HOT = 50_000
+ITEMS = 50_000  # per task that merges runs
+HOT = 8_000
 _WIDEST = 31
 _CHUNK = (1 << 20) - 128  # positions scanned at a time; they are told apart by 20 bits
 _LAST = np.iinfo(np.int64).max
@@ -414,7 +414,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
         reach = np.cumsum(gone, dtype=np.int32)
         reach[length:] -= reach[:-length].copy()
         gone = reach > 0
-        removed = np.concatenate([[0], np.cumsum(gone, dtype=np.int64)])
+        removed = np.concatenate([[0], np.cumsum(gone, dtype=np.int32)])
         begun = gone.copy()
         begun[1:] &= ~gone[:-1]
         held = whole.begins[whole.begins < whole.ends]
@@ -423,7 +423,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
         begins, ends = whole.begins, whole.ends
         cuts = np.append(begins - removed[begins], ends[-1:] - removed[ends[-1:]]).astype(np.int32)
         kept = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(whole.bytes[~gone].tobytes())])
-        numbers = [ends - begins, removed[ends] - removed[begins], (spans[ends] - spans[begins]).astype(np.int64)]
+        numbers = [ends - begins, *((c[ends] - c[begins]).astype(np.int64) for c in (removed, spans))]
         return pa.Table.from_arrays([table.column("doc").combine_chunks(), kept, *map(pa.array, numbers)], [doc_id, "kept", "n_bytes", "n_removed", "n_spans"])
 
     return slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(

@@ -32,7 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import fresh_path, written
-from .tokens import encoder, forget_words, in_slices
+from .stores import drop_kept
+from .tokens import encoder, in_slices
 
 MAGIC = b"LOOMIDS1"
 BLOCK_IDS = 1 << 20
@@ -113,7 +114,7 @@ def frequency_ranks(ids: DataFrame, dtype: str) -> np.ndarray:
     vocabulary bounds it, whatever the size of the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_words()
+        drop_kept()
         total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0):

@@ -12,13 +12,13 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-import types
 from collections.abc import Callable, Sequence
 
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
+from .stores import kept
+
 WORDS_KEPT = 600_000
 # Words of two pre-tokens, letters and then a mark; lower-casing is all that is done to them first.
 _PLAIN = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)$", re.M)
@@ -108,18 +108,9 @@ class Encoder:
 
 def encoder(path: str, words_kept: int = WORDS_KEPT) -> Encoder:
     """The encoder of this Python worker: kept over tasks, with the words it has met, ``words_kept`` about."""
-    store = sys.modules.setdefault("_loomcraft_encoders", types.ModuleType("_loomcraft_encoders")).__dict__
-    if path not in store:
-        store[path] = Encoder(path)
-    store[path].words_kept = words_kept
-    return store[path]
-
-
-def forget_words() -> None:
-    """Give back the memory of this worker's encoders, for tasks that come after the encoding."""
-    for own in vars(sys.modules.get("_loomcraft_encoders", types)).values():
-        if hasattr(own, "known"):
-            own.known.clear()
+    own = kept(f"encoder {path}", lambda: Encoder(path))
+    own.words_kept = words_kept
+    return own
 
 
 def in_slices(encode: Callable[[Sequence[str | None]], list[bytes]], texts: Sequence[str | None], chars: int = 4_000_000):

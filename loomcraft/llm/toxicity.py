@@ -23,7 +23,6 @@ from __future__ import annotations
 import itertools
 import re
 import sys
-import types
 import uuid
 import zlib
 from collections import Counter
@@ -35,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import written
+from .stores import kept
 
 ORDER = 3
 DECAY = 0.6
@@ -183,8 +183,7 @@ class Model:
 
     def scores(self, texts: Iterable[str | None]) -> list[float]:
         """The probability of each text. Words met before are looked up in this worker's store."""
-        store = sys.modules.setdefault("_loomcraft_toxicity", types.ModuleType("_loomcraft_toxicity")).__dict__
-        known: dict[str, float] = store.setdefault(self.name, {})
+        known: dict[str, float] = kept(f"scores {self.name}", dict)
         split = [words_of(t) if t else [] for t in texts]
         if len(known) > _WORDS_KEPT:
             known.clear()
@@ -356,7 +355,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, columns:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score below ``threshold``, as they are."""
+    """The documents that score below ``threshold``, as they are. Only texts go through Python."""
     model = train(docs, labels)
-    inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
-    return score(inside, model, threshold, ("_row",)).filter("predicted = 0").select("_row.*")
+
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array([s for a in range(0, len(texts), 500) for s in model.scores(texts.slice(a, 500).to_pylist())], pa.float64())
+
+    return docs.filter(scored(F.col("text").cast("string")) < threshold)
