@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as M
 from ..operators.conversations import tool_responses
-from ..operators.prefix import concat_in_parts
 from ..plans.export import export_sharegpt, export_turns, turn_columns
 from .registry import lit, query, table
 from .validation import SIGNATURES, SQL_K, SQL_MESSAGE, event_records
@@ -71,14 +70,14 @@ def sharegpt_turns_multi(spark, sf):
 
 # A user's events as the turns of one conversation: pages are what they asked for, the rest tool results.
 @query("""
-SELECT user_id AS conv_id, event_id // 1000 AS part,
+SELECT conv_id, (place - 1) // 10 AS part,
        string_agg('<tool_response>' || chr(10) || '{"name": "' || event_type || '", "content": ' || props || '}' || chr(10) || '</tool_response>' || chr(10), ''
-                  ORDER BY event_id) AS tool
-FROM events WHERE event_type <> 'view' GROUP BY ALL""")
+                  ORDER BY place) AS tool
+FROM (SELECT user_id AS conv_id, event_type, props, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place
+      FROM events WHERE event_type <> 'view') GROUP BY ALL""")
 def tool_results(spark, sf):
-    """Cut by event number, as its SQL says; ``tool_results_whole`` has all results of a conversation together."""
-    tool = event_turns(spark, sf).filter("role = 'tool'")
-    return concat_in_parts(tool, ["conv_id"], "turn", M.tool_response_block("name", "text"), "tool", part_rows=1000)
+    """Ten results a part; ``tool_results_whole`` has all results of a conversation together."""
+    return tool_responses(event_turns(spark, sf), part_rows=10)
 
 
 @query("""
@@ -98,6 +97,21 @@ def event_turns(spark, sf):
         F.col("event_type").alias("name"), F.col("props").alias("text"))
 
 
+# Views ask, errors answer; those of a small value say nothing.
+SQL_SILENT = """SELECT user_id AS conv_id, event_id AS turn, CASE event_type WHEN 'view' THEN 'user' ELSE 'assistant' END AS role,
+    CASE WHEN value >= 50 THEN props END AS text FROM events WHERE event_type IN ('view', 'error')"""
+
+
+@query(f"""
+SELECT conv_id, {SQL_SYSTEM % "'[]'"} AS system, arg_max(coalesce(text, ''), turn) FILTER (role = 'user') AS human,
+       arg_max(coalesce(text, ''), turn) FILTER (role = 'assistant') AS summary
+FROM ({SQL_SILENT}) GROUP BY conv_id HAVING human IS NOT NULL""")
+def sharegpt_silent_turns(spark, sf):
+    """Turns without text are exported as empty ones."""
+    table(spark, sf, "events").createOrReplaceTempView("loomcraft_events")
+    return turn_columns(spark.sql(SQL_SILENT.replace("FROM events", "FROM loomcraft_events")))
+
+
 TOOLS_TEXT = "[" + ",".join(SIGNATURES) + "]"
 SQL_CALL = f"""'<tool_call>' || chr(10) || '{{"arguments":{{"k": ' || {SQL_K} || '}},"name":"' || event_type || '"}}' || chr(10) || '</tool_call>' || chr(10)
     || CASE WHEN value > 20 THEN '<tool_call>' || chr(10) || '{{"arguments":{{}},"name":"signup"}}' || chr(10) || '</tool_call>' || chr(10) ELSE '' END"""

@@ -134,9 +134,9 @@ def last_turns(spark, sf):
 
 
 @query("""
-SELECT conv_id, turn // 10000 AS part,
-       string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS chatml
-FROM conversations GROUP BY ALL""")
+SELECT conv_id, (place - 1) // 10000 AS part,
+       string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS chatml
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations) GROUP BY ALL""")
 def chatml_render(spark, sf):
     return chatml_by_conversation(table(spark, sf, "conversations"))
 

@@ -127,7 +127,7 @@ def caller(request: str) -> str:
 
 
 @query("""
-SELECT 'results/' || event_id AS path,
+SELECT event_id AS task_key, 'results/' || user_id AS path,
   '{"messages":[{"role":"user","content":"please do ' || event_type || '"},'
   || '{"role":"assistant","tool_calls":[{"id":"1","name":"' || event_type || '"}]},'
   || '{"role":"tool","name":"t","content":"{\\"said\\":\\"please do ' || event_type || '/did ' || user_id || '\\"}"},'
@@ -135,16 +135,16 @@ SELECT 'results/' || event_id AS path,
   || '","description":"","parameters":{"type":"object","properties":{},"required":[]}}}]}' AS record
 FROM events WHERE event_type <> 'error'""")
 def stepwise_generation(spark, sf):
-    """Event records rebuilt in steps; those of type error are done already."""
+    """Event records rebuilt in steps; those of type error are done already. All records of a user have one path."""
     record = F.concat(
         F.lit('{"messages": [{"role": "user", "content": "do '), "event_type",
         F.lit('"}, {"role": "assistant", "tool_calls": [{"id": "0"}]}, {"role": "tool", "content": {"x": 1}}, {"role": "assistant", "content": "did '),
         F.col("user_id").cast("string"), F.lit('"}], "tools": [{"name": "'), "event_type", F.lit('"}]}'))
     empty = F.lit("")
     records = table(spark, sf, "events", spread_out=True).select(
-        F.concat(F.lit("results/"), F.col("event_id").cast("string")).alias("path"), "event_type", record.alias("record"),
+        F.col("event_id").alias("task_key"), F.concat(F.lit("results/"), F.col("user_id").cast("string")).alias("path"), "event_type", record.alias("record"),
         empty.alias("category"), empty.alias("subcategory"), empty.alias("task"), empty.alias("doc_list"), empty.alias("examples"))
-    done = records.filter("event_type = 'error'").select("path")
+    done = records.filter("event_type = 'error'").select("task_key")
     return G.regenerate_in_steps(records.drop("event_type"), QUERY_SECTIONS, RESULT_SECTIONS, writer, caller, done)
 
 

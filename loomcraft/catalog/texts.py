@@ -5,10 +5,12 @@ from pyspark.sql import Window, functions as F
 from ..functions import text as X
 from ..operators import selection as S
 from ..operators.pages import extract_pages
-from ..operators.prefix import forward_fill
+from ..operators.prefix import forward_fill, with_position
+from ..plans.context import gather_documents
 from ..plans.curricula import SKIPPED_ROWS, industry_tasks
+from ..session import fresh_path
 from ..sources.scans import usable_code
-from .registry import query, table
+from .registry import SQL, query, table
 
 KEEP = rf"'[^{X.WORD}{X.SPACE}-]'"
 RUN_DATE = "2024-02-13"
@@ -226,6 +228,47 @@ def url_union(spark, sf):
     return S.merged_results(found(FIRST_WORD), found(SECOND_WORD), ["site"], "position", "url")
 
 
+SQL_HITS = """SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS site, split_part(split_part(url, '?', 1), '#', 1) AS url, html FROM pages"""
+
+
+@query(f"""
+WITH hits AS ({SQL_HITS}),
+first AS (SELECT site, 1 AS engine, row_number() OVER (PARTITION BY site ORDER BY page_id) - 1 AS position, url FROM hits
+          WHERE contains(html, '{FIRST_WORD}') QUALIFY position < 10),
+other AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY page_id) - 1 AS position, url FROM hits
+          WHERE contains(html, '{SECOND_WORD}') QUALIFY position < 10),
+second AS (SELECT site, 2 AS engine, min(position) AS position, url FROM other
+           WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.site = other.site AND f.url = other.url) GROUP BY site, url),
+ranked AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY engine, position, url) - 1 AS rank, url
+           FROM (SELECT * FROM first UNION ALL SELECT * FROM second)),
+pages_read AS ({SQL["page_extract"]}),
+fetched AS (SELECT hits.url, arg_min(content, page_id) AS content FROM hits JOIN pages_read USING (page_id) GROUP BY hits.url)
+SELECT site AS task_key, rank, url, content FROM ranked JOIN fetched USING (url) WHERE content <> ''""")
+def gathered_documents(spark, sf):
+    """Sites as tasks. Some are searched in a first run, the others in a second; a third would find nothing and is never asked."""
+    pages = table(spark, sf, "pages")
+    plain = F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1))
+    hits = pages.select(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("task_key"), "page_id", plain.alias("url"), "html")
+    tasks = hits.select("task_key").distinct()
+
+    def engine(missing, word):
+        listed = with_position(hits.filter(F.contains("html", F.lit(word))).drop("html"), ["task_key"], "page_id", "position")
+        return listed.join(missing.select("task_key"), "task_key", "left_semi").select("task_key", "position", "url")
+
+    def search(missing):
+        return engine(missing, FIRST_WORD), engine(missing, SECOND_WORD)
+
+    def fetch(urls):
+        first = hits.groupBy("url").agg(F.min("page_id").alias("page_id"))
+        return hits.join(first, ["url", "page_id"], "left_semi").join(urls, "url", "left_semi")
+
+    path = fresh_path(spark, "gathered")
+    gather_documents(tasks.filter(F.crc32(F.col("task_key").cast("binary")) % 2 == 0), search, fetch, path)
+    gather_documents(tasks, search, fetch, path)
+    nothing = lambda missing: (missing.select("task_key", F.lit(0).alias("position"), F.lit("x").alias("url")).limit(0), None)
+    return gather_documents(tasks, nothing, fetch, path).drop("tables")
+
+
 @query("""
 SELECT event_id, user_id, last_value(v IGNORE NULLS) OVER w AS value, last_value(t IGNORE NULLS) OVER w AS event_type
 FROM (SELECT *, CASE WHEN event_type <> 'purchase' THEN value END AS v,

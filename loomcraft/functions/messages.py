@@ -121,7 +121,8 @@ def with_role(messages, role: str) -> Column:
 
 
 def last_content(messages: Column) -> Column:
-    return let(messages, lambda m: F.when(F.size(m) > 0, F.get(m, F.size(m) - 1)["content"]))
+    """Content of the last message, null content as empty text; null only where there is no message."""
+    return let(messages, lambda m: F.when(F.size(m) > 0, F.coalesce(F.get(m, F.size(m) - 1)["content"], F.lit(""))))
 
 
 def append_to_first(messages, addition) -> Column:

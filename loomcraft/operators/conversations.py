@@ -97,7 +97,8 @@ def assemble_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn",
 
     ``calls`` is a text column, null on assistant turns that call nothing. Tool results are not
     collected here: ``tool_responses`` gives them in parts a task can hold."""
-    of = lambda test: F.max_by(F.col(content), F.when(test, F.col(order)))
+    said = F.coalesce(F.col(content), F.lit(""))  # a turn without text is a turn
+    of = lambda test: F.max_by(said, F.when(test, F.col(order)))
     by = F.col(role)
     calling = F.col(calls).isNotNull() if calls else F.lit(False)
     columns = [

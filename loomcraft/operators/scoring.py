@@ -15,9 +15,9 @@ from .replies import with_tool_calls
 def _call(text: Column) -> Column:
     """A call's JSON text as struct: ``name`` (canonical), ``arguments`` in canonical text per key."""
     pairs = entries(text)
-    field = lambda key: F.to_json(F.get(F.filter(pairs, lambda e: e["key"] == key), F.lit(0))["value"])
+    field = lambda key: F.to_json(last_value(pairs, F.lit(key)))
     has = lambda key: F.exists(pairs, lambda e: e["key"] == key)
-    given = F.get(F.filter(pairs, lambda e: e["key"] == "arguments"), F.lit(0))["value"]
+    given = last_value(pairs, F.lit("arguments"))
     arguments = F.transform(F.map_entries(F.try_variant_get(given, "$", "map<string,variant>")), lambda e: F.struct(
         e["key"].alias("key"), canonical_value(e["value"]).alias("value")))
     return F.struct(
@@ -47,8 +47,9 @@ def score_completions(
 ) -> DataFrame:
     """Adds ``model_completion`` and ``result`` (``passed`` / ``failed``) to every sample.
 
-    Passed means: the output has calls, each has a name, and for each expected call there is one of
-    its name, and all of its name carry the expected arguments. Matching happens inside the row."""
+    Passed means: the output has calls, and for each expected call there is one of its name, all of its
+    name carry the expected arguments, and every call has a name. Where nothing is expected, nothing is
+    looked at. Matching happens inside the row."""
     parsed = with_tool_calls(samples, model_output, template, out="_calls")
     ready = bind(
         parsed, _generated=F.transform("_calls", _call), _expected=F.transform(expected_calls(F.col(completion)), _call))
@@ -69,7 +70,8 @@ def score_completions(
 
     judged = bind(ready, _outcome=F.transform("_expected", outcome))
     fits = F.coalesce(
-        F.forall("_outcome", lambda o: o["ok"]) & F.forall(generated, lambda g: g["name"].isNotNull()), F.lit(False)
+        F.forall("_outcome", lambda o: o["ok"])
+        & ((F.size("_expected") == 0) | F.forall(generated, lambda g: g["name"].isNotNull())), F.lit(False)
     )
     shown = M.joined(F.transform(F.flatten(F.transform("_outcome", lambda o: o["shown"])), lambda s: M.tool_call_block(s["text"])))
     return judged.withColumn(

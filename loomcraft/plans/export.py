@@ -32,7 +32,7 @@ def export_turns(
 
     ``multi``: the turns of each conversation, ``conv_id, position, part, from, value``. Position 0 is the
     system message, 1 what was asked, 2 the last calls, 3 all tool results in parts of ``part_rows``, 4 the
-    last summary; what a conversation has none of, or no text for, has no row.
+    last summary; what a conversation has none of has no row. Null texts are empty ones.
     ``single``: one row per conversation, ``conv_id, system, human, [calls,] summary``, the summary only
     where nothing is called."""
     if turn not in ("multi", "single"):

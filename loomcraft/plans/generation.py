@@ -129,13 +129,14 @@ def regenerate_in_steps(
     records: DataFrame, query_sections: Mapping[str, str], result_sections: Mapping[str, str], text_client: Client,
     tool_client: Client, done: DataFrame | None = None, concurrency: int | None = None,
 ) -> DataFrame:
-    """Rebuild records (``path, category, subcategory, task, doc_list, examples, record``) in four steps:
+    """Rebuild records (``task_key, path, category, subcategory, task, doc_list, examples, record``) in four steps:
     a new user query, new calls, new results, a summary. Each step's answers are written before the next
-    starts, so a lost executor costs at most the step under way. Output: ``path, record``."""
+    starts, so a lost executor costs at most the step under way. Output: ``task_key, path, record``. Tasks are
+    told apart by ``task_key``; paths are labels and may meet."""
     if done is not None:
-        records = not_done(records, done, ["path"])
+        records = not_done(records, done, ["task_key"])
     names = ("category", "subcategory", "task", "doc_list", "examples")
-    state = split_roles(records.select("path", *names, "record")).drop("record")
+    state = split_roles(records.select("task_key", "path", *names, "record")).drop("record")
     shown = F.coalesce(array_text(F.col("tool_messages")), F.lit("[]"))
     variables = {n: F.col(n) for n in names} | {
         "user_message": F.col("user_message"), "assistant_message": F.col("calls"), "tool_call_results": shown}
@@ -165,4 +166,4 @@ def regenerate_in_steps(
     summed = complete(summed, "prompt", tool_client, concurrency=concurrency, name="summaries")
     final = F.when(F.col("completion").isNotNull(), F.concat("chain", F.array("completion"))).otherwise(F.col("chain"))
     record = F.concat(F.lit('{"messages":'), array_text(final), F.lit(',"tools":'), array_text(F.col("tools")), F.lit("}"))
-    return summed.select("path", record.alias("record"))
+    return summed.select("task_key", "path", record.alias("record"))

@@ -98,6 +98,14 @@ def test_multi_turn_export_has_all_tool_results(spark):
     assert sorted(repr(r.conv_id) for r in got if not r.position) == ["1", "3", "None"]
 
 
+def test_turns_without_text_are_exported_empty(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "user", None), (1, 2, "assistant", None), (2, 0, "assistant", "b"), (3, 0, "user", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = E.export_turns(turns).filter("position > 0").collect()
+    assert sorted((r.conv_id, r.position, r["from"], r.value) for r in got) == [(1, 1, "human", ""), (1, 4, "gpt", ""), (3, 1, "human", "")]
+    assert sorted(r.conv_id for r in E.export_turns(turns, "single").collect()) == [1, 3]
+
+
 def test_few_shot_and_tool_results_whatever_the_ids(spark, tmp_path):
     spark.createDataFrame([(i, f"t{i}") for i in (9_999, 10_000, 20_001, 30_000)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [tuple(r) for r in QUERIES["few_shot"](spark, str(tmp_path)).collect()] == [(0, "t9999\nt10000\nt20001")]

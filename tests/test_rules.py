@@ -172,7 +172,7 @@ def test_scoring(spark):
         ([call("f", a=1), call("f", a=2)], [call("f", a=1), call("f", a=2)], "failed"),
         ([call("f", a=1), call("g")], [call("g"), call("f", a={"x": [1]} and 1)], "passed"),
         (call("f", a={"x": 1, "y": [2]}), [call("f", a={"y": [2.0], "x": 1})], "passed"),
-        (call("f", a="1"), [call("f", a=1)], "failed"),
+        (call("f", a="1"), [call("f", a=1)], "failed"), ([], [{"arguments": {}}], "passed"),
     ]
     rows = [
         (i, json.dumps(e), "<|im_start|>assistant\n" + "".join(f"<tool_call>{json.dumps(c)}</tool_call>" for c in g), "s", "u")
@@ -182,11 +182,19 @@ def test_scoring(spark):
     scored = scoring.score_completions(df)
     assert [r.result for r in scored.orderBy("i").collect()] == [r for _, _, r in cases]
     total = scoring.pass_rate(scored).first()
-    assert (total.n_passed, total.n_failed) == (5, 7)
+    assert (total.n_passed, total.n_failed) == (6, 7)
     assert scoring.pass_rate(scored.limit(0)).first().pass_rate is None
     assert scoring.failed_pairs(scored).count() == 7
 
 
+def test_of_repeated_keys_the_last_counts(spark):
+    said = '<|im_start|>assistant\n<tool_call>{"name": "g", "arguments": {"a": 2}, "name": "f", "arguments": {"a": 1}}</tool_call>'
+    expected = [json.dumps({"name": n, "arguments": {"a": a}}) for n, a in (("f", 1), ("g", 2))]
+    rows = [(i, e, said, "s", "u") for i, e in enumerate(expected)]
+    df = spark.createDataFrame(rows, "i int, completion string, model_output string, system string, user string")
+    assert [r.result for r in scoring.score_completions(df).orderBy("i").collect()] == ["passed", "failed"]
+
+
 def record(*messages, tools=(tool(props(a=I)),)):
     return json.dumps({"messages": list(messages), "tools": [json.loads(t) for t in tools]})
 
@@ -223,6 +231,13 @@ def test_sharegpt_rules(spark):
         [("human", "u"), ("gpt", "")]]
 
 
+def test_messages_without_content_are_exported_empty(spark):
+    rows = [record(said("user", "first"), said("user"), said("assistant", "x"), said("assistant")), record(said("assistant", "nobody asked"))]
+    df = parse_records(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, record string"))
+    got = df.select("i", sharegpt_conversation(F.col("messages"), F.col("tools")).alias("c")).orderBy("i").collect()
+    assert [None if r.c is None else [(t["from"], t["value"]) for t in r.c[1:]] for r in got] == [[("human", ""), ("gpt", "")], None]
+
+
 def test_object_arguments_and_misplaced_type_fail(spark):
     as_object = said("assistant", tool_calls=[{"id": "1", "type": "function", "function": {"name": "f", "arguments": {"a": 1}}}])
     misplaced = said("assistant", tool_calls=[{"id": "1", "function": {"type": "function", "name": "f", "arguments": "{}"}}])
