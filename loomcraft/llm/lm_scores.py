@@ -10,7 +10,7 @@ A document is scored by the counts of all others (its own are taken off): a word
 c(pair) / c(first), or, if no other document has the pair, ``ALPHA`` * c(word) / N; a word no other document
 has counts as once in N + 1. The first word is scored alone.
 
-Null and empty texts have no words and no mean. Rows with the same id and the same text come back as one row;
+Null and empty texts have no words and no mean. Every row comes back, rows with the same id and the same text with the same score;
 null ids are ids like any other. An empty table gives no rows. Other columns are not looked at.
 """
 
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
+from .columns import join_same
 from .stores import drop_kept
 from .tokens import encoder, in_slices
 
@@ -132,4 +133,5 @@ def score(docs: DataFrame, tokenizer: str, alpha: float = ALPHA, common: int = C
     parts = counted.select("doc_id", "print", F.lit(0).cast("long").alias("n_tokens"), value.alias("sum"))
     whole = scored.select("doc_id", "print", "n_tokens", "sum").unionByName(parts)
     done = whole.groupBy("doc_id", "print").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("sum").alias("log_score"))
-    return done.select("doc_id", "n_tokens", "log_score", F.expr("try_divide(log_score, n_tokens)").alias("mean_log_score"))
+    each = join_same(ids.select("doc_id", "print"), done, ["doc_id", "print"])  # a row for every row, also for those alike
+    return each.select("doc_id", "n_tokens", "log_score", F.expr("try_divide(log_score, n_tokens)").alias("mean_log_score"))

@@ -150,7 +150,7 @@ def test_windows_of_odd_rows(make, spark):
 def test_scores_by_brute_force(spark, make):
     own = Encoder(TOKENIZER)
     table = spark.read.parquet(f"{SF}/documents.parquet")
-    extra = make([None, "", "the", "the", (None, "the of the")]).select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 10_000)
+    extra = make([None, "", "the", "the", (None, "the of the"), (None, "the of the"), (None, "the of the"), (2, "the")]).select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 10_000)
     docs = table.select("doc_id", "text").unionByName(extra)
     texts = [(r.doc_id, r.text or "") for r in docs.collect()]
     ids = [np.frombuffer(own.encode([t])[0], own.dtype).astype(int).tolist() for _, t in texts]
@@ -211,22 +211,44 @@ def test_inserted_and_spaced_letters_score_high(spark, make):
     docs = make(clean + bad)
     labels = spark.createDataFrame([(i, 1, int(i >= 60)) for i in range(100)] + [(3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labels)
-    tests = make(["the river and the hill", "a stu-pid thing", "m o r o n", "stuupid!", *ODD])
+    given = ["the river and the hill", "a stu-pid thing", "m o r o n", "stuupid!", "m-o-r-o-n", "s.t.u.p.i.d!", "walk-along the well-known river"]
+    tests = make([*given, *ODD])
     rows = toxicity.score(tests, model).collect()
-    assert [r.predicted for r in rows[:4]] == [0, 1, 1, 1]
-    assert all(0 <= r.score <= 1 for r in rows) and len(rows) == len(ODD) + 4 and not any(r.predicted for r in rows[4:])
+    assert [r.predicted for r in rows[:len(given)]] == [0, 1, 1, 1, 1, 1, 0]
+    assert all(0 <= r.score <= 1 for r in rows) and len(rows) == len(ODD) + len(given) and not any(r.predicted for r in rows[len(given):])
     kept = toxicity.drop_toxic(tests, labels.limit(0))
     assert kept.columns == tests.columns and kept.count() == tests.count()
     assert toxicity.score(make([]), model).count() == 0
 
 
 def test_held_out_accuracy_on_the_table(spark):
-    sf = SF.replace("sf0.001", "sf0.01")
+    sf = SF.replace("sf0.001", "sf0.1")
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = QUERIES["op10_toxicity"](spark, sf).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     test = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
-    assert sum(p == y for p, y in test) / len(test) > 0.85
+    found = sum(p and y for p, y in test)
+    assert found / sum(y for _, y in test) >= 0.85 and found / sum(p for p, _ in test) >= 0.75
+
+
+def test_scores_by_the_definition(spark):
+    """A text scores as its worst word, and a word as the kernel says."""
+    marks = ["idiot", "trash", "river"]
+    model = toxicity.Model(marks, np.array([2.0, 1.5, -1.0], np.float32), -0.5, 2.0, -0.25)
+
+    def margin(w):
+        norm = kernel(w, w)
+        return -0.5 + sum(x * kernel(w, z) / math.sqrt(norm * kernel(z, z)) for x, z in zip((2.0, 1.5, -1.0), marks)) if norm else -0.5
+
+    texts = {"a idiot b": ["idiot"], "the river, trashy!": ["the", "river", "trashy"], "t r a s h": ["trash"], "i.d.i.o.t": ["i.d.i.o.t", "idiot"], "": []}
+    for text, words in texts.items():
+        best = max([-0.5, *map(margin, words)])
+        assert model.scores([text])[0] == pytest.approx(1 / (1 + math.exp(-(2 * best - 0.25))), abs=1e-5)
+
+
+def test_any_span_of_a_long_word_lies_whole_in_a_window():
+    word = "".join(chr(97 + i % 26) + chr(97 + i // 26) for i in range(60))
+    assert all(any(word[a:a + 20] in p for p in toxicity.pieces(word)) for a in range(len(word) - 19))
 
 
 # Pipeline
