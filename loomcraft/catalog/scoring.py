@@ -131,6 +131,15 @@ def preference_records(spark, sf):
     return build_preferences(records, fixer, max_files=None).select("id", "user", "chosen", "rejected")
 
 
+@query(f"""
+SELECT CAST(event_id AS VARCHAR) AS id, 'do click for ' || user_id AS user
+FROM events WHERE event_type = 'click' AND {SQL_MESSAGE} <> 'Function call is valid' ORDER BY event_id LIMIT 20""")
+def first_preferences(spark, sf):
+    """The first twenty preference pairs (a cap on successes) of a model that can mend clicks only."""
+    records = event_records(spark, sf).withColumn("source", F.lpad("id", 12, "0"))
+    return build_preferences(records, fixer, max_files=20).select("id", "user")
+
+
 def speller(prompt: str) -> str:
     """A stand-in model: calls what the user names, spelling numbers as fractions; errors get words."""
     name, k = re.search(r"user\n(\w+) (\d+)<", prompt).groups()

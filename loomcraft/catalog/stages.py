@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.completion import complete, failures
 from ..plans import curricula as C, generation as G
+from ..session import fresh_path
 from .registry import query, table
 from .texts import RUN_DATE, industry_sheet, sql_slug
 from .validation import SCHEMA, SQL_K
@@ -25,9 +26,13 @@ def reverse(prompt: str) -> str:
 SQL_PROMPT = "event_type || ' ' || user_id || ' ' || props"
 
 
+def event_prompts(spark, sf):
+    prompt = F.expr(SQL_PROMPT.replace("user_id", "cast(user_id AS STRING)"))
+    return table(spark, sf, "events", spread_out=True).select("event_id", prompt.alias("prompt"))
+
+
 def answered(spark, sf):
-    prompts = table(spark, sf, "events", spread_out=True).select("event_id", F.expr(SQL_PROMPT.replace("user_id", "cast(user_id AS STRING)")).alias("prompt"))
-    return complete(prompts, "prompt", reverse)
+    return complete(event_prompts(spark, sf), "prompt", reverse)
 
 
 @query(f"""
@@ -44,6 +49,24 @@ def completion_failures(spark, sf):
     return failures(answered(spark, sf)).select("event_id", "error")
 
 
+def shout(prompt: str) -> str:
+    """Answers with the prompt in capitals, errors as well."""
+    return prompt.upper()
+
+
+@query(f"""
+SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN reverse({SQL_PROMPT}) ELSE upper({SQL_PROMPT}) END AS completion,
+       CAST(NULL AS VARCHAR) AS error, 1 AS attempts
+FROM events""")
+def resumed_completions(spark, sf):
+    """A first job got as far as views, clicks and errors, whose calls failed; a second one asks for all events with another
+    client and the first job's log: what was answered stays, errors and the rest are asked."""
+    log = fresh_path(spark, "answers")
+    prompts = event_prompts(spark, sf)
+    complete(prompts.filter("prompt rlike '^(view|click|error) '"), "prompt", reverse, log=log, slices=3)
+    return complete(prompts, "prompt", shout, log=log, slices=3, in_flight=4).select("event_id", "completion", "error", "attempts")
+
+
 FORWARD = {"Role": "Write JSON.", "Objective": "{category}|{subcategory}|{task}", "Documents": "{doc_list}", "Assistant": "Now:"}
 
 

@@ -127,7 +127,7 @@ FROM events""")
 def record_verdicts(spark, sf):
     records = parse_records(event_records(spark, sf))
     calls = F.try_element_at(F.filter("messages", lambda m: m["tool_calls"].isNotNull()), F.lit(-1))["tool_calls"]
-    judged = bind(records.select("event_id", "messages", "tools"), v=T.record_verdicts(calls, F.col("tools")))
+    judged = bind(records.select("event_id", calls.alias("calls"), "tools"), v=T.record_verdicts("calls", "tools"))
     return judged.select("event_id", F.get("v", F.lit(0))["message"].alias("first_message"), F.size("v").alias("n_calls"))
 
 

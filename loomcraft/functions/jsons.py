@@ -91,7 +91,7 @@ def python_type(v: Column) -> Column:
     """Name of the Python type a JSON value has once decoded. Whole numbers beyond 18 digits are decimals
     to VARIANT, and still ``int``."""
     kind = F.regexp_replace(F.schema_of_variant(v), r"^DECIMAL\((?:19|[23][0-9]),0\)$", "BIGINT")
-    names = F.create_map(*[F.lit(x) for pair in _PYTHON_TYPES.items() for x in pair])
+    names = F.expr("map(" + ", ".join(f"'{x}'" for pair in _PYTHON_TYPES.items() for x in pair) + ")")
     return F.try_element_at(names, F.regexp_extract(kind, "^[A-Z]+", 0))
 
 

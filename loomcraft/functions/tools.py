@@ -7,6 +7,8 @@ same rules serve a join of calls with a signature table and the calls nested in
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, functions as F
 
 from .jsons import (
@@ -290,7 +292,17 @@ def shaped_call_error(call) -> Column:
 def record_verdicts(calls, tools) -> Column:
     """Verdicts of the calls nested in a record against the tools (JSON texts) of the same record.
 
-    Runs inside the row: no join, no shuffle, whatever the size of any one tool's following."""
+    Runs inside the row: no join, no shuffle, whatever the size of any one tool's following. Thousands of calls to the
+    JVM go into the expression; for columns given by name it is built once."""
+    return _named_verdicts(calls, tools) if isinstance(calls, str) and isinstance(tools, str) else _verdicts(calls, tools)
+
+
+@cache
+def _named_verdicts(calls: str, tools: str) -> Column:
+    return _verdicts(calls, tools)
+
+
+def _verdicts(calls, tools) -> Column:
     called = F.transform(_col(calls), lambda c: c["function"]["name"])
     usable = F.transform(
         F.filter(_col(tools), lambda t: F.array_contains(called, signature_name(t)) & admitted(t)), compiled_signature)

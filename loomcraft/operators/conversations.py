@@ -53,20 +53,28 @@ def _turn(sender: str, value: Column) -> Column:
     return F.struct(F.lit(sender).alias("from"), value.alias("value"))
 
 
-def sharegpt_conversation(messages: Column, tools: Column, turn: str = "multi") -> Column:
+def last_tool_calls(messages: Column) -> Column:
+    """The calls of the last assistant message that has any, null where none has."""
+    calling = F.filter(messages, lambda m: (m["role"] == "assistant") & m["tool_calls"].isNotNull())
+    return F.try_element_at(calling, F.lit(-1))["tool_calls"]
+
+
+def sharegpt_conversation(
+    messages: Column, tools: Column, turn: str = "multi", last_calls: Column | None = None, verdicts: Column | None = None
+) -> Column:
     """A record as a ShareGPT conversation, null if its last calls fail or nobody asks anything.
 
     Last user message, last tool calls, all tool results, last summary. ``single`` stops at the
-    calls, or at the answer where there are none."""
+    calls, or at the answer where there are none. Last calls and their verdicts may be given as columns."""
     if turn not in ("multi", "single"):
         raise ValueError(f"turn must be multi or single, not {turn!r}")
-    calling = F.filter(messages, lambda m: (m["role"] == "assistant") & m["tool_calls"].isNotNull())
     summaries = F.filter(messages, lambda m: (m["role"] == "assistant") & m["tool_calls"].isNull())
     results = M.joined(F.transform(
         M.with_role(messages, "tool"), lambda m: M.tool_response_block(m["name"], m["content"])))
-    has_calls = F.size(calling) > 0
-    last_calls = F.when(has_calls, F.try_element_at(calling, F.lit(-1))["tool_calls"])
-    fine = F.coalesce(F.forall(record_verdicts(last_calls, tools), lambda v: v["status"] == "accepted"), F.lit(True))
+    last_calls = last_tool_calls(messages) if last_calls is None else last_calls
+    has_calls = last_calls.isNotNull()
+    verdicts = record_verdicts(last_calls, tools) if verdicts is None else verdicts
+    fine = F.coalesce(F.forall(verdicts, lambda v: v["status"] == "accepted"), F.lit(True))
     asked = M.last_content(M.with_role(messages, "user"))
     summary = M.last_content(summaries)
     nothing = F.lit(None).cast("struct<from:string,value:string>")

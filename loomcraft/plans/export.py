@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import messages as M
 from ..functions.jsons import array_text, is_empty_value, let, quoted
+from ..functions.tools import record_verdicts
 from ..operators.binding import bind, keep
 from ..operators.completion import Client, complete
-from ..operators.conversations import assemble_turns, parse_records, sharegpt_conversation, tool_responses
+from ..operators.conversations import assemble_turns, last_tool_calls, parse_records, sharegpt_conversation, tool_responses
 from ..operators.prefix import PART_ROWS
 from ..operators.schema_check import validate_json
 from ..operators.scoring import score_completions
@@ -19,8 +20,10 @@ def export_sharegpt(records: DataFrame, turn: str = "multi", *side_sets: DataFra
     """ShareGPT rows ``id, conversations, category, subcategory, task`` of the records whose calls hold.
 
     All of it happens inside the row: scan, filter, write."""
-    conversation = sharegpt_conversation(F.col("messages"), F.col("tools"), turn)
-    good = keep(parse_records(records), "conversations", conversation).select(
+    parsed = bind(parse_records(records), _calls=last_tool_calls(F.col("messages")))
+    judged = bind(parsed, _verdicts=record_verdicts("_calls", "tools"))
+    conversation = sharegpt_conversation(F.col("messages"), F.col("tools"), turn, F.col("_calls"), F.col("_verdicts"))
+    good = keep(judged, "conversations", conversation).select(
         "id", "conversations", "category", "subcategory", "task")
     return with_side_sets(good, *side_sets)
 

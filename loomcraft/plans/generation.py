@@ -64,15 +64,17 @@ def prompted_tasks(
 def generate_forward(
     tasks: DataFrame, documents: DataFrame, index: DataFrame | None, sections: Mapping[str, str], output_schema: str,
     client: Client, vendor: str, run_date: str, context_tokens: int, done: DataFrame | None = None,
-    concurrency: int | None = None,
+    concurrency: int | None = None, in_flight: int = 1, log: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Records for all tasks not in ``done`` (``task_key``): results (``task_key, path, …, reply``) and the tasks without one."""
+    """Records for all tasks not in ``done`` (``task_key``): results (``task_key, path, …, reply``) and the tasks without one.
+    ``log`` names a folder of answers that a job started again reads instead of asking (``complete``)."""
     todo = prepared_tasks(tasks, vendor, run_date, context_tokens)
     if done is not None:
         todo = not_done(todo, done, ["task_key"])
     prompted = prompted_tasks(todo, documents, index, sections, output_schema)
     kept = [c for c in ("task_key", "path", "category", "subcategory", "task") if c in prompted.columns]
-    answered = complete(prompted.select(*kept, "prompt"), "prompt", client, concurrency=concurrency)
+    answered = complete(
+        prompted.select(*kept, "prompt"), "prompt", client, concurrency=concurrency, in_flight=in_flight, log=log)
     return parse_replies(answered.drop("prompt"), "completion")
 
 

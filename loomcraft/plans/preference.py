@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions import messages as M
 from ..functions.jsons import array_text, quoted
@@ -28,8 +28,15 @@ def _verdicts_text(verdicts: Column) -> Column:
     return F.coalesce(array_text(items), F.lit("[]"))
 
 
+def failing_calls(conversations: DataFrame) -> DataFrame:
+    """The conversations (``conv_id, user, tools, tool_calls``) with a call that fails, with the ``verdicts`` of their calls."""
+    judged = bind(conversations, verdicts=record_verdicts("tool_calls", "tools"))
+    return judged.filter(~_all_accepted(F.col("verdicts"))).select("conv_id", "user", "tools", "tool_calls", "verdicts")
+
+
 def correct_calls(
-    conversations: DataFrame, client: Client, rounds: int = ATTEMPTS, concurrency: int | None = None
+    conversations: DataFrame, client: Client, rounds: int = ATTEMPTS, concurrency: int | None = None,
+    in_flight: int = 1, log: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Validate the calls of each conversation (``conv_id, user, tools, tool_calls``) and have failing ones
     made again, in at most ``rounds`` rounds over the shrinking failing set.
@@ -37,16 +44,21 @@ def correct_calls(
     ``client`` gets ``{"prompt": …, "tools": […]}`` and answers with a message holding ``tool_calls``.
     Returns ``rejected`` (the first calls of conversations that failed) and ``accepted`` (the first
     correction that passes), both by ``conv_id``. The driver sees only whether a round is empty."""
-    judged = bind(conversations, verdicts=record_verdicts("tool_calls", "tools"))
-    failing = written(
-        judged.filter(~_all_accepted(F.col("verdicts"))).select("conv_id", "user", "tools", "tool_calls", "verdicts"), "failing")
+    return _corrected(written(failing_calls(conversations), "failing"), client, rounds, concurrency, in_flight, log)
+
+
+def _corrected(
+    failing: DataFrame, client: Client, rounds: int, concurrency: int | None, in_flight: int, log: str | None
+) -> tuple[DataFrame, DataFrame]:
     rejected = failing.select("conv_id", "user", "tools", F.col("tool_calls").alias("rejected_calls"))
     accepted = None
     for number in range(1, rounds + 1):
         request = F.concat(
             F.lit('{"prompt":'), quoted(correction_prompt("user", _verdicts_text(F.col("verdicts")))),
             F.lit(',"tools":'), array_text(F.col("tools")), F.lit("}"))
-        answered = complete(failing.withColumn("prompt", request), "prompt", client, concurrency=concurrency, name="corrections")
+        answered = complete(
+            failing.withColumn("prompt", request), "prompt", client, concurrency=concurrency, name="corrections",
+            in_flight=in_flight, log=log)
         calls = F.from_json(F.get_json_object("completion", "$.tool_calls"), _CALLS)
         judged = bind(bind(answered, new_calls=calls), new_verdicts=record_verdicts("new_calls", "tools"))
         judged = written(judged.drop("prompt", "completion", "error", "attempts"), "judged")
@@ -62,6 +74,42 @@ def correct_calls(
     return rejected, accepted
 
 
+def _constant(value) -> Column:
+    """A value read from a table as a Column again; rows become structs."""
+    if isinstance(value, Row):
+        return F.struct(*[_constant(v).alias(k) for k, v in value.asDict().items()])
+    return F.lit(value)
+
+
+def first_pairs(
+    conversations: DataFrame, client: Client, n: int, rounds: int = ATTEMPTS, concurrency: int | None = None,
+    in_flight: int = 1, log: str | None = None,
+) -> DataFrame:
+    """The first ``n`` preference pairs in the order of ``conv_id`` (nulls first), without asking for many more.
+
+    Failing conversations are corrected in slices along the order. The first slice has ``n`` of them; each further one as
+    many as the share of successes so far makes likely to be enough, at most twice what has been asked for. Rows of one ``conv_id``
+    share a slice. The driver learns the last ``conv_id`` of a slice and how many pairs came of it."""
+    rank = F.struct(F.col("conv_id").isNotNull().alias("named"), "conv_id")
+    ordered = failing_calls(conversations).withColumn("_rank", rank).orderBy("_rank")
+    rest = failing = written(ordered, "failing")
+    found, asked, wanted, pairs = 0, 0, n, None
+    while found < n:
+        last = rest.select("_rank").orderBy("_rank").limit(wanted).agg(F.max("_rank")).first()[0]
+        if last is None:
+            break
+        last = _constant(last).cast(failing.schema["_rank"].dataType)
+        part = written(rest.filter(F.col("_rank") <= last).drop("_rank"), "slice")
+        rest = failing.filter(F.col("_rank") > last)
+        made = written(paired(*_corrected(part, client, rounds, concurrency, in_flight, log)), "pairs")
+        pairs = made if pairs is None else pairs.unionByName(made)
+        found, asked = found + made.count(), asked + part.count()
+        wanted = min(2 * asked, -(-(n - found) * asked // found) if found else 2 * asked)
+    if pairs is None:
+        pairs = paired(*_corrected(failing.limit(0).drop("_rank"), client, 1, None, 1, None))
+    return first_rows(pairs, n, ["id"])
+
+
 def _fenced(calls: str) -> Column:
     return M.joined(F.transform(calls, lambda c: M.fenced_call_block(
         M.call_json(c["function"]["name"], c["function"]["arguments"]))))
@@ -78,9 +126,10 @@ def paired(rejected: DataFrame, accepted: DataFrame) -> DataFrame:
 
 def build_preferences(
     records: DataFrame, client: Client, done: DataFrame | None = None, max_files: int | None = None,
-    concurrency: int | None = None,
+    concurrency: int | None = None, in_flight: int = 1, log: str | None = None,
 ) -> DataFrame:
-    """Preference pairs from a result tree scan (``id, source, record``); with ``max_files`` the first that many in source order."""
+    """Preference pairs from a result tree scan (``id, source, record``); with ``max_files`` the first that many in source
+    order, of which no more corrections are asked for than they need (``first_pairs``)."""
     if done is not None:
         records = not_done(records, done, ["id"])
     parsed = parse_records(records)
@@ -90,9 +139,12 @@ def build_preferences(
         F.struct("source", "id").alias("conv_id"), users.alias("user"), "tools",
         F.when(F.size(calling) > 0, F.try_element_at(calling, F.lit(-1))["tool_calls"]).alias("tool_calls"),
     ).filter(F.col("tool_calls").isNotNull())
-    pairs = paired(*correct_calls(conversations, client, concurrency=concurrency)).select(
-        F.col("id.id").alias("id"), F.col("id.source").alias("source"), "system", "user", "chosen", "rejected")
-    return first_rows(pairs, max_files, ["source"]) if max_files is not None else pairs
+    asking = {"concurrency": concurrency, "in_flight": in_flight, "log": log}
+    if max_files is None:
+        pairs = paired(*correct_calls(conversations, client, **asking))
+    else:
+        pairs = first_pairs(conversations, client, max_files, **asking)
+    return pairs.select(F.col("id.id").alias("id"), F.col("id.source").alias("source"), "system", "user", "chosen", "rejected")
 
 
 def export_preferences(pairs: DataFrame, *side_sets: DataFrame | None) -> DataFrame:
