@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from ..functions import messages as M
 from ..operators.conversations import tool_responses
 from ..plans.export import export_sharegpt, export_turns, turn_columns
+from ..session import fresh_path
+from ..sources.scans import scan_saved_results
+from ..sources.sinks import save_results
 from .registry import lit, query, table
 from .validation import SIGNATURES, SQL_K, SQL_MESSAGE, event_records
 
@@ -141,3 +144,13 @@ def sharegpt_multi(spark, sf):
 @query(SQL_RECORDS % ("NULL", "NULL"))
 def sharegpt_single(spark, sf):
     return flattened(export_sharegpt(event_records(spark, sf), "single"))
+
+
+@query(f"""SELECT category, subcategory, id AS task, system, human, gpt, tool, summary FROM ({SQL_RECORDS % (
+    """'<tool_response>' || chr(10) || '{"name": "' || event_type || '", "content": {"done":' || user_id || '}}' || chr(10) || '</tool_response>' || chr(10)""",
+    "'did ' || event_type")})""")
+def saved_sharegpt(spark, sf):
+    """Records saved as results, read back from there and exported."""
+    path = fresh_path(spark, "results")
+    save_results(event_records(spark, sf).select("category", "subcategory", F.col("id").alias("task"), F.col("record").alias("reply")), path)
+    return flattened(export_sharegpt(scan_saved_results(spark, path), "multi")).drop("id")

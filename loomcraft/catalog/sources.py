@@ -61,6 +61,14 @@ def result_store(spark, sf):
     return spark.read.parquet(path).select("category", "subcategory", "task", "reply")
 
 
+@query("SELECT doc_id, lang, text FROM documents")
+def array_round_trip(spark, sf):
+    """Documents saved as JSON arrays, one a file, and read back."""
+    path = fresh_path(spark, "arrays")
+    sinks.save_dataset(table(spark, sf, "documents").select("doc_id", "lang", "text"), path, "json_array")
+    return scans.scan_dataset(spark, path, "json_array").select("doc_id", "lang", "text")
+
+
 @query("SELECT conv_id, turn AS rank, text AS content FROM conversations WHERE turn < 3 AND role <> 'system'")
 def search_cache(spark, sf):
     """Search results saved twice per task without the unusable ones, the first three ranks read back."""

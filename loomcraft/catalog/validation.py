@@ -9,6 +9,8 @@ from ..operators.binding import bind
 from ..operators.conversations import parse_records
 from ..operators.schema_check import validate_json
 from ..plans.export import export_json_mode
+from ..session import fresh_path
+from ..sources.sinks import quarantine
 from .registry import lit, query, table
 
 # A tool per part: flat, wrapped, nameless, ill-typed, not a function; enums as map, list, scalar, null.
@@ -173,6 +175,56 @@ def envelope_check(spark, sf):
     return records.select("event_id", V.envelope_errors("record", "function_calling").alias("error"))
 
 
+SQL_VARIETY = """CASE event_type
+    WHEN 'view' THEN '{"messages": [{"role": "user", "content": "x"}, {"role": "assistant", "content": null, "tool_calls": [{"id": "1", "type": "function",
+        "function": {"name": "f", "arguments": "{}"}}]}, {"role": "tool", "tool_call_id": "1", "name": "f", "content": {"k": 1}}], "tools": [{"type": "function", "function": {"name": "f"}}]}'
+    WHEN 'click' THEN '{"messages": [{"role": "user"}, {"role": "tool", "content": "' || user_id || '"}], "tools": []}'
+    WHEN 'purchase' THEN '{"messages": [{"role": "assistant", "tool_calls": [{"id": "1", "type": "function", "function": {"name": "f"}}, {"id": 5, "type": "function", "function": {}}]}], "tools": []}'
+    WHEN 'signup' THEN '{"messages": [{"role": "user", "content": ' || user_id || '}], "tools": [{"name": "f"}, 1, {}]}'
+    ELSE '{"messages": [{"content": "x"}, {"role": "robot"}, 7], "tools": {}}' END"""
+
+
+def varied_records(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.expr(SQL_VARIETY).alias("record"))
+
+
+# Per event type: the violations of its record, in order.
+VIOLATIONS = {
+    "click": [("messages[1]", "tool message without tool_call_id"), ("messages[1]", "tool message without name")],
+    "purchase": [("messages[0].tool_calls[1]", "call id is not a string"), ("messages[0].tool_calls[1]", "call without function name")],
+    "signup": [("messages[0]", "content is not a string"), ("tools[1]", "tool is not an object"), ("tools[2]", "tool without name")],
+    "error": [("messages[0]", "message without role"), ("messages[1]", "unknown role"), ("messages[2]", "message without role"),
+              ("tools", "tools is not a list")],
+}
+SQL_VIOLATIONS = ", ".join(
+    f"({lit(kind)}, {number}, {lit(place)}, {lit(reason)})"
+    for kind, found in VIOLATIONS.items() for number, (place, reason) in enumerate(found))
+
+
+@query(f"""
+SELECT event_id, number, place, reason
+FROM events JOIN (VALUES {SQL_VIOLATIONS}) v(kind, number, place, reason) ON event_type = kind""")
+def record_violations(spark, sf):
+    """Everything that is wrong with each record, a row each."""
+    found = bind(varied_records(spark, sf), found=V.envelope_violations("record", "function_calling"))
+    rows = found.select("event_id", F.posexplode("found").alias("number", "v"))
+    return rows.select("event_id", "number", "v.place", "v.reason")
+
+
+@query(f"""
+SELECT event_id, reason, string_agg(place, ' ' ORDER BY number) AS places
+FROM events JOIN (VALUES {SQL_VIOLATIONS}) v(kind, number, place, reason) ON event_type = kind GROUP BY event_id, reason
+UNION ALL SELECT event_id, NULL, NULL FROM events WHERE event_type = 'view'""")
+def quarantined_records(spark, sf):
+    """Records of the declared shape, and the others from their quarantine."""
+    good, bad = V.split_by_envelope(varied_records(spark, sf), "function_calling")
+    path = fresh_path(spark, "quarantine")
+    quarantine(bad, path)
+    nothing = F.lit(None).cast("string")
+    read = spark.read.parquet(path).select("event_id", "reason", F.array_join("places", " ").alias("places"))
+    return read.unionByName(good.select("event_id", nothing.alias("reason"), nothing.alias("places")))
+
+
 SQL_JSON_RECORD = """'{"messages": [{"role": "user", "content": "give k for ' || user_id || '"}, {"role": "assistant", "content": '
     || CASE event_type WHEN 'signup' THEN '{}' WHEN 'error' THEN '"' || user_id || '"' ELSE props END || '}], "pydantic_schema": '
     || CASE event_type WHEN 'view' THEN '{}' ELSE '%s' END || '}'"""

@@ -86,6 +86,18 @@ def scan_result_tree(spark: SparkSession, root: str, to_full_stop: bool = False)
     )
 
 
+def scan_saved_results(spark: SparkSession, path: str, record: str = "reply", task: str = "task") -> DataFrame:
+    """What ``save_results`` wrote, in the columns of ``scan_result_tree``, for the exports and preference jobs.
+
+    ``id`` is a digest of category, subcategory and task, ``source`` their texts joined by slashes. Folder names are read
+    as the texts they are; a filter on category or subcategory prunes folders."""
+    names = ["category", "subcategory", task]
+    rows = spark.read.schema(f"`{task}` string, `{record}` string, category string, subcategory string").parquet(path)
+    return rows.select(
+        F.sha2(F.to_json(F.array(*names)), 256).alias("id"), F.concat_ws("/", *names).alias("source"),
+        "category", "subcategory", F.col(task).alias("task"), F.col(record).alias("record"))
+
+
 def scan_examples(spark: SparkSession, folder: str) -> DataFrame:
     """Each JSON file of a folder as one example document."""
     return spark.read.text(folder, wholetext=True).select(

@@ -4,16 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.packing import usable_documents
 from ..operators.selection import not_done
 
 
 def save_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """A whole data set, replacing an earlier one."""
-    df.write.mode("overwrite").format(fmt).save(path)
+    """A whole data set, replacing an earlier one. ``json`` is JSON lines, ``json_array`` one array a file, a row a line."""
+    if fmt == "json_array":
+        rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
+        lines = rows.mapInPandas(_array_lines, "value string")
+        lines.write.mode("overwrite").option("maxRecordsPerFile", 0).text(path)
+    else:
+        df.write.mode("overwrite").format(fmt).save(path)
+
+
+def _array_lines(batches):
+    """The JSON texts of a partition as the lines of one array."""
+    empty = True
+    for batch in batches:
+        if len(batch):
+            lines = "," + batch["value"]
+            if empty:
+                lines.iloc[0] = "[" + batch["value"].iloc[0]
+                empty = False
+            yield lines.to_frame()
+    yield pd.DataFrame({"value": ["[]" if empty else "]"]})
 
 
 def save_results(results: DataFrame, path: str, keys: Sequence[str] = ("category", "subcategory", "task")) -> None:
@@ -53,3 +72,8 @@ def append_tasks(tasks: DataFrame, path: str) -> None:
 def save_tasks_csv(tasks: DataFrame, path: str) -> None:
     tasks.select("category", "subcategory", "task").write.mode("overwrite").option("header", True).option(
         "quote", '"').option("escape", '"').csv(path)
+
+
+def quarantine(rejected: DataFrame, path: str) -> None:
+    """Records that were turned away, behind those already there, a folder per ``reason``; AQE splits one that holds most."""
+    rejected.hint("rebalance", "reason").write.mode("append").partitionBy("reason").parquet(path)
