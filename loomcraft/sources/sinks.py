@@ -13,7 +13,8 @@ from ..operators.selection import not_done
 
 
 def save_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """A whole data set, replacing an earlier one. ``json`` is JSON lines, ``json_array`` one array a file, a row a line."""
+    """A whole data set, replacing an earlier one. ``json`` is JSON lines, ``json_array`` one array a file, a row a line;
+    a table without rows may give files without text."""
     if fmt == "json_array":
         rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
         lines = rows.mapInPandas(_array_lines, "value string")
