@@ -3,8 +3,12 @@
 from pyspark.sql import functions as F
 
 from ..operators import packing as P
+from ..operators.cell_index import CellIndex
 from ..operators.retrieval import nearest
+from ..session import fresh_path
+from ..streaming.index import follow_examples
 from .registry import query, table
+from .replies import SQL_REPLY
 from .texts import SQL_CLEAN
 
 BUDGET = 8000
@@ -64,6 +68,33 @@ def topk_similar(spark, sf):
     return similar(spark, sf, K).select("query_id", "vec_id", "rank")
 
 
+@query(f"""
+WITH found AS (
+  SELECT vec_id, embedding, 'seed ' || event_type AS content FROM embeddings JOIN events ON vec_id = event_id WHERE event_type = 'error'
+  UNION ALL SELECT vec_id, embedding, props FROM embeddings JOIN events ON vec_id = event_id WHERE event_type IN ('click', 'view'))
+SELECT q.vec_id AS query_id, v.vec_id AS vec_id, content,
+       row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) DESC, v.vec_id) AS rank
+FROM embeddings q, found v QUALIFY rank <= {K}""")
+def feedback_examples(spark, sf):
+    """Vectors of error events are the seeds of an index. The replies to all other events arrive in files and become
+    examples where they are usable, in several batches; the stream is then run again over nothing new. All vectors ask."""
+    base = fresh_path(spark, "feedback")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    events = table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), "event_type", F.expr(SQL_REPLY).alias("completion")).join(vectors, "id")
+    index = CellIndex(spark, f"{base}/index", fanout=2)
+    seeds = events.filter("event_type = 'error'").withColumn("content", F.concat(F.lit("seed "), "event_type"))
+    index.add("seeds", seeds.select("id", "content", "embedding"))
+    replies = events.filter("event_type <> 'error'").select("id", "completion", "embedding")
+    replies.repartition(6, "id").write.parquet(f"{base}/results")
+    for _ in range(2):
+        follow_examples(
+            spark, f"{base}/results", "id long, completion string, embedding array<float>", index, f"{base}/checkpoint",
+            files_per_batch=2).awaitTermination()
+    found = index.examples(vectors.withColumnRenamed("id", "query_id"), K)
+    return found.select("query_id", F.col("id").alias("vec_id"), "content", "rank")
+
+
 @query(f"""
 SELECT query_id, string_agg('<example = ' || doc_id || '.json>' || chr(10) || text || chr(10) || '</example>' || chr(10), '' ORDER BY rank) AS examples
 FROM ({sql_nearest(2)}) JOIN documents ON vec_id = doc_id GROUP BY query_id""")

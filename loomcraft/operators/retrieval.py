@@ -12,11 +12,12 @@ On unit vectors the order by Euclidean distance is the order by cosine similarit
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ..session import written
 
@@ -41,54 +42,87 @@ def _usable(df: DataFrame, embedding: str) -> DataFrame:
     return df.filter(F.col(embedding).isNotNull() & F.exists(embedding, lambda x: x != 0))
 
 
-def nearest(
-    queries: DataFrame, vectors: DataFrame, k: int = 2, query_id: str = "query_id", vector_id: str = "vec_id",
-    embedding: str = "embedding", cells: int | None = None, rows_per_part: int = 4096,
-) -> DataFrame:
-    """The ``k`` most similar vectors of every query: ``query_id, rank, vector_id, similarity``.
-
-    Equal similarities (to nine digits) are ranked by id. Copies of a vector are folded into one
-    before anything is joined, keeping the ``k`` smallest ids, which is all that ties can ask for.
-    ``cells`` defaults to a quarter of the root of the number of vectors, 1024 at most, so the driver holds at most
-    that many pivots and ``k`` distances for each. A large cell is dealt out over parts, and so are
-    the queries at home in one; a vector goes only where a query asks for its cell."""
-    spark = vectors.sparkSession
-    id_type = vectors.schema[vector_id].dataType.simpleString()
-    qid_type = queries.schema[query_id].dataType.simpleString()
-
+def folded(vectors: DataFrame, vector_id: str, embedding: str, copies: int) -> DataFrame:
+    """``v, ids``: each vector with a direction once, with the ``copies`` smallest ids that have it."""
     per_copy = Window.partitionBy(embedding).orderBy(vector_id)
-    distinct = (
+    return (
         _usable(vectors, embedding).select(vector_id, embedding)
-        .withColumn("_n", F.row_number().over(per_copy)).filter(F.col("_n") <= k)
+        .withColumn("_n", F.row_number().over(per_copy)).filter(F.col("_n") <= copies)
         .groupBy(embedding).agg(F.sort_array(F.collect_list(vector_id)).alias("ids"))
+        .select(F.col(embedding).alias("v"), "ids")
     )
-    distinct = written(distinct.select(F.col(embedding).alias("v"), "ids"), "vectors")
+
+
+def pivot_vectors(distinct: DataFrame, cells: int | None = None) -> list[list[float]]:
+    """Vectors (column ``v``) to lay cells around, at most ``MAX_CELLS`` unless ``cells`` says how many."""
     if cells is None:
         cells = min(MAX_CELLS, max(4, math.isqrt(distinct.count()) // 4))
-    pivot_rows = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(cells).collect()
-    if not pivot_rows:
-        return spark.createDataFrame([], f"{query_id} {qid_type}, rank int, {vector_id} {id_type}, similarity double")
-    pivots = _unit(pd.Series([r["v"] for r in pivot_rows]))
+    return [r["v"] for r in distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(cells).collect()]
+
+
+def in_cells(distinct: DataFrame, pivots: list[list[float]]) -> DataFrame:
+    """Add ``cell``, the place of the nearest pivot, and ``dist`` to it, to rows ``v, ids``."""
+    units = _unit(pd.Series(pivots))
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            d = _distances(_unit(pdf["v"]), pivots)
+            d = _distances(_unit(pdf["v"]), units)
             home = d.argmin(axis=1)
             yield pdf.assign(cell=home.astype("int32"), dist=d[np.arange(len(pdf)), home])
 
-    celled = written(distinct.mapInPandas(to_cells, f"v array<float>, ids array<{id_type}>, cell int, dist double"), "cells")
+    id_type = distinct.schema["ids"].dataType.elementType.simpleString()
+    return distinct.select("v", "ids").mapInPandas(to_cells, f"v array<float>, ids array<{id_type}>, cell int, dist double")
 
-    radii = {r["cell"]: r for r in celled.groupBy("cell").agg(
-        F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).collect()}
+
+def cell_summaries(celled: DataFrame, k: int) -> DataFrame:
+    """``cell, n, low, high, inner`` per cell: its size, least and greatest distance, and up to ``k`` least distances."""
     near = Window.partitionBy("cell").orderBy("dist")
-    inner = celled.select("cell", "dist").withColumn("_n", F.row_number().over(near)).filter(F.col("_n") <= k).collect()
-    used = np.array(sorted(radii))
-    low = np.array([radii[c]["low"] for c in used])
-    high = np.array([radii[c]["high"] for c in used])
+    inner = celled.select("cell", "dist").withColumn("_n", F.row_number().over(near)).filter(F.col("_n") <= k)
+    inner = inner.groupBy("cell").agg(F.sort_array(F.collect_list("dist")).alias("inner"))
+    sizes = celled.groupBy("cell").agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high"))
+    return sizes.join(inner, "cell")
+
+
+def nearest(
+    queries: DataFrame, vectors: DataFrame, k: int = 2, query_id: str = "query_id", vector_id: str = "vec_id",
+    embedding: str = "embedding", cells: int | None = None, rows_per_part: int = 4096,
+) -> DataFrame:
+    """The ``k`` most similar vectors of every query: ``query_id, rank, vector_id, similarity``.
+
+    Equal similarities (to nine digits) are ranked by id. Copies of a vector are folded into one
+    before anything is joined, keeping the ``k`` smallest ids, which is all that ties can ask for.
+    ``cells`` defaults to a quarter of the root of the number of vectors, 1024 at most, so the driver holds at most
+    that many pivots and ``k`` distances for each. A large cell is dealt out over parts, and so are
+    the queries at home in one; a vector goes only where a query asks for its cell."""
+    id_type = vectors.schema[vector_id].dataType.simpleString()
+    distinct = written(folded(vectors, vector_id, embedding, k), "vectors")
+    pivots = pivot_vectors(distinct, cells)
+    celled = written(in_cells(distinct, pivots), "cells") if pivots else distinct
+    summaries = cell_summaries(celled, k).collect() if pivots else []
+    return search_cells(queries, celled, summaries, pivots, k, id_type, query_id, vector_id, embedding, rows_per_part)
+
+
+def search_cells(
+    queries: DataFrame, celled: DataFrame, summaries: list[Row], pivots: list[list[float]], k: int, id_type: str,
+    query_id: str = "query_id", vector_id: str = "vec_id", embedding: str = "embedding", rows_per_part: int = 4096,
+) -> DataFrame:
+    """``nearest`` over vectors that lie in cells. A cell may have several summaries, one per table its rows come from."""
+    spark = queries.sparkSession
+    qid_type = queries.schema[query_id].dataType.simpleString()
+    if not summaries:
+        return spark.createDataFrame([], f"{query_id} {qid_type}, rank int, {vector_id} {id_type}, similarity double")
+    sizes = Counter()
+    for r in summaries:
+        sizes[r["cell"]] += r["n"]
+    used = np.array(sorted(sizes))
     place = {c: i for i, c in enumerate(used)}
-    inner_cell = np.array([place[r["cell"]] for r in inner])
-    inner_dist = np.array([r["dist"] for r in inner])
-    used_pivots = pivots[used]
+    low, high = np.full(len(used), np.inf), np.zeros(len(used))
+    for r in summaries:
+        at = place[r["cell"]]
+        low[at], high[at] = min(low[at], r["low"]), max(high[at], r["high"])
+    inner_cell = np.array([place[r["cell"]] for r in summaries for _ in r["inner"]])
+    inner_dist = np.array([d for r in summaries for d in r["inner"]])
+    used_pivots = _unit(pd.Series([pivots[c] for c in used]))
     between = _distances(used_pivots, used_pivots)
 
     def to_candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,8 +131,10 @@ def nearest(
                 pdf = batch.iloc[at:at + _CHUNK]
                 d = _distances(_unit(pdf["e"]), used_pivots)
                 reach = d[:, inner_cell] + inner_dist
-                last = min(k, reach.shape[1]) - 1
-                bound = np.partition(reach, last, axis=1)[:, last] + _SLACK
+                if reach.shape[1] < k:  # fewer vectors than asked for: every one is an answer
+                    bound = np.full(len(pdf), np.inf)
+                else:
+                    bound = np.partition(reach, k - 1, axis=1)[:, k - 1] + _SLACK
                 home = d.argmin(axis=1)
                 d_home = d[np.arange(len(pdf)), home]
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -120,7 +156,6 @@ def nearest(
         pairs = [F.lit(int(x)) for c, n in counts.items() for x in (c, math.ceil(n / rows_per_part))]
         return F.try_element_at(F.create_map(*pairs), F.col(cell))
 
-    sizes = {c: r["n"] for c, r in radii.items()}
     each_part = lambda cell: F.explode(F.sequence(F.lit(0), parts_of(sizes, cell) - 1))
     split = asked.withColumn("chunk", F.pmod(F.xxhash64("q"), parts_of(homes, "home")).cast("int"))
     wanted = split.select(

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.jsons import salvaged
 from ..operators.binding import bind
+from ..operators.cell_index import CellIndex
 
 
 def follow_results(
@@ -31,6 +32,26 @@ def follow_results(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def follow_examples(
+    spark: SparkSession, results_path: str, schema: str, index: CellIndex, checkpoint: str, name: str = "results",
+    files_per_batch: int | None = None, once: bool = True,
+) -> StreamingQuery:
+    """Stream result files (``id, completion, embedding``) into an index that tasks search for examples, so what was generated
+    becomes an example. Replies without usable JSON are left out. ``content`` is the payload, further payload columns come by name.
+
+    A batch is added under ``name`` and its number: one that is run again after a failure is added once."""
+    arriving = spark.readStream.schema(schema)
+    if files_per_batch:
+        arriving = arriving.option("maxFilesPerTrigger", files_per_batch)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        read = bind(batch, content=salvaged("completion"))
+        index.add(f"{name}-{batch_id}", read.filter(F.col("content").isNotNull()))
+
+    writer = arriving.parquet(results_path).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def example_index(spark: SparkSession, index_path: str, seeds: DataFrame | None = None) -> DataFrame:
     """The index: seed examples and everything streamed in, each source once, the earliest entry."""
     streamed = spark.read.parquet(index_path).filter(F.col("usable") == "true").select("source", "seq_num", "content", "batch_id")
