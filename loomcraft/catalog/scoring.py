@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as M
 from ..operators.scoring import failed_pairs as pairs_of_failed, pass_rate as rate, score_completions
-from ..plans.export import evaluate
+from ..plans.export import evaluate, evaluate_dataset
 from ..plans.preference import build_preferences, correct_calls, export_preferences, paired
+from ..session import fresh_path
 from .registry import lit, query, table
 from .validation import SIGNATURES, SQL_K, SQL_MESSAGE, event_records
 
@@ -146,20 +147,34 @@ def speller(prompt: str) -> str:
     return "no" if name == "error" else '<tool_call>{"name": "%s", "arguments": {"k": %s.0}}' % (name, k)
 
 
-@query(f"""
+SQL_SPELLED = f"""
 SELECT event_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'passed' END AS result,
        CASE WHEN event_type = 'error' THEN 'no'
             ELSE {SQL_BLOCK % f"""('{{"name": "' || event_type || '", "arguments": {{"k": ' || {SQL_K} || '.0}}}}')"""} END AS model_completion
-FROM events""")
-def evaluated_samples(spark, sf):
-    """Prompts rendered, answered by a client and scored."""
+FROM events"""
+
+
+def spelling_samples(spark, sf):
     number = F.regexp_extract("props", "[0-9]+", 0)
     turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    rows = table(spark, sf, "events", spread_out=True).select(
+    return table(spark, sf, "events", spread_out=True).select(
         "event_id", F.array(turn("system", F.lit("tools")), turn("user", F.concat_ws(" ", "event_type", number))).alias("prompt"),
         F.concat(F.lit('{"name": "'), "event_type", F.lit('", "arguments": {"k": '), number, F.lit("}}")).alias("completion"),
         F.lit("s").alias("system"), F.lit("u").alias("user"))
-    return evaluate(rows, speller, one_shot=None).select("event_id", "result", "model_completion")
+
+
+@query(SQL_SPELLED)
+def evaluated_samples(spark, sf):
+    """Prompts rendered, answered by a client and scored."""
+    return evaluate(spelling_samples(spark, sf), speller).select("event_id", "result", "model_completion")
+
+
+@query(f"{SQL_SPELLED} ORDER BY event_id LIMIT 1000")
+def evaluated_first_samples(spark, sf):
+    """The first thousand samples of a data set of many files (a cap the user sets); the other files are neither read nor asked."""
+    path = fresh_path(spark, "samples")
+    spelling_samples(spark, sf).repartitionByRange(24, "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    return evaluate_dataset(spark, path, speller, num_samples=1000).select("event_id", "result", "model_completion")
 
 
 @query(f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import messages as M
 from ..functions.jsons import array_text, is_empty_value, let, quoted
@@ -14,6 +14,7 @@ from ..operators.prefix import PART_ROWS
 from ..operators.schema_check import validate_json
 from ..operators.scoring import score_completions
 from ..operators.selection import with_side_sets
+from ..sources.scans import scan_dataset
 
 
 def export_sharegpt(records: DataFrame, turn: str = "multi", *side_sets: DataFrame | None) -> DataFrame:
@@ -120,6 +121,15 @@ def evaluate(
     return score_completions(samples, template=template)
 
 
+def evaluate_dataset(
+    spark: SparkSession, path: str, client: Client | None = None, num_samples: int | None = None, fmt: str = "parquet",
+    template: str = "chatml", one_shot: str | None = None, concurrency: int | None = None,
+) -> DataFrame:
+    """``evaluate`` over a published data set; with ``num_samples`` over its first rows, and no others are read or asked."""
+    samples = scan_dataset(spark, path, fmt, num_samples)
+    return evaluate(samples, client, template, one_shot, concurrency)
+
+
 def records_text(messages: Column, tools: Column) -> Column:
     """A record's JSON text from arrays of message and tool texts."""
     return F.concat(F.lit('{"messages":'), array_text(messages), F.lit(',"tools":'), array_text(tools), F.lit("}"))

@@ -20,6 +20,8 @@ PACKAGE_FILE = "__init__.py"
 SHEET_HEADER_ROWS = 3
 SHEET_COLUMNS = {1: "Sector", 3: "Industry Group", 5: "Industry", 7: "Sub-Industry"}
 
+_SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):/+"
+
 
 def with_ordinal(df: DataFrame, file_order: Column, name: str = "ordinal") -> DataFrame:
     """Number rows from 0 in file order: files by name, rows as they stand in their file.
@@ -46,6 +48,45 @@ def place() -> Column:
     return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
 
 
+def _file_key() -> Column:
+    """A row's file, told apart from others and ordered like them. Spark writes the slashes behind a scheme in two ways."""
+    return F.regexp_replace("_metadata.file_path", _SCHEME, "$1:")
+
+
+def _files_of_first(rows: DataFrame, n: int) -> tuple[str, int] | None:
+    """The last file (by name) that the first ``n`` rows of a plain scan reach, and how many of them it holds.
+
+    Files are counted a few at a time, twice as many each time, without reading a column, until there are enough rows; null
+    if there never are. The driver holds the names of files, as the scan itself does, and of up to 1,024 their counts."""
+    path = _file_key()
+    files, at, step, before = sorted(re.sub(_SCHEME, r"\1:", f) for f in rows.inputFiles()), 0, 1, 0
+    while at < len(files):
+        some = files[at:at + step]
+        counts = dict(rows.filter(path.between(some[0], some[-1])).groupBy(path.alias("file")).count().collect())
+        for file in some:
+            if before + counts.get(file, 0) >= n:
+                return file, n - before
+            before += counts.get(file, 0)
+        at, step = at + step, min(2 * step, 1024)
+    return None
+
+
+def first_of_scan(rows: DataFrame, n: int, fmt: str) -> DataFrame:
+    """The first ``n`` rows of a plain scan in file order. Files behind them aren't read, whatever the size of the input.
+
+    Parquet tells each row's place, so nothing is numbered or written; of other formats the last file reached is numbered,
+    and that file alone is written."""
+    found = _files_of_first(rows, n) if n > 0 else ("", 0)
+    if found is None:
+        return rows
+    last, rest = found
+    path = _file_key()
+    if fmt == "parquet":
+        return rows.filter((path <= last) & ((path < last) | (F.col("_metadata.row_index") < rest)))
+    cut = with_ordinal(rows.filter(path == last), place()).filter(F.col("ordinal") < rest).drop("ordinal")
+    return rows.filter(path < last).unionByName(cut)
+
+
 def scan_curriculum(spark: SparkSession, path: str, num_tasks: int | None = None) -> DataFrame:
     """Curriculum CSV (``Category,SubCategory,Task[,Schema]``), quoted fields may hold line breaks.
 
@@ -54,8 +95,11 @@ def scan_curriculum(spark: SparkSession, path: str, num_tasks: int | None = None
         spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
         .option("emptyValue", "").csv(path)
     )
-    tasks = with_ordinal(rows, place())
-    return tasks.filter(F.col("ordinal") < num_tasks) if num_tasks is not None else tasks
+    if num_tasks is None:
+        return with_ordinal(rows, place())
+    found = _files_of_first(rows, num_tasks)
+    needed = rows if found is None else rows.filter(_file_key() <= found[0])
+    return with_ordinal(needed, place()).filter(F.col("ordinal") < num_tasks)
 
 
 def scan_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +191,5 @@ def scan_dataset(spark: SparkSession, path: str, fmt: str = "parquet", num_sampl
 
     ``json`` is JSON lines, as ``save_dataset`` writes them; ``json_array`` is one array a file."""
     rows = spark.read.json(path, multiLine=True) if fmt == "json_array" else spark.read.format(fmt).load(path)
-    if num_samples is None:
-        return rows
-    return with_ordinal(rows, place()).filter(F.col("ordinal") < num_samples).drop("ordinal")
+    return rows if num_samples is None else first_of_scan(rows, num_samples, fmt)
 
