@@ -9,7 +9,8 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators.completion import complete, failures
-from ..plans import curricula as C, generation as G
+from ..operators.prompts import MINING_CODE, MINING_SCHEMA
+from ..plans import curricula as C, generation as G, mining
 from ..session import fresh_path
 from .registry import query, table
 from .texts import RUN_DATE, industry_sheet, sql_slug
@@ -173,7 +174,7 @@ def stepwise_generation(spark, sf):
 
 def miner(prompt: str) -> str:
     """Names the task after the length of the code it was shown."""
-    code = prompt.split("Please use the following code as reference for the task: ", 1)[1].rsplit("\nReturn a single json", 1)[0]
+    code = prompt.split(MINING_CODE, 1)[1].rsplit("\n" + MINING_SCHEMA, 1)[0]
     return json.dumps({"Category": "code", "SubCategory": "x", "Task": f"read {len(code)}", "Schema": {}})
 
 
@@ -190,6 +191,38 @@ def mined_tasks(spark, sf):
     return C.mine_tasks(code, [], "{}", miner, done)
 
 
+MINED_SECTIONS = {"Role": "Write a record.", "Objective": "{category}|{task}", "Documents": "{doc_list}", "Assistant": "Now:"}
+
+
+def mined_records(prompt: str) -> str:
+    """Mines a task from code, or makes a record for a task, by how long the code is. Of every four lengths one goes well at once,
+    one is mined at the second try, one makes an object that fits at the third, one never does."""
+    head, told, fault = prompt.partition("\nAnswer ")
+    if head.startswith("Please extract"):
+        code = head.split(MINING_CODE, 1)[1].rsplit("\n" + MINING_SCHEMA, 1)[0]
+        if len(code) % 4 in (1, 2) and not told:
+            return "no idea"
+        return json.dumps({"Category": "code", "Task": f"read {len(code)}"})
+    read = int(re.search(r"Objective:\ncode\|read (\d+)\n", head).group(1))
+    fits = read % 4 < 2 or read % 4 == 2 and fault.startswith("2 ")
+    return '{"messages": [{"role": "assistant", "content": {"k": %d}}], "pydantic_schema": %s}' % (read % 50 if fits else 50, SCHEMA)
+
+
+@query("""
+WITH files AS (SELECT 'f' || doc_id || '.py' AS path, length(coalesce(text, '')) AS n FROM documents)
+SELECT path, '{"Category": "code", "Task": "read ' || n || '"}' AS task_json,
+       CASE WHEN n % 4 < 3 THEN '{"k":' || n % 50 || '}' END AS json_object,
+       CAST(least(n % 4 + 1, 3) AS INTEGER) AS rounds, n % 4 = 3 AS failed
+FROM files""")
+def mined_and_generated(spark, sf):
+    """Every document as a source file: a task mined from it, a record made for the task, failing rows asked up to three times."""
+    path = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path")
+    code = table(spark, sf, "documents", spread_out=True).select(path, F.col("text").alias("code"))
+    fine, failed = mining.mine_and_generate(code, [], "{}", MINED_SECTIONS, "{}", mined_records, tell_fault=True)
+    return fine.select("path", "task_json", "json_object", "rounds", F.lit(False).alias("failed")).unionByName(
+        failed.select("path", "task_json", F.lit(None).cast("string").alias("json_object"), "rounds", F.lit(True).alias("failed")))
+
+
 def industry(prompt: str) -> str:
     """Two tasks per industry row; now and then one of them lacks its schema."""
     row = json.loads(prompt.rsplit("the schema added:\n", 1)[1])
