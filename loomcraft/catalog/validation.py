@@ -1,5 +1,7 @@
 """Tools and calls: admission, normal form, verdicts; JSON against schemas; record shapes."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import messages as M, tools as T
@@ -127,10 +129,31 @@ def event_records(spark, sf):
 SELECT event_id, {SQL_MESSAGE} AS first_message, CASE WHEN value > 20 THEN 2 ELSE 1 END AS n_calls
 FROM events""")
 def record_verdicts(spark, sf):
+    return judged_records(spark, sf).select("event_id", F.get("v", F.lit(0))["message"].alias("first_message"), F.size("v").alias("n_calls"))
+
+
+def judged_records(spark, sf):
     records = parse_records(event_records(spark, sf))
     calls = F.try_element_at(F.filter("messages", lambda m: m["tool_calls"].isNotNull()), F.lit(-1))["tool_calls"]
-    judged = bind(records.select("event_id", calls.alias("calls"), "tools"), v=T.record_verdicts("calls", "tools"))
-    return judged.select("event_id", F.get("v", F.lit(0))["message"].alias("first_message"), F.size("v").alias("n_calls"))
+    return bind(records.select("event_id", calls.alias("calls"), "tools"), v=T.record_verdicts("calls", "tools"))
+
+
+def sql_result(name: str, arguments: str, message: str) -> str:
+    """A call's verdict with call and signature, as SQL."""
+    held = " ".join(f"WHEN {lit(json.loads(s)['function']['name'])} THEN {lit(s)}" for s in SIGNATURES[:-1])
+    return f"""'{{"status":"' || CASE WHEN {message} = 'Function call is valid' THEN 'accepted' ELSE 'failed' END || '","message":' || to_json({message})
+       || ',"call":{{"name":"' || {name} || '","arguments":' || {arguments} || '}},"signature":' || CASE {name} {held} ELSE 'null' END || '}}'"""
+
+
+@query(f"""
+SELECT event_id, {SQL_MESSAGE} <> 'Function call is valid' AS failed,
+       '[' || {sql_result("event_type", f"""'{{"k": ' || {SQL_K} || '}}'""", SQL_MESSAGE)}
+       || CASE WHEN value > 20 THEN ',' || {sql_result("'signup'", "'{}'", "'Function call is valid'")} ELSE '' END || ']' AS results
+FROM events""")
+def record_results(spark, sf):
+    """What became of each record's calls, with calls and signatures, and whether any failed."""
+    failed = F.exists("v", lambda v: v["status"] == "failed").alias("failed")
+    return judged_records(spark, sf).select("event_id", failed, T.call_results("calls", "tools", "v").alias("results"))
 
 
 # JSON against a schema: one object, or a list whose second item counts as well.

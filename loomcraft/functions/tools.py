@@ -12,8 +12,8 @@ from functools import cache
 from pyspark.sql import Column, functions as F
 
 from .jsons import (
-    array_text, entries, has_key, is_truthy, last_or_null, let, object_entries, object_text, python_quoted,
-    python_type, quoted,
+    array_text, entries, has_key, is_json, is_truthy, last_or_null,
+    let, object_entries, object_text, python_quoted, python_type, quoted,
 )
 from .text import _col
 
@@ -320,3 +320,24 @@ def _verdicts(calls, tools) -> Column:
 
     return let(usable, all_calls)
 
+
+def call_results(calls, tools, verdicts) -> Column:
+    """The verdicts of a record's calls as JSON text: ``[{"status", "message", "call": {"name", "arguments"}, "signature"}, …]``.
+
+    The signature is the tool the call was held against, null if none has its name. Arguments that aren't JSON are
+    given as the text they are."""
+
+    def shown(call, verdict):
+        function = call["function"]
+        name, arguments = function["name"], function["arguments"]
+        signature = F.get(F.filter(_col(tools), lambda t: (signature_name(t) == name) & admitted(t)), F.lit(0))
+        null = F.lit("null")
+        told = lambda text: F.coalesce(quoted(text), null)
+        given = F.when(is_json(arguments), arguments).otherwise(told(arguments))
+        return F.concat(
+            F.lit('{"status":'), told(verdict["status"]), F.lit(',"message":'), told(verdict["message"]),
+            F.lit(',"call":{"name":'), told(name), F.lit(',"arguments":'), given,
+            F.lit('},"signature":'), F.coalesce(signature, null), F.lit("}"))
+
+    listed = F.array_join(F.zip_with(_col(calls), _col(verdicts), shown), ",")
+    return F.concat(F.lit("["), F.coalesce(listed, F.lit("")), F.lit("]"))

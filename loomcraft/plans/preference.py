@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions import messages as M
 from ..functions.jsons import array_text, quoted
-from ..functions.tools import record_verdicts
+from ..functions.tools import call_results, record_verdicts
 from ..operators.binding import bind
 from ..operators.completion import ATTEMPTS, Client, complete
 from ..operators.conversations import parse_records
@@ -22,12 +22,6 @@ def _all_accepted(verdicts: Column) -> Column:
     return F.coalesce(F.forall(verdicts, lambda v: v["status"] == "accepted"), F.lit(False))
 
 
-def _verdicts_text(verdicts: Column) -> Column:
-    items = F.transform(verdicts, lambda v: F.concat(
-        F.lit('{"status":'), quoted(v["status"]), F.lit(',"message":'), quoted(v["message"]), F.lit("}")))
-    return F.coalesce(array_text(items), F.lit("[]"))
-
-
 def failing_calls(conversations: DataFrame) -> DataFrame:
     """The conversations (``conv_id, user, tools, tool_calls``) with a call that fails, with the ``verdicts`` of their calls."""
     judged = bind(conversations, verdicts=record_verdicts("tool_calls", "tools"))
@@ -41,8 +35,8 @@ def correct_calls(
     """Validate the calls of each conversation (``conv_id, user, tools, tool_calls``) and have failing ones
     made again, in at most ``rounds`` rounds over the shrinking failing set.
 
-    ``client`` gets ``{"prompt": …, "tools": […]}`` and answers with a message holding ``tool_calls``.
-    Returns ``rejected`` (the first calls of conversations that failed) and ``accepted`` (the first
+    ``client`` gets ``{"prompt": …, "tools": […]}`` and answers with a message holding ``tool_calls``. The prompt shows
+    every call with its verdict and the signature it was held against. Returns ``rejected`` (the first calls of conversations that failed) and ``accepted`` (the first
     correction that passes), both by ``conv_id``. The driver sees only whether a round is empty."""
     return _corrected(written(failing_calls(conversations), "failing"), client, rounds, concurrency, in_flight, log)
 
@@ -53,8 +47,9 @@ def _corrected(
     rejected = failing.select("conv_id", "user", "tools", F.col("tool_calls").alias("rejected_calls"))
     accepted = None
     for number in range(1, rounds + 1):
+        shown = correction_prompt("user", call_results("tool_calls", "tools", "verdicts"))
         request = F.concat(
-            F.lit('{"prompt":'), quoted(correction_prompt("user", _verdicts_text(F.col("verdicts")))),
+            F.lit('{"prompt":'), quoted(shown),
             F.lit(',"tools":'), array_text(F.col("tools")), F.lit("}"))
         answered = complete(
             failing.withColumn("prompt", request), "prompt", client, concurrency=concurrency, name="corrections",

@@ -244,3 +244,16 @@ def test_object_arguments_and_misplaced_type_fail(spark):
     df = parse_records(spark.createDataFrame([Row(record=record(said("user", "u"), c)) for c in (as_object, misplaced)]))
     got = df.select(sharegpt_conversation(F.col("messages"), F.col("tools")).alias("c")).collect()
     assert [r.c for r in got] == [None, None]
+
+
+def test_results_show_call_and_signature(spark):
+    kind = "calls array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>, tools array<string>"
+    tool = '{"type":"function","function":{"name":"f","parameters":{"properties":{}}}}'
+    calls = [("1", "function", ("f", '{"a": 1}')), ("2", "function", ("g", "not JSON")), ("3", "function", (None, None))]
+    df = spark.createDataFrame([(calls, [tool]), ([], []), (None, None)], kind)
+    rows = [json.loads(r.t) for r in df.select("*", T.record_verdicts("calls", "tools").alias("v")).select(
+        T.call_results("calls", "tools", "v").alias("t")).collect()]
+    assert rows[1:] == [[], []]
+    assert [(r["status"], r["call"], r["signature"]) for r in rows[0]] == [
+        ("accepted", {"name": "f", "arguments": {"a": 1}}, json.loads(tool)),
+        ("failed", {"name": "g", "arguments": "not JSON"}, None), ("failed", {"name": None, "arguments": None}, None)]
