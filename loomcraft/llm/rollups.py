@@ -10,7 +10,9 @@ that broke off before it is written anew over what it left. Known counts (``ledg
 only if it is committed.
 
 Inserting a known document revises it, revising an unknown one inserts it, deleting an unknown one does nothing.
-Repeated rows of an id in a batch count once: a delete before others, then the largest count. Null ids are one id; null
+Repeated rows of an id in a batch count once: a delete before others, then the largest count. Rows without an id are
+documents of their own, told apart by text, source and language and counted: every row inserts one more, a delete takes one
+such document away if there is one left. A null or unknown ``op`` is refused. Null
 texts have no tokens; null sources and languages are groups of their own. Empty batches commit nothing but their name.
 """
 
@@ -30,9 +32,12 @@ from .tokens import encoder, in_slices
 WORDS_KEPT = 200_000
 _ROWS = 256
 _CHARS = 500_000
-_KEY = ["doc_id", "version"]
+_KEY = ["doc_id", "twin", "version"]
+OPS = ("insert", "revise", "delete")
 _GROUP = ["source", "lang", "version"]
-LEDGER = "doc_id long, version string, source string, lang string, tokens long, alive boolean, seq long, batch string"
+LEDGER = (
+    "doc_id long, twin string, version string, source string, lang string, tokens long, copies long, seq long, batch string, "
+    "old struct<source:string,lang:string,tokens:long,copies:long>")
 DELTAS = "source string, lang string, version string, docs long, tokens long, batch string"
 
 
@@ -84,22 +89,35 @@ class TokenRollup:
         seq = max(done.values(), default=0) + 1
         known = self._committed("ledger", LEDGER)
         counts = F.array(*[F.struct(F.lit(v).alias("version"), f(F.col("_text")).alias("tokens")) for v, f in self.versions.items()])
+        source, lang = F.col("source").cast("string"), F.col("lang").cast("string")
+        op = F.when(F.col("op").isin(*OPS), F.col("op")).otherwise(
+            F.raise_error(F.concat(F.lit(f"op must be one of {', '.join(OPS)}, not "), F.coalesce("op", F.lit("null")))))
+        doc_id = F.col("doc_id").cast("long")
+        twin = F.when(doc_id.isNull(), F.sha2(F.to_json(F.array(text_of(), source, lang)), 256))
         rows = changes.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-            F.col("lang").cast("string").alias("lang"), (F.col("op") != "delete").alias("alive"),
+            doc_id.alias("doc_id"), twin.alias("twin"), source.alias("source"), lang.alias("lang"), (op != "delete").alias("alive"),
             F.when(F.col("op") != "delete", text_of()).otherwise("").alias("_text"))
-        rows = rows.select("doc_id", "source", "lang", "alive", F.explode(counts).alias("_c")).select(
-            "doc_id", "source", "lang", "alive", "_c.version", "_c.tokens")
+        rows = rows.select("doc_id", "twin", "source", "lang", "alive", F.explode(counts).alias("_c")).select(
+            "doc_id", "twin", "source", "lang", "alive", "_c.version", "_c.tokens")
         latest = rows.groupBy(*_KEY).agg(
-            F.max(F.struct((~F.col("alive")).alias("gone"), "tokens", "source", "lang")).alias("_new"))
-        latest = latest.select(*_KEY, "_new.source", "_new.lang", F.when(F.col("_new.gone"), 0).otherwise(F.col("_new.tokens")).cast("long").alias("tokens"),
-                               (~F.col("_new.gone")).alias("alive"), F.lit(seq).cast("long").alias("seq"), F.lit(batch).alias("batch"))
-        self._write(latest, "ledger", self._part(batch))
-        own = self.spark.read.schema(LEDGER).parquet(f"{self.path}/ledger/{self._part(batch)}")
-        last = known.groupBy(*_KEY).agg(F.max_by(F.struct("source", "lang", "tokens", "alive"), "seq").alias("_old"))
+            F.max(F.struct((~F.col("alive")).alias("gone"), "tokens", "source", "lang")).alias("_new"),
+            F.max("tokens").alias("_most"), F.sum(F.when(F.col("alive"), 1).otherwise(-1)).alias("_more"))
+        self._write(latest, "counts", self._part(batch))
+        own = self.spark.read.schema(latest.schema).parquet(f"{self.path}/counts/{self._part(batch)}")
+        last = known.groupBy(*_KEY).agg(F.max_by(F.struct("source", "lang", "tokens", "copies"), "seq").alias("old"))
         met = join_same(own, last, _KEY, "left")
-        minus = met.filter("_old.alive").select("_old.source", "_old.lang", "version", F.lit(-1).alias("docs"), (-F.col("_old.tokens")).alias("tokens"))
-        plus = met.filter("alive").select(*_GROUP, F.lit(1).alias("docs"), "tokens")
+        named, here = F.col("twin").isNull(), ~F.col("_new.gone")
+        had = lambda name: F.coalesce(F.col(f"old.{name}"), F.lit(0))
+        self._write(met.select(
+            *_KEY, "_new.source", "_new.lang",
+            F.when(~named, F.greatest(had("tokens"), "_most")).when(here, F.col("_new.tokens")).otherwise(0).cast("long").alias("tokens"),
+            F.when(~named, F.greatest(had("copies") + F.col("_more"), F.lit(0))).when(here, 1).otherwise(0).cast("long").alias("copies"),
+            F.lit(seq).cast("long").alias("seq"), F.lit(batch).alias("batch"), "old"), "ledger", self._part(batch))
+        told = self.spark.read.schema(LEDGER).parquet(f"{self.path}/ledger/{self._part(batch)}")
+        signed = lambda sign, of: (F.lit(sign) * F.col(f"{of}copies"), F.lit(sign) * F.col(f"{of}copies") * F.col(f"{of}tokens"))
+        of_old, of_new = signed(-1, "old."), signed(1, "")
+        minus = told.filter("old.copies > 0").select("old.source", "old.lang", "version", of_old[0].alias("docs"), of_old[1].alias("tokens"))
+        plus = told.filter("copies > 0").select(*_GROUP, of_new[0].alias("docs"), of_new[1].alias("tokens"))
         deltas = plus.unionByName(minus).groupBy(*_GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         self._write(deltas.withColumn("batch", F.lit(batch)), "deltas", self._part(batch))
         self._write(self.spark.createDataFrame([(batch, seq)], "batch string, seq long"), "commits", self._part(batch))

@@ -108,9 +108,29 @@ def test_totals_follow_inserts_revisions_and_deletes(spark):
     assert sum(r.docs for r in rollup.totals().collect()) == 2 * len(state) - 2
 
 
+def test_documents_without_an_id_are_counted(spark):
+    rollup = rollups.TokenRollup(spark, fresh_path(spark, "test-rollup"), {"words": rollups.word_count})
+    schema = "op string, doc_id long, text string, source string, lang string, twin int, old int"
+    batch = lambda *rows: spark.createDataFrame([(op, None, *r, 0, 0) for op, *r in rows], schema)
+    steps = [
+        ([("delete", "a b", "s", "en")], {}),
+        ([("insert", "a b", "s", "en"), ("insert", "a b", "s", "en"), ("insert", "a b", None, "en"), ("revise", None, "s", "en")],
+         {("s", "en"): (3, 4), (None, "en"): (1, 2)}),
+        ([("delete", "a b", "s", "en"), ("insert", "c", "s", "en"), ("delete", "never", "s", "en")], {("s", "en"): (3, 3), (None, "en"): (1, 2)}),
+        ([("delete", "a b", "s", "en"), ("delete", "a b", "s", "en"), ("delete", "a b", None, "en")], {("s", "en"): (2, 1)}),
+        ([("insert", "a b", "s", "en")], {("s", "en"): (3, 3)}),
+    ]
+    for n, (rows, want) in enumerate(steps):
+        assert rollup.commit(f"b{n}", batch(*rows)) and not rollup.commit(f"b{n}", batch(*rows))
+        assert {(r.source, r.lang): (r.docs, r.tokens) for r in rollup.totals().collect()} == want, n
+    for op in (None, "upsert"):
+        with pytest.raises(Exception, match="op must be one of"):
+            rollup.commit("bad", batch((op, "x", "s", "en")))
+
+
 def test_totals_of_the_table(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    own, total = Encoder(TOKENIZER), Counter()
+    own, total, known = Encoder(TOKENIZER), Counter(), Counter()
     labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     for i, r in docs.items():
         text, label = r.text or "", labels.get(i)
@@ -120,8 +140,10 @@ def test_totals_of_the_table(spark):
             text = "\n".join(dict.fromkeys(text.split("\n")))
         total[r.source, r.lang, "word_bpe_49k"] += len(own.encode([text])[0]) // 2
         total[r.source, r.lang, "words"] += len(text.split())
+        known[r.source, r.lang] += 1
     rows = QUERIES["op7_token_counts"](spark, SF).collect()
     assert {(r.source, r.lang, r.version): r.tokens for r in rows} == dict(total)
+    assert {(r.source, r.lang, r.version): r.docs for r in rows} == {k: known[k[:2]] for k in total}
 
 
 # Decontamination
