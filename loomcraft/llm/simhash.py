@@ -10,6 +10,9 @@ Equal fingerprints are one from the start. A bucket is compared block by block,
 of its own, so a hot bucket is split however large it is; what leaves a comparison is a spanning
 forest of its links, never all pairs. Links are joined into components by alternating stars.
 
+No side of a join is as small as it looks: tables of keys and links compress well and grow with the corpus. All joins
+are merge joins, so that none is gathered by the driver to be sent around.
+
 Null and empty texts have the fingerprint zero, which links like any other. Rows are told apart by nothing but their
 fingerprint, so repeated and null ids do no harm; a component's id is its smallest id, null if all are null.
 An empty table gives no rows. Other columns are not looked at.
@@ -90,7 +93,7 @@ def links(distinct: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
                        for t, m in enumerate(masks(radius))])
     rows = distinct.select("print", F.explode(tables).alias("_b")).select("print", "_b.t", "_b.key")
     sizes = rows.groupBy("t", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    met = rows.join(sizes, ["t", "key"])
+    met = rows.join(sizes.hint("merge"), ["t", "key"])
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("print"), blocks).cast("int")
     pairs = met.withColumn("own", own).select(
@@ -144,9 +147,9 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        tied = large.join(lowest.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(tied.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
         after = state(edges)
         if after == before:
@@ -158,7 +161,7 @@ def components(edges: DataFrame) -> DataFrame:
 def rooted(distinct: DataFrame, radius: int, block: int) -> DataFrame:
     """``print, low, root``: the distinct prints with their component's smallest print."""
     stars = components(links(distinct.select("print"), radius, block))
-    return distinct.join(stars, distinct["print"] == stars["u"], "left").select(
+    return distinct.join(stars.hint("merge"), distinct["print"] == stars["u"], "left").select(
         "print", "low", F.coalesce("v", "print").alias("root"))
 
 
@@ -169,8 +172,8 @@ def near_groups(docs: DataFrame, width: int = 4, radius: int = 4, doc_id: str =
     distinct = written(rows.groupBy("print").agg(F.min("_doc").alias("low")), "distinct-fingerprints")
     roots = rooted(distinct, radius, block)
     lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    members = roots.join(lows, "root").select("print", "component_id")
-    return rows.join(members, "print").select(
+    members = roots.join(lows.hint("merge"), "root").select("print", "component_id")
+    return rows.join(members.hint("merge"), "print").select(
         F.col("_doc").alias(doc_id), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -187,4 +190,5 @@ def one_per_group(docs: DataFrame, width: int = 4, radius: int = 4, block: int =
     first = F.min(F.struct(F.col("_doc").isNull().alias("no_id"), "_doc", "print", "hash", "number"))
     distinct = written(rows.groupBy("print").agg(first.alias("low")), "distinct-fingerprints")
     keep = rooted(distinct, radius, block).groupBy("root").agg(F.min("low").alias("low"))
-    return numbered.join(keep.select(F.col("low.number").alias("_keep")), F.col(number) == F.col("_keep"), "left_semi").drop(number)
+    kept = keep.select(F.col("low.number").alias("_keep")).hint("merge")
+    return numbered.join(kept, F.col(number) == F.col("_keep"), "left_semi").drop(number)

@@ -198,3 +198,13 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)]
     found = {r.u: r.v for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 130)}
+
+
+def test_simhash_joins_send_nothing_through_the_driver(make):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    docs = make([f"word{i % 7} and " * (i % 5) for i in range(40)])
+    distinct = simhash.fingerprints(docs).groupBy("print").agg(F.min("_doc").alias("low"))
+    for found in (simhash.links(distinct.select("print"), 4), simhash.near_groups(docs), simhash.one_per_group(docs)):
+        assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
