@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import re
 
 import pytest
@@ -11,6 +12,7 @@ from loomcraft.catalog import QUERIES
 from loomcraft.functions import messages
 from loomcraft.operators.completion import complete
 from loomcraft.operators.conversations import parse_records
+from loomcraft.operators import pages as page_reading
 from loomcraft.operators.pages import extract_pages
 from loomcraft.plans import export, generation as G, preference
 from loomcraft.sources import scans, sinks
@@ -225,3 +227,18 @@ def test_no_message_is_lost_for_a_null(spark):
     assert text.count(messages.CHATML_START) == 3
     block = turns.select(messages.tool_response_block(F.lit(None).cast("string"), F.lit(None).cast("string")).alias("t")).first().t
     assert '"content": null' in block
+
+
+def test_usual_pages_are_split_at_once_and_read_alike(monkeypatch):
+    bits = ["<p>", "</P>", "<td>", "</td>", "<tr>", "<table class='a b' x>", "</table>", "<br/>", "<p/>", "t", " \n", "&amp;", "&zz;", "&#39;",
+            "&", "<", "<!-- p -->", "<!---->", "<!DOCTYPE html>", "<script>a='</p><p>'</script>", "<style>p</style>", "<title>a</title>",
+            "<title>", "<template>", "</template>", "<a href=x>", "<noscript>", "\0"]
+    made = ["".join(random.Random(seed).choices(bits, k=8)) for seed in range(3_000)]
+    split = [page_reading._Page().read(page) for page in made]
+    with monkeypatch.context() as m:
+        m.setattr(page_reading, "_PIECE", re.compile("()()()()()()(.)", re.S))  # nothing is usual
+        assert [page_reading._Page().read(page) for page in made] == split
+    fed = []
+    monkeypatch.setattr(page_reading._Page, "feed", lambda self, page: fed.append(page))
+    usual = "<!DOCTYPE html><p class=\"a\">x &lt; <i>y</i><script>if (a<b) {'<p>'}</script><table><tr><td>z<br/></table>"
+    assert page_reading._Page().read(usual) == ("x < yz", [[["z"]]]) and not fed
