@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+SPREAD_BYTES = 1 << 20
+
 
 def bind(df: DataFrame, **values: Column) -> DataFrame:
     """Add columns whose expressions are evaluated once, however often they are used."""
@@ -17,13 +19,14 @@ def bind(df: DataFrame, **values: Column) -> DataFrame:
     return df.select(*kept, F.explode(F.array(one)).alias("_bound")).select(*kept, *[f"_bound.{n}" for n in values])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out to all cores if it has fewer splits than there are cores.
+def spread(df: DataFrame, part_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """Deal the rows of a scan out if it has fewer splits than there are cores, or than its files hold ``part_bytes``.
 
-    For work that costs far more than moving its input, and for plain scans only: their splits are
-    known without running anything. A large table has more splits than cores and is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    For work that costs far more than moving its input, and for plain scans only: their splits and the size of their
+    files are known without running anything. Parts are bounded by size, so that tasks don't grow with the table."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // part_bytes))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def keep(df: DataFrame, name: str, value: Column) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from loomcraft.catalog import QUERIES
+from loomcraft.operators.binding import spread
 from loomcraft.operators import conversations as C, packing as P, prefix, selection as S
 from loomcraft.operators.completion import complete
 from loomcraft.operators.pages import _Page
@@ -227,3 +228,12 @@ def test_task_functions_travel_by_value():
 
     data = cloudpickle.dumps(check_value)
     assert b"_check_object" in data and "loomcraft" in cloudpickle.list_registry_pickle_by_value()
+
+
+def test_parts_of_a_spread_table_are_bounded_by_size(spark, tmp_path):
+    spark.range(200_000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    rows = spark.read.parquet(f"{tmp_path}/one")
+    size = sum(f.stat().st_size for f in (tmp_path / "one").glob("*.parquet"))
+    dealt = spread(rows, part_bytes=size // 40)
+    assert dealt.rdd.getNumPartitions() >= 40 > spread(rows).rdd.getNumPartitions()
+    assert dealt.agg(F.count("*"), F.countDistinct("id")).first() == (200_000, 200_000)
