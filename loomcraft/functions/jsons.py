@@ -23,8 +23,11 @@ _TOKEN = rf"(?s){_STRING}|{_NUMBER}|true|false|null|[\[\]{{}}:,]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """Evaluate ``value`` once and use it several times in ``body``.
+
+    The result is put in a struct, whose type is worked out once. Without, taking it out of the array asks for the type of the
+    whole body for every row, and in each ``let`` inside another again."""
+    return F.get(F.transform(F.array(value), lambda x: F.struct(body(x).alias("let"))), F.lit(0))["let"]
 
 
 def is_json(c) -> Column:
@@ -80,8 +83,7 @@ def variant_field(v: Column, path: str, kind: str = "variant") -> Column:
 
 # The Python type each VARIANT type decodes to.
 _PYTHON_TYPES = {
-    "VOID": "NoneType", "BOOLEAN": "bool", "STRING": "str", "BIGINT": "int", "DECIMAL": "float", "DOUBLE": "float",
-    "FLOAT": "float", "ARRAY": "list", "OBJECT": "dict",
+    "STRING": "str", "BIGINT": "int", "BOOLEAN": "bool", "VOID": "NoneType", "DOUBLE": "float", "FLOAT": "float",
 }
 # Canonical texts of the JSON values Python calls false.
 _FALSE_VALUES = ("null", "false", '""', "[]", "{}", "0", "0.0", "-0.0")
@@ -90,9 +92,15 @@ _FALSE_VALUES = ("null", "false", '""', "[]", "{}", "0", "0.0", "-0.0")
 def python_type(v: Column) -> Column:
     """Name of the Python type a JSON value has once decoded. Whole numbers beyond 18 digits are decimals
     to VARIANT, and still ``int``."""
-    kind = F.regexp_replace(F.schema_of_variant(v), r"^DECIMAL\((?:19|[23][0-9]),0\)$", "BIGINT")
-    names = F.expr("map(" + ", ".join(f"'{x}'" for pair in _PYTHON_TYPES.items() for x in pair) + ")")
-    return F.try_element_at(names, F.regexp_extract(kind, "^[A-Z]+", 0))
+
+    def named(kind):
+        known = F.when(F.startswith(kind, F.lit("OBJECT")), F.lit("dict")).when(F.startswith(kind, F.lit("ARRAY")), F.lit("list"))
+        for variant, python in _PYTHON_TYPES.items():
+            known = known.when(kind == variant, F.lit(python))
+        whole = kind.rlike(r"^DECIMAL\((?:19|[23][0-9]),0\)$")
+        return known.when(F.startswith(kind, F.lit("DECIMAL")), F.when(whole, F.lit("int")).otherwise(F.lit("float")))
+
+    return let(F.schema_of_variant(v), named)
 
 
 def is_truthy(v: Column) -> Column:
@@ -102,8 +110,7 @@ def is_truthy(v: Column) -> Column:
 
 def quoted(c) -> Column:
     """A string as JSON text."""
-    listed = F.to_json(F.array(_col(c)))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+    return let(F.to_json(F.array(_col(c))), lambda listed: F.substring(listed, F.lit(2), F.length(listed) - 2))
 
 
 def object_text(pairs: Column) -> Column:

@@ -225,23 +225,22 @@ def _admits(kind: Column, declared: Column) -> Column:
 
 
 def _argument_error(prop: Column, value: Column) -> Column:
-    """Message for one declared property that is present and true, null if it is fine."""
-    facts = F.struct(python_type(value).alias("kind"), F.to_json(value).alias("text"), _python_text(value).alias("shown"))
+    """Message for one declared property that is present and true, null if it is fine. ``value`` is used as often as it comes."""
 
     def error(f):
-        outside = prop["allowed"].isNotNull() & ~F.array_contains(prop["allowed"], f["text"])
+        outside = prop["allowed"].isNotNull() & ~F.array_contains(prop["allowed"], F.to_json(value))
         detail = (
             F.when(prop["error"].isNotNull(), prop["error"])
             .when(outside, F.concat(
-                F.lit("Error validating function call: Invalid value '"), f["shown"], F.lit("' for parameter "),
+                F.lit("Error validating function call: Invalid value '"), _python_text(value), F.lit("' for parameter "),
                 prop["name"], F.lit(". Expected one of "), prop["listed"]))
-            .when(prop["type"].isNotNull() & ~_admits(f["kind"], prop["type"]), F.concat(
+            .when(prop["type"].isNotNull() & ~_admits(f, prop["type"]), F.concat(
                 F.lit("Type mismatch for parameter "), prop["name"], F.lit(". Expected: "), prop["type"],
-                F.lit(", Got: <class '"), f["kind"], F.lit("'>")))
+                F.lit(", Got: <class '"), f, F.lit("'>")))
         )
         return F.concat(F.lit("Invalid argument '"), prop["name"], F.lit("': "), detail)
 
-    return F.when(is_truthy(value), let(facts, error))
+    return F.when(is_truthy(value), let(python_type(value), error))
 
 
 def call_message(name, arguments, signature) -> Column:
@@ -251,21 +250,22 @@ def call_message(name, arguments, signature) -> Column:
     Empty or otherwise false values are never type-checked; undeclared arguments are ignored."""
     name, arguments, signature = _col(name), _col(arguments), _col(signature)
 
+    def argument(pairs):
+        return lambda p: let(last_or_null(pairs, p["name"]), lambda value: _argument_error(p, value))
+
     def against(pairs):
-        errors = F.filter(
-            F.transform(signature["properties"], lambda p: _argument_error(p, last_or_null(pairs, p["name"]))),
-            lambda e: e.isNotNull(),
-        )
+        errors = F.filter(F.transform(signature["properties"], argument(pairs)), lambda e: e.isNotNull())
         missing = F.filter(signature["required"], lambda r: ~has_key(pairs, r))
         return (
             F.when(pairs.isNull(), F.lit(BROKEN_CALL + "arguments are not a JSON object"))
             .when(signature.isNull(), F.concat(F.lit(NO_MATCH), name))
             .when(signature["error"].isNotNull(), F.concat(F.lit(BROKEN_SIGNATURE), signature["error"]))
-            .when(F.size(errors) > 0, F.get(errors, F.lit(0)))
-            .when(signature["late_error"].isNotNull(), F.concat(F.lit(BROKEN_SIGNATURE), signature["late_error"]))
-            .when(F.size(missing) > 0, F.concat(
-                F.lit(MISSING + "["), F.array_join(F.transform(missing, python_quoted), ", "), F.lit("]")))
-            .otherwise(F.lit(VALID))
+            .otherwise(F.coalesce(
+                F.get(errors, F.lit(0)),
+                F.concat(F.lit(BROKEN_SIGNATURE), signature["late_error"]),
+                let(missing, lambda m: F.when(F.size(m) > 0, F.concat(
+                    F.lit(MISSING + "["), F.array_join(F.transform(m, python_quoted), ", "), F.lit("]")))),
+                F.lit(VALID)))
         )
 
     return F.when(name.isNull(), F.lit(BROKEN_CALL + "no function name")).otherwise(
@@ -302,18 +302,24 @@ def _named_verdicts(calls: str, tools: str) -> Column:
     return _verdicts(calls, tools)
 
 
+def _of_name(tool: Column, name: Column) -> Column:
+    """Whether a tool has the name. Most tools that haven't are told by their text: one without escapes holds its name as it is."""
+    return (F.contains(tool, name) | F.contains(tool, F.lit("\\"))) & (signature_name(tool) == name)
+
+
 def _verdicts(calls, tools) -> Column:
-    called = F.transform(_col(calls), lambda c: c["function"]["name"])
-    usable = F.transform(
-        F.filter(_col(tools), lambda t: F.array_contains(called, signature_name(t)) & admitted(t)), compiled_signature)
+    def of_names(called):
+        wanted = lambda t: F.exists(called, lambda name: F.contains(t, name) | F.contains(t, F.lit("\\")))
+        return F.transform(
+            F.filter(_col(tools), lambda t: wanted(t) & F.array_contains(called, signature_name(t)) & admitted(t)), compiled_signature)
+
+    usable = let(F.transform(_col(calls), lambda c: c["function"]["name"]), of_names)
 
     def all_calls(signatures):
         def one(call):
-            hits = F.filter(signatures, lambda s: s["name"] == call["function"]["name"])
-            message = F.coalesce(
-                shaped_call_error(call),
-                call_message(call["function"]["name"], call["function"]["arguments"], F.get(hits, F.lit(0))),
-            )
+            name, arguments = call["function"]["name"], call["function"]["arguments"]
+            first = F.get(F.filter(signatures, lambda s: s["name"] == name), F.lit(0))
+            message = F.coalesce(shaped_call_error(call), let(first, lambda s: call_message(name, arguments, s)))
             return let(message, lambda m: F.struct(
                 F.when(m == VALID, F.lit("accepted")).otherwise(F.lit("failed")).alias("status"), m.alias("message")))
         return F.transform(_col(calls), one)
@@ -330,7 +336,7 @@ def call_results(calls, tools, verdicts) -> Column:
     def shown(call, verdict):
         function = call["function"]
         name, arguments = function["name"], function["arguments"]
-        signature = F.get(F.filter(_col(tools), lambda t: (signature_name(t) == name) & admitted(t)), F.lit(0))
+        signature = F.get(F.filter(_col(tools), lambda t: _of_name(t, name) & admitted(t)), F.lit(0))
         null = F.lit("null")
         told = lambda text: F.coalesce(quoted(text), null)
         given = F.when(is_json(arguments), arguments).otherwise(told(arguments))

@@ -128,12 +128,11 @@ def build_preferences(
     if done is not None:
         records = not_done(records, done, ["id"])
     parsed = parse_records(records)
-    users = M.last_content(M.with_role("messages", "user"))
     calling = F.filter("messages", lambda m: (m["role"] == "assistant") & (F.coalesce(F.size(m["tool_calls"]), F.lit(0)) > 0))
-    conversations = parsed.select(
-        F.struct("source", "id").alias("conv_id"), users.alias("user"), "tools",
-        F.when(F.size(calling) > 0, F.try_element_at(calling, F.lit(-1))["tool_calls"]).alias("tool_calls"),
-    ).filter(F.col("tool_calls").isNotNull())
+    read = bind(
+        parsed, user=M.last_content(M.with_role("messages", "user")), tool_calls=F.try_element_at(calling, F.lit(-1))["tool_calls"])
+    conversations = read.select(F.struct("source", "id").alias("conv_id"), "user", "tools", "tool_calls").filter(
+        F.col("tool_calls").isNotNull())
     asking = {"concurrency": concurrency, "in_flight": in_flight, "log": log}
     if max_files is None:
         pairs = paired(*correct_calls(conversations, client, **asking))
