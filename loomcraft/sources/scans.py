@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.jsons import is_json
 from ..functions.text import is_blank, path_labels, to_last_full_stop
+from ..operators.binding import spread
 from ..operators.selection import first_per_name
 from ..session import written
 
@@ -134,9 +135,10 @@ def scan_saved_results(spark: SparkSession, path: str, record: str = "reply", ta
     """What ``save_results`` wrote, in the columns of ``scan_result_tree``, for the exports and preference jobs.
 
     ``id`` is a digest of category, subcategory and task, ``source`` their texts joined by slashes. Folder names are read
-    as the texts they are; a filter on category or subcategory prunes folders."""
+    as the texts they are; a filter on category or subcategory prunes folders. Results are dealt out by size, since they
+    were written by folder: few large files beside many small ones."""
     names = ["category", "subcategory", task]
-    rows = spark.read.schema(f"`{task}` string, `{record}` string, category string, subcategory string").parquet(path)
+    rows = spread(spark.read.schema(f"`{task}` string, `{record}` string, category string, subcategory string").parquet(path))
     return rows.select(
         F.sha2(F.to_json(F.array(*names)), 256).alias("id"), F.concat_ws("/", *names).alias("source"),
         "category", "subcategory", F.col(task).alias("task"), F.col(record).alias("record"))

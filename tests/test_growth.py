@@ -5,6 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from loomcraft.functions import tools as T
+from loomcraft.sources.scans import scan_saved_results
+from loomcraft.sources.sinks import save_results
 
 _TOOL = '{"type":"function","function":{"name":%s,"parameters":{"properties":{"k":{"type":"integer"}},"required":["k"]}}}'
 
@@ -18,3 +20,12 @@ def test_verdicts_find_tools_whose_names_are_escaped(spark):
     for name, message in ((r'"vi\u0065w"', T.VALID), ('"view"', T.VALID), ('"views"', T.NO_MATCH + "view")):
         rows = spark.range(1).select(call.alias("calls"), F.array(F.lit(_TOOL % name)).alias("tools"))
         assert rows.select(T.record_verdicts("calls", "tools").alias("v")).first()["v"][0]["message"] == message
+
+
+def test_saved_results_are_dealt_out(spark, tmp_path):
+    rows = spark.range(50).select(
+        F.lit("a").alias("category"), F.lit("b").alias("subcategory"), F.col("id").cast("string").alias("task"), F.lit("{}").alias("reply"))
+    save_results(rows, f"{tmp_path}/r")
+    found = scan_saved_results(spark, f"{tmp_path}/r")
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert found.count() == 50
