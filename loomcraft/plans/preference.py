@@ -86,8 +86,8 @@ def first_pairs(
     many as the share of successes so far makes likely to be enough, at most twice what has been asked for. Rows of one ``conv_id``
     share a slice. The driver learns the last ``conv_id`` of a slice and how many pairs came of it."""
     rank = F.struct(F.col("conv_id").isNotNull().alias("named"), "conv_id")
-    ordered = failing_calls(conversations).withColumn("_rank", rank).orderBy("_rank")
-    rest = failing = written(ordered, "failing")
+    judged = written(failing_calls(conversations).withColumn("_rank", rank), "failing")  # sorting reads its input twice
+    rest = failing = written(judged.orderBy("_rank"), "failing-in-order")
     found, asked, wanted, pairs = 0, 0, n, None
     while found < n:
         last = rest.select("_rank").orderBy("_rank").limit(wanted).agg(F.max("_rank")).first()[0]

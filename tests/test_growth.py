@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from loomcraft.functions import tools as T
+from loomcraft.plans import preference
 from loomcraft.sources.scans import scan_saved_results
 from loomcraft.sources.sinks import save_results
 
@@ -29,3 +30,20 @@ def test_saved_results_are_dealt_out(spark, tmp_path):
     found = scan_saved_results(spark, f"{tmp_path}/r")
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert found.count() == 50
+
+
+def test_first_pairs_judge_a_conversation_once(spark):
+    judged = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(n):
+        judged.add(1)
+        return f"do {n}"
+
+    call = "array(struct('c' AS id, 'function' AS type, struct('view' AS name, '{}' AS arguments) AS function))"
+    rows = spark.range(40).repartition(4).select(
+        F.col("id").alias("conv_id"), counted.asNondeterministic()("id").alias("user"), F.array(F.lit(_TOOL % '"view"')).alias("tools"),
+        F.expr(call).alias("tool_calls"))
+    fixed = json.dumps({"tool_calls": [{"id": "n", "type": "function", "function": {"name": "view", "arguments": '{"k": 1}'}}]})
+    assert [r["id"] for r in preference.first_pairs(rows, lambda request: fixed, 3).collect()] == [0, 1, 2]
+    assert judged.value == 40
