@@ -38,6 +38,7 @@ from .tokens import encoder, in_slices
 MAGIC = b"LOOMIDS1"
 BLOCK_IDS = 1 << 20
 FILE_IDS = 16 << 20
+COUNTED_AT_ONCE = 256
 _BYTES_OF = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 _HEAD = "<4I"
 
@@ -109,6 +110,17 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, order: str = "doc_id
     return rows.mapInArrow(encode, "doc_id long, ids binary")
 
 
+def counted(total: np.ndarray, ids: pa.Array, dtype: str) -> np.ndarray:
+    """``total``, occurrences by id, with those of some documents. A count is as long as the vocabulary, so documents are counted
+    ``COUNTED_AT_ONCE`` at a time."""
+    for at in range(0, len(ids), COUNTED_AT_ONCE):
+        n = np.bincount(np.frombuffer(b"".join(ids.slice(at, COUNTED_AT_ONCE).to_pylist()), dtype))
+        if len(n) > len(total):
+            total, n = n.astype(np.int64), total
+        total[:len(n)] += n
+    return total
+
+
 def frequency_ranks(ids: DataFrame, dtype: str) -> np.ndarray:
     """Ids from the most frequent to the rarest, ties by id. Collects one row per id in use: the
     vocabulary bounds it, whatever the size of the corpus."""
@@ -117,11 +129,7 @@ def frequency_ranks(ids: DataFrame, dtype: str) -> np.ndarray:
         drop_kept()
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                n = np.bincount(np.frombuffer(x.as_buffer(), dtype))
-                if len(n) > len(total):
-                    total, n = n.astype(np.int64), total
-                total[:len(n)] += n
+            total = counted(total, batch.column(0), dtype)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 
@@ -196,7 +204,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 with store.open_input_stream(place, compression=None) as file:
                     for docs, lengths, ids in read_blocks(file):
                         ends = np.cumsum(lengths)
-                        crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends - lengths, ends)]
+                        crcs = [zlib.crc32(ids[a:b]) for a, b in zip(ends - lengths, ends)]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(docs, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())],
                             ["doc_id", "start", "n_tokens", "ids_crc32"])
