@@ -2,10 +2,11 @@
 
 import json
 
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from loomcraft.functions import tools as T
-from loomcraft.plans import preference
+from loomcraft.plans import mining, preference
 from loomcraft.sources.scans import scan_saved_results
 from loomcraft.sources.sinks import save_results
 
@@ -47,3 +48,15 @@ def test_first_pairs_judge_a_conversation_once(spark):
     fixed = json.dumps({"tool_calls": [{"id": "n", "type": "function", "function": {"name": "view", "arguments": '{"k": 1}'}}]})
     assert [r["id"] for r in preference.first_pairs(rows, lambda request: fixed, 3).collect()] == [0, 1, 2]
     assert judged.value == 40
+
+
+def test_written_tasks_are_dealt_out_again(spark):
+    def client(prompt):
+        if prompt.startswith("Please extract"):
+            return '{"Category": "code", "Task": "read"}'
+        return '{"messages": [{"role": "assistant", "content": {"k": %d}}], "pydantic_schema": {"type": "object"}}' % TaskContext.get().partitionId()
+
+    code = spark.range(40).coalesce(1).select(F.concat("id", F.lit(".py")).alias("path"), F.lit("x = 1").alias("code"))
+    fine, _ = mining.mine_and_generate(code, [], "{}", {"Role": "Write.", "Objective": "{task}", "Assistant": "Now:"}, "{}", client)
+    found = [json.loads(r["json_object"])["k"] for r in fine.collect()]
+    assert len(found) == 40 and len(set(found)) >= spark.sparkContext.defaultParallelism
