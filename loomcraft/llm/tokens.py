@@ -2,7 +2,8 @@
 
 The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``. Encoding invented or natural
 prose spends nearly all its time on words it has met before, so the ids of a white-space-delimited
-word are kept. That is exact: the pre-tokenizers meant here never join characters across white space,
+word are kept. Arrow splits the texts of a slice and finds their distinct words; only those are looked up, and the ids of
+all words are gathered at once. That is exact: the pre-tokenizers meant here never join characters across white space,
 and no vocabulary entry holds any. Where Python and the tokenizer could see white space differently
 (U+001C to U+001F) the text goes to the tokenizer whole. Tokenizers whose normalizer or pre-tokenizer
 is of another kind encode every text whole.
@@ -15,13 +16,15 @@ import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
 from .stores import kept
 
 WORDS_KEPT = 600_000
 # Words of two pre-tokens, letters and then a mark; lower-casing is all that is done to them first.
-_PLAIN = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)$", re.M)
+_PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[!-&(-/:-@\[-`{-~]*)$"
 _ODD = re.compile("[\x1c-\x1f]")
 _GROUP = 400
 
@@ -39,7 +42,7 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
         self.words_kept = words_kept
-        self.known: dict[str, bytes] = {}
+        self._forget()
         with open(path, encoding="utf-8") as f:
             self.by_word = _word_based(json.load(f))
         if self.by_word:
@@ -52,58 +55,86 @@ class Encoder:
             self.last = np.zeros(self.whole.get_vocab_size(), bool)
             for token, i in self.whole.get_vocab().items():
                 self.last[i] = token.endswith("</w>")
-            self.marks = {"": b""}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        known, marks = self.known, self.marks
-        plain = _PLAIN.findall("\n".join(words))
-        letters = "\n".join([core for core, _ in plain]).lower().split("\n")
-        ids_of = {low: known.get(low) for low in letters} if plain else {}
-        cores = [low for low, ids in ids_of.items() if ids is None]
-        groups = [cores[i:i + _GROUP] for i in range(0, len(cores), _GROUP)]
-        encoded = self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, encoded):
-            ids = np.array(e.ids, self.dtype)
-            data = ids.tobytes()
-            ends = ((np.flatnonzero(self.last[ids]) + 1) * ids.itemsize).tolist()
-            ids_of.update(zip(group, [data[a:b] for a, b in zip([0, *ends], ends)]))
-        for mark in {mark for _, mark in plain} - marks.keys():
-            marks[mark] = self._whole(mark)
-        known.update([(core + mark, ids_of[low] + marks[mark]) for (core, mark), low in zip(plain, letters)])
-        rest = [w for w in words if w not in known]
-        for w, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
-            known[w] = np.array(e.ids, self.dtype).tobytes()
+    def _forget(self) -> None:
+        """Words by slot; the ids of all slots lie end to end."""
+        self.known: dict[str, int] = {}
+        self.marks: dict[str, int] = {}
+        self.ids = np.zeros(0, self.dtype)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _added(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The slots of new ids, cut by size."""
+        slots = np.arange(len(self.size), len(self.size) + len(size))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, ids])
+        return slots
+
+    def _encoded(self, found: list) -> np.ndarray:
+        """The slots of what the tokenizer made of some texts."""
+        size = np.array([len(e.ids) for e in found], np.int64)
+        return self._added(np.array([i for e in found for i in e.ids], self.dtype), size)
+
+    def _gathered(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of slots end to end, and where each ends."""
+        size = self.size[slots]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(self.begin[slots] - ends + size, size)], ends
+
+    def _cores(self, cores: list[str]) -> np.ndarray:
+        """The slots of lower-cased letters, encoded many at a time."""
+        groups = [" ".join(cores[i:i + _GROUP]) for i in range(0, len(cores), _GROUP)]
+        found = self.plain.encode_batch_fast(groups, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, self.dtype), *[np.array(e.ids, self.dtype) for e in found]])
+        return self._added(ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """The slots of words not met before."""
+        parts = pc.extract_regex(pa.array(words, pa.large_string()), _PLAIN)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        slots = np.zeros(len(words), np.int64)
+        if plain.any():
+            parts = parts.filter(plain)
+            core = pc.utf8_lower(parts.field("core")).dictionary_encode()
+            mark = parts.field("mark").dictionary_encode()
+            cores, marks = (x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (core, mark))
+            own = np.array([-1 if slot is None else slot for slot in map(self.known.get, cores)])
+            new = np.flatnonzero(own < 0)
+            own[new] = self._cores([cores[i] for i in new.tolist()])
+            late = [m for m in marks if m not in self.marks]
+            self.marks.update(zip(late, self._encoded(self.whole.encode_batch_fast(late, add_special_tokens=False)).tolist()))
+            after = np.array([self.marks[m] for m in marks])
+            ids, ends = self._gathered(np.stack([own[core.indices.to_numpy()], after[mark.indices.to_numpy()]], axis=1).ravel())
+            slots[plain] = self._added(ids, np.diff(ends[1::2], prepend=0))
+        rest = np.flatnonzero(~plain)
+        slots[rest] = self._encoded(self.whole.encode_batch_fast([words[i] for i in rest.tolist()], add_special_tokens=False))
+        self.known.update(zip(words, slots.tolist()))
+        return slots
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text; of null none."""
         if not self.by_word:
             return [self._whole(t) if t else b"" for t in texts]
         if len(self.known) > self.words_kept:
-            self.known.clear()
-        get = self.known.get
-        out: list[bytes | None] = []
-        late: list[tuple[int, list[str], list[bytes | None]]] = []
-        unknown: dict[str, None] = {}
-        for i, text in enumerate(texts):
-            if not text or _ODD.search(text):
-                out.append(self._whole(text) if text else b"")
-                continue
-            words = text.split()
-            parts = list(map(get, words))
-            if None in parts:
-                out.append(None)
-                late.append((i, words, parts))
-                unknown.update(dict.fromkeys(w for w, p in zip(words, parts) if p is None))
-            else:
-                out.append(b"".join(parts))
-        if unknown:
-            self._learn(list(unknown))
-            for i, words, parts in late:
-                out[i] = b"".join(p if p is not None else get(w) for w, p in zip(words, parts))
-        return out
+            self._forget()
+        whole = {i: self._whole(t) for i, t in enumerate(texts) if t and _ODD.search(t)}
+        split = pc.utf8_split_whitespace(pa.array([None if i in whole else t for i, t in enumerate(texts)], pa.large_string()))
+        last = np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        met = split.flatten().dictionary_encode()
+        words = met.dictionary.to_numpy(zero_copy_only=False).tolist()
+        slots = np.array([-1 if slot is None else slot for slot in map(self.known.get, words)], np.int64)
+        unknown = np.flatnonzero(slots < 0)
+        if len(unknown):
+            slots[unknown] = self._learn([words[i] for i in unknown.tolist()])
+        ids, ends = self._gathered(slots[met.indices.to_numpy()])
+        data = ids.tobytes()
+        cuts = (np.append(0, ends)[np.append(0, last)] * ids.itemsize).tolist()
+        return [whole[i] if i in whole else data[a:b] for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
 def encoder(path: str, words_kept: int = WORDS_KEPT) -> Encoder:

@@ -1,7 +1,11 @@
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 
 from loomcraft.llm import token_files
+from loomcraft.llm.tokens import Encoder
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def test_documents_are_counted_many_at_a_time(monkeypatch):
@@ -15,3 +19,31 @@ def test_documents_are_counted_many_at_a_time(monkeypatch):
     wanted = count(np.frombuffer(b"".join(docs), "<u2"))
     assert (total[:len(wanted)] == wanted).all() and total.sum() == 1200
     assert len(calls) == 3
+
+
+class Counting(dict):
+    asked = 0
+
+    def get(self, *args):
+        self.asked += 1
+        return super().get(*args)
+
+
+def test_words_are_looked_up_once_a_slice():
+    own = Encoder(TOKENIZER)
+    own.known = Counting()
+    texts = ["the river, THE hill the  river " * 500, None, "", "the hill\x1cthe", "  the river Río 7 "] * 3
+    for _ in range(2):
+        own.known.asked = 0
+        wanted = [own._whole(t) if t else b"" for t in texts]
+        assert own.encode(texts) == wanted
+        assert own.known.asked < 20
+    assert own.encode([]) == [] and own.encode([None, ""]) == [b"", b""]
+
+
+def test_forgotten_words_are_learnt_again():
+    own = Encoder(TOKENIZER, words_kept=3)
+    texts = ["one two three four five", "five! six. One,"]
+    for t in texts * 2:
+        assert own.encode([t]) == [own._whole(t)]
+        assert len(own.known) <= 9 and len(own.size) < 30
