@@ -25,6 +25,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -83,13 +84,15 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 class Slice:
     """The documents of a slice end to end, with their items: first string, number of strings, anchor and its hash."""
 
-    def __init__(self, texts: pa.Array, length: int) -> None:
+    def __init__(self, texts: pa.Array, length: int, scanned: bool = True) -> None:
         self.length, self.width = length, width_of(length)
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
         self.ends = np.cumsum(sizes)
         self.begins = self.ends - sizes
         self.data = b"".join(t for t in texts.to_pylist() if t)
         self.bytes = np.frombuffer(self.data, np.uint8)
+        if not scanned:
+            return
         fits = np.ones(len(self.bytes), bool)
         for a, b in zip(np.maximum(self.begins, self.ends - length + 1).tolist(), self.ends.tolist()):
             fits[a:b] = False
@@ -134,7 +137,8 @@ def _from_planes(data: bytes, kind: str) -> np.ndarray:
 
 
 class Items:
-    """The items of a slice whose anchors occur twice: distinct keys by part and in order, and which each occurrence has.
+    """The items of a slice whose anchors occur twice: distinct keys by part and in order, and which each occurrence has
+    (``later``: a smaller id of the slice has it too).
 
     A key is the suffix from the anchor, a byte no text holds, and the bytes before the anchor backwards."""
 
@@ -155,18 +159,22 @@ class Items:
         for i in np.flatnonzero(hot).tolist():
             part[i] = zlib.crc32(data[first[i]:last[i]]) * parts >> 32
         doc = ids[own.documents(first)]
-        found: dict[bytes, tuple[int, int]] = {}
-        for key, p, d in zip(keys, part.tolist(), doc.tolist()):
-            old = found.get(key)
-            if old is None or d < old[1]:
-                found[key] = p, d
-        ordered = sorted((p, key) for key, (p, _) in found.items())
-        place = {key: i for i, (_, key) in enumerate(ordered)}
-        self.keys = [key for _, key in ordered]
-        self.parts = np.array([p for p, _ in ordered], np.int32)
-        self.least = np.array([found[key][1] for key in self.keys], np.int64)
-        self.first, self.count, self.anchor, self.doc = first, count, anchor, doc
-        self.place = np.array([place[key] for key in keys], np.int64)
+        dealt = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[dealt], prepend=-1)).tolist()
+        order: list[int] = []
+        for a, b in zip(cuts, [*cuts[1:], len(dealt)]):
+            order += sorted(dealt[a:b].tolist(), key=keys.__getitem__)
+        keys = [keys[i] for i in order]
+        new = np.array([True, *map(ne, keys[1:], keys)][:len(keys)], bool)  # equal keys are of one part
+        begun = np.flatnonzero(new)
+        self.keys = [keys[i] for i in begun.tolist()]
+        sorted_doc = doc[order]
+        self.parts = part[order][begun].astype(np.int32)
+        self.least = np.minimum.reduceat(sorted_doc, begun) if len(begun) else np.zeros(0, np.int64)
+        self.first, self.count, self.anchor = first, count, anchor
+        self.place = np.zeros(len(order), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        self.later = doc > self.least[self.place]
 
     def runs(self) -> Iterator[tuple[int, int, bytes, bytes, bytes, bytes]]:
         """Per part: how many keys, their lengths, common prefixes with the key before, what follows, smallest ids."""
@@ -179,6 +187,16 @@ class Items:
                 sizes = np.array([len(key) for key in keys], "<u2")
                 yield int(self.parts[a]), b - a, _planes(sizes), _planes(same), tails, _planes(self.least[a:b].astype("<i8"))
 
+    def places(self) -> tuple[bytes, bytes]:
+        """Of each occurrence its key and first string; its number of strings, how far before the anchor the first begins, ``later``."""
+        told = np.stack([self.count, self.anchor - self.first, self.later]).astype(np.uint8)
+        return _planes(self.place.astype("<u4")) + _planes(self.first.astype("<u4")), told.tobytes()
+
+
+def from_places(data: bytes, more: bytes) -> tuple[np.ndarray, ...]:
+    half = len(data) // 2
+    return _from_planes(data[:half], "<u4"), _from_planes(data[half:], "<u4").astype(np.int64), *np.frombuffer(more, np.uint8).reshape(3, -1)
+
 
 def common_prefixes(keys: list[bytes]) -> np.ndarray:
     """How many bytes each key shares with the one before it."""
@@ -259,6 +277,8 @@ def merged(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[bytes, int
 def _earlier(entries: list[tuple[bytes, list[tuple[int, int, int]]]], length: int, marks: list[np.ndarray]) -> None:
     """Mark the strings of one anchor's items that a smaller id holds: bit i for the string that begins i bytes before the anchor."""
     if len(entries) == 1:
+        if len(entries[0][1]) == 1:
+            return
         least = min(doc for _, _, doc in entries[0][1])
         for run, i, doc in entries[0][1]:
             marks[run][i] = -(doc > least)
@@ -365,27 +385,34 @@ _ANSWER_SQL = "slice long, part int, n long, data binary, more binary"
 _ANSWER = pa.schema([("slice", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("data", pa.binary()), ("more", pa.binary())])
 
 
-def _items(table: pa.Table, answers: pa.Table, length: int, parts: int) -> tuple[Slice, Items]:
-    own = answers.filter(pc.equal(answers.column("part"), -1))
-    shared = np.concatenate([np.zeros(0, np.uint64), *[_from_planes(d, "<u8") for d in own.column("data").to_pylist()]])
-    hot = np.concatenate([np.zeros(0, bool), *[np.frombuffer(d, bool) for d in own.column("more").to_pylist()]])
+def _items(table: pa.Table, answers: pa.Table, length: int, parts: int) -> Items:
+    shared = np.concatenate([np.zeros(0, np.uint64), *[_from_planes(d, "<u8") for d in answers.column("data").to_pylist()]])
+    hot = np.concatenate([np.zeros(0, bool), *[np.frombuffer(d, bool) for d in answers.column("more").to_pylist()]])
     order = np.argsort(shared)
-    whole = Slice(_texts(table), length)
-    return whole, Items(whole, _ids(table), shared[order], hot[order], parts)
+    return Items(Slice(_texts(table), length), _ids(table), shared[order], hot[order], parts)
 
 
 def earlier_strings(slices: DataFrame, shared: DataFrame, length: int, parts: int) -> DataFrame:
-    """``slice, part, n, data, more``: by part, for a slice's items in order, the strings a smaller id holds elsewhere."""
+    """``slice, part, n, data, more``: by part, for a slice's items in order, the strings a smaller id holds elsewhere; and under
+    a part below 0 where in the slice they occur, so that whoever takes the answers needn't find the items again."""
 
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["part", "n", "sizes", "same", "tails", "docs"]
-        rows = [dict(zip(names, run), slice=table.column("slice")[0].as_py()) for run in _items(table, answers, length, parts)[1].runs()] if len(answers) else []
+        rows = []
+        if len(answers):
+            own, found = table.column("slice")[0].as_py(), _items(table, answers, length, parts)
+            data, more = found.places()
+            rows = [{"slice": own, "part": -1 - (zlib.crc32(own.to_bytes(8, "little")) * parts >> 32), "n": len(found.place), "tails": data, "docs": more}]
+            rows += [dict(zip(names, run), slice=own) for run in found.runs()]
         return pa.Table.from_pylist(rows, pa.schema([("slice", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), *[(c, pa.binary()) for c in names[2:]]]))
 
     def combine(table: pa.Table) -> pa.Table:
+        slices, part = table.column("slice").to_pylist(), table.column("part")[0].as_py()
+        if part < 0:
+            return table.select(["slice", "part", "n", "tails", "docs"]).rename_columns(_ANSWER.names)
         runs = list(zip(*(table.column(c).to_pylist() for c in ("sizes", "same", "tails", "docs"))))
-        rows = [{"slice": s, "part": p, "n": len(m), "data": _planes(m.astype("<i8")), "more": b""}
-                for s, p, m in zip(table.column("slice").to_pylist(), table.column("part").to_pylist(), merge_part(runs, length))]
+        rows = [{"slice": s, "part": part, "n": len(m), "data": _planes(m.astype("<i8")), "more": b""}
+                for s, m in zip(slices, merge_part(runs, length))]
         return pa.Table.from_pylist(rows, _ANSWER)
 
     sent = slices.groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(
@@ -401,17 +428,20 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
     slices = _sliced(docs, doc_id, text, slice_bytes)
     shared = shared_anchors(slices, length, hashes, hot)
     parts = max(1, -(-(shared.agg(F.sum("n")).first()[0] or 0) // items))
-    answers = shared.unionByName(earlier_strings(slices, shared, length, parts))
+    answers = earlier_strings(slices, shared, length, parts)
 
     def cut(table: pa.Table, told: pa.Table) -> pa.Table:
-        whole, found = _items(table, told, length, parts)
-        told = told.filter(pc.greater_equal(told.column("part"), 0)).sort_by("part")
-        marks = np.concatenate([np.zeros(0, np.int64), *[_from_planes(d, "<i8") for d in told.column("data").to_pylist()]])
+        whole = Slice(_texts(table), length, scanned=False)
         gone = np.zeros(len(whole.bytes), bool)
-        bits = np.where(found.doc > found.least[found.place], -1, marks[found.place]) if len(marks) else np.zeros(0, np.int64)
-        for i in range(whole.width):
-            at = found.anchor - i
-            gone[at[(at >= found.first) & (at < found.first + found.count) & (bits >> i & 1 == 1)]] = True
+        if len(told):
+            told = told.sort_by("part")
+            data, more = (told.column(c).to_pylist() for c in ("data", "more"))
+            place, first, count, back, later = from_places(data[0], more[0])
+            marks = np.concatenate([_from_planes(d, "<i8") for d in data[1:]])
+            bits = np.where(later, -1, marks[place])
+            for i in range(whole.width):
+                own = (i <= back) & (back < count + i) & (bits >> i & 1 == 1)
+                gone[first[own] + back[own] - i] = True
         reach = np.cumsum(gone, dtype=np.int32)
         reach[length:] -= reach[:-length].copy()
         gone = reach > 0

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomcraft.llm import suffixes
@@ -89,3 +90,19 @@ def test_merge_never_compares_known_prefixes(monkeypatch):
     for (a, _, _), (b, known, _) in zip(out, out[1:]):
         assert known == next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
     assert all(same for same, _ in compared) and any(n > 3 for _, n in compared)
+
+
+def test_places_say_what_items_found():
+    texts = pa.array([b"a long line that is here twice, and then some more of it " * 2, None, b"x" * 120, b"", b"a long line that is here twice, and then"], pa.binary())
+    own = suffixes.Slice(texts, 20)
+    hashes, n = np.unique(own.hash, return_counts=True)
+    items = suffixes.Items(own, np.array([3, 4, 5, 6, 1]), hashes[n > 1], n[n > 1] > 30, 4)
+    place, first, count, back, later = suffixes.from_places(*items.places())
+    assert len(place) and all(a < b for p in range(4) for a, b in zip(*[[k for k, q in zip(items.keys, items.parts) if q == p][i:] for i in (0, 1)]))
+    for p, f, c, b, late in zip(place, first, count, back, later):
+        key = own.data[f + b:f + c + 19] + b"\xff" + own.data[f:f + b][::-1]
+        assert items.keys[p] == key
+        doc = np.array([3, 4, 5, 6, 1])[own.documents(np.array([f]))][0]
+        assert late == (doc > items.least[p])
+    unscanned = suffixes.Slice(texts, 20, scanned=False)
+    assert (unscanned.begins == own.begins).all() and not hasattr(unscanned, "hash")
