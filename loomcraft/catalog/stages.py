@@ -8,6 +8,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from ..operators.binding import distinct
 from ..operators.completion import complete, failures
 from ..operators.prompts import MINING_CODE, MINING_SCHEMA
 from ..plans import curricula as C, generation as G, mining
@@ -96,7 +97,7 @@ def forward_generation(spark, sf):
         "s_suppkey", F.col("s_name").alias("category"), F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("subcategory"),
         F.concat(F.lit("list "), "s_name", F.lit(" parts")).alias("task"), "s_nationkey")
     prepared = G.prepared_tasks(suppliers, "acme", RUN_DATE, 4500)
-    shipped = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    shipped = distinct(table(spark, sf, "lineitem").select("l_suppkey", "l_partkey"))
     parts = table(spark, sf, "part").select(
         "p_partkey", F.concat(F.lit("http://part/"), F.col("p_partkey").cast("string")).alias("url"),
         F.concat_ws(" ", "p_name", "p_brand").alias("content"))

@@ -29,6 +29,16 @@ def spread(df: DataFrame, part_bytes: int = SPREAD_BYTES) -> DataFrame:
     return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
+def distinct(df: DataFrame, part_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """The different rows of a plain scan, which has columns that can be hashed.
+
+    ``DataFrame.distinct`` first gathers the rows of each scan task in that task's memory, whatever the size of its split. Here rows
+    are dealt out by their values first, in parts of at most ``part_bytes``, so that no task's table grows with the scan's."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // part_bytes))
+    return df.repartition(parts, *[F.col(f"`{c}`") for c in df.columns]).distinct()
+
+
 def keep(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column and drop the rows in which it is null."""
     kept = [c for c in df.columns if c != name]

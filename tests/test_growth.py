@@ -6,6 +6,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from loomcraft.functions import tools as T
+from loomcraft.operators import binding
 from loomcraft.plans import mining, preference
 from loomcraft.sources.scans import scan_saved_results
 from loomcraft.sources.sinks import save_results
@@ -60,3 +61,13 @@ def test_written_tasks_are_dealt_out_again(spark):
     fine, _ = mining.mine_and_generate(code, [], "{}", {"Role": "Write.", "Objective": "{task}", "Assistant": "Now:"}, "{}", client)
     found = [json.loads(r["json_object"])["k"] for r in fine.collect()]
     assert len(found) == 40 and len(set(found)) >= spark.sparkContext.defaultParallelism
+
+
+def test_rows_are_dealt_out_before_distinct_gathers_them(spark, tmp_path):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("a"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("b"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "t"))
+    found = binding.distinct(spark.read.parquet(str(tmp_path / "t")), part_bytes=100)
+    assert sorted(found.collect(), key=str) == sorted(rows.distinct().collect(), key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")
