@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as X
 from ..functions.jsons import array_text, entries, let, quoted, salvaged, without_nulls
 from ..functions.tools import wrapped_tool
-from ..operators.binding import bind
+from ..operators.binding import bind, keep
 from ..operators.completion import Client, complete
 from ..operators.packing import enrich_tasks, pack_documents, pack_examples
 from ..operators.prompts import section_prompt
@@ -151,7 +151,7 @@ def regenerate_in_steps(
 
     called = asked.withColumn("prompt", tool_request(F.array(_user_message(F.col("user_query"))), F.col("tools"), "auto"))
     called = complete(called, "prompt", tool_client, concurrency=concurrency, name="tool-calls")
-    called = called.withColumn("call_message", without_nulls("completion")).filter(F.col("call_message").isNotNull())
+    called = keep(called, "call_message", without_nulls("completion"))
     called = called.drop("prompt", "completion", "error", "attempts")
 
     result_variables = {n: F.col(n) for n in names} | {
@@ -160,9 +160,9 @@ def regenerate_in_steps(
     resulted = called.withColumn("prompt", tool_request(
         F.array(_user_message(section_prompt(result_sections, result_variables))), F.col("tools"), "none"))
     resulted = complete(resulted, "prompt", text_client, concurrency=concurrency, name="tool-results")
-    resulted = resulted.withColumn("results", salvaged("completion")).filter(F.col("results").isNotNull())
+    resulted = keep(resulted, "results", salvaged("completion"))
     chain = F.concat(F.array(_user_message(F.col("user_query")), F.col("call_message")), tool_message_texts(F.col("results")))
-    resulted = resulted.withColumn("chain", chain).drop("prompt", "completion", "error", "attempts")
+    resulted = bind(resulted, chain=chain).drop("prompt", "completion", "error", "attempts")
 
     summed = resulted.withColumn("prompt", tool_request(F.col("chain"), F.col("tools"), "none"))
     summed = complete(summed, "prompt", tool_client, concurrency=concurrency, name="summaries")

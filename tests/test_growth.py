@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomcraft.functions import tools as T
 from loomcraft.operators import binding
-from loomcraft.plans import mining, preference
+from loomcraft.plans import generation, mining, preference
 from loomcraft.sources.scans import scan_saved_results
 from loomcraft.sources.sinks import save_results
 
@@ -71,3 +71,21 @@ def test_rows_are_dealt_out_before_distinct_gathers_them(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     plan = plan.split("== Initial Plan ==")[-1]
     assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")
+
+
+def test_results_of_a_step_are_read_out_once(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    monkeypatch.setattr(generation, "salvaged", lambda c: counted(F.col(c)))
+    record = json.dumps({"messages": [{"role": "user", "content": "do"}], "tools": [{"name": "t"}]})
+    names = ("path", "category", "subcategory", "task", "doc_list", "examples")
+    rows = spark.range(40).coalesce(1).select(F.col("id").alias("task_key"), *[F.lit("").alias(n) for n in names], F.lit(record).alias("record"))
+    sections = {"Role": "ask", "Objective": "{user_message}"}
+    made = generation.regenerate_in_steps(
+        rows, sections, sections, lambda request: '{"tools": [{"role": "tool", "content": "x"}]}', lambda request: '{"tool_calls": []}')
+    assert made.count() == 40 and read.value == 40
