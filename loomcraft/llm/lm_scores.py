@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
 from .columns import join_same
-from .stores import drop_kept
+from .stores import drop_kept, give_back
 from .tokens import encoder, in_slices
 
 ALPHA = 0.4
@@ -67,6 +67,7 @@ def count_table(ids: DataFrame, dtype: str) -> DataFrame:
                     key, n = np.unique(np.concatenate(held), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["pair", "n"])
                     held, size = [], 0
+                    give_back()
 
     return ids.select("ids").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
@@ -122,6 +123,7 @@ def score(docs: DataFrame, tokenizer: str, alpha: float = ALPHA, common: int = C
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), some.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), *lists],
                     ["doc_id", "print", "n_tokens", "sum", "pair", "m", "hit", "miss"])
+            give_back()
 
     scored = ids.mapInArrow(
         local, "doc_id long, print long, n_tokens long, sum double, pair array<long>, m array<int>, hit array<float>, miss array<float>")

@@ -20,13 +20,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
-from .stores import kept
+from .stores import give_back, kept
 
 WORDS_KEPT = 600_000
 # Words of two pre-tokens, letters and then a mark; lower-casing is all that is done to them first.
 _PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[!-&(-/:-@\[-`{-~]*)$"
 _ODD = re.compile("[\x1c-\x1f]")
 _GROUP = 400
+# Groups or texts the tokenizer is given at a time: what it says of each is many times as large as its ids.
+_AT_ONCE = 32
 
 
 def _word_based(spec: dict) -> bool:
@@ -74,10 +76,15 @@ class Encoder:
         self.ids = np.concatenate([self.ids, ids])
         return slots
 
-    def _encoded(self, found: list) -> np.ndarray:
-        """The slots of what the tokenizer made of some texts."""
-        size = np.array([len(e.ids) for e in found], np.int64)
-        return self._added(np.array([i for e in found for i in e.ids], self.dtype), size)
+    def _tokenized(self, tokenizer: Tokenizer, texts: list[str], at_once: int) -> list[np.ndarray]:
+        """The ids of each text."""
+        return [np.array(e.ids, self.dtype) for a in range(0, len(texts), at_once)
+                for e in tokenizer.encode_batch_fast(texts[a:a + at_once], add_special_tokens=False)]
+
+    def _encoded(self, texts: list[str]) -> np.ndarray:
+        """The slots of some texts, each read whole."""
+        found = self._tokenized(self.whole, texts, _AT_ONCE * _GROUP)
+        return self._added(np.concatenate([np.zeros(0, self.dtype), *found]), np.array([len(x) for x in found], np.int64))
 
     def _gathered(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of slots end to end, and where each ends."""
@@ -89,8 +96,7 @@ class Encoder:
     def _cores(self, cores: list[str]) -> np.ndarray:
         """The slots of lower-cased letters, encoded many at a time."""
         groups = [" ".join(cores[i:i + _GROUP]) for i in range(0, len(cores), _GROUP)]
-        found = self.plain.encode_batch_fast(groups, add_special_tokens=False)
-        ids = np.concatenate([np.zeros(0, self.dtype), *[np.array(e.ids, self.dtype) for e in found]])
+        ids = np.concatenate([np.zeros(0, self.dtype), *self._tokenized(self.plain, groups, _AT_ONCE)])
         return self._added(ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
 
     def _learn(self, words: list[str]) -> np.ndarray:
@@ -107,12 +113,12 @@ class Encoder:
             new = np.flatnonzero(own < 0)
             own[new] = self._cores([cores[i] for i in new.tolist()])
             late = [m for m in marks if m not in self.marks]
-            self.marks.update(zip(late, self._encoded(self.whole.encode_batch_fast(late, add_special_tokens=False)).tolist()))
+            self.marks.update(zip(late, self._encoded(late).tolist()))
             after = np.array([self.marks[m] for m in marks])
             ids, ends = self._gathered(np.stack([own[core.indices.to_numpy()], after[mark.indices.to_numpy()]], axis=1).ravel())
             slots[plain] = self._added(ids, np.diff(ends[1::2], prepend=0))
         rest = np.flatnonzero(~plain)
-        slots[rest] = self._encoded(self.whole.encode_batch_fast([words[i] for i in rest.tolist()], add_special_tokens=False))
+        slots[rest] = self._encoded([words[i] for i in rest.tolist()])
         self.known.update(zip(words, slots.tolist()))
         return slots
 
@@ -145,10 +151,11 @@ def encoder(path: str, words_kept: int = WORDS_KEPT) -> Encoder:
 
 
 def in_slices(encode: Callable[[Sequence[str | None]], list[bytes]], texts: Sequence[str | None], chars: int = 4_000_000):
-    """Encode in slices of bounded size: ``(position, ids)`` of each text in order."""
+    """Encode in slices of bounded size: ``(position, ids)`` of each text in order. What a slice needed is given back behind it."""
     start = size = 0
     for i, text in enumerate(texts):
         size += len(text or "")
         if size >= chars or i + 1 == len(texts):
             yield from zip(range(start, i + 1), encode(texts[start:i + 1]))
+            give_back()
             start, size = i + 1, 0

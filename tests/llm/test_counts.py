@@ -1,8 +1,11 @@
+import subprocess
+import sys
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from loomcraft.llm import token_files
+from loomcraft.llm import token_files, tokens
 from loomcraft.llm.tokens import Encoder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -47,3 +50,47 @@ def test_forgotten_words_are_learnt_again():
     for t in texts * 2:
         assert own.encode([t]) == [own._whole(t)]
         assert len(own.known) <= 9 and len(own.size) < 30
+
+
+class Noting:
+    def __init__(self, tokenizer, sizes):
+        self.tokenizer, self.sizes = tokenizer, sizes
+
+    def encode_batch_fast(self, texts, **options):
+        self.sizes.append(len(texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_the_tokenizer_gets_new_words_in_bounded_groups():
+    own, sizes = Encoder(TOKENIZER), []
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = " ".join(a + b + c + d for a in letters for b in letters for c in letters for d in "aeo")
+    wanted = own._whole(text)
+    own.plain = Noting(own.plain, sizes)
+    assert own.encode([text]) == [wanted]
+    assert len(sizes) > 1 and max(sizes) <= tokens._AT_ONCE
+
+
+_RESTING = """
+import random, re, sys
+import public_tokenizers
+from loomcraft.llm.stores import give_back
+from loomcraft.llm.tokens import encoder, in_slices
+
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+own = encoder(public_tokenizers.path("word_bpe_49k.json"))
+draw = random.Random(1)
+for _ in range(2):
+    texts = [" ".join("".join(draw.choices("abcdefghij", k=7)) for _ in range(250)) for _ in range(400)]
+    assert len(list(in_slices(own.encode, texts))) == 400
+del texts
+before = held()
+give_back()
+print(before - held())
+"""
+
+
+def test_slices_give_their_memory_back():
+    assert float(subprocess.run([sys.executable, "-c", _RESTING], capture_output=True, text=True, check=True).stdout) < 20
