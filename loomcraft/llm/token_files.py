@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import fresh_path, written
-from .stores import drop_kept
+from .stores import drop_kept, give_back
 from .tokens import encoder, in_slices
 
 MAGIC = b"LOOMIDS1"
@@ -166,7 +166,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
                 names.clear()
                 held.clear()
                 size = 0
+                give_back()
 
+        drop_kept()
         for batch in batches:
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if out is None:
@@ -209,6 +211,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                             [pa.array(docs, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())],
                             ["doc_id", "start", "n_tokens", "ids_crc32"])
                         start += int(ends[-1])
+                give_back()
 
     # One row per file, each of millions of ids: their running total is a small window.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
