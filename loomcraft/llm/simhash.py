@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import written
+from .stores import drop_kept, give_back
 
 BITS = 64
 SEED = 42
@@ -57,9 +58,11 @@ def fingerprints(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", text:
     """``_doc, print``: the fingerprint as a signed long; and ``longs``, further numbers of the row, between them."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for batch in batches:
             prints = np.array([fingerprint(t.as_py(), width) for t in batch.column(len(names))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], [*names, "print"])
+            give_back()
 
     names = ["_doc", *longs]
     numbers = [c.cast("long").alias(n) for n, c in zip(names, [F.col(doc_id), *longs.values()])]

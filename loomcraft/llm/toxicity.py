@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import written
-from .stores import kept
+from .stores import give_back, kept
 
 ORDER = 3
 DECAY = 0.6
@@ -352,6 +352,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, columns:
                 kept = [some.column(c) for c in columns]
                 yield pa.RecordBatch.from_arrays(
                     [*kept, pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], [*columns, "score", "predicted"])
+            give_back()
 
     own = docs.select(*dict.fromkeys([*columns, "text"]))
     schema = own.select(*columns).schema.add("score", "double").add("predicted", "integer")
@@ -364,6 +365,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array([s for a in range(0, len(texts), 500) for s in model.scores(texts.slice(a, 500).to_pylist())], pa.float64())
+        found = pa.array([s for a in range(0, len(texts), 500) for s in model.scores(texts.slice(a, 500).to_pylist())], pa.float64())
+        give_back()
+        return found
 
     return docs.filter(scored(F.col("text").cast("string")) < threshold)

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from loomcraft.llm import token_files, tokens
+from loomcraft.llm import stores, token_files, tokens
 from loomcraft.llm.tokens import Encoder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -94,3 +94,12 @@ print(before - held())
 
 def test_slices_give_their_memory_back():
     assert float(subprocess.run([sys.executable, "-c", _RESTING], capture_output=True, text=True, check=True).stdout) < 20
+
+
+def test_what_a_worker_lets_go_of_is_given_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(stores, "give_back", lambda: calls.append(1))
+    stores.kept("words of another stage", dict)
+    stores.drop_kept()
+    stores.drop_kept()
+    assert calls == [1]
