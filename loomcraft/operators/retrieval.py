@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ..session import written
@@ -26,6 +28,11 @@ _SLACK = 1e-6
 MAX_CELLS = 1024
 # Queries compared with all pivots at a time within a batch.
 _CHUNK = 1024
+# Queries compared with a part's vectors at a time, vectors of which one greatest similarity is taken, most pairs that are worked
+# out again one by one.
+_STRIP = 256
+_GROUPED = 16
+_EXACT = 1 << 16
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -33,10 +40,62 @@ def _unit(column: pd.Series) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+    """``_unit`` of vectors as Arrow has them, without an object for each."""
+    lengths = pc.min_max(pc.list_value_length(column)).as_py()
+    if lengths["min"] != lengths["max"]:
+        raise ValueError(f"vectors of {lengths['min']} and of {lengths['max']} numbers")
+    flat = pc.list_flatten(column).to_numpy().astype(np.float64)
+    m = flat.reshape(len(column), lengths["min"])
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
 
 
+def _near_best(sims: np.ndarray, keep: int) -> np.ndarray:
+    """Of each row a number that at least ``keep`` of its values reach: the least of the ``keep`` greatest among the maxima of
+    some groups of its columns, far fewer than there are columns."""
+    groups = sims.shape[1] // _GROUPED
+    if groups >= keep:
+        whole = sims[:, :groups * _GROUPED].reshape(len(sims), _GROUPED, groups).max(axis=1)
+        sims = np.concatenate([whole, sims[:, groups * _GROUPED:]], axis=1)
+    at = sims.shape[1] - keep
+    return np.partition(sims, at, axis=1)[:, at]
+
+
+def best_pairs(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, col, similarity`` of the ``k`` vectors most similar to each query, similarities to nine digits, equal ones by id.
+
+    All are compared in single precision; which of them can be among the ``k``, whatever its errors, is worked out again in double.
+    Queries go in strips, so that memory is bounded also where all vectors are nearly alike; such strips are compared in double
+    anew. Vectors that have a number that isn't finite are like none."""
+    known = np.flatnonzero(np.isfinite(vectors).all(axis=1))
+    vectors, ids = vectors[known], ids[known]
+    keep = min(k, len(vectors))
+    if not keep:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    # An inner product of unit vectors is off by less than this in single precision; twice, as the k-th best may be off too.
+    slack = np.float32(4 * (vectors.shape[1] + 4) * 2.0**-24)
+    short_queries, short_vectors = queries.astype(np.float32), np.ascontiguousarray(vectors.T, np.float32)
+    found = []
+    for first in range(0, len(queries), _STRIP):
+        sims = short_queries[first:first + _STRIP] @ short_vectors
+        row, col = np.nonzero(sims >= (_near_best(sims, keep) - slack)[:, None])
+        if len(row) <= _EXACT:
+            exact = np.round(np.einsum("ij,ij->i", queries[first + row], vectors[col]), 9)
+        else:
+            sims = np.round(queries[first:first + _STRIP] @ vectors.T, 9)
+            row, col = np.nonzero(sims >= _near_best(sims, keep)[:, None])
+            exact = sims[row, col]
+        order = np.lexsort((ids[col], -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        top = np.arange(len(row)) - np.searchsorted(row, row) < keep
+        found.append((first + row[top], known[col[top]], exact[top]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _usable(df: DataFrame, embedding: str) -> DataFrame:
     """Vectors with a direction: a null or all-zero one has no similarity to anything."""
     return df.filter(F.col(embedding).isNotNull() & F.exists(embedding, lambda x: x != 0))
@@ -164,24 +223,17 @@ def search_cells(
     offered = celled.withColumn("part", F.pmod(F.xxhash64("v"), parts_of(sizes, "cell")).cast("int")).join(wanted, ["cell", "part"])
     asked_cells = split.select("q", "e", "home", "chunk", F.explode("cells").alias("cell")).withColumn("part", each_part("cell"))
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            none = pd.Series([], dtype="float64")
-            return pd.DataFrame({"q": left["q"].iloc[:0], "ids": right["ids"].iloc[:0], "similarity": none})
-        sims = np.round(_unit(left["e"]) @ _unit(right["v"]).T, 9)
-        keep = min(k, sims.shape[1])
-        kth = -np.partition(-sims, keep - 1, axis=1)[:, keep - 1]
-        row, col = np.nonzero(sims >= kth[:, None])
-        order = np.lexsort((right["ids"].str[0].to_numpy()[col], -sims[row, col], row))
-        row, col = row[order], col[order]
-        top = np.arange(len(row)) - np.searchsorted(row, row) < keep
-        row, col = row[top], col[top]
-        return pd.DataFrame({
-            "q": left["q"].to_numpy()[row], "ids": right["ids"].to_numpy()[col], "similarity": sims[row, col]})
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = col = np.zeros(0, np.int64)
+        similarity = np.zeros(0)
+        if len(left) and len(right):
+            ids = pc.list_element(right["ids"], 0).to_numpy()
+            row, col, similarity = best_pairs(_unit_rows(left["e"]), _unit_rows(right["v"]), ids, k)
+        return pa.table({"q": left["q"].take(pa.array(row)), "ids": right["ids"].take(pa.array(col)), "similarity": similarity})
 
     found = asked_cells.groupBy("cell", "part", "home", "chunk").cogroup(
         offered.groupBy("cell", "part", "for_home", "for_chunk")
-    ).applyInPandas(
+    ).applyInArrow(
         best, f"q {qid_type}, ids array<{id_type}>, similarity double")
     by_rank = Window.partitionBy("q").orderBy(F.desc("similarity"), "id")
     return (

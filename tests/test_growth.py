@@ -2,11 +2,12 @@
 
 import json
 
+import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from loomcraft.functions import tools as T
-from loomcraft.operators import binding
+from loomcraft.operators import binding, retrieval
 from loomcraft.plans import generation, mining, preference
 from loomcraft.sources.scans import scan_saved_results
 from loomcraft.sources.sinks import save_results
@@ -89,3 +90,25 @@ def test_results_of_a_step_are_read_out_once(spark, monkeypatch):
     made = generation.regenerate_in_steps(
         rows, sections, sections, lambda request: '{"tools": [{"role": "tool", "content": "x"}]}', lambda request: '{"tool_calls": []}')
     assert made.count() == 40 and read.value == 40
+
+
+def test_best_pairs_are_those_of_all_pairs(monkeypatch):
+    draw = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    widths = []
+    partition = np.partition
+    monkeypatch.setattr(np, "partition", lambda x, *a, **b: widths.append(x.shape[1]) or partition(x, *a, **b))
+    queries = unit(draw.normal(size=(600, 24)))
+    spread = unit(draw.normal(size=(3_000, 24)))
+    alike = unit(spread[:1] + 1e-8 * draw.normal(size=(900, 24)))  # many equal to nine digits
+    with_nan = np.where(np.arange(40)[:, None] % 7 == 3, np.nan, spread[:40])
+    for vectors in (spread, alike, with_nan, spread[:3], spread[:1]):
+        ids = draw.permutation(len(vectors))
+        row, col, similarity = retrieval.best_pairs(queries, vectors, ids, 5)
+        sims = np.round(queries @ vectors.T, 9)
+        wanted = [sorted((-s, i) for s, i in zip(r, ids) if s == s)[:5] for r in sims]
+        got = [[] for _ in queries]
+        for r, c, s in zip(row, col, similarity):
+            got[r].append((-s, ids[c]))
+        assert got == wanted
+    assert max(widths) < 300  # not whole rows of 3,000
