@@ -181,6 +181,5 @@ def salvaged(c) -> Column:
     """The JSON text of a reply: the whole reply, else what lies between its outer braces.
 
     Null if neither is JSON, or if the value is an empty one."""
-    inner = between_braces(c)
-    found = F.when(is_json(c), strip(c)).when(is_object(inner), inner)
-    return F.when(~is_empty_value(found), found)
+    inner = let(between_braces(c), lambda text: F.when(is_object(text), text))
+    return let(F.when(is_json(c), strip(c)).otherwise(inner), lambda found: F.when(~is_empty_value(found), found))

@@ -41,8 +41,9 @@ def mine_tasks(
 
 def valid_objects(records: DataFrame, record: str = "record") -> DataFrame:
     """The assistant's object of each JSON-mode record with whether it fits the record's schema."""
-    parts = bind(records, **json_mode_parts(F.col(record)))
-    return validate_json(parts, "json_object", "json_schema")
+    parts = json_mode_parts(F.col(record))
+    named = bind(records, json_object=parts["json_object"], json_schema=parts["json_schema"])
+    return validate_json(named, "json_object", "json_schema")
 
 
 def retry_invalid(

@@ -74,12 +74,15 @@ def json_mode_parts(record: Column) -> dict[str, Column]:
     last = lambda role: let(
         F.filter(raw, lambda m: F.get_json_object(m, "$.role") == role),
         lambda m: F.when(F.size(m) > 0, F.get(m, F.size(m) - 1)))
-    assistant = last("assistant")
-    content = F.get_json_object(assistant, "$.content")
-    is_text = F.schema_of_variant(F.try_variant_get(F.try_parse_json(assistant), "$.content", "variant")) == "STRING"
+
+    def content_json(message):
+        content = F.get_json_object(message, "$.content")
+        is_text = F.schema_of_variant(F.try_variant_get(F.try_parse_json(message), "$.content", "variant")) == "STRING"
+        return F.when(is_text, quoted(content)).otherwise(content)
+
     return {
         "user": F.get_json_object(last("user"), "$.content"),
-        "json_object": F.when(is_text, quoted(content)).otherwise(content),
+        "json_object": let(last("assistant"), content_json),
         "json_schema": F.get_json_object(record, "$.pydantic_schema"),
     }
 

@@ -7,8 +7,10 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from loomcraft.functions import tools as T
+from loomcraft.functions.jsons import salvaged
 from loomcraft.operators import binding, retrieval
 from loomcraft.plans import generation, mining, preference
+from loomcraft.plans.export import json_mode_parts
 from loomcraft.sources.scans import scan_saved_results
 from loomcraft.sources.sinks import save_results
 
@@ -112,3 +114,26 @@ def test_best_pairs_are_those_of_all_pairs(monkeypatch):
             got[r].append((-s, ids[c]))
         assert got == wanted
     assert max(widths) < 300  # not whole rows of 3,000
+
+
+def _times(spark, column, what):
+    return spark.range(1).select(column.alias("x"))._jdf.queryExecution().analyzed().toString().count(what)
+
+
+def test_replies_and_records_are_read_once(spark):
+    parts = json_mode_parts(F.lit("{}"))
+    assert _times(spark, parts["json_object"], "from_json(") == 1
+    assert _times(spark, salvaged(F.lit("{}")), "from_json(") == 2  # the reply, and what its braces hold
+
+
+def test_salvaged_replies_and_objects_of_records(spark):
+    record = lambda *said: json.dumps({"messages": [{"role": r, "content": c} for r, c in said], "pydantic_schema": {}})
+    rows = [(' {"a":1} ', '{"a":1}'), ('so: {"a":{}} .', '{"a":{}}'), ("{}", None), ("see {} there", None), ("", None), (None, None),
+            ("{'a'}", None), ("[0]", "[0]")]
+    got = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(rows)], "i int, r string").select("i", salvaged("r").alias("x"))
+    assert [r.x for r in got.orderBy("i").collect()] == [x for _, x in rows]
+    records = [(record(("user", "u"), ("assistant", {"k": 1}), ("assistant", {"k": 2})), '{"k":2}'),
+               (record(("assistant", 'a "b"')), '"a \\"b\\""'), (record(("user", "u")), None), ("[]", None), ("no", None), (None, None)]
+    frame = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(records)], "i int, r string")
+    found = frame.select("i", json_mode_parts(F.col("r"))["json_object"].alias("x")).orderBy("i").collect()
+    assert [r.x for r in found] == [x for _, x in records]
