@@ -218,7 +218,7 @@ FROM files""")
 def mined_and_generated(spark, sf):
     """Every document as a source file: a task mined from it, a record made for the task, failing rows asked up to three times."""
     path = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path")
-    code = table(spark, sf, "documents", spread_out=True).select(path, F.col("text").alias("code"))
+    code = table(spark, sf, "documents").select(path, F.col("text").alias("code"))
     fine, failed = mining.mine_and_generate(code, [], "{}", MINED_SECTIONS, "{}", mined_records, tell_fault=True)
     return fine.select("path", "task_json", "json_object", "rounds", F.lit(False).alias("failed")).unionByName(
         failed.select("path", "task_json", F.lit(None).cast("string").alias("json_object"), "rounds", F.lit(True).alias("failed")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
@@ -61,9 +61,10 @@ def _asking(
 def complete(
     df: DataFrame, prompt: str, client: Client, attempts: int = ATTEMPTS, wait_seconds: float = 0.0,
     concurrency: int | None = None, accept: Callable[[str], bool] | None = None, name: str = "completions",
-    in_flight: int = 1, log: str | None = None, slices: int = SLICES,
+    in_flight: int = 1, log: str | None = None, slices: int = SLICES, kept: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Call ``client`` for every prompt; adds ``completion``, ``error`` and ``attempts``.
+    """Call ``client`` for every prompt; adds ``completion``, ``error`` and ``attempts`` to the columns of ``df``, or to those in
+    ``kept``: what is not kept, such as the prompt, is not written with the answers.
 
     A failing call is tried again, then kept as a row with its error, so one bad prompt never ends
     the job. ``accept`` turns away replies worth another try. ``concurrency`` caps the number of
@@ -79,13 +80,14 @@ def complete(
         raise ValueError(f"rename {sorted(taken)} first")
     dealt = (lambda rows: rows.repartition(concurrency)) if concurrency else (lambda rows: rows)
     answer = lambda column: _asking(column, client, attempts, wait_seconds, accept, in_flight)
-    columns = [F.col(f"`{c}`") for c in df.columns]
+    columns = [F.col(f"`{c}`") for c in (df.columns if kept is None else kept)]
     if log is None:
-        answered = written(dealt(df).withColumn("_answer", answer(prompt)), name)
+        answered = written(dealt(df).select(*columns, answer(prompt).alias("_answer")), name)
         return answered.select(*columns, "_answer.completion", "_answer.error", "_answer.attempts")
 
     answers = AnswerLog(df.sparkSession, log)
-    keyed = written(df.withColumn("_prompt_key", prompt_key(prompt)), name)
+    needed = df if kept is None else df.select(*columns, *([] if prompt in kept else [prompt]))
+    keyed = written(needed.withColumn("_prompt_key", prompt_key(prompt)), name)
     asked = keyed.filter(F.col("_prompt_key").isNotNull())
     todo = asked.select(F.col("_prompt_key").alias("prompt_key"), F.col(prompt).alias("_prompt")).dropDuplicates(["prompt_key"])
     for rows in _in_slices(not_done(todo, answers.answered(), ["prompt_key"]), slices, f"{name}-to-ask"):

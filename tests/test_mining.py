@@ -1,10 +1,15 @@
 """Tasks mined and records made in one plan: rounds, faults, known tasks, a job started again."""
 
 import json
+import os
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from loomcraft.operators.shelf import KEY, shelved, with_text
 from loomcraft.plans.mining import NO_OBJECT, NO_TASK, mine_and_generate
+from loomcraft.session import shared_folder
 
 SECTIONS = {"Objective": "{task}", "Documents": "{doc_list}"}
 SCHEMA = '{"type": "object", "properties": {"k": {"type": "integer"}}, "required": ["k"]}'
@@ -77,3 +82,36 @@ def test_a_job_started_again_asks_for_failures_only(spark, tmp_path):
 
 def test_no_files(spark, tmp_path):
     assert run(spark, f"{tmp_path}/calls", []) == ({}, {})
+
+
+def on_disk(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+
+
+def test_rounds_write_code_once(spark, tmp_path):
+    folder = shared_folder(spark).removeprefix("file:")
+    codes = ["BAD" + os.urandom(20_000).hex() for _ in range(40)]
+    before = on_disk(folder)
+    fine, failed = run(spark, f"{tmp_path}/calls", [(f"{i}.py", c, i) for i, c in enumerate(codes)], tell_fault=True)
+    assert not fine and len(failed) == 40 and {r.rounds for r in failed.values()} == {3}
+    assert on_disk(folder) - before < 1.5 * sum(map(len, codes))
+
+
+def test_equal_rows_and_rows_without_path_stay(spark, tmp_path):
+    rows = [("a.py", "x"), ("a.py", "x"), ("a.py", "BAD"), (None, "x"), (None, None), (None, ""), ("b.py", "NOTASK"), ("b.py", "NOTASK")]
+    code = spark.createDataFrame(rows, "path string, code string")
+    fine, failed = mine_and_generate(code, [], "{}", SECTIONS, "{}", client(f"{tmp_path}/calls"), tell_fault=True)
+    assert Counter(r.path for r in fine.collect()) == {"a.py": 2, None: 3}
+    assert Counter(r.path for r in failed.collect()) == {"a.py": 1, "b.py": 2}
+
+
+def test_shelved_texts_are_not_shuffled_again(spark):
+    rows = [(1, None, "x"), (1, None, "x"), (None, "", None), (1, "", "x"), (2, "-", "y" * 100)]
+    df = spark.createDataFrame(rows, "i int, s string, t string")
+    kept, texts = shelved(df, "t", "test_shelf", part_bytes=10)
+    assert Counter(map(tuple, with_text(kept, texts).select("i", "s", "t").collect())) == Counter(rows)
+    few = with_text(kept.filter("i = 2").withColumn("u", F.lit(1)), texts).select(KEY, "t", "u")
+    assert [r.t for r in few.collect()] == ["y" * 100]
+    elsewhere = spark.createDataFrame(kept.filter("i = 2").select(KEY).collect())
+    plan = with_text(elsewhere, texts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
