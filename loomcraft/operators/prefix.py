@@ -129,6 +129,7 @@ def concat_in_order(
     """Join the text pieces of a key into one text.
 
     For texts the caller bounds (a character budget, k examples): blocks are joined first, so the
-    last step merges one short text per block."""
-    parts = concat_in_parts(df, keys, order, piece, "_text", separator, block_rows)
+    last step merges one short text per block. Rows are dealt out by key before that, so pieces are shuffled once, not again as blocks."""
+    dealt = df.repartition(*[F.col(f"`{k}`") for k in keys])
+    parts = concat_in_parts(dealt, keys, order, piece, "_text", separator, block_rows)
     return parts.groupBy(*keys).agg(_in_order("part", F.col("_text"), separator).alias(out))

@@ -1,10 +1,12 @@
 """Exact nearest neighbours by cosine similarity.
 
-Comparing every query with every vector would be a cross join. Instead the vectors are cut into
+Comparing every query with every vector would be a cross join of rows. Instead the vectors are cut into
 cells around pivots. From each cell's radius and the distances of its k members nearest the pivot
 follows, by the triangle inequality, an upper bound on every query's k-th distance and a lower
 bound on its distance to anything in a cell; cells beyond the bound cannot hold an answer and are
-never joined. What is left is an equi-join on (cell, part), with both sides of a group bounded.
+never compared. Vectors of a cell and queries at home in one are packed into blocks of bounded size, a row
+each, and every task passes the blocks of vectors by its own blocks of queries. Both are written or shuffled
+once, however many blocks meet: a task reads the written vectors again, keeps the best k found so far, and gives out those only.
 
 On unit vectors the order by Euclidean distance is the order by cosine similarity.
 """
@@ -33,6 +35,9 @@ _CHUNK = 1024
 _STRIP = 256
 _GROUPED = 16
 _EXACT = 1 << 16
+# Blocks of queries of a task, and what their numbers may take.
+_MOST_HELD = 16
+_HELD_BYTES = 16 << 20
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -40,13 +45,21 @@ def _unit(column: pd.Series) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
-    """``_unit`` of vectors as Arrow has them, without an object for each."""
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as Arrow has them, without an object for each."""
     lengths = pc.min_max(pc.list_value_length(column)).as_py()
     if lengths["min"] != lengths["max"]:
         raise ValueError(f"vectors of {lengths['min']} and of {lengths['max']} numbers")
-    flat = pc.list_flatten(column).to_numpy().astype(np.float64)
-    m = flat.reshape(len(column), lengths["min"])
+    return pc.list_flatten(column).to_numpy().astype(np.float32).reshape(len(column), lengths["min"])
+
+
+def _as_one(column: pa.ChunkedArray) -> pa.Array:
+    """A column's values as the list of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column.combine_chunks())
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    m = m.astype(np.float64)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
@@ -65,30 +78,41 @@ def _near_best(sims: np.ndarray, keep: int) -> np.ndarray:
     return np.partition(sims, at, axis=1)[:, at]
 
 
-def best_pairs(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_pairs(
+    queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, known_best: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``row, col, similarity`` of the ``k`` vectors most similar to each query, similarities to nine digits, equal ones by id.
 
     All are compared in single precision; which of them can be among the ``k``, whatever its errors, is worked out again in double.
     Queries go in strips, so that memory is bounded also where all vectors are nearly alike; such strips are compared in double
-    anew. Vectors that have a number that isn't finite are like none."""
+    anew. Vectors that have a number that isn't finite are like none. ``known_best`` is a similarity for each query below which
+    answers are of no use."""
     known = np.flatnonzero(np.isfinite(vectors).all(axis=1))
     vectors, ids = vectors[known], ids[known]
     keep = min(k, len(vectors))
-    if not keep:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     # An inner product of unit vectors is off by less than this in single precision; twice, as the k-th best may be off too.
     slack = np.float32(4 * (vectors.shape[1] + 4) * 2.0**-24)
     short_queries, short_vectors = queries.astype(np.float32), np.ascontiguousarray(vectors.T, np.float32)
-    found = []
-    for first in range(0, len(queries), _STRIP):
+    if known_best is None:
+        known_best = np.full(len(queries), -np.inf)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for first in range(0, len(queries) if keep else 0, _STRIP):
         sims = short_queries[first:first + _STRIP] @ short_vectors
-        row, col = np.nonzero(sims >= (_near_best(sims, keep) - slack)[:, None])
+        useful = known_best[first:first + _STRIP]
+        least = useful.astype(np.float32) - slack
+        hits = sims >= least[:, None]
+        if np.count_nonzero(hits) > 2 * keep * len(sims):
+            least = np.maximum(least, _near_best(sims, keep) - slack)
+            hits = sims >= least[:, None]
+        row, col = np.nonzero(hits)
         if len(row) <= _EXACT:
             exact = np.round(np.einsum("ij,ij->i", queries[first + row], vectors[col]), 9)
         else:
             sims = np.round(queries[first:first + _STRIP] @ vectors.T, 9)
-            row, col = np.nonzero(sims >= _near_best(sims, keep)[:, None])
+            row, col = np.nonzero(sims >= np.maximum(useful, _near_best(sims, keep))[:, None])
             exact = sims[row, col]
+        fits = exact >= useful[row]
+        row, col, exact = row[fits], col[fits], exact[fits]
         order = np.lexsort((ids[col], -exact, row))
         row, col, exact = row[order], col[order], exact[order]
         top = np.arange(len(row)) - np.searchsorted(row, row) < keep
@@ -96,6 +120,34 @@ def best_pairs(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+class _Asking:
+    """A block of queries and the best ``k`` found for each so far."""
+
+    def __init__(self, ids: pa.Array, units: np.ndarray, wants: np.ndarray, k: int) -> None:
+        self.ids, self.units, self.wants, self.k = ids, units, wants, k
+        self.row, self.similarity = np.zeros(0, np.int64), np.zeros(0)
+        self.first = self.found = None
+        self.least = np.full(len(units), -np.inf)
+
+    def meet(self, place: int, units: np.ndarray, first: np.ndarray, ids: pa.Array) -> None:
+        """Compare the queries that want the cell at ``place`` with vectors of it; ``first`` is the least of a vector's ``ids``."""
+        asks = np.flatnonzero(self.wants[:, place >> 3] & (128 >> (place & 7)))
+        whole = len(asks) == len(self.units)
+        row, col, similarity = best_pairs(self.units if whole else self.units[asks], units, first, self.k, self.least[asks])
+        if not len(row):
+            return
+        row, first, found = asks[row], first[col], ids.take(pa.array(col))
+        if self.found is not None:
+            row, similarity = np.concatenate([self.row, row]), np.concatenate([self.similarity, similarity])
+            first, found = np.concatenate([self.first, first]), pa.concat_arrays([self.found, found])
+        order = np.lexsort((first, -similarity, row))
+        place_in_row = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+        order, place_in_row = order[place_in_row < self.k], place_in_row[place_in_row < self.k]
+        self.row, self.similarity, self.first, self.found = row[order], similarity[order], first[order], found.take(pa.array(order))
+        last = place_in_row == self.k - 1
+        self.least[self.row[last]] = self.similarity[last]
+
+
 def _usable(df: DataFrame, embedding: str) -> DataFrame:
     """Vectors with a direction: a null or all-zero one has no similarity to anything."""
     return df.filter(F.col(embedding).isNotNull() & F.exists(embedding, lambda x: x != 0))
@@ -151,8 +203,8 @@ def nearest(
     Equal similarities (to nine digits) are ranked by id. Copies of a vector are folded into one
     before anything is joined, keeping the ``k`` smallest ids, which is all that ties can ask for.
     ``cells`` defaults to a quarter of the root of the number of vectors, 1024 at most, so the driver holds at most
-    that many pivots and ``k`` distances for each. A large cell is dealt out over parts, and so are
-    the queries at home in one; a vector goes only where a query asks for its cell."""
+    that many pivots and ``k`` distances for each. A large cell is dealt out over blocks, and so are
+    the queries at home in one; a block of vectors is shown only to blocks that have a query that asks for its cell."""
     id_type = vectors.schema[vector_id].dataType.simpleString()
     distinct = written(folded(vectors, vector_id, embedding, k), "vectors")
     pivots = pivot_vectors(distinct, cells)
@@ -184,56 +236,86 @@ def search_cells(
     used_pivots = _unit(pd.Series([pivots[c] for c in used]))
     between = _distances(used_pivots, used_pivots)
 
-    def to_candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), _CHUNK):
-                pdf = batch.iloc[at:at + _CHUNK]
-                d = _distances(_unit(pdf["e"]), used_pivots)
-                reach = d[:, inner_cell] + inner_dist
-                if reach.shape[1] < k:  # fewer vectors than asked for: every one is an answer
-                    bound = np.full(len(pdf), np.inf)
-                else:
-                    bound = np.partition(reach, k - 1, axis=1)[:, k - 1] + _SLACK
-                home = d.argmin(axis=1)
-                d_home = d[np.arange(len(pdf)), home]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = (d**2 - d_home[:, None] ** 2) / (2 * between[home])
-                plane = np.nan_to_num(plane, nan=0.0, posinf=0.0, neginf=0.0)
-                floor = np.maximum.reduce([d - high, low - d, plane])
-                wanted = [used[row].astype("int32") for row in floor <= bound[:, None]]
-                yield pdf.assign(home=used[home].astype("int32"), cells=wanted)
+    def wanted(units: np.ndarray) -> np.ndarray:
+        """Which of the used cells may hold an answer to each query."""
+        d = _distances(units, used_pivots)
+        reach = d[:, inner_cell] + inner_dist
+        if reach.shape[1] < k:  # fewer vectors than asked for: every one is an answer
+            bound = np.full(len(units), np.inf)
+        else:
+            bound = np.partition(reach, k - 1, axis=1)[:, k - 1] + _SLACK
+        home = d.argmin(axis=1)
+        d_home = d[np.arange(len(units)), home]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (d**2 - d_home[:, None] ** 2) / (2 * between[home])
+        plane = np.nan_to_num(plane, nan=0.0, posinf=0.0, neginf=0.0)
+        return np.maximum.reduce([d - high, low - d, plane]) <= bound[:, None]
+
+    def to_homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(home=used[_distances(_unit(pdf["e"]), used_pivots).argmin(axis=1)].astype("int32"))
 
     query_rows = _usable(queries, embedding).select(F.col(query_id).alias("q"), F.col(embedding).alias("e"))
-    asked = written(query_rows.mapInPandas(
-        to_candidates, f"q {qid_type}, e array<float>, home int, cells array<int>"), "asked")
+    asked = written(query_rows.mapInPandas(to_homes, f"q {qid_type}, e array<float>, home int"), "asked")
     homes = {r["home"]: r["n"] for r in asked.groupBy("home").agg(F.count("*").alias("n")).collect()}
     if not homes:
         return spark.createDataFrame([], f"{query_id} {qid_type}, rank int, {vector_id} {id_type}, similarity double")
 
-    def parts_of(counts: dict[int, int], cell: str) -> Column:
-        """Number of parts of a cell, as a lookup of at most ``cells`` entries."""
-        pairs = [F.lit(int(x)) for c, n in counts.items() for x in (c, math.ceil(n / rows_per_part))]
-        return F.try_element_at(F.create_map(*pairs), F.col(cell))
-
-    each_part = lambda cell: F.explode(F.sequence(F.lit(0), parts_of(sizes, cell) - 1))
-    split = asked.withColumn("chunk", F.pmod(F.xxhash64("q"), parts_of(homes, "home")).cast("int"))
-    wanted = split.select(
-        F.col("home").alias("for_home"), F.col("chunk").alias("for_chunk"), F.explode("cells").alias("cell")
-    ).distinct().withColumn("part", each_part("cell"))
-    offered = celled.withColumn("part", F.pmod(F.xxhash64("v"), parts_of(sizes, "cell")).cast("int")).join(wanted, ["cell", "part"])
-    asked_cells = split.select("q", "e", "home", "chunk", F.explode("cells").alias("cell")).withColumn("part", each_part("cell"))
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = col = np.zeros(0, np.int64)
-        similarity = np.zeros(0)
-        if len(left) and len(right):
-            ids = pc.list_element(right["ids"], 0).to_numpy()
-            row, col, similarity = best_pairs(_unit_rows(left["e"]), _unit_rows(right["v"]), ids, k)
-        return pa.table({"q": left["q"].take(pa.array(row)), "ids": right["ids"].take(pa.array(col)), "similarity": similarity})
-
-    found = asked_cells.groupBy("cell", "part", "home", "chunk").cogroup(
-        offered.groupBy("cell", "part", "for_home", "for_chunk")
-    ).applyInArrow(
+    parts_of = lambda n: math.ceil(n / rows_per_part)
+    lookup = lambda counts, cell: F.try_element_at(  # noqa: E731  of at most ``cells`` entries
+        F.create_map(*[F.lit(int(x)) for pair in counts.items() for x in pair]), F.col(cell))
+
+    def vector_block(rows: pa.Table) -> pa.Table:
+        return pa.table({"cell": rows["cell"][:1], "part": rows["part"][:1], "ids": _as_one(rows["ids"]),
+                         "v": pa.array([_matrix(rows["v"]).tobytes()])})
+
+    shares = {c: parts_of(n) for c, n in sizes.items()}
+    dealt = celled.select("v", "ids", "cell", F.pmod(F.xxhash64("v"), lookup(shares, "cell")).cast("int").alias("part"))
+    vector_blocks = written(dealt.groupBy("cell", "part").applyInArrow(
+        vector_block, f"cell int, part int, ids array<array<{id_type}>>, v binary"), "vector-blocks")
+
+    def query_block(rows: pa.Table) -> pa.Table:
+        matrix = _matrix(rows["e"])
+        wants = np.concatenate([wanted(_unit_rows(matrix[at:at + _CHUNK])) for at in range(0, len(matrix), _CHUNK)])
+        return pa.table({"block": rows["block"][:1], "q": _as_one(rows["q"]), "e": pa.array([matrix.tobytes()]),
+                         "wants": pa.array([np.packbits(wants, axis=1).tobytes()]),
+                         "cells": pa.array([used[wants.any(axis=0)].tolist()], pa.list_(pa.int32()))})
+
+    # Blocks of queries are numbered, so that tasks get equally many, and no more than they can hold.
+    chunks = {h: parts_of(n) for h, n in sorted(homes.items())}
+    starts = dict(zip(chunks, np.cumsum([0, *chunks.values()])))
+    blocks, numbers = sum(chunks.values()), len(pivots[0])
+    held = max(1, min(_MOST_HELD, _HELD_BYTES // (4 * numbers * rows_per_part)))
+    tasks = max(min(blocks, 3 * spark.sparkContext.defaultParallelism), math.ceil(blocks / held))
+    number = (lookup(starts, "home") + F.pmod(F.xxhash64("q"), lookup(chunks, "home"))).cast("int")
+    numbered = asked.select("q", "e", number.alias("block")).withColumn("task", F.col("block") % tasks)
+    query_blocks = numbered.repartitionById(tasks, F.col("task")).groupBy("task", "block").applyInArrow(
+        query_block, f"block int, q array<{qid_type}>, e binary, wants binary, cells array<int>")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking, at = {}, None
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns))
+            value = lambda name, i: columns[name][i].as_py()
+            matrix = lambda name, i: np.frombuffer(columns[name][i].as_buffer(), np.float32).reshape(-1, numbers)
+            for i in range(batch.num_rows):
+                block, vectors = value("block", i), (value("cell", i), value("part", i))
+                if block not in asking:
+                    queries_of = _unit_rows(matrix("e", i))
+                    wants = np.frombuffer(columns["wants"][i].as_buffer(), np.uint8).reshape(len(queries_of), -1).copy()
+                    own_ids = columns["q"][i].values.take(pa.array(np.arange(len(queries_of))))
+                    asking[block] = _Asking(own_ids, queries_of, wants, k)
+                if vectors != at:
+                    at, ids = vectors, columns["ids"][i].values
+                    units, first = _unit_rows(matrix("v", i)), pc.list_element(ids, 0).to_numpy(zero_copy_only=False)
+                asking[block].meet(place[vectors[0]], units, first, ids)
+        for x in asking.values():
+            if x.found is not None:
+                yield pa.RecordBatch.from_pydict({"q": x.ids.take(pa.array(x.row)), "ids": x.found, "similarity": x.similarity})
+
+    # One task per part of the queries reads all blocks of vectors, as they are written; nothing of them is shuffled.
+    shown = vector_blocks.coalesce(1).hint("shuffle_replicate_nl").join(query_blocks, F.array_contains("cells", F.col("cell")))
+    found = shown.select("block", "q", "e", "wants", "cell", "part", "ids", "v").mapInArrow(
         best, f"q {qid_type}, ids array<{id_type}>, similarity double")
     by_rank = Window.partitionBy("q").orderBy(F.desc("similarity"), "id")
     return (

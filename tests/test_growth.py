@@ -1,14 +1,16 @@
 """What must not grow with a table: lookups per call, tasks of saved results, judging done twice."""
 
 import json
+import os
 
 import numpy as np
+import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from loomcraft.functions import tools as T
 from loomcraft.functions.jsons import salvaged
-from loomcraft.operators import binding, retrieval
+from loomcraft.operators import binding, prefix, retrieval
 from loomcraft.plans import generation, mining, preference
 from loomcraft.plans.export import json_mode_parts
 from loomcraft.sources.scans import scan_saved_results
@@ -116,6 +118,51 @@ def test_best_pairs_are_those_of_all_pairs(monkeypatch):
     assert max(widths) < 300  # not whole rows of 3,000
 
 
+def _random_vectors(spark, count, numbers, name, seed):
+    m = np.random.default_rng(seed).normal(size=(count, numbers)).astype("float32")
+    rows = pd.DataFrame({name: range(count), "embedding": list(m.astype(float))})
+    return m.astype(float), spark.createDataFrame(rows, f"{name} long, embedding array<float>").repartition(4)
+
+
+def test_searches_that_rule_out_no_cell_shuffle_vectors_once(spark):
+    folders = [f.getPath() for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: sum(
+        os.path.getsize(os.path.join(d, f)) for top in folders for d, _, files in os.walk(top) for f in files if f.startswith("shuffle_"))
+    _, vectors = _random_vectors(spark, 4000, 64, "vec_id", 1)
+    before = shuffled()
+    found = retrieval.nearest(vectors.withColumnRenamed("vec_id", "query_id"), vectors, 2, cells=32)
+    assert found.filter("rank = 1 AND query_id = vec_id").count() == 4000
+    assert shuffled() - before < 8 * 4000 * 64 * 4  # of 32 cells
+
+
+def test_several_blocks_of_queries_in_a_task(spark):
+    vectors, rows = _random_vectors(spark, 300, 6, "vec_id", 2)
+    queries, asked = _random_vectors(spark, 400, 6, "query_id", 3)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    sims = np.round(unit(queries) @ unit(vectors).T, 9)
+    wanted = {(q, n + 1, int(v)) for q in range(400) for n, v in enumerate(np.lexsort((np.arange(300), -sims[q]))[:3])}
+    found = retrieval.nearest(asked, rows, 3, cells=10, rows_per_part=7).collect()
+    assert {(r.query_id, r["rank"], r.vec_id) for r in found} == wanted and len(found) == len(wanted)
+
+
+def test_best_pairs_leave_out_what_is_of_no_use():
+    draw = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    queries, vectors, ids = unit(draw.normal(size=(50, 8))), unit(draw.normal(size=(200, 8))), np.arange(200)
+    every = list(zip(*retrieval.best_pairs(queries, vectors, ids, 4)))
+    for least in (-1.0, 0.8, 2.0):
+        got = list(zip(*retrieval.best_pairs(queries, vectors, ids, 4, np.full(50, least))))
+        assert got == [x for x in every if x[2] >= least]
+    assert [len(x) for x in retrieval.best_pairs(queries, vectors[:0], ids[:0], 4)] == [0, 0, 0]
+
+
+def test_pieces_joined_in_order_are_shuffled_once(spark):
+    rows = spark.range(100).select((F.col("id") % 5).alias("k"), F.col("id").alias("o"), F.col("id").cast("string").alias("p"))
+    joined = prefix.concat_in_order(rows, ["k"], "o", F.col("p"), "t", ",", block_rows=10)
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {r.k: r.t for r in joined.collect()} == {k: ",".join(str(i) for i in range(k, 100, 5)) for k in range(5)}
+
+
 def _times(spark, column, what):
     return spark.range(1).select(column.alias("x"))._jdf.queryExecution().analyzed().toString().count(what)
 
